@@ -37,10 +37,11 @@ def ends_sentence(c):
     return F.substring(c, -1, 1).isin(*tx.POST_END_CHARS)
 
 
-def postprocess(raw_df: DataFrame, raw_col: str = "raw_text") -> DataFrame:
+def postprocess(raw_df: DataFrame, raw_col: str = "raw_text", keep_post: bool = False) -> DataFrame:
     """Raw generation -> post text: extract, remove residue, strip, drop < 3 words, add final period.
 
-    Map-only: one select/filter chain, no shuffle.
+    Map-only: one select/filter chain, no shuffle. ``keep_post`` also returns the
+    post before the period repair (input of the completeness rules).
     """
     cleaned = strip_post(remove_residue(extract_post(F.col(raw_col))))
     df = raw_df.withColumn("_post", cleaned)
@@ -48,7 +49,8 @@ def postprocess(raw_df: DataFrame, raw_col: str = "raw_text") -> DataFrame:
     text = F.when(ends_sentence(F.col("_post")), F.col("_post")) \
             .otherwise(F.concat(F.col("_post"), F.lit(".")))
     keep = [c for c in raw_df.columns if c != raw_col]
-    return df.select(*keep, text.alias("text"))
+    extra = [F.col("_post").alias("post")] if keep_post else []
+    return df.select(*keep, text.alias("text"), *extra)
 
 
 def label_join(gen_text: DataFrame, gen_labels: DataFrame, key: str = "gen_id") -> DataFrame:

@@ -7,6 +7,7 @@ import importlib
 _GROUPS = [
     "textloom.plans.prep_queries",
     "textloom.plans.gen_queries",
+    "textloom.plans.audit_queries",
 ]
 
 

@@ -225,7 +225,7 @@ SYNTH = f"""gen_x AS (SELECT gen_id, dataset, label, {_EXTRACT} AS x FROM raw_ge
 gen_s AS (SELECT gen_id, dataset, label, {_STRIPPED} AS y FROM gen_x),
 synthetic AS (
   SELECT gen_id, dataset, label,
-         CASE WHEN right(y, 1) IN ({_ENDS}) THEN y ELSE concat(y, '.') END AS text
+         CASE WHEN right(y, 1) IN ({_ENDS}) THEN y ELSE concat(y, '.') END AS text, y AS post
   FROM gen_s WHERE {S.word_count('y')} >= 3)"""
 
 _BASE = [S.POSTS, PREPROCESSED, SPLIT]
@@ -255,7 +255,7 @@ ORACLE = {
              ELSE prompt END AS prompt
         FROM prompt_table, (VALUES {", ".join(f"({S.q(g)}, {S.q(m)})" for g, m in pr.GENERATOR_MODELS)}) m(generator, model_id)""",
     "gen_extract_post": _W(S.POSTS, S.RAW_GEN) + f"SELECT gen_id, {_EXTRACT} AS post FROM raw_gen",
-    "gen_postprocess": _W(S.POSTS, S.RAW_GEN, SYNTH) + "SELECT * FROM synthetic",
+    "gen_postprocess": _W(S.POSTS, S.RAW_GEN, SYNTH) + "SELECT gen_id, dataset, label, text FROM synthetic",
     "gen_label_join": _W(S.POSTS, S.RAW_GEN, SYNTH) + "SELECT gen_id, dataset, label, text FROM synthetic",
     "yield_pivot": _W(S.POSTS, S.RAW_GEN, SYNTH) + "SELECT label, " + ", ".join(
         f"CAST(count(*) FILTER (WHERE dataset = '{d}') AS BIGINT) AS {d}" for d in DATASETS)
