@@ -8,6 +8,7 @@ _GROUPS = [
     "textloom.plans.prep_queries",
     "textloom.plans.gen_queries",
     "textloom.plans.audit_queries",
+    "textloom.plans.metric_queries",
 ]
 
 
