@@ -9,6 +9,7 @@ _GROUPS = [
     "textloom.plans.gen_queries",
     "textloom.plans.audit_queries",
     "textloom.plans.metric_queries",
+    "textloom.plans.model_queries",
 ]
 
 
