@@ -17,6 +17,15 @@ WS_CHARS = (r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
 WS = f"[{WS_CHARS}]"
 # URL: http(s)://... or www.... up to whitespace or one of < > " ) ]
 URL_PATTERN = rf'https?://[^{WS_CHARS}<>")\]]+|www\.[^{WS_CHARS}<>")\]]+'
+# -----------------------------------------------------------------------------
+# The same classes for Java regex (Spark). ``\p{IsWhite_Space}`` plus U+001C..U+001F
+# is exactly the list above (checked on every BMP code point) and is ~3x faster
+# in Java than the spelled-out list. The list above is kept for RE2 (the oracle).
+WS_J_CHARS = r"\x1c-\x1f\p{IsWhite_Space}"
+WS_J = f"[{WS_J_CHARS}]"
+NON_WS_J = f"[^{WS_J_CHARS}]"
+URL_J = rf'https?://[^{WS_J_CHARS}<>")\]]+|www\.[^{WS_J_CHARS}<>")\]]+'
+# ---- fixed values (continued) ------------------------------------------------
 # mention: @ followed by word characters (Python \w = letters, digits, underscore)
 MENTION_PATTERN = r"@[\p{L}\p{N}_]+"
 URL_MARK = " <URL> "
@@ -30,16 +39,16 @@ RESIDUE_TOKENS = ("User:", "Assistant:", "[INST]", "[/INST]")
 
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()``."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.regexp_replace(c, rf"^{WS_J}++|{WS_J}++\z", "")
 
 
 def strip_chars(c: Column, char_class: str) -> Column:
     """Python ``str.strip(chars)`` for a regex character class."""
-    return F.regexp_replace(c, rf"^{char_class}+|{char_class}+\z", "")
+    return F.regexp_replace(c, rf"^{char_class}++|{char_class}++\z", "")
 
 
 def mask_urls(c: Column) -> Column:
-    return F.regexp_replace(c, URL_PATTERN, URL_MARK)
+    return F.regexp_replace(c, URL_J, URL_MARK)
 
 
 def mask_mentions(c: Column) -> Column:
@@ -48,7 +57,7 @@ def mask_mentions(c: Column) -> Column:
 
 def collapse_ws(c: Column) -> Column:
     """Collapse whitespace runs to one space and trim (``' '.join(s.split())``)."""
-    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(c, f"{WS_J}+", " "))
 
 
 def clean_text(c: Column, newline_as_space: bool = False) -> Column:
@@ -57,10 +66,9 @@ def clean_text(c: Column, newline_as_space: bool = False) -> Column:
     Masking runs before lower-casing, so the marks end up as ``<url>`` / ``<user>``.
     """
     s = c.cast("string")
-    if newline_as_space:
-        s = F.translate(s, "\n\t", "  ")
-    else:
-        s = F.translate(s, "\n\t", "")
+    # two literal replaces: several times faster than translate() on long texts
+    gap = F.lit(" " if newline_as_space else "")
+    s = F.replace(F.replace(s, F.lit("\n"), gap), F.lit("\t"), gap)
     s = mask_mentions(mask_urls(s))
     return collapse_ws(F.lower(s))
 
@@ -82,6 +90,16 @@ def word_count(c: Column) -> Column:
         F.size(F.split(s, " ")).cast("bigint"))
 
 
+def has_words(c: Column, n: int) -> Column:
+    """``len(s.split()) >= n`` without splitting: one anchored, possessive scan of the first n words."""
+    return c.rlike(f"^{WS_J}*+(?:{NON_WS_J}++{WS_J}++){{{n - 1}}}{NON_WS_J}")
+
+
+def has_text(c: Column) -> Column:
+    """At least one non-whitespace character."""
+    return c.rlike(NON_WS_J)
+
+
 def seeded_hash(seed, *cols: Column) -> Column:
     """Deterministic 60-bit hash of ``seed|c1|c2...`` (md5 prefix), same value in DuckDB.
 

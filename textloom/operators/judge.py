@@ -110,13 +110,9 @@ def judge_prompts(texts: DataFrame) -> DataFrame:
 
 
 def with_rule_verdicts(batched: DataFrame, post_col: str = "post", text_col: str = "text") -> DataFrame:
-    has_pii, types, details = rules.pii_columns(F.col(text_col))
-    reason = rules.completeness_reason(F.col(post_col))
-    return (batched.withColumn("reason", reason)
-                   .withColumn("is_complete", F.col("reason") == "ok")
-                   .withColumn("has_pii", has_pii)
-                   .withColumn("pii_types", types)
-                   .withColumn("pii_details", details))
+    v = batched.withColumn("reason", rules.completeness_reason(F.col(post_col)))
+    v = v.withColumn("is_complete", F.col("reason") == "ok")
+    return rules.with_pii(v, text_col)
 
 
 def clean_responses(verdicts: DataFrame) -> DataFrame:

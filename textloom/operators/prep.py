@@ -48,7 +48,10 @@ def preprocess(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     One shuffle (the de-duplication); everything before it is one codegen'd stage.
     """
     df = drop_null_posts(df)
+    # text_clean is empty exactly when the text has no non-whitespace character (masks
+    # and lower-casing never turn such a character into whitespace); testing the raw
+    # text keeps the cleaning chain out of the pushed-down filter.
+    df = df.filter(tx.has_text(F.col("text")))
     df = with_clean_text(df, cfg=cfg)
-    df = df.filter(F.length("text_clean") > 0)
     df = with_lengths(df)
     return dedup_first(df, ["text_clean", "label"], "doc_id")

@@ -52,14 +52,14 @@ assert re.compile(PHONE_J) and re.compile(ADDRESS_J) and re.compile(NAME_J)
 def completeness_reason(post: Column) -> Column:
     """First failing rule (too_short, only_markup, garbled, abrupt_end) or ``ok``.
 
-    Applied to the post before a final period is appended.
+    Applied to the post before a final period is appended. Pass a column reference:
+    the post is used by several rules and must be computed once, upstream.
     """
-    words = tx.word_count(post)
     markup_left = tx.strip_ws(F.regexp_replace(post, MARKUP_PATTERN, ""))
     letters = F.length(F.regexp_replace(post, r"[^\p{L}]", ""))
-    non_ws = F.length(F.regexp_replace(post, tx.WS, ""))
+    non_ws = F.length(F.regexp_replace(post, tx.WS_J, ""))
     ends = F.substring(post, -1, 1).isin(*tx.POST_END_CHARS)
-    return (F.when(words < 3, "too_short")
+    return (F.when(~tx.has_words(post, 3), "too_short")
              .when(F.length(markup_left) == 0, "only_markup")
              .when(letters * 2 < non_ws, "garbled")
              .when(~ends, "abrupt_end")
@@ -84,3 +84,17 @@ def pii_columns(text: Column):
         F.when(F.size(addrs) > 0, F.lit("address"))), lambda x: x.isNotNull())
     details = F.array_join(F.concat(names, phones, addrs), "; ")
     return (F.size(types) > 0), types, details
+
+
+def with_pii(df, text_col: str = "text"):
+    """Adds ``has_pii``, ``pii_types``, ``pii_details``; each pattern is matched once per row
+    (the match arrays are materialised in one projection, then combined in the next)."""
+    names, phones, addrs = pii_matches(F.col(text_col))
+    m = df.withColumn("_n", names).withColumn("_ph", phones).withColumn("_ad", addrs)
+    types = F.filter(F.array(
+        F.when(F.size("_n") > 0, F.lit("name")),
+        F.when(F.size("_ph") > 0, F.lit("phone")),
+        F.when(F.size("_ad") > 0, F.lit("address"))), lambda x: x.isNotNull())
+    m = m.withColumn("pii_types", types) \
+         .withColumn("pii_details", F.array_join(F.concat("_n", "_ph", "_ad"), "; "))
+    return m.withColumn("has_pii", F.size("pii_types") > 0).drop("_n", "_ph", "_ad")

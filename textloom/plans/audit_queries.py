@@ -57,15 +57,14 @@ _RATE_COLS = ["completeness_rate", "incompleteness_rate", "pii_rate", "clean_rat
 def q_completeness_rules(spark, sf):
     r = tb.raw_gen(spark, sf)
     post = gen.strip_post(gen.remove_residue(gen.extract_post(F.col("raw_text"))))
-    reason = rules.completeness_reason(post)
-    return r.select("gen_id", reason.alias("reason"), (reason == "ok").alias("is_complete"))
+    p = r.select("gen_id", post.alias("post"))
+    v = p.select("gen_id", rules.completeness_reason(F.col("post")).alias("reason"))
+    return v.withColumn("is_complete", F.col("reason") == "ok")
 
 
 def q_pii_rules(spark, sf):
-    d = tb.table(spark, sf, "documents")
-    has, types, details = rules.pii_columns(F.col("text"))
-    return d.select("doc_id", has.alias("has_pii"), F.array_join(types, ", ").alias("pii_types"),
-                    details.alias("pii_details"))
+    d = rules.with_pii(tb.table(spark, sf, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "has_pii", F.array_join("pii_types", ", ").alias("pii_types"), "pii_details")
 
 
 def q_judge_batches(spark, sf):

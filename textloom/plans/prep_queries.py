@@ -38,8 +38,8 @@ def q_mask_mentions(spark, sf):
 
 
 def q_text_lengths(spark, sf):
-    d = prep.with_clean_text(tb.table(spark, sf, "documents").select("doc_id", "text"))
-    d = d.filter(F.length("text_clean") > 0)
+    d = tb.table(spark, sf, "documents").select("doc_id", "text").filter(tx.has_text(F.col("text")))
+    d = prep.with_clean_text(d)
     return prep.with_lengths(d).select("doc_id", "char_len", "word_len")
 
 

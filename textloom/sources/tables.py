@@ -33,11 +33,32 @@ SCHEMAS = {
 N_CLASSES = 10   # logits view: first 10 embedding entries are the class scores
 
 
+SPREAD = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id",
+          "embeddings": "vec_id"}   # text / vector tables whose rows are costly to process
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan over all cores when it has fewer splits than the session's parallelism.
+
+    A single small file (one row group) is read by one task; the per-row text work
+    after it would then run on one core. Large inputs already have at least as many
+    splits as cores and are returned unchanged (no extra shuffle at scale).
+    """
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            return df.repartition(target, key)
+    except Exception:  # noqa: BLE001 - e.g. no RDD access in a remote session
+        pass
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     schema = SCHEMAS.get(name)
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(path)
+    df = reader.parquet(path)
+    return spread(df, SPREAD[name]) if name in SPREAD else df
 
 
 def severity_label(quality, toxic):
