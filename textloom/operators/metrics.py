@@ -32,6 +32,22 @@ def log_sum_exp(l: Column) -> Column:
     return m + F.log(F.aggregate(F.transform(l, lambda x: F.exp(x - m)), F.lit(0.0), lambda a, x: a + x))
 
 
+def class_probs(df: DataFrame, cols) -> DataFrame:
+    """Long form ``cols.., label_id, cls, prob`` of the row-wise softmax.
+
+    Staged through columns so that every exp and the row sum are computed once
+    (a sum inside the element lambda would be re-evaluated for every element), and
+    exploded with ``posexplode_outer`` (arrays are never empty) so that no inferred
+    filter re-evaluates the chain.
+    """
+    cols = list(cols)
+    d = df.select(*cols, "label_id", "l", F.array_max("l").alias("_m"))
+    d = d.select(*cols, "label_id", F.transform("l", lambda x: F.exp(x - F.col("_m"))).alias("_e"))
+    d = d.select(*cols, "label_id", "_e", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x).alias("_s"))
+    d = d.select(*cols, "label_id", "_s", F.posexplode_outer("_e").alias("cls", "_x"))
+    return d.select(*cols, "label_id", "cls", (F.col("_x") / F.col("_s")).alias("prob"))
+
+
 def one_hot(label_id: Column, n_classes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)),
                        lambda c: (c == label_id).cast("int"))
@@ -103,31 +119,34 @@ def report(pc: DataFrame, keys) -> DataFrame:
 def roc_auc_ovr(scored: DataFrame, keys, n_classes: int) -> DataFrame:
     """Per-class one-vs-rest ROC AUC on softmax probabilities (ties count one half).
 
-    1. explode classes and pre-aggregate to (class, score) -> positives, negatives;
-    2. bucket scores (AUC_BUCKETS per class), count negatives per bucket, and take the
-       running negatives below each bucket on that small table;
-    3. inside a bucket, negatives below a score come from a window over the bucket only.
-    No task ever sorts all scores of a class. AUC = sum pos * (neg_below + neg_equal / 2) / (P * N);
+    U = sum over positives of (negatives below + negatives tied / 2), split by score
+    bucket (AUC_BUCKETS per class):
+    1. pre-aggregate to (class, score) -> positives, negatives (map-side combined);
+    2. within a bucket: a window over the bucket only gives the negatives below each score;
+    3. per bucket (same partitioning, no shuffle): totals and the within-bucket part of U;
+    4. across buckets: a window over the small bucket table gives negatives in lower buckets.
+    No task sorts all scores of a class, and no step needs a join. AUC = U / (P * N);
     a class without positives or negatives gets NaN.
     """
-    p = scored.select(*keys, "label_id", softmax(F.col("l")).alias("p"))
-    e = p.select(*keys, "label_id", F.posexplode("p").alias("cls", "score"))
-    agg = e.groupBy(*keys, "cls", "score").agg(
+    keys = list(keys)
+    ck = [*keys, "cls"]
+    p = class_probs(scored, keys)
+    agg = p.groupBy(*ck, F.col("prob").alias("score")).agg(
         F.sum((F.col("label_id") == F.col("cls")).cast("long")).alias("pos"),
         F.sum((F.col("label_id") != F.col("cls")).cast("long")).alias("neg"))
     agg = agg.withColumn("b", F.floor(F.col("score") * AUC_BUCKETS).cast("long"))
-    ck = [*keys, "cls"]
-    buckets = agg.groupBy(*ck, "b").agg(F.sum("neg").alias("bneg"))
-    w_b = Window.partitionBy(*ck).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.select(*ck, "b", F.coalesce(F.sum("bneg").over(w_b), F.lit(0)).alias("off"))
     w_in = Window.partitionBy(*ck, "b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    inner = agg.withColumn("below_in", F.coalesce(F.sum("neg").over(w_in), F.lit(0)))
-    j = inner.join(offsets, [*ck, "b"])
-    contrib = F.col("pos") * (F.col("off") + F.col("below_in") + F.col("neg") / 2.0)
-    per = j.groupBy(*ck).agg(F.sum(contrib).alias("u"), F.sum("pos").alias("P"),
-                             F.sum("neg").alias("N"))
+    inner = agg.withColumn("below", F.coalesce(F.sum("neg").over(w_in), F.lit(0)))
+    within = F.col("pos").cast("double") * (F.col("below").cast("double") + F.col("neg") / 2.0)
+    bk = inner.groupBy(*ck, "b").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"),
+                                     F.sum(within).alias("bu"))
+    w_b = Window.partitionBy(*ck).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    bk = bk.withColumn("below_b", F.coalesce(F.sum("bneg").over(w_b), F.lit(0)))
+    cross = F.col("bpos").cast("double") * F.col("below_b").cast("double")
+    per = bk.groupBy(*ck).agg(F.sum(F.col("bu") + cross).alias("u"), F.sum("bpos").alias("P"),
+                              F.sum("bneg").alias("N"))
     return per.select(*ck, F.when((F.col("P") > 0) & (F.col("N") > 0),
-                                  F.col("u") / (F.col("P") * F.col("N")))
+                                  F.col("u") / (F.col("P").cast("double") * F.col("N").cast("double")))
                       .otherwise(F.lit(float("nan"))).alias("auc"))
 
 
@@ -138,8 +157,11 @@ def macro_auc(per_class_auc: DataFrame, keys) -> DataFrame:
 
 def loss_and_steps(scored: DataFrame, keys, batch: int) -> DataFrame:
     """Mean cross-entropy (logsumexp(l) - l[label]), rows and ceil(rows / batch) steps, one pass."""
-    ce = log_sum_exp(F.col("l")) - F.element_at(F.col("l"), F.col("label_id") + 1)
-    g = scored.groupBy(*keys).agg(F.avg(ce).alias("loss"), F.count(F.lit(1)).alias("n_rows"))
+    d = scored.select(*keys, "label_id", "l", F.array_max("l").alias("_m"))
+    lse = F.col("_m") + F.log(F.aggregate(F.transform("l", lambda x: F.exp(x - F.col("_m"))),
+                                          F.lit(0.0), lambda a, x: a + x))
+    ce = lse - F.element_at(F.col("l"), F.col("label_id") + 1)
+    g = d.groupBy(*keys).agg(F.avg(ce).alias("loss"), F.count(F.lit(1)).alias("n_rows"))
     return g.withColumn("steps", F.ceil(F.col("n_rows") / batch).cast("bigint"))
 
 

@@ -31,35 +31,40 @@ def run_grid(cfg: Config = DEFAULT):
     return rows
 
 
+def _sql_str(v) -> str:
+    return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+
+
 def scored_runs(embeddings: DataFrame, cfg: Config = DEFAULT, epochs=(1,)) -> DataFrame:
     """Every run (x classifier x epoch) scores every embedding row.
 
     A run's 10 class scores are a window of the 64 embedding entries, starting at
-    1 + run index (+ 5 per extra epoch). The grid is a literal array exploded per row.
+    1 + run index (+ 5 per extra epoch). The grid is a literal array exploded per row,
+    written as one SQL expression (one parse instead of hundreds of literal calls).
     """
     items, idx = [], 0
     for name, t, g, m in run_grid(cfg):
         for c in CLASSIFIERS:
             for e in epochs:
-                items.append(F.struct(F.lit(name).alias("run_name"), F.lit(c).alias("classifier"),
-                                      F.lit(int(e)).alias("epoch"),
-                                      F.lit(1 + idx + 5 * (int(e) - 1)).alias("offset")))
+                items.append(f"named_struct('run_name', {_sql_str(name)}, 'classifier', {_sql_str(c)}, "
+                             f"'epoch', {int(e)}, 'offset', {1 + idx + 5 * (int(e) - 1)})")
             idx += 1
     e = embeddings.select("vec_id", F.col("label").alias("label_id"), "embedding",
-                          F.explode(F.array(*items)).alias("r"))
-    l = F.transform(F.slice("embedding", F.col("r.offset"), N_CLASSES), lambda x: x.cast("double"))
+                          F.expr(f"explode(array({', '.join(items)}))").alias("r"))
+    l = F.expr(f"transform(slice(embedding, r.offset, {N_CLASSES}), x -> CAST(x AS DOUBLE))")
     return e.select("r.run_name", "r.classifier", "r.epoch", "vec_id", "label_id", l.alias("l"))
 
 
 def run_attributes(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """temp, generator, mode of each run_name (literal lookup, no join)."""
     grid = run_grid(cfg)
+
     def lookup(i, typ):
-        m = F.create_map(*[x for r in grid for x in (F.lit(r[0]), F.lit(r[i]).cast(typ))])
-        return m[F.col("run_name")]
-    return (df.withColumn("temp", lookup(1, "double"))
-              .withColumn("generator", lookup(2, "string"))
-              .withColumn("mode", lookup(3, "string")))
+        pairs = ", ".join(f"{_sql_str(r[0])}, CAST({_sql_str(r[i])} AS {typ})" for r in grid)
+        return F.expr(f"map({pairs})[run_name]")
+    return (df.withColumn("temp", lookup(1, "DOUBLE"))
+              .withColumn("generator", lookup(2, "STRING"))
+              .withColumn("mode", lookup(3, "STRING")))
 
 
 def results_maps(bundle: DataFrame) -> DataFrame:

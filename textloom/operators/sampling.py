@@ -136,6 +136,18 @@ def few_shot_draws(train: DataFrame, label: str, id_col: str, text_col: str,
     """
     ranked = seeded_rank(train.select(label, id_col, text_col), [label], id_col,
                          cfg.prompt_seed, "rank", cfg.rank_bucket_digits)
+    prompts = prompt_keys(train, label, cfg)
+    draws = prompts.withColumn("_d", F.expr(floyd_draw_sql("n_label", "k", cfg.prompt_seed,
+                                                           label, "prompt_no")))
+    picks = draws.select(label, "prompt_no",
+                         F.posexplode("_d").alias("_pos", "rank"))
+    picks = picks.withColumn("example_no", (F.col("_pos") + 1).cast("bigint")).drop("_pos")
+    return (picks.join(ranked, [label, "rank"])
+                 .select(label, "prompt_no", "example_no", id_col, text_col))
+
+
+def prompt_keys(train: DataFrame, label: str, cfg: Config = DEFAULT) -> DataFrame:
+    """One row per prompt: ``label, n_label, k, prompt_no`` (prompts per label as configured)."""
     sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("n_label"))
     if cfg.n_per_label is None:
         w_all = Window.partitionBy()
@@ -144,11 +156,4 @@ def few_shot_draws(train: DataFrame, label: str, id_col: str, text_col: str,
         per = F.lit(int(cfg.n_per_label))
     sizes = sizes.withColumn("n_prompts", per.cast("bigint")) \
                  .withColumn("k", F.least(F.lit(cfg.few_shot_k), F.col("n_label")).cast("bigint"))
-    prompts = expand(sizes, "n_prompts", "prompt_no")
-    draws = prompts.withColumn("_d", F.expr(floyd_draw_sql("n_label", "k", cfg.prompt_seed,
-                                                           label, "prompt_no")))
-    picks = draws.select(label, "prompt_no",
-                         F.posexplode("_d").alias("_pos", "rank"))
-    picks = picks.withColumn("example_no", (F.col("_pos") + 1).cast("bigint")).drop("_pos")
-    return (picks.join(ranked, [label, "rank"])
-                 .select(label, "prompt_no", "example_no", id_col, text_col))
+    return expand(sizes, "n_prompts", "prompt_no")

@@ -11,6 +11,7 @@ from textloom.operators import generation as gen
 from textloom.operators import prep, sampling
 from textloom.plans import sqlparts as S
 from textloom.plans.prep_queries import PREPROCESSED
+from textloom.session import materialize
 from textloom.sources import tables as tb
 
 DATASETS = ("de", "en", "es", "fr")   # pivot columns of the yield report (lang values)
@@ -23,7 +24,9 @@ def synthetic(spark, sf):
 
 
 def split_posts(spark, sf, cfg=DEFAULT):
-    return sampling.stratified_split(prep.preprocess(tb.posts(spark, sf), cfg), "label", "doc_id", cfg)
+    """Prepared posts with their split, written once (the train/val/test hand-off)."""
+    pre = materialize(prep.preprocess(tb.posts(spark, sf), cfg))
+    return materialize(sampling.stratified_split(pre, "label", "doc_id", cfg))
 
 
 def train_rows(spark, sf, cfg=DEFAULT):
@@ -37,9 +40,10 @@ def draws(spark, sf, cfg=DEFAULT):
 
 def prompt_table(spark, sf, cfg=DEFAULT):
     """Both modes: zero-shot prompts repeated per prompt number, few-shot prompts per draw."""
-    d = draws(spark, sf, cfg)
+    train = train_rows(spark, sf, cfg)
+    d = sampling.few_shot_draws(train, "label", "doc_id", "text", cfg)
     few = gen.few_shot_prompts(d).withColumn("mode", F.lit("few-shot"))
-    zero_keys = d.select("label", "prompt_no").distinct()
+    zero_keys = sampling.prompt_keys(train, "label", cfg).select("label", "prompt_no")
     zero = zero_keys.withColumn("prompt", pr.zero_shot(F.col("label"))) \
                     .withColumn("mode", F.lit("zero-shot"))
     cols = ["mode", "label", "prompt_no", "prompt"]

@@ -43,7 +43,7 @@ def q_argmax_pred(spark, sf):
 
 
 def q_softmax_probs(spark, sf):
-    p = tb.logits(spark, sf).select("vec_id", F.posexplode(M.softmax(F.col("l"))).alias("cls", "prob"))
+    p = M.class_probs(tb.logits(spark, sf), ["vec_id"]).select("vec_id", "cls", "prob")
     return _r6(p, ["prob"])
 
 

@@ -52,3 +52,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root for written intermediate tables."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Reliable checkpoint to the shared checkpoint folder (never a local checkpoint).
+
+    Used at the pipeline's hand-off points (prepared posts, split table, audit
+    sample): the lineage is cut, and every later branch reads the written table
+    instead of recomputing the text work; a lost executor re-reads, not recomputes.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
