@@ -13,22 +13,17 @@ from textloom.config import DEFAULT, Config
 from textloom.functions.text import hash_sql, seeded_hash
 
 
-def seeded_rank(df: DataFrame, strata, id_col: str, seed, out: str = "rn",
-                digits: int = 3) -> DataFrame:
-    """Dense 1-based rank inside each stratum, ordered by ``(hash(seed|id), id)``.
-
-    Equal to ``row_number() over (partition by strata order by h, id)`` but a stratum
-    holding a third of all rows is not sorted by one task: rows are spread over
-    ``16**digits`` hash buckets per stratum, counted per bucket, and each row's
-    rank is the bucket's running offset plus its position inside the bucket. The
-    bucket table has at most strata x 4096 rows; the join back to it is
-    broadcast by AQE only when its measured size is under the threshold.
-    """
-    strata = list(strata)
+def bucket_counts(df: DataFrame, strata, id_col: str, seed, digits: int = 3):
+    """Rows with their hash ``_h`` and bucket ``_b``, and the small count table per (strata, bucket)."""
     shift = 60 - 4 * digits
     h = df.withColumn("_h", seeded_hash(seed, F.col(id_col))) \
           .withColumn("_b", F.shiftright(F.col("_h"), shift))
     counts = h.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    return h, counts
+
+
+def rank_in_buckets(h: DataFrame, counts: DataFrame, strata, id_col: str, out: str = "rn") -> DataFrame:
+    """Rank = running count of the lower buckets (window on the small table) + row number in the bucket."""
     w_off = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*strata, "_b",
                             F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
@@ -39,6 +34,22 @@ def seeded_rank(df: DataFrame, strata, id_col: str, seed, out: str = "rn",
                  .drop("_h", "_b", "_r", "_off")
 
 
+def seeded_rank(df: DataFrame, strata, id_col: str, seed, out: str = "rn",
+                digits: int = 3) -> DataFrame:
+    """Dense 1-based rank inside each stratum, ordered by ``(hash(seed|id), id)``.
+
+    Equal to ``row_number() over (partition by strata order by h, id)`` but a stratum
+    holding a third of all rows is not sorted by one task: rows are spread over
+    ``16**digits`` hash buckets per stratum, counted per bucket, and each row's
+    rank is the bucket's running offset plus its position inside the bucket. The
+    bucket table has at most strata x 4096 rows; the join back to it is
+    broadcast by AQE only when its measured size is under the threshold.
+    """
+    strata = list(strata)
+    h, counts = bucket_counts(df, strata, id_col, seed, digits)
+    return rank_in_buckets(h, counts, strata, id_col, out)
+
+
 def sample_n(df: DataFrame, strata, id_col: str, n: int, seed, out: str = "rn") -> DataFrame:
     """Seeded sample of exactly ``min(n, rows)`` rows per stratum, numbered 1..n in sample order.
 
@@ -72,9 +83,14 @@ def largest_remainder(counts: DataFrame, key: str, n_col: str, total_draw_col: s
     return c.drop("_N", "_num", "_base", "_rem", "_left", "_pos")
 
 
-def split_quotas(df: DataFrame, label: str, cfg: Config = DEFAULT) -> DataFrame:
-    """Train and validation quotas per label for the two stratified splits."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
+def split_quotas(df: DataFrame, label: str, cfg: Config = DEFAULT, counts: DataFrame = None) -> DataFrame:
+    """Train and validation quotas per label for the two stratified splits.
+
+    ``counts`` (one row per label, column ``n_c``) may come from an existing small
+    count table; otherwise the labels of ``df`` are counted.
+    """
+    if counts is None:
+        counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
     w_all = Window.partitionBy()
     n = F.sum("n_c").over(w_all)
     counts = counts.withColumn("_train_draw", n - F.ceil(F.lit(float(cfg.test_size)) * n))
@@ -90,10 +106,13 @@ def stratified_split(df: DataFrame, label: str, id_col: str, cfg: Config = DEFAU
     """Adds ``split`` in train/val/test: exact per-label quotas (test 20 %, then val/test 50/50).
 
     A row is train when its seeded rank in its label is within the train quota, val when
-    its rank among the rest is within the val quota, else test.
+    its rank among the rest is within the val quota, else test. The label sizes for the
+    quotas come from the small bucket-count table of the rank (no extra pass over the rows).
     """
-    ranked = seeded_rank(df, [label], id_col, cfg.split_seed, "_rank", cfg.rank_bucket_digits)
-    quotas = split_quotas(df, label, cfg).select(label, "q_train", "q_val")
+    h, counts = bucket_counts(df, [label], id_col, cfg.split_seed, cfg.rank_bucket_digits)
+    ranked = rank_in_buckets(h, counts, [label], id_col, "_rank")
+    sizes = counts.groupBy(label).agg(F.sum("_n").alias("n_c"))
+    quotas = split_quotas(df, label, cfg, sizes).select(label, "q_train", "q_val")
     j = ranked.join(quotas, label)
     split = (F.when(F.col("_rank") <= F.col("q_train"), "train")
               .when(F.col("_rank") - F.col("q_train") <= F.col("q_val"), "val")
@@ -134,9 +153,10 @@ def few_shot_draws(train: DataFrame, label: str, id_col: str, text_col: str,
     Ranks are drawn with Floyd's algorithm on a per-prompt hash, then resolved to
     rows with one equi-join on (label, rank); no per-prompt scan of the table.
     """
-    ranked = seeded_rank(train.select(label, id_col, text_col), [label], id_col,
-                         cfg.prompt_seed, "rank", cfg.rank_bucket_digits)
-    prompts = prompt_keys(train, label, cfg)
+    h, counts = bucket_counts(train.select(label, id_col, text_col), [label], id_col,
+                              cfg.prompt_seed, cfg.rank_bucket_digits)
+    ranked = rank_in_buckets(h, counts, [label], id_col, "rank")
+    prompts = prompt_keys(train, label, cfg, counts.groupBy(label).agg(F.sum("_n").alias("n_label")))
     draws = prompts.withColumn("_d", F.expr(floyd_draw_sql("n_label", "k", cfg.prompt_seed,
                                                            label, "prompt_no")))
     picks = draws.select(label, "prompt_no",
@@ -146,9 +166,10 @@ def few_shot_draws(train: DataFrame, label: str, id_col: str, text_col: str,
                  .select(label, "prompt_no", "example_no", id_col, text_col))
 
 
-def prompt_keys(train: DataFrame, label: str, cfg: Config = DEFAULT) -> DataFrame:
+def prompt_keys(train: DataFrame, label: str, cfg: Config = DEFAULT, sizes: DataFrame = None) -> DataFrame:
     """One row per prompt: ``label, n_label, k, prompt_no`` (prompts per label as configured)."""
-    sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("n_label"))
+    if sizes is None:
+        sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("n_label"))
     if cfg.n_per_label is None:
         w_all = Window.partitionBy()
         per = F.ceil(F.sum("n_label").over(w_all) / F.count(F.lit(1)).over(w_all))

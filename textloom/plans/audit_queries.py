@@ -11,7 +11,7 @@ from textloom.operators import generation as gen
 from textloom.operators import judge, report, rules, sampling
 from textloom.plans import sqlparts as S
 from textloom.plans.gen_queries import SYNTH
-from textloom.session import checkpoint_root, scratch_path
+from textloom.session import materialize, scratch_path
 from textloom.sources import tables as tb
 
 
@@ -19,15 +19,14 @@ from textloom.sources import tables as tb
 def audit_inputs(spark, sf, cfg=DEFAULT):
     """Post-processed generations and their numbered audit sample.
 
-    The sample (at most 500 rows per dataset) is checkpointed to the shared folder:
-    it feeds both the verdict branch and the alignment, and must not be recomputed
-    from the full table for each of them.
+    The post-processed table is written once (the synthetic-dataset hand-off): the
+    sample and the per-dataset totals both read it instead of re-running the regex
+    chain. The sample (at most 500 rows per dataset) is written too: it feeds both the
+    verdict branch and the alignment.
     """
-    syn = gen.postprocess(tb.raw_gen(spark, sf), keep_post=True)
+    syn = materialize(gen.postprocess(tb.raw_gen(spark, sf), keep_post=True))
     sample = sampling.sample_n(syn, ["dataset"], "gen_id", cfg.judge_sample, cfg.judge_seed, "rn")
-    batched = judge.batches(sample, cfg)
-    checkpoint_root(spark)
-    return syn, batched.checkpoint(eager=True)
+    return syn, materialize(judge.batches(sample, cfg))
 
 
 def audit_chain(spark, sf, cfg=DEFAULT):
