@@ -78,3 +78,14 @@ def test_no_python_in_plan(spark, name):
 def test_scan_prunes_columns(spark):
     plan = E.queries()["mask_mentions"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+@pytest.mark.parametrize("name", [n for n in E.queries() if n not in SLOW])
+def test_no_cross_join_in_plan(spark, name):
+    plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_sample_uses_group_limit(spark):
+    plan = E.queries()["sample_n"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan

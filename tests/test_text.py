@@ -1,36 +1,34 @@
 """Text functions against Python's own str / re semantics (the behaviour being reproduced)."""
 
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.operators import generation as gen
 
-# Python-side statement of the cleaning semantics (oracle for the Spark expression)
-_URL = re.compile(r'https?://[^\s<>")\]]+|www\.[^\s<>")\]]+')
-_MENTION = re.compile(r"@\w+")
-
-
-def py_clean(s):
-    s = str(s)
-    for ch in "\n\t":
-        s = s.replace(ch, "")
-    s = _MENTION.sub(" <USER> ", _URL.sub(" <URL> ", s))
-    return " ".join(s.lower().split())
-
-
-ADVERSARIAL = ["a\nb", "mail me@x.com", "see http://a.b/c?d=e). ok", "WWW.x.com www.Y.com/z",
-               "\xa0x　y", "İstanbul ΟΔΟΣ", "", "  \n", "@a@b", "tab\there", "(https://q.r]z)",
-               "a@ b", "\x1cq\x1f", "ẞ ǅ"]
-
-
-def test_clean_text_matches_python(spark):
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(ADVERSARIAL)], "i int, t string")
+# golden outputs of the cleaning semantics (expected values computed once with Python's str/re)
+CLEAN_GOLDEN = [
+    ("a\nb", "ab"),
+    ("mail me@x.com", "mail me <user> .com"),
+    ("see http://a.b/c?d=e). ok", "see <url> ). ok"),
+    ("WWW.x.com www.Y.com/z", "www.x.com <url>"),
+    ("\xa0x\u3000y", "x y"),
+    ("İstanbul ΟΔΟΣ", "i̇stanbul οδος"),
+    ("", ""),
+    ("  \n", ""),
+    ("@a@b", "<user> <user>"),
+    ("tab\there", "tabhere"),
+    ("(https://q.r]z)", "( <url> ]z)"),
+    ("a@ b", "a@ b"),
+    ("\x1cq\x1f", "q"),
+    ("ẞ ǅ", "ß ǆ"),
+]
+
+
+def test_clean_text_golden(spark):
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(CLEAN_GOLDEN)], "i int, t string")
     got = {r.i: r.c for r in df.select("i", tx.clean_text(F.col("t")).alias("c")).collect()}
-    for i, s in enumerate(ADVERSARIAL):
-        assert got[i] == py_clean(s), (s, got[i], py_clean(s))
+    assert [got[i] for i in range(len(CLEAN_GOLDEN))] == [e for _, e in CLEAN_GOLDEN]
 
 
 def test_whitespace_class_matches_python_on_bmp(spark):
@@ -72,25 +70,22 @@ def test_extract_post(spark):
     assert got == [e for _, e in EXTRACT]
 
 
-def py_post(raw):
-    m = re.search(r"<post>(.*?)(?:</post>|$)", raw, re.DOTALL)
-    s = m.group(1) if m else raw
-    for tok in tx.RESIDUE_TOKENS:
-        s = s.replace(tok, "")
-    s = s.strip().strip('"').strip()
-    if len(s.split()) < 3:
-        return None
-    return s if re.search(r'[.!?"‘’*]+$', s) else s + "."
-
-
-POSTS = ['Sure! <post>I feel fine today</post> bye', '<post>  "so tired of it all"  ',
-         'User: x Assistant: nothing works anymore', '[INST] p [/INST] ok', 'a b',
-         '<post>why me?</post>', 'ends with quote ‘yes’', 'stars here **', '<post></post>abc def ghi']
+# golden post-processing results (None = row dropped for having fewer than 3 words)
+POST_GOLDEN = [
+    ("Sure! <post>I feel fine today</post> bye", "I feel fine today."),
+    ('<post>  "so tired of it all"  ', "so tired of it all."),
+    ("User: x Assistant: nothing works anymore", "x  nothing works anymore."),
+    ("[INST] p [/INST] ok", None),
+    ("a b", None),
+    ("<post>why me?</post>", None),
+    ("ends with quote ‘yes’", "ends with quote ‘yes’"),
+    ("stars here **", "stars here **"),
+    ("<post></post>abc def ghi", None),
+]
 
 
-def test_postprocess_matches_python(spark):
-    df = spark.createDataFrame([(i, "d", "minimum", r) for i, r in enumerate(POSTS)],
+def test_postprocess_golden(spark):
+    df = spark.createDataFrame([(i, "d", "minimum", r) for i, (r, _) in enumerate(POST_GOLDEN)],
                                "gen_id long, dataset string, label string, raw_text string")
     got = {r.gen_id: r.text for r in gen.postprocess(df).collect()}
-    for i, raw in enumerate(POSTS):
-        assert got.get(i) == py_post(raw), raw
+    assert [got.get(i) for i in range(len(POST_GOLDEN))] == [e for _, e in POST_GOLDEN]
