@@ -80,9 +80,18 @@ def label_map(train: DataFrame, col: str = "label") -> DataFrame:
                              (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int"))
 
 
+MAX_BROADCAST_ROWS = 100_000
+
+
 def label_encode(df: DataFrame, lmap: DataFrame, col: str = "label") -> DataFrame:
-    """Label -> id; a label unseen in train gets null."""
-    return df.join(lmap, col, "left")
+    """Label -> id; a label unseen in train gets null.
+
+    The map has one row per class. Its size is checked first (a count over the small
+    aggregated table): up to 100,000 classes it is broadcast, so the rows are never
+    shuffled by label (a hot label would land in one task); beyond, a plain join.
+    """
+    small = lmap.count() <= MAX_BROADCAST_ROWS
+    return df.join(F.broadcast(lmap) if small else lmap, col, "left")
 
 
 def zero_shot_prompts(labels: DataFrame) -> DataFrame:

@@ -22,11 +22,19 @@ def bucket_counts(df: DataFrame, strata, id_col: str, seed, digits: int = 3):
     return h, counts
 
 
-def rank_in_buckets(h: DataFrame, counts: DataFrame, strata, id_col: str, out: str = "rn") -> DataFrame:
-    """Rank = running count of the lower buckets (window on the small table) + row number in the bucket."""
+def rank_in_buckets(h: DataFrame, counts: DataFrame, strata, id_col: str, out: str = "rn",
+                    attach: DataFrame = None) -> DataFrame:
+    """Rank = running count of the lower buckets (window on the small table) + row number in the bucket.
+
+    ``attach`` (one small row per stratum, e.g. split quotas) is joined to the bucket
+    table, not to the rows: the rows then take a single join on (strata, bucket), which
+    reuses the window's partitioning and never gathers a hot stratum in one task.
+    """
     w_off = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*strata, "_b",
                             F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
+    if attach is not None:
+        offsets = offsets.join(attach, list(strata))
     w_in = Window.partitionBy(*strata, "_b").orderBy("_h", id_col)
     ranked = h.withColumn("_r", F.row_number().over(w_in))
     out_df = ranked.join(offsets, [*strata, "_b"])
@@ -110,10 +118,9 @@ def stratified_split(df: DataFrame, label: str, id_col: str, cfg: Config = DEFAU
     quotas come from the small bucket-count table of the rank (no extra pass over the rows).
     """
     h, counts = bucket_counts(df, [label], id_col, cfg.split_seed, cfg.rank_bucket_digits)
-    ranked = rank_in_buckets(h, counts, [label], id_col, "_rank")
     sizes = counts.groupBy(label).agg(F.sum("_n").alias("n_c"))
     quotas = split_quotas(df, label, cfg, sizes).select(label, "q_train", "q_val")
-    j = ranked.join(quotas, label)
+    j = rank_in_buckets(h, counts, [label], id_col, "_rank", attach=quotas)
     split = (F.when(F.col("_rank") <= F.col("q_train"), "train")
               .when(F.col("_rank") - F.col("q_train") <= F.col("q_val"), "val")
               .otherwise("test"))
