@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.config import DEFAULT, Config
 from textloom.operators import metrics as M
+from textloom.operators.generation import MAX_BROADCAST_ROWS
 
 # two feature variants stand in for the two fine-tuned encoders of the original runs
 VARIANTS = (("distilbert", 1), ("mentalbert", 2))   # (classifier name, n-gram length)
@@ -34,10 +35,14 @@ def tfidf_top_terms(docs: DataFrame, k: int = 10, cfg: Config = DEFAULT) -> Data
               .groupBy("doc_id", "label", "term").agg(F.count(F.lit(1)).alias("tf")))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cnt"))
     vocab = stats.orderBy(F.col("cnt").desc(), F.col("term")).limit(cfg.vocab_size).select("term", "df")
-    j = tf.join(vocab, "term").join(n_docs, "label")
-    tfidf = F.col("tf") * F.log((F.col("N") + 1) / (F.col("df") + 1))
-    w = j.groupBy("label", "term").agg(F.sum(tfidf).alias("s"), F.first("n_label").alias("n_label"))
-    score = w.select("label", "term", F.round(F.col("s") / F.col("n_label"), 6).alias("score"))
+    # idf is a function of the term only, so sum the counts per (label, term) first
+    # (combined map-side), then attach the document frequency and the per-label sizes
+    tfsum = tf.groupBy("label", "term").agg(F.sum("tf").alias("tfsum"))
+    small = n_docs.count() <= MAX_BROADCAST_ROWS        # one row per label, size checked
+    j = tfsum.join(vocab, "term").join(F.broadcast(n_docs) if small else n_docs, "label")
+    idf = F.log((F.col("N") + 1) / (F.col("df") + 1))
+    score = j.select("label", "term",
+                     F.round(F.col("tfsum") * idf / F.col("n_label"), 6).alias("score"))
     rank = Window.partitionBy("label").orderBy(F.col("score").desc(), F.col("term"))
     return score.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
