@@ -40,11 +40,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``; set a local one only when unset (tests)."""
     sc = spark.sparkContext
-    root = sc.getCheckpointDir()
-    if not root:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="textloom-ckpt-")
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-ckpt-")
     sc.setCheckpointDir(root)
     # setCheckpointDir adds a per-application sub folder; write next to it
     return sc.getCheckpointDir() or root
