@@ -28,16 +28,30 @@ def tfidf_top_terms(docs: DataFrame, k: int = 10, cfg: Config = DEFAULT) -> Data
     Spark-native TF-IDF (same formula as ``IDF``: ln((N + 1) / (df + 1))), vocabulary
     limited to the ``vocab_size`` most frequent terms like ``CountVectorizer``. All
     steps are aggregations with map-side combining; the top-k uses a group limit.
+
+    Nothing is keyed by document: a document is one row, so its tokens are sorted in
+    the row and a token is the document's first copy of a term when it differs from
+    its left neighbour. One aggregation per (label, term) then yields both the term
+    sum and the document count, so only map-side partials per (label, term) shuffle,
+    never the (document, term) table.
     """
+    docs = docs.filter(F.col("label").isNotNull())    # labelled documents only, as after P1
     n_docs = docs.groupBy("label").agg(F.count(F.lit(1)).alias("n_label")) \
                  .withColumn("N", F.sum("n_label").over(Window.partitionBy()))   # one row per label
-    tf = (docs.select("doc_id", "label", F.explode(F.split("text_clean", " ")).alias("term"))
-              .groupBy("doc_id", "label", "term").agg(F.count(F.lit(1)).alias("tf")))
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cnt"))
+    s = docs.select("label", F.array_sort(F.split("text_clean", " ")).alias("_s"))
+    pairs = F.transform("_s", lambda x, i: F.struct(
+        x.alias("term"), F.when(i == 0, 1).when(F.get(F.col("_s"), i - 1) != x, 1)
+                          .otherwise(0).alias("first")))
+    tfsum = (s.select("label", F.explode(pairs).alias("_p"))
+              .groupBy("label", F.col("_p.term").alias("term"))
+              .agg(F.count(F.lit(1)).alias("tfsum"), F.sum("_p.first").alias("_ndoc")))
+    stats = tfsum.groupBy("term").agg(F.sum("_ndoc").alias("df"), F.sum("tfsum").alias("cnt"))
     vocab = stats.orderBy(F.col("cnt").desc(), F.col("term")).limit(cfg.vocab_size).select("term", "df")
-    # idf is a function of the term only, so sum the counts per (label, term) first
-    # (combined map-side), then attach the document frequency and the per-label sizes
-    tfsum = tf.groupBy("label", "term").agg(F.sum("tf").alias("tfsum"))
+    # idf is a function of the term only: attach it and the per-label sizes to the
+    # (label, term) sums. Every (label, term) row has a first copy (_ndoc >= 1); reading
+    # _ndoc keeps this branch's aggregate equal to the one under ``stats``, so both
+    # branches reuse one exchange and the texts are exploded once.
+    tfsum = tfsum.filter(F.col("_ndoc") > 0).select("label", "term", "tfsum")
     small = n_docs.count() <= MAX_BROADCAST_ROWS        # one row per label, size checked
     j = tfsum.join(vocab, "term").join(F.broadcast(n_docs) if small else n_docs, "label")
     idf = F.log((F.col("N") + 1) / (F.col("df") + 1))
