@@ -89,3 +89,9 @@ def test_no_cross_join_in_plan(spark, name):
 def test_sample_uses_group_limit(spark):
     plan = E.queries()["sample_n"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_roc_auc_range_partitions_scores(spark):
+    """AUC ranks scores by range partitioning (sampled bounds), not by fixed-width buckets."""
+    plan = E.queries()["roc_auc_ovr"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "MapInPandas" in plan

@@ -126,3 +126,53 @@ def test_repartition_does_not_change_preprocess(spark):
     b = sorted(prep.preprocess(df.repartition(7)).collect())
     assert a == b and len(a) == 3
     assert {r.doc_id for r in a} == {0, 2, 3}
+
+
+def _auc_pairs(pos, neg):
+    """Brute-force one-vs-rest AUC: pairs won by a positive, ties count one half."""
+    return sum((1.0 if a > b else 0.5 if a == b else 0.0) for a in pos for b in neg) / (len(pos) * len(neg))
+
+
+def test_roc_auc_narrow_scores_many_partitions(spark):
+    """All scores inside a 1e-9-wide interval (one equal-width bucket), two runs, 16 range partitions."""
+    rnd = random.Random(5)
+    C = 3
+    rows = []
+    for run in ("r1", "r2"):
+        for i in range(400):
+            y = rnd.randrange(C)
+            l = [1e-9 * rnd.random() + (1e-10 if c == y else 0.0) for c in range(C)]
+            if i % 10 == 0:
+                l = [0.0] * C                      # a tied score shared by many rows
+            rows.append((run, i, y, l))
+    df = spark.createDataFrame(rows, "run string, vec_id long, label_id int, l array<double>")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions",
+                                          "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.run, r.cls): r.auc for r in M.roc_auc_ovr(df, ["run"], C).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    p = M.class_probs(df, ["run", "vec_id"]).collect()
+    for run in ("r1", "r2"):
+        for c in range(C):
+            pos = [r.prob for r in p if r.run == run and r.cls == c and r.label_id == c]
+            neg = [r.prob for r in p if r.run == run and r.cls == c and r.label_id != c]
+            assert abs(got[(run, c)] - _auc_pairs(pos, neg)) < 1e-12
+
+
+def test_partition_scan_carries_groups_across_batches():
+    import pandas as pd
+    rnd = random.Random(9)
+    rows = sorted((c, rnd.random(), rnd.randrange(3), rnd.randrange(3)) for c in (0, 1) for _ in range(50))
+    df = pd.DataFrame(rows, columns=["cls", "score", "pos", "neg"])
+    batches = [df.iloc[i:i + 7].reset_index(drop=True) for i in range(0, len(df), 7)]   # groups cut mid-batch
+    out = next(M._partition_u(["cls"])(iter(batches)))
+    assert list(out["cls"]) == [0, 1]
+    for c, r in out.set_index("cls").iterrows():
+        g = df[df.cls == c]
+        u = sum(p * (g.neg[g.score < s].sum() + q / 2.0) for s, p, q in zip(g.score, g.pos, g.neg))
+        assert r.bmin == g.score.min() and r.bpos == g.pos.sum() and r.bneg == g.neg.sum()
+        assert abs(r.bu - u) < 1e-9
