@@ -38,7 +38,7 @@ def tfidf_top_terms(docs: DataFrame, k: int = 10, cfg: Config = DEFAULT) -> Data
     docs = docs.filter(F.col("label").isNotNull())    # labelled documents only, as after P1
     n_docs = docs.groupBy("label").agg(F.count(F.lit(1)).alias("n_label")) \
                  .withColumn("N", F.sum("n_label").over(Window.partitionBy()))   # one row per label
-    s = docs.select("label", F.array_sort(F.split("text_clean", " ")).alias("_s"))
+    s = docs.select("label", F.sort_array(F.split("text_clean", " ")).alias("_s"))
     pairs = F.transform("_s", lambda x, i: F.struct(
         x.alias("term"), F.when(i == 0, 1).when(F.get(F.col("_s"), i - 1) != x, 1)
                           .otherwise(0).alias("first")))
