@@ -64,19 +64,21 @@ def confusion(scored: DataFrame, keys) -> DataFrame:
     return with_pred(scored).groupBy(*keys, "label_id", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-def per_class(conf: DataFrame, keys) -> DataFrame:
+def per_class(conf: DataFrame, keys, carry=()) -> DataFrame:
     """Precision, recall, F1 and support per class; classes = union of true and predicted.
 
-    An undefined ratio (no predictions, no support) is 0.
+    An undefined ratio (no predictions, no support) is 0. ``carry`` names additive
+    columns of ``conf`` summed per true class and kept in the output.
     """
     sides = F.array(F.struct(F.col("label_id").alias("cls"), F.lit(True).alias("is_true")),
                     F.struct(F.col("pred").alias("cls"), F.lit(False).alias("is_true")))
-    e = conf.select(*keys, "n", (F.col("label_id") == F.col("pred")).alias("hit"),
+    e = conf.select(*keys, "n", *carry, (F.col("label_id") == F.col("pred")).alias("hit"),
                     F.explode(sides).alias("s"))
     g = e.groupBy(*keys, F.col("s.cls").alias("cls")).agg(
         F.sum(F.when(F.col("s.is_true"), F.col("n")).otherwise(0)).alias("support"),
         F.sum(F.when(~F.col("s.is_true"), F.col("n")).otherwise(0)).alias("predicted"),
-        F.sum(F.when(F.col("s.is_true") & F.col("hit"), F.col("n")).otherwise(0)).alias("tp"))
+        F.sum(F.when(F.col("s.is_true") & F.col("hit"), F.col("n")).otherwise(0)).alias("tp"),
+        *[F.sum(F.when(F.col("s.is_true"), F.col(c)).otherwise(0)).alias(c) for c in carry])
 
     def ratio(a, b):
         return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -86,7 +88,7 @@ def per_class(conf: DataFrame, keys) -> DataFrame:
              .select(*keys, F.col("cls").cast("int").alias("cls"), "precision", "recall", "f1",
                      F.col("support").cast("bigint").alias("support"),
                      F.col("tp").cast("bigint").alias("tp"),
-                     F.col("predicted").cast("bigint").alias("predicted")))
+                     F.col("predicted").cast("bigint").alias("predicted"), *carry))
 
 
 def macro(pc: DataFrame, keys) -> DataFrame:
@@ -200,19 +202,38 @@ def macro_auc(per_class_auc: DataFrame, keys) -> DataFrame:
     return per_class_auc.groupBy(*keys).agg(F.avg("auc").alias("macro_roc_auc_ovr"))
 
 
+def cross_entropy(l: Column, label_id: Column, m: Column) -> Column:
+    """logsumexp(l) - l[label] with the row maximum ``m`` staged as a column."""
+    lse = m + F.log(F.aggregate(F.transform(l, lambda x: F.exp(x - m)), F.lit(0.0), lambda a, x: a + x))
+    return lse - F.element_at(l, label_id + 1)
+
+
 def loss_and_steps(scored: DataFrame, keys, batch: int) -> DataFrame:
     """Mean cross-entropy (logsumexp(l) - l[label]), rows and ceil(rows / batch) steps, one pass."""
     d = scored.select(*keys, "label_id", "l", F.array_max("l").alias("_m"))
-    lse = F.col("_m") + F.log(F.aggregate(F.transform("l", lambda x: F.exp(x - F.col("_m"))),
-                                          F.lit(0.0), lambda a, x: a + x))
-    ce = lse - F.element_at(F.col("l"), F.col("label_id") + 1)
+    ce = cross_entropy(F.col("l"), F.col("label_id"), F.col("_m"))
     g = d.groupBy(*keys).agg(F.avg(ce).alias("loss"), F.count(F.lit(1)).alias("n_rows"))
     return g.withColumn("steps", F.ceil(F.col("n_rows") / batch).cast("bigint"))
 
 
 def bundle(scored: DataFrame, keys, n_classes: int, batch: int) -> DataFrame:
-    """Macro P/R/F1, macro ROC AUC, loss, rows and steps per run, joined on the run key."""
-    pc = per_class(confusion(scored, keys), keys)
-    out = macro(pc, keys)
-    out = out.join(macro_auc(roc_auc_ovr(scored, keys, n_classes), keys), list(keys))
-    return out.join(loss_and_steps(scored, keys, batch), list(keys))
+    """Macro P/R/F1, macro ROC AUC, loss, rows and steps per run: two passes over the rows.
+
+    Pass 1 aggregates the confusion cells together with their cross-entropy sums; the
+    sums ride along the per-class aggregation, so loss and row count come out of the
+    same per-run aggregate as the macro metrics. Pass 2 is the ROC AUC.
+    """
+    keys = list(keys)
+    d = scored.select(*keys, "label_id", "l", F.array_max("l").alias("_m"))
+    ce = cross_entropy(F.col("l"), F.col("label_id"), F.col("_m"))
+    cells = d.groupBy(*keys, "label_id", argmax(F.col("l")).alias("pred")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(ce).alias("ce_sum"), F.count(ce).alias("ce_n"))
+    pc = per_class(cells, keys, carry=("ce_sum", "ce_n"))
+    out = pc.groupBy(*keys).agg(
+        F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
+        F.avg("f1").alias("macro_f1"), (F.sum("ce_sum") / F.sum("ce_n")).alias("loss"),
+        F.sum("support").alias("n_rows"))
+    out = out.withColumn("steps", F.ceil(F.col("n_rows") / batch).cast("bigint"))
+    out = out.join(macro_auc(roc_auc_ovr(scored, keys, n_classes), keys), keys)
+    return out.select(*keys, "macro_precision", "macro_recall", "macro_f1", "macro_roc_auc_ovr",
+                      "loss", "n_rows", "steps")
