@@ -14,6 +14,7 @@ from textloom.plans import sqlparts as S
 from textloom.plans.gen_queries import SPLIT
 from textloom.plans.gen_queries import split_posts
 from textloom.plans.prep_queries import PREPROCESSED
+from textloom.session import materialize
 from textloom.sources import tables as tb
 
 TOP_TERMS = 10
@@ -30,24 +31,33 @@ def q_tfidf_top_terms(spark, sf):
 
 
 def _splits(spark, sf):
+    """Cached token table and its three splits; the caller unpersists the table."""
     s = ML.with_tokens(split_posts(spark, sf)).select("doc_id", "label", "text_clean", "tokens", "split")
     s = s.persist()
-    return [s.filter(F.col("split") == x) for x in ("train", "val", "test")]
+    return s, [s.filter(F.col("split") == x) for x in ("train", "val", "test")]
+
+
+def _release(out, *cached):
+    """Write the (small) result once, then drop the cached inputs it was computed from."""
+    out = materialize(out)
+    for c in cached:
+        c.unpersist()
+    return out
 
 
 def q_train_eval_classifier(spark, sf):
     """Fit on train, choose the regularisation on val, score test; one row per feature variant."""
-    train, val, test = _splits(spark, sf)
+    s, (train, val, test) = _splits(spark, sf)
     outs = []
     for name, n in ML.VARIANTS:
         m = ML.fit_select(train, val, n)
         outs.append(ML.evaluate(m, test, name, 4))
-    return _r6(reduce(lambda a, b: a.unionByName(b), outs))
+    return _release(_r6(reduce(lambda a, b: a.unionByName(b), outs)), s)
 
 
 def q_utility_sweep(spark, sf):
     """Train on each synthetic dataset, test on the real test split (one fit per dataset)."""
-    _, val, test = _splits(spark, sf)
+    s, (_, val, test) = _splits(spark, sf)
     syn = gen.postprocess(tb.raw_gen(spark, sf))
     syn = ML.with_tokens(prep.with_clean_text(syn)).filter(F.length("text_clean") > 0).persist()
     outs = []
@@ -55,7 +65,7 @@ def q_utility_sweep(spark, sf):
         train = syn.filter(F.col("dataset") == code)
         m = ML.pipeline(1).fit(train)
         outs.append(ML.evaluate(m, test, "distilbert", 4).withColumn("dataset", F.lit(name)))
-    return _r6(reduce(lambda a, b: a.unionByName(b), outs))
+    return _release(_r6(reduce(lambda a, b: a.unionByName(b), outs)), s, syn)
 
 
 QUERIES = {
