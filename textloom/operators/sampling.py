@@ -151,16 +151,18 @@ def expand(df: DataFrame, count_col: str, out: str, chunk: int = 10_000) -> Data
     return chunks.withColumn(out, F.explode(F.sequence(lo, hi))).drop("_c")
 
 
-def few_shot_draws(train: DataFrame, label: str, id_col: str, text_col: str,
+def few_shot_draws(train: DataFrame, label: str, id_col: str, text_col: str | None,
                    cfg: Config = DEFAULT) -> DataFrame:
     """k = min(K, n_label) distinct training rows of the prompt's label, fresh per prompt.
 
-    Returns ``label, prompt_no, example_no, doc_id, text`` (one row per example).
+    Returns ``label, prompt_no, example_no, doc_id[, text]`` (one row per example).
     Prompts per label: ``cfg.n_per_label`` or, when None, ceil(train rows / labels).
     Ranks are drawn with Floyd's algorithm on a per-prompt hash, then resolved to
-    rows with one equi-join on (label, rank); no per-prompt scan of the table.
+    ids with one equi-join on (label, rank); no per-prompt scan of the table. The
+    rank and that join carry ids only: the text (when ``text_col`` is given) is
+    attached last by id, so the training texts are shuffled once.
     """
-    h, counts = bucket_counts(train.select(label, id_col, text_col), [label], id_col,
+    h, counts = bucket_counts(train.select(label, id_col), [label], id_col,
                               cfg.prompt_seed, cfg.rank_bucket_digits)
     ranked = rank_in_buckets(h, counts, [label], id_col, "rank")
     prompts = prompt_keys(train, label, cfg, counts.groupBy(label).agg(F.sum("_n").alias("n_label")))
@@ -169,8 +171,11 @@ def few_shot_draws(train: DataFrame, label: str, id_col: str, text_col: str,
     picks = draws.select(label, "prompt_no",
                          F.posexplode("_d").alias("_pos", "rank"))
     picks = picks.withColumn("example_no", (F.col("_pos") + 1).cast("bigint")).drop("_pos")
-    return (picks.join(ranked, [label, "rank"])
-                 .select(label, "prompt_no", "example_no", id_col, text_col))
+    out = picks.join(ranked, [label, "rank"]).select(label, "prompt_no", "example_no", id_col)
+    if text_col is None:
+        return out
+    return out.join(train.select(id_col, text_col), id_col) \
+              .select(label, "prompt_no", "example_no", id_col, text_col)
 
 
 def prompt_keys(train: DataFrame, label: str, cfg: Config = DEFAULT, sizes: DataFrame = None) -> DataFrame:

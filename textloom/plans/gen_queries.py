@@ -34,8 +34,8 @@ def train_rows(spark, sf, cfg=DEFAULT):
         .select("doc_id", "label", "text")
 
 
-def draws(spark, sf, cfg=DEFAULT):
-    return sampling.few_shot_draws(train_rows(spark, sf, cfg), "label", "doc_id", "text", cfg)
+def draws(spark, sf, cfg=DEFAULT, text_col="text"):
+    return sampling.few_shot_draws(train_rows(spark, sf, cfg), "label", "doc_id", text_col, cfg)
 
 
 def prompt_table(spark, sf, cfg=DEFAULT):
@@ -84,7 +84,7 @@ def q_sample_n(spark, sf):
 
 
 def q_few_shot_sample(spark, sf):
-    return draws(spark, sf).select("label", "prompt_no", "example_no", "doc_id")
+    return draws(spark, sf, text_col=None).select("label", "prompt_no", "example_no", "doc_id")
 
 
 def q_prompts_zero_shot(spark, sf):
