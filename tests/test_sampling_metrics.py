@@ -176,3 +176,22 @@ def test_partition_scan_carries_groups_across_batches():
         u = sum(p * (g.neg[g.score < s].sum() + q / 2.0) for s, p, q in zip(g.score, g.pos, g.neg))
         assert r.bmin == g.score.min() and r.bpos == g.pos.sum() and r.bneg == g.neg.sum()
         assert abs(r.bu - u) < 1e-9
+
+
+def test_roc_auc_with_empty_partitions(spark):
+    rows = [(0, 0, [2.0, 1.0]), (1, 1, [0.5, 1.5]), (2, 0, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label_id int, l array<double>")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions",
+                                          "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.cls: r.auc for r in M.roc_auc_ovr(df, [], 2).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    p = M.class_probs(df, ["vec_id"]).collect()
+    for c in (0, 1):
+        pos = [r.prob for r in p if r.cls == c and r.label_id == c]
+        neg = [r.prob for r in p if r.cls == c and r.label_id != c]
+        assert abs(got[c] - _auc_pairs(pos, neg)) < 1e-12
