@@ -38,12 +38,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; set a local one only when unset (tests)."""
+    """Shared folder named by ``spark.checkpoint.dir``; a temporary one only for a local session when unset.
+
+    On a cluster an unset folder is an error: a machine-local folder would not be
+    readable by the other executors.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-ckpt-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        root = tempfile.mkdtemp(prefix="textloom-ckpt-")   # local session (tests, bench) only
     sc.setCheckpointDir(root)
     # setCheckpointDir adds a per-application sub folder; write next to it
     return sc.getCheckpointDir() or root
