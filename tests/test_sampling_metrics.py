@@ -195,3 +195,14 @@ def test_roc_auc_with_empty_partitions(spark):
         pos = [r.prob for r in p if r.cls == c and r.label_id == c]
         neg = [r.prob for r in p if r.cls == c and r.label_id != c]
         assert abs(got[c] - _auc_pairs(pos, neg)) < 1e-12
+
+
+def test_top_terms_two_level_is_exact(spark):
+    from textloom.operators import model as ML
+    rnd = random.Random(11)
+    rows = [(f"t{i:05d}", rnd.randrange(1, 40), rnd.randrange(1, 9)) for i in range(3000)]   # many ties
+    stats = spark.createDataFrame(rows, "term string, cnt long, df long").repartition(13)
+    for k in (1, 7, 150, 5000):
+        got = [(r.term, r.cnt) for r in ML.top_terms(stats, k).collect()]
+        want = [(t, c) for t, c, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:k]]
+        assert sorted(got) == sorted(want)

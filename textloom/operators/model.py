@@ -22,6 +22,26 @@ def tokens(text_clean, cfg: Config = DEFAULT):
     return F.slice(F.split(text_clean, " "), 1, cfg.max_tokens)
 
 
+VOCAB_BUCKETS = 64   # the vocabulary merge reads at most VOCAB_BUCKETS x vocab_size rows
+
+
+def top_terms(stats: DataFrame, k: int) -> DataFrame:
+    """The k most frequent terms (count descending, then term), exact, in two levels.
+
+    A plain ``orderBy().limit(k)`` forwards the top k of every partition to one task,
+    which grows with the partition count. Here terms are hashed into VOCAB_BUCKETS
+    buckets and each bucket keeps its own top k (a window per bucket); the union of
+    the bucket tops holds the global top k, and the final merge reads at most
+    VOCAB_BUCKETS x k rows, whatever the data size.
+    """
+    order = [F.col("cnt").desc(), F.col("term")]
+    w = Window.partitionBy("_vb").orderBy(*order)
+    cand = (stats.withColumn("_vb", F.pmod(F.xxhash64("term"), F.lit(VOCAB_BUCKETS)))
+                 .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+                 .drop("_vb", "_r"))
+    return cand.orderBy(*order).limit(k)
+
+
 def tfidf_top_terms(docs: DataFrame, k: int = 10, cfg: Config = DEFAULT) -> DataFrame:
     """Top-k terms per label by mean TF-IDF over the label's documents.
 
@@ -46,7 +66,7 @@ def tfidf_top_terms(docs: DataFrame, k: int = 10, cfg: Config = DEFAULT) -> Data
               .groupBy("label", F.col("_p.term").alias("term"))
               .agg(F.count(F.lit(1)).alias("tfsum"), F.sum("_p.first").alias("_ndoc")))
     stats = tfsum.groupBy("term").agg(F.sum("_ndoc").alias("df"), F.sum("tfsum").alias("cnt"))
-    vocab = stats.orderBy(F.col("cnt").desc(), F.col("term")).limit(cfg.vocab_size).select("term", "df")
+    vocab = top_terms(stats, cfg.vocab_size).select("term", "df")
     # idf is a function of the term only: attach it and the per-label sizes to the
     # (label, term) sums. Every (label, term) row has a first copy (_ndoc >= 1); reading
     # _ndoc keeps this branch's aggregate equal to the one under ``stats``, so both
