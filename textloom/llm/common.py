@@ -95,3 +95,34 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum([len(t) + 2 for t in texts], out=off[1:])
     raw = "  ".join([*texts, ""]).encode("utf-32-le", "surrogatepass")
     return np.frombuffer(raw, np.uint32), off
+
+
+def utf8_rows(column: pa.Array) -> list[bytes]:
+    """UTF-8 bytes of each row; a null is empty."""
+    column = pc.fill_null(column, "") if column.null_count else column
+    return column.cast(pa.binary()).to_pylist()
+
+
+BITSET_BITS = 23                # 1 MB, whatever it holds
+
+
+def _bit(column: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), column.bitwiseAND(63).cast("int"))
+
+
+def _word(column: Column) -> Column:
+    return F.shiftright(column.bitwiseAND(F.lit((1 << BITSET_BITS) - 1)), 6)
+
+
+def bitset(hashes: DataFrame, column: str) -> Column:
+    """The values of a 64-bit hash column as a set of 2^23 bits: an array of longs in a scalar subquery."""
+    marks = hashes.select(_word(F.col(column)).alias("w"), _bit(F.col(column)).alias("b"))
+    every = hashes.sparkSession.range(1 << (BITSET_BITS - 6)).select(
+        F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
+    words = marks.unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
+    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"])).scalar()
+
+
+def in_bitset(bits: Column, value: Column) -> Column:
+    """True for every value put in; for others only if their bit is set by chance."""
+    return F.get(bits, _word(value).cast("int")).bitwiseAND(_bit(value)) != 0

@@ -1,12 +1,19 @@
-"""The registered queries of this subpackage and their DuckDB SQL."""
+"""The registered queries of this subpackage and their DuckDB SQL (none where SQL cannot express the operator)."""
 
 from __future__ import annotations
 
-from . import mixing, url_filter
+from . import fertility, fingerprint, language_id, mixing, near_dedup, packing, pii, quality, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_quality_pu": quality.op2_quality_pu,
+    "op3_pack": packing.op3_pack,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op6_language_id": language_id.op6_language_id,
+    "op7_pii": pii.op7_pii,
+    "op8_imatch": fingerprint.op8_imatch,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_fertility_rules": fertility.op10_fertility_rules,
 }
 
 ORACLE = {
