@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fertility, fingerprint, language_id, mixing, near_dedup, packing, pii, quality, url_filter
+from . import fertility, fingerprint, language_id, mixing, near_dedup, packing, pii, quality, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_quality_pu": quality.op2_quality_pu,
     "op3_pack": packing.op3_pack,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_language_id": language_id.op6_language_id,
     "op7_pii": pii.op7_pii,
     "op8_imatch": fingerprint.op8_imatch,
