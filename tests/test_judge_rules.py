@@ -23,7 +23,7 @@ def test_parse_salvage_table(spark):
     got = {r.case: (r.ok, r.parsed) for r in p.collect()}
     for k, (_, n) in CASES.items():
         ok, parsed = got[k]
-        assert ok == (n > 0), k
+        assert ok == (n > 0 or k == "empty"), k        # an empty array is an answer: it ends the retries
         if n:
             assert len(parsed) == n, k
     assert got["missing"][1][0].is_complete is None
@@ -40,10 +40,22 @@ def test_first_valid_attempt_wins(spark):
     assert f == {1: 2}           # batch 2 only succeeds after the retry budget
 
 
+def test_an_empty_array_ends_the_retries_and_fails_the_batch(spark):
+    rows = [("completeness", "d", 1, 1, "[]"), ("completeness", "d", 1, 2, OK), ("pii", "d", 1, 1, '[{"id":1,"has_pii":false}]')]
+    first = judge.first_valid(judge.parsed_log(spark.createDataFrame(
+        rows, "task string, dataset string, batch_no long, attempt int, raw string")))
+    assert {r.task: r.attempt for r in first.collect()} == {"completeness": 1, "pii": 1}
+    batched = spark.createDataFrame([("d", 1, 1, "t")], "dataset string, batch_no long, id int, text string")
+    row = judge.align(batched, first).first()
+    assert row.is_complete is None and row.reason == judge.FAILED_REASON and row.has_pii is False
+
+
 def test_completeness_rules(spark):
     cases = {"I am fine today.": "ok", "too short": "too_short", "<b> <i> <u>": "only_markup",
              "123 456 789.": "garbled", "this ends abruptly and": "abrupt_end",
-             "[INST] [/INST] <x>": "only_markup", "she said ‘no’": "ok"}
+             "[INST] [/INST] <x>": "only_markup", "she said ‘no’": "ok",
+             "and then we left.": "fragment_start", "...was all he said.": "fragment_start", ", she went on.": "fragment_start",
+             "android is my phone.": "ok", "And then we left.": "ok"}
     df = spark.createDataFrame([(k,) for k in cases], "post string")
     got = {r.post: r.reason for r in df.select("post", rules.completeness_reason(F.col("post")).alias("reason")).collect()}
     assert got == cases
@@ -54,7 +66,11 @@ def test_pii_rules(spark):
         "call 555-1234 now": (["phone"], "555-1234"),
         "dial +1-800-123-4567 today": (["phone"], "+1-800-123-4567"),
         "or (123) 456-7890": (["phone"], "(123) 456-7890"),
-        "at 123 Main St, New York, NY 10001": (["address"], "123 Main St"),
+        "at 123 Main St, New York, NY 10001": (["address"], "123 Main St; New York, NY 10001"),
+        "moved to Boston, MA 02134 last year": (["address"], "Boston, MA 02134"),
+        "Boston, Ma 02134 or Boston, MA 0213": ([], ""),
+        "Regards, Peter Miller": (["name"], "Peter Miller"),
+        "see Dr. Ann Black and Mr. John Doe": (["name"], "Ann Black"),
         "My name is John Doe": ([], ""),
         "hi, my name is Alice Smith, 555-1234": (["name", "phone"], "Alice Smith; 555-1234"),
         "I live in New York": ([], ""),

@@ -161,13 +161,16 @@ def parse_response(raw) -> "F.Column":
 
 
 def parsed_log(log: DataFrame) -> DataFrame:
-    """Adds ``parsed`` and ``ok``: an empty or unparseable answer is a failed attempt."""
+    """Adds ``parsed`` and ``ok``: an answer that cannot be parsed is a failed attempt; an empty array is an answer."""
     p = log.withColumn("parsed", parse_response(F.col("raw")))
-    return p.withColumn("ok", F.coalesce(F.size("parsed") > 0, F.lit(False)))
+    return p.withColumn("ok", F.col("parsed").isNotNull())
 
 
 def first_valid(parsed: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Per task and batch, the parse of the earliest successful attempt within the retry budget."""
+    """Per task and batch, the parse of the earliest parseable attempt within the retry budget.
+
+    An empty array ends the retries; its batch has no verdicts and fails (``align`` fills in placeholders).
+    """
     ok = parsed.filter(F.col("ok") & (F.col("attempt") <= cfg.judge_retries))
     return ok.groupBy("task", "dataset", "batch_no").agg(
         F.min("attempt").alias("attempt"),

@@ -11,14 +11,15 @@ from textloom.functions import text as tx
 
 # ---- fixed values: frozen rule specification ---------------------------------
 MARKUP_PATTERN = r"<[^>]*>|\[/?INST\]"
+# a post that opens with a closing mark, dots, or a bare conjunction or relative word in lower case
+FRAGMENT_PATTERN = r"^([,;:)\]]|\.\.|…|(and|or|but|nor|because|although|which|than|whereas) )"
 PHONE_PATTERN = r"(\+\d{1,3}[-. ]?)?\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4}|\b\d{3}-\d{4}\b"
 ADDRESS_PATTERN = (r"\b\d{1,5} [A-Z][a-z]+( [A-Z][a-z]+)? "
-                   r"(St|Street|Ave|Avenue|Rd|Road|Blvd|Lane|Ln|Dr|Drive)\b")
-NAME_PATTERN = r"\b[Mm]y name is ([A-Z][a-z]+ [A-Z][a-z]+)\b"
+                   r"(St|Street|Ave|Avenue|Rd|Road|Blvd|Lane|Ln|Dr|Drive)\b"
+                   r"|\b[A-Z][a-z]+( [A-Z][a-z]+)?, [A-Z][A-Z] \d{5}\b")
+NAME_PATTERN = (r"\b(?:[Mm]y name is|I am called|[Ss]igned,|[Cc]ontact|[Rr]egards,|Mr\.|Mrs\.|Ms\.|Dr\.) "
+                r"([A-Z][a-z]+ [A-Z][a-z]+)\b")
 PLACEHOLDER_NAMES = ("John Doe", "Jane Doe")
-LETTER_SHARE = 0.5
-REASONS = ("too_short", "only_markup", "garbled", "abrupt_end", "ok")
-PII_TYPES = ("name", "phone", "address")
 # -------------------------------------------------------------------------------
 
 _WORD = "[0-9A-Za-z_]"
@@ -50,7 +51,7 @@ assert re.compile(PHONE_J) and re.compile(ADDRESS_J) and re.compile(NAME_J)
 
 
 def completeness_reason(post: Column) -> Column:
-    """First failing rule (too_short, only_markup, garbled, abrupt_end) or ``ok``.
+    """First failing rule (too_short, only_markup, garbled, fragment_start, abrupt_end) or ``ok``.
 
     Applied to the post before a final period is appended. Pass a column reference:
     the post is used by several rules and must be computed once, upstream.
@@ -62,6 +63,7 @@ def completeness_reason(post: Column) -> Column:
     return (F.when(~tx.has_words(post, 3), "too_short")
              .when(F.length(markup_left) == 0, "only_markup")
              .when(letters * 2 < non_ws, "garbled")
+             .when(post.rlike(FRAGMENT_PATTERN), "fragment_start")
              .when(~ends, "abrupt_end")
              .otherwise("ok"))
 
@@ -75,17 +77,6 @@ def pii_matches(text: Column):
     return names, phones, addrs
 
 
-def pii_columns(text: Column):
-    """``has_pii``, ``pii_types`` (ordered name, phone, address), ``pii_details`` (matches joined by '; ')."""
-    names, phones, addrs = pii_matches(text)
-    types = F.filter(F.array(
-        F.when(F.size(names) > 0, F.lit("name")),
-        F.when(F.size(phones) > 0, F.lit("phone")),
-        F.when(F.size(addrs) > 0, F.lit("address"))), lambda x: x.isNotNull())
-    details = F.array_join(F.concat(names, phones, addrs), "; ")
-    return (F.size(types) > 0), types, details
-
-
 def with_pii(df, text_col: str = "text"):
     """Adds ``has_pii``, ``pii_types``, ``pii_details``; each pattern is matched once per row
     (the match arrays are materialised in one projection, then combined in the next)."""
