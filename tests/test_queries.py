@@ -8,9 +8,10 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF001
+from textloom.plans import catalog
 
 TABLES = ("documents embeddings pages labels conversations").split()
-SLOW = {"train_eval_classifier", "utility_sweep"}
+QUERIES = catalog.queries()
 
 
 def _norm(v):
@@ -48,22 +49,21 @@ def test_entry_runs(spark):
     assert len(df.collect()) >= 0 and df.columns
 
 
-ORACLE = E.oracle_sql()
+ORACLE = catalog.oracle_sql()
 
 
-@pytest.mark.parametrize("name", [n for n in E.queries() if n in ORACLE])
+def test_every_query_has_an_oracle_and_is_registered():
+    assert set(ORACLE) == set(QUERIES) and set(QUERIES) <= set(E.queries())
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
-    sdf = E.queries()[name](spark, SF001)
+    sdf = QUERIES[name](spark, SF001)
     s = pd.DataFrame(sdf.collect(), columns=sdf.columns)
     d = duck.execute(ORACLE[name]).df()
     assert _canon(s) == _canon(d)
 
 
-@pytest.mark.parametrize("name", [n for n in E.queries() if n not in ORACLE and n not in SLOW])
-def test_rows_only_queries_run(spark, name):
-    assert E.queries()[name](spark, SF001).count() > 0
-
-
 PLAN_CHECKED = ["preprocess", "stratified_split", "few_shot_sample", "gen_postprocess", "judge_align",
                 "audit_summary", "roc_auc_ovr", "eval_bundle", "pii_rules", "tfidf_top_terms"]
 
@@ -74,29 +74,56 @@ ARROW_SCAN_OK = {"roc_auc_ovr", "eval_bundle"}   # the AUC's range-partition sca
 @pytest.mark.parametrize("name", PLAN_CHECKED)
 def test_no_python_in_plan(spark, name):
     """No per-row Python anywhere; Arrow-batch partition scans only where the AUC needs one."""
-    plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     for node in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas"):
         assert node not in plan
     assert ("MapInPandas" in plan) == (name in ARROW_SCAN_OK)
 
 
 def test_scan_prunes_columns(spark):
-    plan = E.queries()["mask_mentions"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["mask_mentions"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
-@pytest.mark.parametrize("name", [n for n in E.queries() if n not in SLOW])
-def test_no_cross_join_in_plan(spark, name):
-    plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_plan_has_no_cross_join_and_no_checkpoint(spark, name):
+    plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "ExistingRDD" not in plan
+
+
+@pytest.mark.parametrize("name", ["preprocess", "dedup_first", "label_map"])
+def test_dedup_hashes_fixed_width_keys(spark, name):
+    plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    moved = [x for x in plan.splitlines() if "hashpartitioning(_h1" in x]
+    assert moved and not any("text" in x for x in moved)
+
+
+def test_label_map_moves_no_text(spark):
+    plan = QUERIES["label_map"](spark, SF001)._jdf.queryExecution().executedPlan()
+    found = [x.output().toString() for x in _nodes(plan) if x.nodeName() == "Exchange"]
+    assert found and not any("text_clean" in x for x in found)
+
+
+def _nodes(plan):
+    inner = [plan]
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        inner = [plan.executedPlan()]
+    out = []
+    for p in inner:
+        out.append(p)
+        for i in range(p.children().size()):
+            out += _nodes(p.children().apply(i))
+    return out
 
 
 def test_sample_uses_group_limit(spark):
-    plan = E.queries()["sample_n"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["sample_n"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
 
 
 def test_roc_auc_range_partitions_scores(spark):
     """AUC ranks scores by range partitioning (sampled bounds), not by fixed-width buckets."""
-    plan = E.queries()["roc_auc_ovr"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["roc_auc_ovr"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan and "MapInPandas" in plan

@@ -70,7 +70,7 @@ def test_few_shot_draws_distinct_same_label(spark):
     rows = [(i, "a" if i < 30 else ("b" if i < 33 else "c"), f"t{i}") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, label string, text string")
     cfg = Config(n_per_label=25)
-    d = sampling.few_shot_draws(df, "label", "doc_id", "text", cfg).collect()
+    d = sampling.few_shot_draws(df, "label", "doc_id", df.select("doc_id", "text"), cfg).collect()
     lab = {r[0]: r[1] for r in rows}
     per = {}
     for r in d:
@@ -92,7 +92,7 @@ def test_roc_auc_matches_pair_counting(spark):
         l = [round(rnd.gauss(0, 1), 1) + (0.8 if c == y else 0) for c in range(C)]  # ties on purpose
         rows.append((i, y, l))
     df = spark.createDataFrame(rows, "vec_id long, label_id int, l array<double>")
-    got = {r.cls: r.auc for r in M.roc_auc_ovr(df, [], C).collect()}
+    got = {r.cls: r.auc for r in M.roc_auc_ovr(df, []).collect()}
     probs = {r.vec_id: (r.label_id, r.cls, r.prob) for r in []}
     p = M.class_probs(df, ["vec_id"]).collect()
     for c in range(C):
@@ -151,7 +151,7 @@ def test_roc_auc_narrow_scores_many_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {(r.run, r.cls): r.auc for r in M.roc_auc_ovr(df, ["run"], C).collect()}
+        got = {(r.run, r.cls): r.auc for r in M.roc_auc_ovr(df, ["run"]).collect()}
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
@@ -186,7 +186,7 @@ def test_roc_auc_with_empty_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {r.cls: r.auc for r in M.roc_auc_ovr(df, [], 2).collect()}
+        got = {r.cls: r.auc for r in M.roc_auc_ovr(df, []).collect()}
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
@@ -197,12 +197,26 @@ def test_roc_auc_with_empty_partitions(spark):
         assert abs(got[c] - _auc_pairs(pos, neg)) < 1e-12
 
 
-def test_top_terms_two_level_is_exact(spark):
-    from textloom.operators import model as ML
-    rnd = random.Random(11)
-    rows = [(f"t{i:05d}", rnd.randrange(1, 40), rnd.randrange(1, 9)) for i in range(3000)]   # many ties
-    stats = spark.createDataFrame(rows, "term string, cnt long, df long").repartition(13)
-    for k in (1, 7, 150, 5000):
-        got = [(r.term, r.cnt) for r in ML.top_terms(stats, k).collect()]
-        want = [(t, c) for t, c, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:k]]
-        assert sorted(got) == sorted(want)
+def test_two_level_sample_is_the_plain_one(spark):
+    df = spark.createDataFrame([(i, "x" if i % 50 else "y") for i in range(5000)], "gen_id long, dataset string")
+    got = {(r.dataset, r.rn): r.gen_id for r in sampling.sample_ids(df, ["dataset"], "gen_id", 60, 42).collect()}
+    w = Window.partitionBy("dataset").orderBy(seeded_hash(42, F.col("gen_id")), "gen_id")
+    plain = df.withColumn("rn", F.row_number().over(w)).filter("rn <= 60").collect()
+    assert got == {(r.dataset, r.rn): r.gen_id for r in plain}
+    plan = sampling.sample_ids(df, ["dataset"], "gen_id", 60, 42)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 3          # buckets before and after the shuffle, then the stratum
+
+
+def test_prompts_per_label_do_not_follow_the_table(spark):
+    cfg = Config(n_per_label=7)
+    for n in (40, 400):
+        df = spark.createDataFrame(_rows(n, ["a", "b"]), "doc_id long, label string, text string")
+        keys = sampling.prompt_keys(df, "label", cfg).groupBy("label").count().collect()
+        assert {r["count"] for r in keys} == {7}
+
+
+def test_dedup_keeps_the_smallest_id_and_tells_nulls_apart(spark):
+    from textloom.operators import prep
+    rows = [(3, "a", None), (1, "a", None), (2, None, "a"), (4, None, "a"), (5, "a", "a"), (6, "a", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, x string, y string")
+    assert {r.doc_id for r in prep.dedup_first(df, ["x", "y"]).collect()} == {1, 2, 5, 6}

@@ -6,17 +6,15 @@ results only match it when they are kept as they are.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---- fixed values (must equal the original pipeline) ----------------------
 SPLIT_SEED = 67            # stratified split seed
 TEST_SIZE = 0.2            # first split: held-out share
 VAL_SIZE = 0.5             # second split: share of the held-out part that becomes test
-VOCAB_SIZE = 200_000       # TF-IDF vocabulary bound
 MAX_TOKENS = 256           # token truncation length
-TRAIN_BATCH = 128
 EVAL_BATCH = 256           # evaluation batch (steps = ceil(rows / 256))
-N_PER_LABEL = 10_000       # prompts per label in the original run
+N_PER_LABEL = 10_000       # prompts per label
 FEW_SHOT_K = 8             # examples per few-shot prompt
 TEMPERATURES = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)   # sweep grid found in the result folders
 JUDGE_SAMPLE = 500         # audited rows per dataset
@@ -28,8 +26,7 @@ PREVIEW_CHARS = 100        # preview length in flagged examples
 TOP_FLAGGED = 3            # examples shown per dataset
 GENERATORS = ("falcon", "mentallama")
 MODES = ("FS", "ZS")
-CLASSIFIERS = ("distilbert", "mentalbert")
-LABEL_ORDER = ("minimum", "mild", "moderate", "severe")
+LABELS = ("mild", "minimum", "moderate", "severe")   # alphabetical: the position is the label id
 # ---------------------------------------------------------------------------
 
 
@@ -38,11 +35,10 @@ class Config:
     split_seed: int = SPLIT_SEED
     test_size: float = TEST_SIZE
     val_size: float = VAL_SIZE
-    vocab_size: int = VOCAB_SIZE
     max_tokens: int = MAX_TOKENS
     eval_batch: int = EVAL_BATCH
-    # None = balanced to the train set: ceil(train rows / labels) prompts per label
-    n_per_label: int | None = None
+    # prompts per label, the same at every table size
+    n_per_label: int = N_PER_LABEL
     few_shot_k: int = FEW_SHOT_K
     temperatures: tuple = TEMPERATURES
     judge_sample: int = JUDGE_SAMPLE
@@ -58,7 +54,11 @@ class Config:
     newline_as_space: bool = False
     # hex digits of the hash used as rank bucket (16**3 = 4096 buckets per stratum)
     rank_bucket_digits: int = 3
-    extra: dict = field(default_factory=dict)
 
 
 DEFAULT = Config()
+# classifiers trained here: multinomial naive Bayes on words and on word pairs
+CLASSIFIERS = ("unigram_nb", "bigram_nb")
+ALPHAS = (1.0, 0.1)        # smoothing candidates, numbered from 1; validation chooses
+# prompts per label of the registered prompt queries: a run of its own size, the same at every table size
+QUERY_CONFIG = Config(n_per_label=250)

@@ -63,10 +63,11 @@ def label_join(gen_text: DataFrame, gen_labels: DataFrame, key: str = "gen_id")
 
 
 def yield_pivot(posts: DataFrame, datasets) -> DataFrame:
-    """Kept rows per label (rows) and dataset (columns); fixed pivot values avoid an extra job."""
-    out = posts.groupBy("label").pivot("dataset", list(datasets)).agg(F.count(F.lit(1)))
+    """Kept rows per label (rows) and dataset (columns), and ``other`` for datasets that are not named."""
+    named = F.when(F.col("dataset").isin(*datasets), F.col("dataset")).otherwise("other")
+    out = posts.withColumn("_d", named).groupBy("label").pivot("_d", [*datasets, "other"]).agg(F.count(F.lit(1)))
     return out.select("label", *[F.coalesce(F.col(d), F.lit(0)).cast("bigint").alias(d)
-                                 for d in datasets])
+                                 for d in (*datasets, "other")])
 
 
 def distinct_labels(df: DataFrame, col: str = "label") -> DataFrame:
@@ -80,18 +81,13 @@ def label_map(train: DataFrame, col: str = "label") -> DataFrame:
                              (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int"))
 
 
-MAX_BROADCAST_ROWS = 100_000
-
-
 def label_encode(df: DataFrame, lmap: DataFrame, col: str = "label") -> DataFrame:
     """Label -> id; a label unseen in train gets null.
 
-    The map has one row per class. Its size is checked first (a count over the small
-    aggregated table): up to 100,000 classes it is broadcast, so the rows are never
-    shuffled by label (a hot label would land in one task); beyond, a plain join.
+    The map has one row per class; adaptive execution broadcasts it by its measured bytes, and splits a hot label
+    otherwise.
     """
-    small = lmap.count() <= MAX_BROADCAST_ROWS
-    return df.join(F.broadcast(lmap) if small else lmap, col, "left")
+    return df.join(lmap, col, "left")
 
 
 def zero_shot_prompts(labels: DataFrame) -> DataFrame:

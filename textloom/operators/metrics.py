@@ -29,11 +29,6 @@ def softmax(l: Column) -> Column:
     return F.transform(e, lambda x: x / s)
 
 
-def log_sum_exp(l: Column) -> Column:
-    m = F.array_max(l)
-    return m + F.log(F.aggregate(F.transform(l, lambda x: F.exp(x - m)), F.lit(0.0), lambda a, x: a + x))
-
-
 def class_probs(df: DataFrame, cols) -> DataFrame:
     """Long form ``cols.., label_id, cls, prob`` of the row-wise softmax.
 
@@ -134,14 +129,14 @@ def _partition_u(ck):
             n = len(b)
             if n == 0:
                 continue
+            # one integer per distinct key of the batch: groups are found by comparing integers
+            key_no = b.groupby(list(ck), sort=False, dropna=False).ngroup().to_numpy()
             score = b["score"].to_numpy(np.float64)
             pos = b["pos"].to_numpy(np.float64)
             neg = b["neg"].to_numpy(np.float64)
             change = np.zeros(n, dtype=bool)
             change[0] = True
-            for c in ck:
-                v = b[c].to_numpy()
-                change[1:] |= v[1:] != v[:-1]
+            change[1:] = key_no[1:] != key_no[:-1]
             starts = np.flatnonzero(change)
             for s, e in zip(starts, [*starts[1:], n]):
                 key = tuple(b[c].iat[s] for c in ck)
@@ -160,7 +155,7 @@ def _partition_u(ck):
     return scan
 
 
-def roc_auc_ovr(scored: DataFrame, keys, n_classes: int) -> DataFrame:
+def roc_auc_ovr(scored: DataFrame, keys) -> DataFrame:
     """Per-class one-vs-rest ROC AUC on softmax probabilities (ties count one half).
 
     U = sum over positives of (negatives below + negatives tied / 2):
@@ -216,7 +211,7 @@ def loss_and_steps(scored: DataFrame, keys, batch: int) -> DataFrame:
     return g.withColumn("steps", F.ceil(F.col("n_rows") / batch).cast("bigint"))
 
 
-def bundle(scored: DataFrame, keys, n_classes: int, batch: int) -> DataFrame:
+def bundle(scored: DataFrame, keys, batch: int) -> DataFrame:
     """Macro P/R/F1, macro ROC AUC, loss, rows and steps per run: two passes over the rows.
 
     Pass 1 aggregates the confusion cells together with their cross-entropy sums; the
@@ -234,6 +229,6 @@ def bundle(scored: DataFrame, keys, n_classes: int, batch: int) -> DataFrame:
         F.avg("f1").alias("macro_f1"), (F.sum("ce_sum") / F.sum("ce_n")).alias("loss"),
         F.sum("support").alias("n_rows"))
     out = out.withColumn("steps", F.ceil(F.col("n_rows") / batch).cast("bigint"))
-    out = out.join(macro_auc(roc_auc_ovr(scored, keys, n_classes), keys), keys)
+    out = out.join(macro_auc(roc_auc_ovr(scored, keys), keys), keys)
     return out.select(*keys, "macro_precision", "macro_recall", "macro_f1", "macro_roc_auc_ovr",
                       "loss", "n_rows", "steps")

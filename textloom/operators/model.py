@@ -1,53 +1,16 @@
-"""TF-IDF features and text classifiers with spark.ml, scored by the metrics module."""
+"""TF-IDF top terms per label."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, StringIndexer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.config import DEFAULT, Config
-from textloom.operators import metrics as M
-from textloom.operators.generation import MAX_BROADCAST_ROWS
 
-# two feature variants stand in for the two fine-tuned encoders of the original runs
-VARIANTS = (("distilbert", 1), ("mentalbert", 2))   # (classifier name, n-gram length)
+def tfidf_top_terms(docs: DataFrame, k: int = 10) -> DataFrame:
+    """Top-k terms per label by mean TF-IDF over the label's documents: every term of every whole text counts.
 
-
-def tokens(text_clean, cfg: Config = DEFAULT):
-    """Word tokens of a cleaned text, cut at ``max_tokens``."""
-    return F.slice(F.split(text_clean, " "), 1, cfg.max_tokens)
-
-
-VOCAB_BUCKETS = 64   # the vocabulary merge reads at most VOCAB_BUCKETS x vocab_size rows
-
-
-def top_terms(stats: DataFrame, k: int) -> DataFrame:
-    """The k most frequent terms (count descending, then term), exact, in two levels.
-
-    A plain ``orderBy().limit(k)`` forwards the top k of every partition to one task,
-    which grows with the partition count. Here terms are hashed into VOCAB_BUCKETS
-    buckets and each bucket keeps its own top k (a window per bucket); the union of
-    the bucket tops holds the global top k, and the final merge reads at most
-    VOCAB_BUCKETS x k rows, whatever the data size.
-    """
-    order = [F.col("cnt").desc(), F.col("term")]
-    w = Window.partitionBy("_vb").orderBy(*order)
-    cand = (stats.withColumn("_vb", F.pmod(F.xxhash64("term"), F.lit(VOCAB_BUCKETS)))
-                 .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-                 .drop("_vb", "_r"))
-    return cand.orderBy(*order).limit(k)
-
-
-def tfidf_top_terms(docs: DataFrame, k: int = 10, cfg: Config = DEFAULT) -> DataFrame:
-    """Top-k terms per label by mean TF-IDF over the label's documents.
-
-    Spark-native TF-IDF (same formula as ``IDF``: ln((N + 1) / (df + 1))), vocabulary
-    limited to the ``vocab_size`` most frequent terms like ``CountVectorizer``. All
-    steps are aggregations with map-side combining; the top-k uses a group limit.
+    Spark-native TF-IDF (same formula as ``IDF``: ln((N + 1) / (df + 1))). All steps are
+    aggregations with map-side combining; the top-k uses a group limit.
 
     Nothing is keyed by document: a document is one row, so its tokens are sorted in
     the row and a token is the document's first copy of a term when it differs from
@@ -65,60 +28,12 @@ def tfidf_top_terms(docs: DataFrame, k: int = 10, cfg: Config = DEFAULT) -> Data
     tfsum = (s.select("label", F.explode(pairs).alias("_p"))
               .groupBy("label", F.col("_p.term").alias("term"))
               .agg(F.count(F.lit(1)).alias("tfsum"), F.sum("_p.first").alias("_ndoc")))
-    stats = tfsum.groupBy("term").agg(F.sum("_ndoc").alias("df"), F.sum("tfsum").alias("cnt"))
-    vocab = top_terms(stats, cfg.vocab_size).select("term", "df")
-    # idf is a function of the term only: attach it and the per-label sizes to the
-    # (label, term) sums. Every (label, term) row has a first copy (_ndoc >= 1); reading
-    # _ndoc keeps this branch's aggregate equal to the one under ``stats``, so both
-    # branches reuse one exchange and the texts are exploded once.
-    tfsum = tfsum.filter(F.col("_ndoc") > 0).select("label", "term", "tfsum")
-    small = n_docs.count() <= MAX_BROADCAST_ROWS        # one row per label, size checked
-    j = tfsum.join(vocab, "term").join(F.broadcast(n_docs) if small else n_docs, "label")
+    df = tfsum.groupBy("term").agg(F.sum("_ndoc").alias("df"))
+    # Every (label, term) row has a first copy (_ndoc >= 1); reading _ndoc keeps this branch's aggregate equal to the
+    # one under ``df``, so both branches reuse one exchange and the texts are exploded once.
+    j = tfsum.filter(F.col("_ndoc") > 0).select("label", "term", "tfsum").join(df, "term").join(n_docs, "label")
     idf = F.log((F.col("N") + 1) / (F.col("df") + 1))
     score = j.select("label", "term",
                      F.round(F.col("tfsum") * idf / F.col("n_label"), 6).alias("score"))
     rank = Window.partitionBy("label").orderBy(F.col("score").desc(), F.col("term"))
     return score.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
-
-
-def pipeline(ngram: int, cfg: Config = DEFAULT, max_iter: int = 20, reg: float = 0.01) -> Pipeline:
-    """Label index (alphabetical ids), n-grams, counts (vocabulary <= 200,000), IDF, logistic regression."""
-    stages = [StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc",
-                            handleInvalid="skip")]
-    col = "tokens"
-    if ngram > 1:
-        stages.append(NGram(n=ngram, inputCol="tokens", outputCol="grams"))
-        col = "grams"
-    stages += [CountVectorizer(inputCol=col, outputCol="tf", vocabSize=cfg.vocab_size),
-               IDF(inputCol="tf", outputCol="features"),
-               LogisticRegression(featuresCol="features", labelCol="label_idx", maxIter=max_iter,
-                                  regParam=reg, family="multinomial")]
-    return Pipeline(stages=stages)
-
-
-def with_tokens(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    return df.withColumn("tokens", tokens(F.col("text_clean"), cfg))
-
-
-def scored(model, df: DataFrame) -> DataFrame:
-    """Test rows as ``label_id, l`` (class margins) for the metrics module."""
-    out = model.transform(df)
-    return out.select(F.col("label_idx").cast("int").alias("label_id"),
-                      vector_to_array("rawPrediction").alias("l"))
-
-
-def fit_select(train: DataFrame, val: DataFrame, ngram: int, cfg: Config = DEFAULT,
-               regs=(0.01, 0.1)):
-    """Fit one model per regularisation, keep the best macro F1 on validation."""
-    best, best_f1 = None, None
-    for reg in regs:
-        m = pipeline(ngram, cfg, reg=reg).fit(train)
-        f1 = M.macro(M.per_class(M.confusion(scored(m, val), []), []), []).first()["macro_f1"]
-        if best_f1 is None or f1 > best_f1:
-            best, best_f1 = m, f1
-    return best
-
-
-def evaluate(model, test: DataFrame, name: str, n_classes: int, cfg: Config = DEFAULT) -> DataFrame:
-    s = scored(model, test).withColumn("classifier", F.lit(name))
-    return M.bundle(s, ["classifier"], n_classes, cfg.eval_batch)

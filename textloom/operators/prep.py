@@ -26,32 +26,46 @@ def with_lengths(df: DataFrame, col: str = "text_clean") -> DataFrame:
               .withColumn("word_len", tx.word_count_collapsed(F.col(col))))
 
 
-def dedup_first(df: DataFrame, keys, order_col: str = "doc_id") -> DataFrame:
-    """Exact de-duplication on ``keys`` keeping the row with the smallest ``order_col``.
+def key_hashes(*cols: str):
+    """Two independent 64-bit hashes of the columns; a null differs from every value."""
+    parts = [x for c in cols for x in (F.col(c), F.col(c).isNull())]
+    return F.xxhash64(*parts).alias("_h1"), F.xxhash64(F.lit("second"), *parts).alias("_h2")
+
+
+def first_ids(df: DataFrame, keys, order_col: str = "doc_id") -> DataFrame:
+    """The smallest ``order_col`` of each distinct ``keys``.
 
-    ``min(struct(order_col, ...))`` is an ordinary aggregate, so Spark combines it
-    map-side before the shuffle: a key repeated in a third of all rows leaves each
-    map task as one row and never piles up in one reducer. ``dropDuplicates``
-    would keep an arbitrary row.
+    Grouped by 128 hash bits instead of the texts themselves: a hash aggregate on fixed-width values, combined
+    map-side, so neither a text nor a key that repeats in a third of all rows goes through the shuffle.
     """
-    keys = list(keys)
-    rest = [c for c in df.columns if c not in keys and c != order_col]
-    packed = F.min(F.struct(order_col, *rest)).alias("_first")
-    out = df.groupBy(*keys).agg(packed)
-    return out.select(*[F.col(f"_first.{order_col}").alias(order_col)],
-                      *keys, *[F.col(f"_first.{c}").alias(c) for c in rest]).select(*df.columns)
+    return (df.select(*key_hashes(*keys), order_col).groupBy("_h1", "_h2")
+              .agg(F.min(order_col).alias(order_col)).select(order_col))
+
+
+def dedup_first(df: DataFrame, keys, order_col: str = "doc_id") -> DataFrame:
+    """Exact de-duplication on ``keys`` keeping the row with the smallest ``order_col`` (which identifies a row)."""
+    return df.join(first_ids(df, keys, order_col), order_col, "left_semi").select(*df.columns)
 
 
 def preprocess(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Drop null text/label, clean, drop empty, add lengths, keep first of each (text_clean, label).
+    """Drop null text/label, clean, drop empty, add lengths, keep first of each (text_clean, label)."""
+    return dedup_first(with_lengths(cleaned(df, cfg)), ["text_clean", "label"], "doc_id")
+
+
+def prepared_ids(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """``doc_id, label`` of the rows that ``preprocess`` keeps: what splits, label maps and draws need.
 
-    One shuffle (the de-duplication); everything before it is one codegen'd stage.
+    The label is part of the key, so it comes out of the same aggregate and no text is read twice or moved.
     """
+    d = cleaned(df, cfg).select(*key_hashes("text_clean", "label"), "label", "doc_id")
+    return d.groupBy("_h1", "_h2", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label")
+
+
+def cleaned(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Rows with text and label, their clean text added."""
     df = drop_null_posts(df)
     # text_clean is empty exactly when the text has no non-whitespace character (masks
     # and lower-casing never turn such a character into whitespace); testing the raw
     # text keeps the cleaning chain out of the pushed-down filter.
     df = df.filter(tx.has_text(F.col("text")))
-    df = with_clean_text(df, cfg=cfg)
-    df = with_lengths(df)
-    return dedup_first(df, ["text_clean", "label"], "doc_id")
+    return with_clean_text(df, cfg=cfg)

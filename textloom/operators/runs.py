@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.config import CLASSIFIERS, DEFAULT, Config
-from textloom.sources.tables import N_CLASSES
 
 # ---- fixed values: run naming ------------------------------------------------------
 GEN_SHORT = (("falcon", "fal"), ("mentallama", "ML"))
 BASELINE_RUN = "baseline"
 METRICS = ("loss", "macro_precision", "macro_recall", "macro_f1", "macro_roc_auc_ovr",
-           "samples", "steps")
-METRIC_SUFFIX = r"(loss|macro_[a-z0-9_]+|runtime|(?:samples|steps)(?:_per_second)?|epoch)$"
+           "runtime", "samples_per_second", "steps_per_second", "epoch")
+METRIC_SUFFIX = r"(loss|macro_[a-z0-9_]+|runtime|(?:samples|steps)_per_second|epoch)$"
 # -------------------------------------------------------------------------------------
 
 
@@ -35,24 +34,26 @@ def _sql_str(v) -> str:
     return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
 
 
-def scored_runs(embeddings: DataFrame, cfg: Config = DEFAULT, epochs=(1,)) -> DataFrame:
-    """Every run (x classifier x epoch) scores every embedding row.
-
-    A run's 10 class scores are a window of the 64 embedding entries, starting at
-    1 + run index (+ 5 per extra epoch). The grid is a literal array exploded per row,
-    written as one SQL expression (one parse instead of hundreds of literal calls).
-    """
-    items, idx = [], 0
+def attr_values(cfg: Config = DEFAULT) -> str:
+    """The run grid as SQL rows."""
+    rows = []
     for name, t, g, m in run_grid(cfg):
-        for c in CLASSIFIERS:
-            for e in epochs:
-                items.append(f"named_struct('run_name', {_sql_str(name)}, 'classifier', {_sql_str(c)}, "
-                             f"'epoch', {int(e)}, 'offset', {1 + idx + 5 * (int(e) - 1)})")
-            idx += 1
-    e = embeddings.select("vec_id", F.col("label").alias("label_id"), "embedding",
-                          F.expr(f"explode(array({', '.join(items)}))").alias("r"))
-    l = F.expr(f"transform(slice(embedding, r.offset, {N_CLASSES}), x -> CAST(x AS DOUBLE))")
-    return e.select("r.run_name", "r.classifier", "r.epoch", "vec_id", "label_id", l.alias("l"))
+        temp = "NULL" if t is None else f"CAST({t} AS DOUBLE)"
+        rows.append(f"({_sql_str(name)}, {temp}, {_sql_str(g)}, {_sql_str(m)})")
+    return ", ".join(rows)
+
+
+def sweep_temp(gen_id, cfg: Config = DEFAULT):
+    """The temperature folder of a generation: a hash of its id over the grid."""
+    temps = F.array(*[F.lit(float(t)) for t in cfg.temperatures])
+    h = F.conv(F.substring(F.md5(F.concat(F.lit("sweep|"), gen_id.cast("string"))), 1, 15), 16, 10).cast("bigint")
+    return F.element_at(temps, (F.pmod(h, F.lit(len(cfg.temperatures))) + 1).cast("int"))
+
+
+def run_name(generator, mode, temp):
+    """``syn_<short>_<mode>_<t>`` with the point of the temperature as an underscore."""
+    short = F.when(generator == "Falcon", "fal").otherwise("ML")
+    return F.concat_ws("_", F.lit("syn"), short, mode, F.replace(F.format_string("%.1f", temp), F.lit("."), F.lit("_")))
 
 
 def run_attributes(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -67,11 +68,15 @@ def run_attributes(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
               .withColumn("mode", lookup(3, "STRING")))
 
 
-def results_maps(bundle: DataFrame) -> DataFrame:
-    """One row per run with a metric map per classifier, keys prefixed ``<classifier>_<run>_``."""
-    kv = F.array(*[F.struct(F.lit(m).alias("m"), F.col(c).cast("double").alias("v"))
-                   for m, c in zip(METRICS, ("loss", "macro_precision", "macro_recall", "macro_f1",
-                                             "macro_roc_auc_ovr", "n_rows", "steps"))])
+def results_maps(bundle: DataFrame, runtime=None) -> DataFrame:
+    """One row per run with a metric map per classifier, keys prefixed ``<classifier>_<run>_``.
+
+    ``runtime``: measured evaluation seconds (a column); without it the three timing entries are null.
+    """
+    seconds = (runtime if runtime is not None else F.lit(None)).cast("double")
+    values = (*[F.col(c) for c in METRICS[:5]], seconds, F.try_divide(F.col("n_rows"), seconds),
+              F.try_divide(F.col("steps"), seconds), F.col("epoch"))
+    kv = F.array(*[F.struct(F.lit(m).alias("m"), v.cast("double").alias("v")) for m, v in zip(METRICS, values)])
     e = bundle.select("run_name", "classifier", F.explode(kv).alias("e"))
     keyed = e.select("run_name", "classifier", F.struct(
         F.concat_ws("_", "classifier", "run_name", "e.m").alias("k"), F.col("e.v").alias("v")).alias("kv"))
@@ -91,14 +96,19 @@ def results_long(maps: DataFrame) -> DataFrame:
 
 
 def results_wide(long: DataFrame) -> DataFrame:
-    return long.groupBy("run_name", "classifier").pivot("metric", list(METRICS)).agg(F.first("value"))
+    return long.groupBy("run_name", "classifier").pivot("metric", list(METRICS)).agg(F.max("value"))
 
 
 def leaderboard(runs: DataFrame) -> DataFrame:
-    """Best generator x classifier by macro F1 for every (mode, temp); baseline excluded."""
-    w = Window.partitionBy("mode", "temp").orderBy(F.col("macro_f1").desc(), "generator", "classifier")
+    """Best generator x classifier by macro F1 for every (mode, temp), and their ``place`` by F1; baseline excluded.
+
+    F1 is compared at nine decimals: equal scores are ties whatever the order of their sums.
+    """
+    f1 = F.round("macro_f1", 9)
+    w = Window.partitionBy("mode", "temp").orderBy(f1.desc(), "generator", "classifier")
     r = runs.filter(F.col("mode").isNotNull()).withColumn("_r", F.row_number().over(w))
-    return r.filter(F.col("_r") == 1).drop("_r")
+    best = r.filter(F.col("_r") == 1).drop("_r")      # one row per (mode, temp): a dozen
+    return best.withColumn("place", F.row_number().over(Window.orderBy(f1.desc(), "mode", "temp")))
 
 
 def baseline_delta(runs: DataFrame) -> DataFrame:

@@ -58,16 +58,29 @@ def seeded_rank(df: DataFrame, strata, id_col: str, seed, out: str = "rn",
     return rank_in_buckets(h, counts, strata, id_col, out)
 
 
-def sample_n(df: DataFrame, strata, id_col: str, n: int, seed, out: str = "rn") -> DataFrame:
-    """Seeded sample of exactly ``min(n, rows)`` rows per stratum, numbered 1..n in sample order.
+SAMPLE_BUCKETS = 64
+
 
-    ``row_number() <= n`` makes Spark insert a WindowGroupLimit before the shuffle,
-    so each map task forwards at most n rows per stratum, whatever the skew.
+def sample_ids(df: DataFrame, strata, id_col: str, n: int, seed, out: str = "rn") -> DataFrame:
+    """``strata.., id_col, out``: ids of a seeded sample of ``min(n, rows)`` rows per stratum, numbered in sample order.
+
+    Two levels of ``row_number() <= n``: inside 64 hash buckets per stratum first, over the whole stratum then.
+    The last task of a stratum gets at most 64 x n rows of ids and hashes, however many tasks came before.
     """
-    w = Window.partitionBy(*strata).orderBy("_h", id_col)
-    return (df.withColumn("_h", seeded_hash(seed, F.col(id_col)))
-              .withColumn(out, F.row_number().over(w).cast("bigint"))
-              .filter(F.col(out) <= n).drop("_h"))
+    strata = list(strata)
+    h = (df.select(*strata, id_col).withColumn("_h", seeded_hash(seed, F.col(id_col)))
+           .withColumn("_b", F.pmod(F.xxhash64(id_col), F.lit(SAMPLE_BUCKETS))))
+    part = Window.partitionBy(*strata, "_b").orderBy("_h", id_col)
+    h = h.withColumn("_p", F.row_number().over(part)).filter(F.col("_p") <= n)
+    whole = Window.partitionBy(*strata).orderBy("_h", id_col)
+    return (h.withColumn(out, F.row_number().over(whole).cast("bigint"))
+             .filter(F.col(out) <= n).select(*strata, id_col, out))
+
+
+def sample_n(df: DataFrame, strata, id_col: str, n: int, seed, out: str = "rn") -> DataFrame:
+    """The sampled rows (``sample_ids``): ids are chosen first, the other columns of the few chosen rows joined after."""
+    ids = sample_ids(df, strata, id_col, n, seed, out).select(id_col, out)
+    return df.join(ids, id_col)
 
 
 def largest_remainder(counts: DataFrame, key: str, n_col: str, total_draw_col: str,
@@ -151,15 +164,15 @@ def expand(df: DataFrame, count_col: str, out: str, chunk: int = 10_000) -> Data
     return chunks.withColumn(out, F.explode(F.sequence(lo, hi))).drop("_c")
 
 
-def few_shot_draws(train: DataFrame, label: str, id_col: str, text_col: str | None,
+def few_shot_draws(train: DataFrame, label: str, id_col: str, texts: DataFrame | None = None,
                    cfg: Config = DEFAULT) -> DataFrame:
     """k = min(K, n_label) distinct training rows of the prompt's label, fresh per prompt.
 
     Returns ``label, prompt_no, example_no, doc_id[, text]`` (one row per example).
-    Prompts per label: ``cfg.n_per_label`` or, when None, ceil(train rows / labels).
+    Prompts per label: ``cfg.n_per_label``, whatever the size of the table.
     Ranks are drawn with Floyd's algorithm on a per-prompt hash, then resolved to
     ids with one equi-join on (label, rank); no per-prompt scan of the table. The
-    rank and that join carry ids only: the text (when ``text_col`` is given) is
+    rank and that join carry ids only: the columns of ``texts`` (if given) are
     attached last by id, so the training texts are shuffled once.
     """
     h, counts = bucket_counts(train.select(label, id_col), [label], id_col,
@@ -172,21 +185,17 @@ def few_shot_draws(train: DataFrame, label: str, id_col: str, text_col: str | No
                          F.posexplode("_d").alias("_pos", "rank"))
     picks = picks.withColumn("example_no", (F.col("_pos") + 1).cast("bigint")).drop("_pos")
     out = picks.join(ranked, [label, "rank"]).select(label, "prompt_no", "example_no", id_col)
-    if text_col is None:
+    if texts is None:
         return out
-    return out.join(train.select(id_col, text_col), id_col) \
-              .select(label, "prompt_no", "example_no", id_col, text_col)
+    rest = [c for c in texts.columns if c != id_col]
+    return out.join(texts, id_col).select(label, "prompt_no", "example_no", id_col, *rest)
 
 
 def prompt_keys(train: DataFrame, label: str, cfg: Config = DEFAULT, sizes: DataFrame = None) -> DataFrame:
     """One row per prompt: ``label, n_label, k, prompt_no`` (prompts per label as configured)."""
     if sizes is None:
         sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("n_label"))
-    if cfg.n_per_label is None:
-        w_all = Window.partitionBy()
-        per = F.ceil(F.sum("n_label").over(w_all) / F.count(F.lit(1)).over(w_all))
-    else:
-        per = F.lit(int(cfg.n_per_label))
+    per = F.lit(int(cfg.n_per_label))
     sizes = sizes.withColumn("n_prompts", per.cast("bigint")) \
                  .withColumn("k", F.least(F.lit(cfg.few_shot_k), F.col("n_label")).cast("bigint"))
     return expand(sizes, "n_prompts", "prompt_no")

@@ -11,38 +11,38 @@ from textloom.operators import generation as gen
 from textloom.operators import judge, report, rules, sampling
 from textloom.plans import sqlparts as S
 from textloom.plans.gen_queries import SYNTH
-from textloom.session import materialize, scratch_path
+from textloom.session import scratch_path
 from textloom.sources import tables as tb
 
 
 # ---- Spark pipeline -----------------------------------------------------------
 def audit_inputs(spark, sf, cfg=DEFAULT):
-    """Post-processed generations and their numbered audit sample.
+    """Post-processed generations and their numbered audit sample in batches.
 
-    The post-processed table is written once (the synthetic-dataset hand-off): the
-    sample and the per-dataset totals both read it instead of re-running the regex
-    chain. The sample (at most 500 rows per dataset) is written too: it feeds both the
-    verdict branch and the alignment.
+    The sample is chosen by id; only the chosen generations (at most 500 per dataset) are post-processed with their text.
     """
-    syn = materialize(gen.postprocess(tb.raw_gen(spark, sf), keep_post=True))
-    sample = sampling.sample_n(syn, ["dataset"], "gen_id", cfg.judge_sample, cfg.judge_seed, "rn")
-    return syn, materialize(judge.batches(sample, cfg))
+    raw = tb.raw_gen(spark, sf)
+    syn = gen.postprocess(raw)
+    ids = sampling.sample_ids(syn, ["dataset"], "gen_id", cfg.judge_sample, cfg.judge_seed, "rn")
+    sample = gen.postprocess(raw.join(ids.select("gen_id", "rn"), "gen_id"), keep_post=True)
+    return syn, judge.batches(sample, cfg)
 
 
-def audit_chain(spark, sf, cfg=DEFAULT):
-    syn, batched = audit_inputs(spark, sf, cfg)
-    verdicts = judge.with_rule_verdicts(batched)
-    log = judge.response_log(judge.clean_responses(verdicts))
-    parsed = judge.parsed_log(log)
+def audited(spark, sf, cfg=DEFAULT):
+    """The sample with the rule verdicts: every sampled row has both."""
+    return judge.with_rule_verdicts(audit_inputs(spark, sf, cfg)[1])
+
+
+def judged(spark, sf, cfg=DEFAULT):
+    """The same verdicts through a judge's answer log, with answers as they come: fenced, wrapped in prose, cut off."""
+    batched = audit_inputs(spark, sf, cfg)[1]
+    parsed = judge.parsed_log(judge.response_log(judge.clean_responses(judge.with_rule_verdicts(batched))))
     first = judge.first_valid(parsed, cfg)
-    aligned = judge.align(batched, first)
-    return {"syn": syn, "batched": batched, "verdicts": verdicts, "log": log,
-            "parsed": parsed, "first": first, "aligned": aligned}
+    return {"parsed": parsed, "first": first, "aligned": judge.align(batched, first)}
 
 
 def rates_df(spark, sf, cfg=DEFAULT):
-    c = audit_chain(spark, sf, cfg)
-    return report.judge_rates(c["aligned"], report.totals(c["syn"]))
+    return report.judge_rates(audited(spark, sf, cfg), report.totals(gen.postprocess(tb.raw_gen(spark, sf))))
 
 
 def _types_str(c="pii_types"):
@@ -75,30 +75,32 @@ def q_judge_prompts(spark, sf):
 
 
 def q_judge_responses(spark, sf):
-    return audit_chain(spark, sf)["log"]
+    """The rule verdicts as the JSON answer of each batch and task."""
+    c = judge.clean_responses(audited(spark, sf))
+    return c.select("task", "dataset", "batch_no", F.col("clean").alias("raw"))
 
 
 def q_judge_parse(spark, sf):
-    p = audit_chain(spark, sf)["parsed"].filter("ok")
+    p = judged(spark, sf)["parsed"].filter("ok")
     v = p.select("task", "dataset", "batch_no", "attempt", F.inline("parsed"))
     return v.select("task", "dataset", "batch_no", "attempt", "id", "is_complete", "reason",
                     "has_pii", _types_str(), "pii_details")
 
 
 def q_judge_first_valid(spark, sf):
-    f = audit_chain(spark, sf)["first"]
+    f = judged(spark, sf)["first"]
     return f.select("task", "dataset", "batch_no", "attempt",
                     F.size("parsed").cast("bigint").alias("n_items"))
 
 
 def q_judge_align(spark, sf):
-    a = audit_chain(spark, sf)["aligned"]
+    a = judged(spark, sf)["aligned"]
     return a.select("dataset", "rn", "batch_no", "id", "gen_id", "is_complete", "reason",
                     "has_pii", _types_str(), "pii_details")
 
 
 def q_judge_batch_stats(spark, sf):
-    f = audit_chain(spark, sf)["first"]
+    f = judged(spark, sf)["first"]
     return report.batch_stats(judge.verdict_rows(f))
 
 
@@ -117,12 +119,12 @@ def q_label_distribution(spark, sf):
 
 
 def q_flagged_rows(spark, sf):
-    f = report.flagged_rows(audit_chain(spark, sf)["aligned"])
+    f = report.flagged_rows(audited(spark, sf))
     return f.withColumn("pii_types", F.array_join("pii_types", ", "))
 
 
 def q_flagged_examples(spark, sf):
-    return report.flagged_examples(audit_chain(spark, sf)["aligned"])
+    return report.flagged_examples(audited(spark, sf))
 
 
 def q_audit_summary(spark, sf):
@@ -151,9 +153,8 @@ def q_realism_table(spark, sf):
 
 
 def q_flagged_docs_json(spark, sf):
-    """One nested document per dataset (totals, both verdict lists, flagged rows), written as JSON."""
-    c = audit_chain(spark, sf)
-    a, syn = c["aligned"], c["syn"]
+    """One nested document per dataset (totals, both verdict lists, flagged rows), written as JSON and read back flat."""
+    a, syn = audited(spark, sf), gen.postprocess(tb.raw_gen(spark, sf))
     flagged = report.flagged_rows(a).withColumn("rn", F.col("index") + 1)
     comp = F.struct("id", "is_complete", "reason")
     pii = F.struct("id", "has_pii", "pii_types", "pii_details")
@@ -170,7 +171,12 @@ def q_flagged_docs_json(spark, sf):
                       F.coalesce("flagged_texts", F.array()).alias("flagged_texts")))
     path = scratch_path(spark, "audit-json")
     doc.write.json(path)
-    return spark.read.schema(doc.schema).json(path)
+    back = spark.read.schema(doc.schema).json(path)
+    flat = back.select("dataset", "total_rows", "sample_size", F.size("completeness_results").alias("n_completeness"),
+                       F.size("pii_results").alias("n_pii"),
+                       F.expr("aggregate(completeness_results, 0, (n, x) -> n + int(x.is_complete))").alias("n_complete"),
+                       F.inline_outer("flagged_texts"))
+    return flat.withColumn("pii_types", F.array_join("pii_types", ", "))
 
 
 QUERIES = {
@@ -204,6 +210,7 @@ def reason_sql(c: str) -> str:
     return (f"CASE WHEN {S.word_count(c)} < 3 THEN 'too_short' "
             f"WHEN length({markup_left}) = 0 THEN 'only_markup' "
             f"WHEN {letters} * 2 < {non_ws} THEN 'garbled' "
+            f"WHEN regexp_matches({c}, {S.q(rules.FRAGMENT_PATTERN)}) THEN 'fragment_start' "
             f"WHEN right({c}, 1) NOT IN ({ends}) THEN 'abrupt_end' ELSE 'ok' END")
 
 
@@ -269,7 +276,7 @@ au_parsed AS (
          coalesce(try(from_json(CASE WHEN json_valid(raw) THEN raw END, {_VSTRUCT})),
                   try(from_json(CASE WHEN json_valid(sliced) THEN sliced END, {_VSTRUCT}))) AS parsed
   FROM (SELECT *, {_SLICED} AS sliced FROM au_log)),
-au_ok AS (SELECT *, coalesce(len(parsed) > 0, false) AS ok FROM au_parsed),
+au_ok AS (SELECT *, parsed IS NOT NULL AS ok FROM au_parsed),
 au_first AS (
   SELECT task, dataset, batch_no, min(attempt) AS attempt, arg_min(parsed, attempt) AS parsed
   FROM au_ok WHERE ok AND attempt <= {DEFAULT.judge_retries} GROUP BY task, dataset, batch_no),
@@ -295,7 +302,7 @@ au_counts AS (
          count(*) FILTER (WHERE has_pii) AS pii_count,
          count(*) FILTER (WHERE NOT has_pii) AS no_pii_count,
          count(*) FILTER (WHERE has_pii IS NULL) AS pii_failed
-  FROM au_aligned GROUP BY dataset),
+  FROM au_verd GROUP BY dataset),
 au_rates AS (
   SELECT c.*, complete_count + incomplete_count AS valid_total,
          CASE WHEN complete_count + incomplete_count > 0
@@ -337,7 +344,7 @@ ORACLE = {
         FROM (SELECT dataset, batch_no, string_agg({_LINE}, chr(10) || chr(10) ORDER BY id) AS batch_text
               FROM au_batched GROUP BY dataset, batch_no) b,
              (VALUES ('completeness', {S.q(judge.COMPLETENESS_HEAD)}), ('pii', {S.q(judge.PII_HEAD)})) t(task, head)""",
-    "judge_responses": _W(*_BASE) + "SELECT task, dataset, batch_no, attempt, raw FROM au_log",
+    "judge_responses": _W(*_BASE) + "SELECT task, dataset, batch_no, clean AS raw FROM au_clean",
     "judge_parse": _W(*_BASE) + """SELECT task, dataset, batch_no, attempt, v.id, v.is_complete, v.reason, v.has_pii,
         array_to_string(v.pii_types, ', ') AS pii_types, v.pii_details
         FROM (SELECT *, unnest(parsed) AS v FROM au_ok WHERE ok)""",
@@ -356,17 +363,23 @@ ORACLE = {
     "label_distribution": _W(*_BASE) + "SELECT dataset, label, count(*) AS n FROM au_batched GROUP BY dataset, label",
     "flagged_rows": _W(*_BASE) + f"""SELECT dataset, rn - 1 AS index, substr(text, 1, {DEFAULT.truncate_chars}) AS text,
         label, is_complete, reason AS completeness_reason, has_pii, array_to_string(pii_types, ', ') AS pii_types,
-        pii_details FROM au_aligned WHERE is_complete = false OR has_pii = true""",
+        pii_details FROM au_verd WHERE is_complete = false OR has_pii = true""",
     "flagged_examples": _W(*_BASE) + f"""SELECT * FROM (
         SELECT dataset, 'incomplete' AS kind, rn, concat(substr(text, 1, {DEFAULT.preview_chars}), '...') AS preview,
                reason AS detail, CAST(NULL AS VARCHAR) AS details,
                CAST(row_number() OVER (PARTITION BY dataset ORDER BY rn) AS BIGINT) AS example_no
-        FROM au_aligned WHERE is_complete = false
+        FROM au_verd WHERE is_complete = false
         UNION ALL
         SELECT dataset, 'pii' AS kind, rn, concat(substr(text, 1, {DEFAULT.preview_chars}), '...') AS preview,
                array_to_string(pii_types, ', ') AS detail, pii_details AS details,
                CAST(row_number() OVER (PARTITION BY dataset ORDER BY rn) AS BIGINT) AS example_no
-        FROM au_aligned WHERE has_pii = true) WHERE example_no <= {DEFAULT.top_flagged}""",
+        FROM au_verd WHERE has_pii = true) WHERE example_no <= {DEFAULT.top_flagged}""",
+    "flagged_docs_json": _W(*_BASE) + f"""SELECT c.dataset, t.total_rows, c.sample_size,
+        c.sample_size AS n_completeness, c.sample_size AS n_pii, c.complete_count AS n_complete, f.* EXCLUDE (ds)
+        FROM au_counts c JOIN au_totals t USING (dataset) LEFT JOIN (
+          SELECT dataset AS ds, rn - 1 AS index, substr(text, 1, {DEFAULT.truncate_chars}) AS text, label, is_complete,
+                 reason AS completeness_reason, has_pii, array_to_string(pii_types, ', ') AS pii_types, pii_details
+          FROM au_verd WHERE is_complete = false OR has_pii = true) f ON f.ds = c.dataset""",
     "audit_summary": _W(*_BASE) + "SELECT * FROM au_summary",
     "summary_parse": _W(*_BASE) + """SELECT dataset, total_rows, sample_size, complete_count, valid_total,
         CAST(format('{:.1f}', completeness_rate) AS DOUBLE) AS completeness_rate, incomplete_count,

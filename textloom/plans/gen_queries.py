@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.config import DEFAULT
+from textloom.config import DEFAULT, QUERY_CONFIG
 from textloom.functions import prompts as pr
 from textloom.functions import text as tx
 from textloom.operators import generation as gen
 from textloom.operators import prep, sampling
 from textloom.plans import sqlparts as S
 from textloom.plans.prep_queries import PREPROCESSED
-from textloom.session import materialize
 from textloom.sources import tables as tb
 
-DATASETS = ("de", "en", "es", "fr")   # pivot columns of the yield report (lang values)
+DATASETS = ("de", "en", "es", "fr")   # named columns of the yield report; all others count as "other"
 
 
 # ---- shared Spark inputs ----------------------------------------------------
@@ -23,27 +22,30 @@ def synthetic(spark, sf):
     return gen.postprocess(tb.raw_gen(spark, sf))
 
 
-def split_posts(spark, sf, cfg=DEFAULT):
-    """Prepared posts with their split, written once (the train/val/test hand-off)."""
-    pre = materialize(prep.preprocess(tb.posts(spark, sf), cfg))
-    return materialize(sampling.stratified_split(pre, "label", "doc_id", cfg))
+def split_ids(spark, sf, cfg=DEFAULT):
+    """``doc_id, label, split`` of the prepared posts: no text leaves the scan."""
+    return sampling.stratified_split(prep.prepared_ids(tb.posts(spark, sf), cfg), "label", "doc_id", cfg)
 
 
-def train_rows(spark, sf, cfg=DEFAULT):
-    return split_posts(spark, sf, cfg).filter(F.col("split") == "train") \
-        .select("doc_id", "label", "text")
+def split_texts(spark, sf, cfg=DEFAULT):
+    """``doc_id, dataset, label, split, text, text_clean`` of the prepared posts."""
+    rows = prep.cleaned(tb.posts(spark, sf), cfg).drop("label")
+    return rows.join(split_ids(spark, sf, cfg), "doc_id")
 
 
-def draws(spark, sf, cfg=DEFAULT, text_col="text"):
-    return sampling.few_shot_draws(train_rows(spark, sf, cfg), "label", "doc_id", text_col, cfg)
+def train_ids(spark, sf, cfg=DEFAULT):
+    return split_ids(spark, sf, cfg).filter(F.col("split") == "train").select("doc_id", "label")
 
 
-def prompt_table(spark, sf, cfg=DEFAULT):
+def draws(spark, sf, cfg=QUERY_CONFIG, text=True):
+    texts = tb.table(spark, sf, "documents").select("doc_id", "text") if text else None
+    return sampling.few_shot_draws(train_ids(spark, sf, cfg), "label", "doc_id", texts, cfg)
+
+
+def prompt_table(spark, sf, cfg=QUERY_CONFIG):
     """Both modes: zero-shot prompts repeated per prompt number, few-shot prompts per draw."""
-    train = train_rows(spark, sf, cfg)
-    d = sampling.few_shot_draws(train, "label", "doc_id", "text", cfg)
-    few = gen.few_shot_prompts(d).withColumn("mode", F.lit("few-shot"))
-    zero_keys = sampling.prompt_keys(train, "label", cfg).select("label", "prompt_no")
+    few = gen.few_shot_prompts(draws(spark, sf, cfg)).withColumn("mode", F.lit("few-shot"))
+    zero_keys = sampling.prompt_keys(train_ids(spark, sf, cfg), "label", cfg).select("label", "prompt_no")
     zero = zero_keys.withColumn("prompt", pr.zero_shot(F.col("label"))) \
                     .withColumn("mode", F.lit("zero-shot"))
     cols = ["mode", "label", "prompt_no", "prompt"]
@@ -52,19 +54,19 @@ def prompt_table(spark, sf, cfg=DEFAULT):
 
 # ---- queries ------------------------------------------------------------------
 def q_stratified_split(spark, sf):
-    return split_posts(spark, sf).select("doc_id", "label", "split")
+    return split_ids(spark, sf)
 
 
 def q_distinct_labels(spark, sf):
-    return gen.distinct_labels(train_rows(spark, sf))
+    return gen.distinct_labels(train_ids(spark, sf))
 
 
 def q_label_map(spark, sf):
-    return gen.label_map(train_rows(spark, sf))
+    return gen.label_map(train_ids(spark, sf))
 
 
 def q_label_encode(spark, sf):
-    s = split_posts(spark, sf)
+    s = split_ids(spark, sf)
     lmap = gen.label_map(s.filter(F.col("split") == "train"))
     rest = s.filter(F.col("split") != "train").select("doc_id", "split", "label")
     return gen.label_encode(rest, lmap).select("doc_id", "split", "label", "label_id")
@@ -78,17 +80,17 @@ def q_truncate_tokens(spark, sf):
 
 
 def q_sample_n(spark, sf):
-    s = sampling.sample_n(synthetic(spark, sf), ["dataset"], "gen_id",
-                          DEFAULT.judge_sample, DEFAULT.judge_seed, "rn")
+    syn = synthetic(spark, sf).select("dataset", "gen_id", "label")
+    s = sampling.sample_n(syn, ["dataset"], "gen_id", DEFAULT.judge_sample, DEFAULT.judge_seed, "rn")
     return s.select("dataset", "rn", "gen_id", "label")
 
 
 def q_few_shot_sample(spark, sf):
-    return draws(spark, sf, text_col=None).select("label", "prompt_no", "example_no", "doc_id")
+    return draws(spark, sf, text=False).select("label", "prompt_no", "example_no", "doc_id")
 
 
 def q_prompts_zero_shot(spark, sf):
-    return gen.zero_shot_prompts(gen.distinct_labels(train_rows(spark, sf)))
+    return gen.zero_shot_prompts(gen.distinct_labels(train_ids(spark, sf)))
 
 
 def q_prompts_few_shot(spark, sf):
@@ -182,7 +184,7 @@ DRAWS = f"""fs_rank AS (
 fs_size AS (
   SELECT label, count(*) AS n_label FROM train_rows GROUP BY label),
 fs_size2 AS (
-  SELECT label, n_label, CAST(ceil(sum(n_label) OVER () / count(*) OVER ()) AS BIGINT) AS n_prompts,
+  SELECT label, n_label, CAST({QUERY_CONFIG.n_per_label} AS BIGINT) AS n_prompts,
          CAST(least({DEFAULT.few_shot_k}, n_label) AS BIGINT) AS k FROM fs_size),
 fs_prompts AS (
   SELECT label, n_label, k, unnest(generate_series(1, n_prompts)) AS prompt_no FROM fs_size2),
@@ -225,12 +227,25 @@ for _tok in tx.RESIDUE_TOKENS:
     _RESIDUE = f"replace({_RESIDUE}, {S.q(_tok)}, '')"
 _STRIPPED = S.strip_ws(f"regexp_replace({S.strip_ws(_RESIDUE)}, '^\"+|\"+$', '', 'g')")
 _ENDS = ", ".join(S.q(c) for c in tx.POST_END_CHARS)
-SYNTH = f"""gen_x AS (SELECT gen_id, dataset, label, {_EXTRACT} AS x FROM raw_gen),
-gen_s AS (SELECT gen_id, dataset, label, {_STRIPPED} AS y FROM gen_x),
-synthetic AS (
+
+
+def _synth(p: str, raw: str) -> str:
+    """CTEs that post-process the raw generations ``raw`` as ``{p}synthetic``."""
+    return f"""{p}gen_x AS (SELECT gen_id, dataset, label, {_EXTRACT} AS x FROM {raw}),
+{p}gen_s AS (SELECT gen_id, dataset, label, {_STRIPPED} AS y FROM {p}gen_x),
+{p}synthetic AS (
   SELECT gen_id, dataset, label,
          CASE WHEN right(y, 1) IN ({_ENDS}) THEN y ELSE concat(y, '.') END AS text, y AS post
-  FROM gen_s WHERE {S.word_count('y')} >= 3)"""
+  FROM {p}gen_s WHERE {S.word_count('y')} >= 3)"""
+
+
+SYNTH = _synth("", "raw_gen")
+
+
+def SYNTH_OF(p: str, posts: str) -> str:
+    """The same for the posts of a sub-query."""
+    return S.raw_gen(posts, f"{p}_raw") + ",\n" + _synth(f"{p}_", f"{p}_raw")
+
 
 _BASE = [S.POSTS, PREPROCESSED, SPLIT]
 _W = S.with_
@@ -263,5 +278,6 @@ ORACLE = {
     "gen_label_join": _W(S.POSTS, S.RAW_GEN, SYNTH) + "SELECT gen_id, dataset, label, text FROM synthetic",
     "yield_pivot": _W(S.POSTS, S.RAW_GEN, SYNTH) + "SELECT label, " + ", ".join(
         f"CAST(count(*) FILTER (WHERE dataset = '{d}') AS BIGINT) AS {d}" for d in DATASETS)
+        + f", CAST(count(*) FILTER (WHERE dataset IS NULL OR dataset NOT IN ({', '.join(S.q(d) for d in DATASETS)})) AS BIGINT) AS other"
         + " FROM synthetic GROUP BY label",
 }

@@ -9,34 +9,22 @@ from textloom.config import CLASSIFIERS, DEFAULT
 from textloom.operators import generation as gen
 from textloom.operators import metrics as M
 from textloom.operators import report, runs
+from textloom.plans import model_queries
 from textloom.plans import sqlparts as S
 from textloom.plans.gen_queries import SYNTH
+from textloom.plans.metrics_sql import metrics_sql
 from textloom.session import scratch_path
 from textloom.sources import csvio, results
 from textloom.sources import tables as tb
 from textloom.sources.datasets import read_named
 
 C = tb.N_CLASSES
-KEYS = ["run_name", "classifier"]
 
 
 def _r6(df, cols):
     return df.select(*[F.round(c, 6).alias(c) if c in cols else c for c in df.columns])
 
 
-def scored(spark, sf, epochs=(1,)):
-    return runs.scored_runs(tb.table(spark, sf, "embeddings"), DEFAULT, epochs)
-
-
-def bundle(spark, sf):
-    s = scored(spark, sf).drop("epoch")
-    b = M.bundle(s, KEYS, C, DEFAULT.eval_batch)
-    return runs.run_attributes(b)
-
-
-_BUNDLE_DBL = ["macro_precision", "macro_recall", "macro_f1", "macro_roc_auc_ovr", "loss"]
-
-
 # ---- queries ------------------------------------------------------------------------
 def q_argmax_pred(spark, sf):
     return M.with_pred(tb.logits(spark, sf)).select("vec_id", "label_id", "pred")
@@ -72,7 +60,7 @@ def q_macro_metrics(spark, sf):
 
 
 def q_roc_auc_ovr(spark, sf):
-    per = M.roc_auc_ovr(tb.logits(spark, sf), [], C)
+    per = M.roc_auc_ovr(tb.logits(spark, sf), [])
     return _r6(M.macro_auc(per, []), ["macro_roc_auc_ovr"])
 
 
@@ -84,8 +72,8 @@ def q_eval_steps(spark, sf):
     return M.loss_and_steps(tb.logits(spark, sf), [], DEFAULT.eval_batch).select("n_rows", "steps")
 
 
-def q_eval_bundle(spark, sf):
-    return _r6(bundle(spark, sf), _BUNDLE_DBL)
+def bundle(spark, sf):
+    return runs.run_attributes(model_queries.bundle(spark, sf))
 
 
 def _long(spark, sf):
@@ -97,14 +85,17 @@ def q_results_long(spark, sf):
     return _r6(_long(spark, sf), ["value"])
 
 
+TIMINGS = ("runtime", "samples_per_second", "steps_per_second")
+
+
 def q_results_wide(spark, sf):
-    w = runs.results_wide(_long(spark, sf))
-    return _r6(w, list(runs.METRICS))
+    w = runs.results_wide(_long(spark, sf)).drop(*TIMINGS)     # not measured here
+    return _r6(w, [m for m in runs.METRICS if m not in TIMINGS])
 
 
 def q_leaderboard(spark, sf):
     lb = runs.leaderboard(bundle(spark, sf))
-    return _r6(lb.select("mode", "temp", "generator", "classifier", "run_name", "macro_f1",
+    return _r6(lb.select("place", "mode", "temp", "generator", "classifier", "run_name", "macro_f1",
                          "macro_roc_auc_ovr"), ["macro_f1", "macro_roc_auc_ovr"])
 
 
@@ -113,13 +104,6 @@ def q_baseline_delta(spark, sf):
     return _r6(d, ["macro_f1", "base_f1", "delta_f1", "ratio_f1", "delta_auc"])
 
 
-def q_best_candidate(spark, sf):
-    s = scored(spark, sf, epochs=(1, 2))
-    keys = KEYS + ["epoch"]
-    cand = M.macro(M.per_class(M.confusion(s, keys), keys), keys)
-    return _r6(runs.best_candidate(cand, KEYS), ["macro_f1"])
-
-
 def q_results_json_scan(spark, sf):
     """Write every run's result document (original layout), then scan the folder back."""
     root = scratch_path(spark, "results-json")
@@ -131,25 +115,10 @@ def q_results_json_scan(spark, sf):
     return _r6(long.select("run_name", "temp", "classifier", "metric", "value"), ["value"])
 
 
-def _dataset_runs(spark, sf):
-    syn = gen.postprocess(tb.raw_gen(spark, sf))
-    counts = report.totals(syn)
-    name = report.dataset_name(F.col("dataset"))
-    g = F.split_part(name, F.lit(" "), F.lit(1))
-    mode = F.when(F.split_part(name, F.lit(" "), F.lit(2)) == "Few-Shot", "FS").otherwise("ZS")
-    short = F.when(g == "Falcon", "fal").otherwise("ML")
-    return counts.select("dataset", g.alias("generator"), mode.alias("mode"), short.alias("short"),
-                         F.col("total_rows").alias("n_rows"))
-
-
 def q_sweep_manifest(spark, sf):
-    """Every (temperature, dataset) run with its name and the rows it trains on."""
-    d = _dataset_runs(spark, sf)
-    temps = F.array(*[F.lit(float(t)) for t in DEFAULT.temperatures])
-    m = d.withColumn("temp", F.explode(temps))
-    ts = F.replace(F.format_string("%.1f", F.col("temp")), F.lit("."), F.lit("_"))
-    return m.select("dataset", "generator", "mode", "temp",
-                    F.concat_ws("_", F.lit("syn"), "short", "mode", ts).alias("run_name"), "n_rows")
+    """Every stored sweep point with its run name and the rows under it."""
+    d = model_queries.sweep_rows(spark, sf)
+    return d.groupBy("dataset", "generator", "mode", "temp", "run_name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 SWEEP_SCHEMA = T.StructType([
@@ -159,20 +128,9 @@ SWEEP_SCHEMA = T.StructType([
 SCAN_TEMP = 0.9
 
 
-def sweep_temp(gen_id):
-    temps = F.array(*[F.lit(float(t)) for t in DEFAULT.temperatures])
-    h = F.conv(F.substring(F.md5(F.concat(F.lit("sweep|"), gen_id.cast("string"))), 1, 15), 16, 10) \
-         .cast("bigint")
-    return F.element_at(temps, (F.pmod(h, F.lit(len(DEFAULT.temperatures))) + 1).cast("int"))
-
-
 def q_sweep_partition_scan(spark, sf):
-    """Write generations partitioned by (temp, generator, mode); read one temperature back."""
-    syn = gen.postprocess(tb.raw_gen(spark, sf))
-    name = report.dataset_name(F.col("dataset"))
-    out = syn.select("gen_id", "label", "text", sweep_temp(F.col("gen_id")).alias("temp"),
-                     F.split_part(name, F.lit(" "), F.lit(1)).alias("generator"),
-                     F.split_part(name, F.lit(" "), F.lit(2)).alias("mode"))
+    """Write the sweep's training rows partitioned by (temp, generator, mode); read one temperature back."""
+    out = model_queries.sweep_rows(spark, sf).select("gen_id", "label", "text", "temp", "generator", "mode")
     root = scratch_path(spark, "sweep")
     results.write_sweep(out, root)
     return results.scan_sweep(spark, root, SWEEP_SCHEMA, SCAN_TEMP)
@@ -190,16 +148,19 @@ def q_csv_roundtrip(spark, sf):
     return csvio.read_csv(spark, path, POSTS_SCHEMA)
 
 
+MISSING_SET = ("xx", "Not Generated")
+
+
 def q_multi_dataset_union(spark, sf):
-    """Named datasets from separate folders, unioned with their name; missing folders skipped.
+    """Named CSV datasets from separate folders, unioned with their name; a missing folder is skipped.
 
-    The folders are written in one partitioned pass; the scan lists them by name.
+    The folders are written in one partitioned pass; the scan lists them by name and reads pandas' NA strings as null.
     """
     syn = gen.postprocess(tb.raw_gen(spark, sf))
     root = scratch_path(spark, "datasets")
-    syn.select("dataset", "gen_id", "label", "text").write.partitionBy("dataset").parquet(root)
-    named = {n: f"{root}/dataset={code}" for code, n in report.DATASET_NAMES}
-    return read_named(spark, named, NAMED_SCHEMA)
+    csvio.write_csv(syn.select("dataset", "gen_id", "label", "text"), root, partition_by="dataset")
+    named = {n: f"{root}/dataset={code}" for code, n in (*report.DATASET_NAMES, MISSING_SET)}
+    return read_named(spark, named, NAMED_SCHEMA, csvio.read_csv)
 
 
 NAMED_SCHEMA = T.StructType([T.StructField("gen_id", T.LongType()),
@@ -218,12 +179,10 @@ QUERIES = {
     "roc_auc_ovr": q_roc_auc_ovr,
     "log_loss": q_log_loss,
     "eval_steps": q_eval_steps,
-    "eval_bundle": q_eval_bundle,
     "results_long": q_results_long,
     "results_wide": q_results_wide,
     "leaderboard": q_leaderboard,
     "baseline_delta": q_baseline_delta,
-    "best_candidate": q_best_candidate,
     "results_json_scan": q_results_json_scan,
     "sweep_manifest": q_sweep_manifest,
     "sweep_partition_scan": q_sweep_partition_scan,
@@ -233,86 +192,7 @@ QUERIES = {
 
 
 # ---- oracle SQL ------------------------------------------------------------------------
-def _k(keys, trail=True):
-    if not keys:
-        return ""
-    return ", ".join(keys) + (", " if trail else "")
-
-
-def metrics_sql(src: str, keys, p: str) -> str:
-    """CTEs ``{p}_conf, {p}_pc, {p}_macro, {p}_auc, {p}_loss`` over ``src(keys.., label_id, l)``."""
-    k = _k(keys)
-    kg = f"GROUP BY {_k(keys, False)}" if keys else ""
-    part = f"PARTITION BY {k}cls"
-    return f"""{p}_pred AS (SELECT {k}label_id, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS pred, l FROM {src}),
-{p}_conf AS (SELECT {k}label_id, pred, count(*) AS n FROM {p}_pred GROUP BY {k}label_id, pred),
-{p}_sides AS (
-  SELECT {k}label_id AS cls, n AS support, 0 AS predicted, CASE WHEN label_id = pred THEN n ELSE 0 END AS tp FROM {p}_conf
-  UNION ALL
-  SELECT {k}pred AS cls, 0 AS support, n AS predicted, 0 AS tp FROM {p}_conf),
-{p}_pc0 AS (SELECT {k}cls, CAST(sum(support) AS BIGINT) AS support, CAST(sum(predicted) AS BIGINT) AS predicted,
-           CAST(sum(tp) AS BIGINT) AS tp FROM {p}_sides GROUP BY {k}cls),
-{p}_pc AS (SELECT {k}CAST(cls AS INTEGER) AS cls,
-           CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
-           CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,
-           CASE WHEN support + predicted > 0 THEN 2 * tp / (support + predicted) ELSE 0.0 END AS f1,
-           support, tp, predicted FROM {p}_pc0),
-{p}_macro AS (SELECT {k}avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1
-              FROM {p}_pc {kg}),
-{p}_sm AS (SELECT {k}label_id, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM {src}),
-{p}_pr AS (SELECT {k}label_id, list_transform(e, lambda x: x / list_sum(e)) AS pr FROM {p}_sm),
-{p}_ex AS (SELECT {k}label_id, unnest(pr) AS score, generate_subscripts(pr, 1) - 1 AS cls FROM {p}_pr),
-{p}_agg AS (SELECT {k}cls, score, sum(CASE WHEN label_id = cls THEN 1 ELSE 0 END) AS pos,
-            sum(CASE WHEN label_id <> cls THEN 1 ELSE 0 END) AS neg FROM {p}_ex GROUP BY {k}cls, score),
-{p}_below AS (SELECT *, coalesce(sum(neg) OVER ({part} ORDER BY score
-              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM {p}_agg),
-{p}_aucc AS (SELECT {k}cls, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
-             THEN sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) ELSE 'NaN'::DOUBLE END AS auc
-             FROM {p}_below GROUP BY {k}cls),
-{p}_auc AS (SELECT {k}avg(auc) AS macro_roc_auc_ovr FROM {p}_aucc {kg}),
-{p}_loss AS (SELECT {k}avg(list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l)))))
-             - l[label_id + 1]) AS loss, count(*) AS n_rows,
-             CAST(ceil(count(*) / {DEFAULT.eval_batch}) AS BIGINT) AS steps FROM {src} {kg})"""
-
-
-def _runs_values(epochs=(1,)) -> str:
-    rows, idx = [], 0
-    for name, t, g, m in runs.run_grid(DEFAULT):
-        for c in CLASSIFIERS:
-            for e in epochs:
-                rows.append(f"({S.q(name)}, {S.q(c)}, {int(e)}, {1 + idx + 5 * (int(e) - 1)})")
-            idx += 1
-    return ", ".join(rows)
-
-
-def _attr_values() -> str:
-    out = []
-    for name, t, g, m in runs.run_grid(DEFAULT):
-        tt = "NULL" if t is None else f"CAST({t} AS DOUBLE)"
-        gg = "NULL" if g is None else S.q(g)
-        mm = "NULL" if m is None else S.q(m)
-        out.append(f"({S.q(name)}, {tt}, {gg}, {mm})")
-    return ", ".join(out)
-
-
-def scored_sql(epochs=(1,)) -> str:
-    return f"""runs_v(run_name, classifier, epoch, off) AS (VALUES {_runs_values(epochs)}),
-scored AS (SELECT r.run_name, r.classifier, r.epoch, e.vec_id, e.label AS label_id,
-           CAST(list_slice(e.embedding, r.off, r.off + {C - 1}) AS DOUBLE[]) AS l
-           FROM embeddings e, runs_v r)"""
-
-
-_KEYS_SQL = ", ".join(KEYS)
-BUNDLE = f"""{scored_sql()},
-{metrics_sql('scored', KEYS, 'rb')},
-run_attr(run_name, temp, generator, mode) AS (VALUES {_attr_values()}),
-bundle AS (
-  SELECT m.run_name, m.classifier, m.macro_precision, m.macro_recall, m.macro_f1, a.macro_roc_auc_ovr,
-         l.loss, l.n_rows, l.steps, ra.temp, ra.generator, ra.mode
-  FROM rb_macro m JOIN rb_auc a USING ({_KEYS_SQL}) JOIN rb_loss l USING ({_KEYS_SQL})
-  JOIN run_attr ra USING (run_name))"""
-
-_MET_COLS = ("loss", "macro_precision", "macro_recall", "macro_f1", "macro_roc_auc_ovr", "n_rows", "steps")
+_MET_COLS = ("loss", "macro_precision", "macro_recall", "macro_f1", "macro_roc_auc_ovr", "NULL", "NULL", "NULL", "epoch")
 LONG = "results_long AS (" + " UNION ALL ".join(
     f"SELECT run_name, classifier, concat(classifier, '_', run_name, '_', {S.q(m)}) AS key, {S.q(m)} AS metric, "
     f"CAST({c} AS DOUBLE) AS value, temp FROM bundle"
@@ -320,7 +200,6 @@ LONG = "results_long AS (" + " UNION ALL ".join(
 
 _LG = S.with_(S.LOGITS, metrics_sql("logits", [], "lg"))
 _DS_NAME = "CASE dataset " + " ".join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in report.DATASET_NAMES) + " ELSE dataset END"
-_TEMPS = ", ".join(f"CAST({t} AS DOUBLE)" for t in DEFAULT.temperatures)
 _NA = ", ".join(S.q(x) for x in csvio.NA_TOKENS)
 
 ORACLE = {
@@ -345,45 +224,30 @@ ORACLE = {
     "roc_auc_ovr": _LG + "SELECT round(macro_roc_auc_ovr, 6) AS macro_roc_auc_ovr FROM lg_auc",
     "log_loss": _LG + "SELECT round(loss, 6) AS loss FROM lg_loss",
     "eval_steps": _LG + "SELECT n_rows, steps FROM lg_loss",
-    "eval_bundle": S.with_(BUNDLE) + """SELECT run_name, classifier, round(macro_precision, 6) AS macro_precision,
-        round(macro_recall, 6) AS macro_recall, round(macro_f1, 6) AS macro_f1,
-        round(macro_roc_auc_ovr, 6) AS macro_roc_auc_ovr, round(loss, 6) AS loss, n_rows, steps, temp, generator, mode
-        FROM bundle""",
-    "results_long": S.with_(BUNDLE, LONG) + "SELECT run_name, classifier, key, round(value, 6) AS value, metric FROM results_long",
-    "results_wide": S.with_(BUNDLE, LONG) + "SELECT run_name, classifier, " + ", ".join(
-        f"round(max(value) FILTER (WHERE metric = {S.q(m)}), 6) AS {m}" for m in runs.METRICS)
+    "results_long": S.with_(*model_queries.BUNDLE, LONG) + "SELECT run_name, classifier, key, round(value, 6) AS value, metric FROM results_long",
+    "results_wide": S.with_(*model_queries.BUNDLE, LONG) + "SELECT run_name, classifier, " + ", ".join(
+        f"round(max(value) FILTER (WHERE metric = {S.q(m)}), 6) AS {m}" for m in runs.METRICS if m not in TIMINGS)
         + " FROM results_long GROUP BY run_name, classifier",
-    "leaderboard": S.with_(BUNDLE) + """SELECT mode, temp, generator, classifier, run_name, round(macro_f1, 6) AS macro_f1,
-        round(macro_roc_auc_ovr, 6) AS macro_roc_auc_ovr FROM (
-          SELECT *, row_number() OVER (PARTITION BY mode, temp ORDER BY macro_f1 DESC, generator, classifier) AS r
-          FROM bundle WHERE mode IS NOT NULL) WHERE r = 1""",
-    "baseline_delta": S.with_(BUNDLE) + f"""SELECT s.run_name, s.classifier, round(s.macro_f1, 6) AS macro_f1,
+    "leaderboard": S.with_(*model_queries.BUNDLE) + """SELECT CAST(row_number() OVER (ORDER BY f1 DESC, mode, temp) AS INTEGER) AS place,
+        mode, temp, generator, classifier, run_name, round(macro_f1, 6) AS macro_f1, round(macro_roc_auc_ovr, 6) AS macro_roc_auc_ovr FROM (
+          SELECT *, row_number() OVER (PARTITION BY mode, temp ORDER BY f1 DESC, generator, classifier) AS r
+          FROM (SELECT *, round(macro_f1, 9) AS f1 FROM bundle) WHERE mode IS NOT NULL) WHERE r = 1""",
+    "baseline_delta": S.with_(*model_queries.BUNDLE) + f"""SELECT s.run_name, s.classifier, round(s.macro_f1, 6) AS macro_f1,
         round(b.macro_f1, 6) AS base_f1, round(s.macro_f1 - b.macro_f1, 6) AS delta_f1,
         round(CASE WHEN b.macro_f1 <> 0 THEN s.macro_f1 / b.macro_f1 END, 6) AS ratio_f1,
         round(s.macro_roc_auc_ovr - b.macro_roc_auc_ovr, 6) AS delta_auc
         FROM bundle s JOIN bundle b ON s.classifier = b.classifier AND b.run_name = {S.q(runs.BASELINE_RUN)}
         WHERE s.run_name <> {S.q(runs.BASELINE_RUN)}""",
-    "best_candidate": S.with_(scored_sql((1, 2)), metrics_sql("scored", KEYS + ["epoch"], "bc")) + """
-        SELECT run_name, classifier, epoch, round(macro_f1, 6) AS macro_f1 FROM (
-          SELECT *, row_number() OVER (PARTITION BY run_name, classifier ORDER BY macro_f1 DESC, epoch) AS r
-          FROM bc_macro) WHERE r = 1""",
-    "results_json_scan": S.with_(BUNDLE, LONG) + "SELECT run_name, temp, classifier, metric, round(value, 6) AS value FROM results_long",
-    "sweep_manifest": S.with_(S.POSTS, S.RAW_GEN, SYNTH) + f"""SELECT dataset, generator, mode, temp,
-        concat_ws('_', 'syn', CASE WHEN generator = 'Falcon' THEN 'fal' ELSE 'ML' END, mode,
-                  replace(printf('%.1f', temp), '.', '_')) AS run_name, n_rows
-        FROM (SELECT dataset, split_part({_DS_NAME}, ' ', 1) AS generator,
-                     CASE WHEN split_part({_DS_NAME}, ' ', 2) = 'Few-Shot' THEN 'FS' ELSE 'ZS' END AS mode,
-                     count(*) AS n_rows
-              FROM synthetic GROUP BY dataset), (SELECT unnest([{_TEMPS}]) AS temp)""",
-    "sweep_partition_scan": S.with_(S.POSTS, S.RAW_GEN, SYNTH) + f"""SELECT * FROM (
-        SELECT gen_id, label, text,
-               [{_TEMPS}][1 + CAST(('0x' || substr(md5(concat('sweep|', CAST(gen_id AS VARCHAR))), 1, 15)) AS BIGINT) % {len(DEFAULT.temperatures)}] AS temp,
-               split_part({_DS_NAME}, ' ', 1) AS generator, split_part({_DS_NAME}, ' ', 2) AS mode
-        FROM synthetic) WHERE temp = CAST({SCAN_TEMP} AS DOUBLE)""",
+    "results_json_scan": S.with_(*model_queries.BUNDLE, LONG) + "SELECT run_name, temp, classifier, metric, round(value, 6) AS value FROM results_long",
+    "sweep_manifest": S.with_(*model_queries.SWEEP_BASE) + """SELECT dataset, generator, mode, temp, run_name, count(*) AS n_rows
+        FROM sweep_rows GROUP BY ALL""",
+    "sweep_partition_scan": S.with_(*model_queries.SWEEP_BASE) + f"""SELECT gen_id, label, text, temp, generator, mode
+        FROM sweep_rows WHERE temp = CAST({SCAN_TEMP} AS DOUBLE)""",
     "csv_roundtrip": S.with_(S.POSTS) + f"""SELECT doc_id,
         CASE WHEN dataset IN ({_NA}) THEN NULL ELSE dataset END AS dataset,
         CASE WHEN text IN ({_NA}) THEN NULL ELSE text END AS text,
         CASE WHEN label IN ({_NA}) THEN NULL ELSE label END AS label FROM posts""",
-    "multi_dataset_union": S.with_(S.POSTS, S.RAW_GEN, SYNTH) + f"""SELECT {_DS_NAME} AS dataset, gen_id, label, text
+    "multi_dataset_union": S.with_(S.POSTS, S.RAW_GEN, SYNTH) + f"""SELECT {_DS_NAME} AS dataset, gen_id,
+        CASE WHEN label IN ({_NA}) THEN NULL ELSE label END AS label, CASE WHEN text IN ({_NA}) THEN NULL ELSE text END AS text
         FROM synthetic WHERE dataset IN ({", ".join(S.q(k) for k, _ in report.DATASET_NAMES)})""",
 }

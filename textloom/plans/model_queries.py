@@ -1,90 +1,209 @@
-"""Registered queries of the model group: TF-IDF terms, classifier training and the utility sweep."""
+"""Registered queries of the model group: TF-IDF terms, classifier training and the utility sweep.
 
-from __future__ import annotations
+All training sets of the sweep are counted at once and all test rows scored against all of them
+(``operators.naive_bayes``). Synthetic training rows come from labelled posts of the train split only, so no test
+document is in any training set; the smoothing is chosen on the validation split, the metrics come from the test split.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.config import DEFAULT
+from textloom.config import ALPHAS, CLASSIFIERS, DEFAULT, LABELS
 from textloom.operators import generation as gen
+from textloom.operators import metrics as M
 from textloom.operators import model as ML
-from textloom.operators import prep, report
+from textloom.operators import naive_bayes as NB
+from textloom.operators import prep, report, runs
 from textloom.plans import sqlparts as S
-from textloom.plans.gen_queries import SPLIT
-from textloom.plans.gen_queries import split_posts
+from textloom.plans.gen_queries import SPLIT, SYNTH_OF, split_texts
+from textloom.plans.metrics_sql import metrics_sql
 from textloom.plans.prep_queries import PREPROCESSED
-from textloom.session import materialize
 from textloom.sources import tables as tb
 
 TOP_TERMS = 10
-_DBL = ["macro_precision", "macro_recall", "macro_f1", "macro_roc_auc_ovr", "loss"]
+KEYS = ["run_name", "classifier"]
+DOUBLES = ["macro_precision", "macro_recall", "macro_f1", "macro_roc_auc_ovr", "loss"]
 
 
-def _r6(df):
-    return df.select(*[F.round(c, 6).alias(c) if c in _DBL else c for c in df.columns])
+def rounded(df, cols=DOUBLES):
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else c for c in df.columns])
 
 
 def q_tfidf_top_terms(spark, sf):
-    train = split_posts(spark, sf).filter(F.col("split") == "train").select("doc_id", "label", "text_clean")
+    train = split_texts(spark, sf).filter(F.col("split") == "train").select("label", "text_clean")
     return ML.tfidf_top_terms(train, TOP_TERMS)
 
 
-def _splits(spark, sf):
-    """Cached token table and its three splits; the caller unpersists the table."""
-    s = ML.with_tokens(split_posts(spark, sf)).select("doc_id", "label", "text_clean", "tokens", "split")
-    s = s.persist()
-    return s, [s.filter(F.col("split") == x) for x in ("train", "val", "test")]
+# ---- the sweep -----------------------------------------------------------------------
+def sweep_rows(spark, sf, cfg=DEFAULT):
+    """Generations from the labelled posts of the train split, with their sweep point and run name."""
+    train = split_texts(spark, sf, cfg).filter(F.col("split") == "train").select("doc_id", "dataset", "label", "text")
+    syn = gen.postprocess(tb.raw_shapes(train))
+    name = report.dataset_name(F.col("dataset"))
+    g, mode = F.split_part(name, F.lit(" "), F.lit(1)), F.split_part(name, F.lit(" "), F.lit(2))
+    d = syn.select("gen_id", "dataset", "label", "text", runs.sweep_temp(F.col("gen_id"), cfg).alias("temp"),
+                   g.alias("generator"), F.when(mode == "Few-Shot", "FS").otherwise("ZS").alias("mode"))
+    return d.withColumn("run_name", runs.run_name(F.col("generator"), F.col("mode"), F.col("temp")))
+
+
+def training_sets(spark, sf, baseline=True, synthetic=True):
+    """``run_name, doc_id, label, text_clean``: the real train split and every sweep point."""
+    parts = []
+    if baseline:
+        real = split_texts(spark, sf).filter(F.col("split") == "train")
+        name = F.when(F.col("split") == "train", runs.BASELINE_RUN)
+        parts.append(real.select(name.alias("run_name"), "doc_id", "label", "text_clean"))
+    if synthetic:
+        syn = prep.with_clean_text(sweep_rows(spark, sf)).filter(F.length("text_clean") > 0)
+        parts.append(syn.select("run_name", F.col("gen_id").alias("doc_id"), "label", "text_clean"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def scored(spark, sf, baseline=True, synthetic=True):
+    """``split, run_name, classifier, epoch, label_id, l`` of the validation and test rows."""
+    names = [r[0] for r in runs.run_grid() if (baseline if r[0] == runs.BASELINE_RUN else synthetic)]
+    rest = split_texts(spark, sf).filter(F.col("split") != "train").select("doc_id", "split", "label", "text_clean")
+    model = NB.fit(training_sets(spark, sf, baseline, synthetic))
+    return NB.score(model, rest, names, keep=("doc_id", "split", "label"))
+
 
+def chosen(s):
+    """The smoothing candidate with the best macro F1 on validation, per run and classifier."""
+    keys = [*KEYS, "epoch"]
+    val = s.filter(F.col("split") == "val")
+    return runs.best_candidate(M.macro(M.per_class(M.confusion(val, keys), keys), keys), KEYS)
 
-def _release(out, *cached):
-    """Write the (small) result once, then drop the cached inputs it was computed from."""
-    out = materialize(out)
-    for c in cached:
-        c.unpersist()
-    return out
+
+def bundle(spark, sf, baseline=True, synthetic=True):
+    """Test metrics of the chosen candidates: one row per run and classifier."""
+    s = scored(spark, sf, baseline, synthetic)
+    best = chosen(s).select(*KEYS, "epoch")
+    test = s.filter(F.col("split") == "test").join(best, [*KEYS, "epoch"])
+    return M.bundle(test.select(*KEYS, "epoch", "label_id", "l"), [*KEYS, "epoch"], DEFAULT.eval_batch)
 
 
 def q_train_eval_classifier(spark, sf):
-    """Fit on train, choose the regularisation on val, score test; one row per feature variant."""
-    s, (train, val, test) = _splits(spark, sf)
-    outs = []
-    for name, n in ML.VARIANTS:
-        m = ML.fit_select(train, val, n)
-        outs.append(ML.evaluate(m, test, name, 4))
-    return _release(_r6(reduce(lambda a, b: a.unionByName(b), outs)), s)
+    """Fit on the real train split, choose the smoothing on val, score test; one row per feature variant."""
+    return rounded(bundle(spark, sf, synthetic=False).drop("run_name"))
 
 
 def q_utility_sweep(spark, sf):
-    """Train on each synthetic dataset, test on the real test split (one fit per dataset)."""
-    s, (_, val, test) = _splits(spark, sf)
-    syn = gen.postprocess(tb.raw_gen(spark, sf))
-    syn = ML.with_tokens(prep.with_clean_text(syn)).filter(F.length("text_clean") > 0).persist()
-    outs = []
-    for code, name in report.DATASET_NAMES:
-        train = syn.filter(F.col("dataset") == code)
-        m = ML.pipeline(1).fit(train)
-        outs.append(ML.evaluate(m, test, "distilbert", 4).withColumn("dataset", F.lit(name)))
-    return _release(_r6(reduce(lambda a, b: a.unionByName(b), outs)), s, syn)
+    """Every synthetic (temperature, generator, mode) set, both variants, tested on the real test split."""
+    return rounded(runs.run_attributes(bundle(spark, sf, baseline=False)))
+
+
+def q_eval_bundle(spark, sf):
+    return rounded(runs.run_attributes(bundle(spark, sf)))
+
+
+def q_best_candidate(spark, sf):
+    return rounded(chosen(scored(spark, sf)), ["macro_f1"])
 
 
 QUERIES = {
     "tfidf_top_terms": q_tfidf_top_terms,
     "train_eval_classifier": q_train_eval_classifier,
     "utility_sweep": q_utility_sweep,
+    "eval_bundle": q_eval_bundle,
+    "best_candidate": q_best_candidate,
 }
 
+# ---- oracle SQL ----------------------------------------------------------------------
+_TEMPS = ", ".join(f"CAST({t} AS DOUBLE)" for t in DEFAULT.temperatures)
+_DS_NAME = "CASE dataset " + " ".join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in report.DATASET_NAMES) + " ELSE dataset END"
+SWEEP = SYNTH_OF("sw", "(SELECT doc_id, dataset, label, text FROM split_posts WHERE split = 'train')") + f""",
+sweep_rows AS (
+  SELECT *, concat_ws('_', 'syn', CASE WHEN generator = 'Falcon' THEN 'fal' ELSE 'ML' END, mode,
+                      replace(printf('%.1f', temp), '.', '_')) AS run_name
+  FROM (SELECT gen_id, dataset, label, text,
+               [{_TEMPS}][1 + CAST(('0x' || substr(md5(concat('sweep|', CAST(gen_id AS VARCHAR))), 1, 15)) AS BIGINT) % {len(DEFAULT.temperatures)}] AS temp,
+               split_part({_DS_NAME}, ' ', 1) AS generator,
+               CASE WHEN split_part({_DS_NAME}, ' ', 2) = 'Few-Shot' THEN 'FS' ELSE 'ZS' END AS mode
+        FROM sw_synthetic))"""
+
+_UNI, _BI = (S.q(c) for c in CLASSIFIERS)
+_WORDS = "string_split(text_clean, ' ')"
+
+
+def _grams(name: str, src: str, keep: str) -> str:
+    return f"""{name} AS (
+  SELECT {keep}, {_UNI} AS classifier, unnest({_WORDS}) AS term FROM {src}
+  UNION ALL
+  SELECT {keep}, {_BI} AS classifier, unnest(list_transform(range(1, len({_WORDS})),
+         lambda i: concat({_WORDS}[i], ' ', {_WORDS}[i + 1]))) AS term FROM {src})"""
+
+
+_TERMS = "nb_term"
+_LABEL_VALUES = ", ".join(f"({i}, {S.q(c)})" for i, c in enumerate(LABELS))
+_ALPHA_VALUES = ", ".join(f"({i + 1}, CAST({a} AS DOUBLE))" for i, a in enumerate(ALPHAS))
+NB_SQL = f"""nb_train AS (
+  SELECT {S.q(runs.BASELINE_RUN)} AS run_name, label, text_clean FROM split_posts WHERE split = 'train'
+  UNION ALL
+  SELECT run_name, label, text_clean FROM (SELECT run_name, label, {S.clean_text('text')} AS text_clean FROM sweep_rows)
+  WHERE length(text_clean) > 0),
+nb_rest AS (SELECT doc_id, split, label, text_clean FROM split_posts WHERE split <> 'train'),
+{_grams('nb_grams', 'nb_train', 'run_name, label')},
+{_TERMS} AS (SELECT run_name, classifier, label, term, count(*) AS n FROM nb_grams GROUP BY ALL),
+nb_tot AS (SELECT run_name, classifier, label, sum(n) AS total FROM nb_term GROUP BY ALL),
+nb_voc AS (SELECT run_name, classifier, count(DISTINCT term) AS vocab FROM nb_term GROUP BY ALL),
+nb_rows AS (SELECT run_name, label, count(*) AS d FROM nb_train GROUP BY ALL),
+nb_n AS (SELECT run_name, sum(d) AS n_train FROM nb_rows GROUP BY ALL),
+{_grams('nb_rest_grams', 'nb_rest', 'doc_id')},
+nb_tf AS (SELECT doc_id, classifier, term, count(*) AS tf FROM nb_rest_grams GROUP BY ALL),
+nb_size AS (SELECT doc_id, classifier, sum(tf) AS size FROM nb_tf GROUP BY ALL),
+nb_lab(lid, label) AS (VALUES {_LABEL_VALUES}),
+nb_alpha(epoch, a) AS (VALUES {_ALPHA_VALUES}),
+nb_gain AS (
+  SELECT run_name, classifier, doc_id, label, epoch, sum(tf * ln(1 + n / a)) AS gain
+  FROM nb_tf JOIN nb_term USING (classifier, term), nb_alpha GROUP BY ALL),
+nb_score AS (
+  SELECT v.run_name, v.classifier, al.epoch, r.doc_id, r.split, r.label AS truth, lab.lid,
+         round((coalesce(g.gain, 0) + coalesce(sz.size, 0) * ln(al.a / (coalesce(t.total, 0) + al.a * (v.vocab + 1)))
+                + ln((coalesce(d.d, 0) + 1) / (nn.n_train + {len(LABELS)}))) / greatest(coalesce(sz.size, 0), 1), 9) AS s
+  FROM nb_rest r CROSS JOIN nb_voc v CROSS JOIN nb_alpha al CROSS JOIN nb_lab lab
+  JOIN nb_n nn ON nn.run_name = v.run_name
+  LEFT JOIN nb_tot t ON t.run_name = v.run_name AND t.classifier = v.classifier AND t.label = lab.label
+  LEFT JOIN nb_rows d ON d.run_name = v.run_name AND d.label = lab.label
+  LEFT JOIN nb_size sz ON sz.doc_id = r.doc_id AND sz.classifier = v.classifier
+  LEFT JOIN nb_gain g ON g.run_name = v.run_name AND g.classifier = v.classifier AND g.doc_id = r.doc_id
+       AND g.label = lab.label AND g.epoch = al.epoch),
+nb_scored AS (
+  SELECT run_name, classifier, epoch, doc_id, split, any_value(l.lid) AS label_id, list(s ORDER BY nb_score.lid) AS l
+  FROM nb_score JOIN nb_lab l ON l.label = truth GROUP BY run_name, classifier, epoch, doc_id, split),
+nb_val AS (SELECT * FROM nb_scored WHERE split = 'val'),
+{metrics_sql('nb_val', [*KEYS, 'epoch'], 'nv')},
+nb_best AS (
+  SELECT run_name, classifier, epoch, macro_f1 FROM (
+    SELECT *, row_number() OVER (PARTITION BY run_name, classifier ORDER BY macro_f1 DESC, epoch) AS r FROM nv_macro)
+  WHERE r = 1),
+nb_test AS (SELECT s.* FROM nb_scored s JOIN nb_best USING (run_name, classifier, epoch) WHERE split = 'test'),
+{metrics_sql('nb_test', [*KEYS, 'epoch'], 'nt')},
+run_attr(run_name, temp, generator, mode) AS (VALUES {runs.attr_values()}),
+bundle AS (
+  SELECT m.run_name, m.classifier, m.epoch, m.macro_precision, m.macro_recall, m.macro_f1, a.macro_roc_auc_ovr,
+         l.loss, l.n_rows, l.steps, ra.temp, ra.generator, ra.mode
+  FROM nt_macro m JOIN nt_auc a USING (run_name, classifier, epoch) JOIN nt_loss l USING (run_name, classifier, epoch)
+  JOIN run_attr ra USING (run_name))"""
+SWEEP_BASE = [S.POSTS, PREPROCESSED, SPLIT, SWEEP]
+BUNDLE = [*SWEEP_BASE, NB_SQL]
+_R = ", ".join(f"round({c}, 6) AS {c}" for c in DOUBLES) + ", n_rows, steps"
+
 ORACLE = {
     "tfidf_top_terms": S.with_(S.POSTS, PREPROCESSED, SPLIT) + f"""
       , tt AS (SELECT doc_id, label, unnest(string_split(text_clean, ' ')) AS term FROM split_posts WHERE split = 'train'),
       tf AS (SELECT doc_id, label, term, count(*) AS tf FROM tt GROUP BY doc_id, label, term),
-      st AS (SELECT term, count(*) AS df, sum(tf) AS cnt FROM tf GROUP BY term),
-      vocab AS (SELECT term, df FROM st ORDER BY cnt DESC, term LIMIT {DEFAULT.vocab_size}),
+      st AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
       nd AS (SELECT label, count(*) AS n_label, sum(count(*)) OVER () AS N FROM split_posts
              WHERE split = 'train' GROUP BY label),
       sc AS (SELECT label, term, round(sum(tf * ln((N + 1) / (df + 1))) / any_value(n_label), 6) AS score
-             FROM tf JOIN vocab USING (term) JOIN nd USING (label) GROUP BY label, term)
+             FROM tf JOIN st USING (term) JOIN nd USING (label) GROUP BY label, term)
       SELECT label, term, score, rank FROM (
         SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, term) AS rank FROM sc)
       WHERE rank <= {TOP_TERMS}""",
+    "train_eval_classifier": S.with_(*BUNDLE) + f"SELECT classifier, epoch, {_R} FROM bundle WHERE run_name = {S.q(runs.BASELINE_RUN)}",
+    "utility_sweep": S.with_(*BUNDLE) + f"""SELECT run_name, classifier, epoch, {_R}, temp, generator, mode
+        FROM bundle WHERE run_name <> {S.q(runs.BASELINE_RUN)}""",
+    "eval_bundle": S.with_(*BUNDLE) + f"SELECT run_name, classifier, epoch, {_R}, temp, generator, mode FROM bundle",
+    "best_candidate": S.with_(*BUNDLE) + "SELECT run_name, classifier, epoch, round(macro_f1, 6) AS macro_f1 FROM nb_best",
 }

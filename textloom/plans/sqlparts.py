@@ -18,7 +18,8 @@ POSTS = """posts AS (
               WHEN 2 THEN 'moderate' WHEN 3 THEN 'severe' END AS label
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
-RAW_GEN = """raw_gen AS (
+def raw_gen(src: str, name: str) -> str:
+    return f"""{name} AS (
   SELECT doc_id AS gen_id, dataset, coalesce(label, 'minimum') AS label,
          CASE CAST(doc_id % 6 AS INT)
            WHEN 0 THEN concat('Sure! <post>', text, '</post> bye')
@@ -27,10 +28,17 @@ RAW_GEN = """raw_gen AS (
            WHEN 3 THEN concat('"', text, '"')
            WHEN 4 THEN concat('[INST] p [/INST] ', text)
            ELSE text END AS raw_text
-  FROM posts)"""
+  FROM {src})"""
 
-LOGITS = """logits AS (
-  SELECT vec_id, label AS label_id, CAST(embedding[1:10] AS DOUBLE[]) AS l FROM embeddings)"""
+
+RAW_GEN = raw_gen("posts", "raw_gen")
+
+LOGITS = """cent_x AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+cent_m AS (SELECT label, pos, avg(x) AS m FROM cent_x GROUP BY label, pos),
+cent AS (SELECT label, list(m ORDER BY pos) AS c FROM cent_m GROUP BY label),
+logits AS (
+  SELECT e.vec_id, e.label AS label_id, list(list_dot_product(c.c, CAST(e.embedding AS DOUBLE[])) ORDER BY c.label) AS l
+  FROM embeddings e, cent c GROUP BY e.vec_id, e.label)"""
 
 
 def mask_urls(c: str) -> str:

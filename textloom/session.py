@@ -1,8 +1,10 @@
-"""Session helpers: building a local session and finding the shared scratch folder."""
+"""Session helpers: building a local session and finding the shared scratch folder for written tables."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.default.parallelism", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.minPartitionNum", str(parts))
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -54,6 +57,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="textloom-ckpt-")   # local session (tests, bench) only
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     sc.setCheckpointDir(root)
     # setCheckpointDir adds a per-application sub folder; write next to it
     return sc.getCheckpointDir() or root
@@ -62,14 +66,3 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root for written intermediate tables."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df):
-    """Reliable checkpoint to the shared checkpoint folder (never a local checkpoint).
-
-    Used at the pipeline's hand-off points (prepared posts, split table, audit
-    sample): the lineage is cut, and every later branch reads the written table
-    instead of recomputing the text work; a lost executor re-reads, not recomputes.
-    """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)

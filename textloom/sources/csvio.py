@@ -13,11 +13,14 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 # ----------------------------------------------------------------------------------
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Header, RFC-4180 quoting (quotes doubled), values written as they are (no trimming)."""
-    (df.write.mode(mode).option("header", True).option("escape", '"')
-       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-       .csv(path))
+ROWS_PER_FILE = 100_000   # a file with multi-line fields is read by one task
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: str | None = None) -> None:
+    """Header, RFC-4180 quoting (quotes doubled), values written as they are (no trimming); files of bounded length."""
+    w = (df.write.mode(mode).option("header", True).option("escape", '"').option("maxRecordsPerFile", ROWS_PER_FILE)
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    (w.partitionBy(partition_by) if partition_by else w).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, na_tokens=NA_TOKENS) -> DataFrame:

@@ -16,13 +16,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def read_named(spark: SparkSession, named_paths: dict, schema: T.StructType,
-               fmt: str = "parquet") -> DataFrame:
+def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_named(spark: SparkSession, named_paths: dict, schema: T.StructType, read=read_parquet) -> DataFrame:
     """Union of all existing dataset folders with a ``dataset`` column; missing ones are skipped.
 
-    Only the folder names are checked on the driver; the rows are read by the executors.
+    Only the folder names are checked on the driver; the rows are read by the executors. ``read`` is the scan of one
+    folder, such as ``csvio.read_csv``.
     """
-    parts = [spark.read.schema(schema).format(fmt).load(p).select(F.lit(n).alias("dataset"), "*")
+    parts = [read(spark, p, schema).select(F.lit(n).alias("dataset"), "*")
              for n, p in named_paths.items() if path_exists(spark, p)]
     if not parts:
         return spark.createDataFrame([], T.StructType([T.StructField("dataset", T.StringType())]

@@ -30,35 +30,14 @@ SCHEMAS = {
         T.StructField("html", T.StringType())]),
 }
 
-N_CLASSES = 10   # logits view: first 10 embedding entries are the class scores
-
-
-SPREAD = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id",
-          "embeddings": "vec_id"}   # text / vector tables whose rows are costly to process
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan over all cores when it has fewer splits than the session's parallelism.
-
-    A single small file (one row group) is read by one task; the per-row text work
-    after it would then run on one core. Large inputs already have at least as many
-    splits as cores and are returned unchanged (no extra shuffle at scale).
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            return df.repartition(target, key)
-    except Exception:  # noqa: BLE001 - e.g. no RDD access in a remote session
-        pass
-    return df
+N_CLASSES = 10   # classes of the embeddings table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     schema = SCHEMAS.get(name)
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    df = reader.parquet(path)
-    return spread(df, SPREAD[name]) if name in SPREAD else df
+    return reader.parquet(path)
 
 
 def severity_label(quality, toxic):
@@ -78,8 +57,12 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw generator output in six shapes, one per ``gen_id % 6``."""
-    p = posts(spark, sf_dir)
+    """Raw generator output for every post, in six shapes, one per ``gen_id % 6``."""
+    return raw_shapes(posts(spark, sf_dir))
+
+
+def raw_shapes(p: DataFrame) -> DataFrame:
+    """Posts ``doc_id, dataset, label, text`` as raw generator output."""
     shape = (F.col("doc_id") % 6).cast("int")
     t = F.col("text")
     raw = (F.when(shape == 0, F.concat(F.lit("Sure! <post>"), t, F.lit("</post> bye")))
@@ -93,9 +76,19 @@ def raw_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
                     raw.alias("raw_text"))
 
 
-def logits(spark: SparkSession, sf_dir: str, offset: int = 1) -> DataFrame:
-    """Scored rows: ``vec_id, label_id, l`` with 10 class scores taken from the embedding."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(
+def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows ``vec_id, label_id, l``: the whole embedding's dot product with each class centroid.
+
+    The centroids (classes x dimensions, averaged over all rows) are one scalar value of the query, so the rows are
+    scored in a map without a join.
+    """
+    e = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.col("label").alias("label_id"),
-        F.transform(F.slice("embedding", offset, N_CLASSES), lambda x: x.cast("double")).alias("l"))
+        F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    mean = (e.select("label_id", F.posexplode("v").alias("pos", "x"))
+             .groupBy("label_id", "pos").agg(F.avg("x").alias("m")))
+    center = mean.groupBy("label_id").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("c"))
+    centers = center.agg(F.array_sort(F.collect_list(F.struct("label_id", F.col("c.m").alias("m")))).alias("c")) \
+                    .select(F.col("c.m")).scalar()
+    dot = lambda c: F.aggregate(F.zip_with(c, F.col("v"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return e.withColumn("_c", centers).select("vec_id", "label_id", F.transform("_c", dot).alias("l"))
