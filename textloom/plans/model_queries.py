@@ -19,6 +19,7 @@ from textloom.plans import sqlparts as S
 from textloom.plans.gen_queries import SPLIT, SYNTH_OF, split_texts
 from textloom.plans.metrics_sql import metrics_sql
 from textloom.plans.prep_queries import PREPROCESSED
+from textloom.session import hand_off
 from textloom.sources import tables as tb
 
 TOP_TERMS = 10
@@ -36,9 +37,10 @@ def q_tfidf_top_terms(spark, sf):
 
 
 # ---- the sweep -----------------------------------------------------------------------
-def sweep_rows(spark, sf, cfg=DEFAULT):
+def sweep_rows(spark, sf, cfg=DEFAULT, posts=None):
     """Generations from the labelled posts of the train split, with their sweep point and run name."""
-    train = split_texts(spark, sf, cfg).filter(F.col("split") == "train").select("doc_id", "dataset", "label", "text")
+    posts = posts if posts is not None else split_texts(spark, sf, cfg)
+    train = posts.filter(F.col("split") == "train").select("doc_id", "dataset", "label", "text")
     syn = gen.postprocess(tb.raw_shapes(train))
     name = report.dataset_name(F.col("dataset"))
     g, mode = F.split_part(name, F.lit(" "), F.lit(1)), F.split_part(name, F.lit(" "), F.lit(2))
@@ -47,25 +49,31 @@ def sweep_rows(spark, sf, cfg=DEFAULT):
     return d.withColumn("run_name", runs.run_name(F.col("generator"), F.col("mode"), F.col("temp")))
 
 
-def training_sets(spark, sf, baseline=True, synthetic=True):
+def training_sets(spark, sf, baseline=True, synthetic=True, posts=None):
     """``run_name, doc_id, label, text_clean``: the real train split and every sweep point."""
+    posts = posts if posts is not None else split_texts(spark, sf)
     parts = []
     if baseline:
-        real = split_texts(spark, sf).filter(F.col("split") == "train")
+        real = posts.filter(F.col("split") == "train")
         name = F.when(F.col("split") == "train", runs.BASELINE_RUN)
         parts.append(real.select(name.alias("run_name"), "doc_id", "label", "text_clean"))
     if synthetic:
-        syn = prep.with_clean_text(sweep_rows(spark, sf)).filter(F.length("text_clean") > 0)
+        syn = prep.with_clean_text(sweep_rows(spark, sf, posts=posts)).filter(F.length("text_clean") > 0)
         parts.append(syn.select("run_name", F.col("gen_id").alias("doc_id"), "label", "text_clean"))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def scored(spark, sf, baseline=True, synthetic=True):
-    """``split, run_name, classifier, epoch, label_id, l`` of the validation and test rows."""
+    """``split, run_name, classifier, epoch, label_id, l`` of the validation and test rows.
+
+    Two hand-offs: the split posts (read for both kinds of training sets and for scoring) and the scores (read for the
+    choice on validation and for both passes of the metrics).
+    """
     names = [r[0] for r in runs.run_grid() if (baseline if r[0] == runs.BASELINE_RUN else synthetic)]
-    rest = split_texts(spark, sf).filter(F.col("split") != "train").select("doc_id", "split", "label", "text_clean")
-    model = NB.fit(training_sets(spark, sf, baseline, synthetic))
-    return NB.score(model, rest, names, keep=("doc_id", "split", "label"))
+    posts = hand_off(split_texts(spark, sf), "split-posts", "split")
+    rest = posts.filter(F.col("split") != "train").select("doc_id", "split", "label", "text_clean")
+    model = NB.fit(training_sets(spark, sf, baseline, synthetic, posts))
+    return hand_off(NB.score(model, rest, names, keep=("doc_id", "split", "label")).drop("doc_id", "label"), "scores", "split")
 
 
 def chosen(s):

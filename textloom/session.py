@@ -63,6 +63,34 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or root
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint root for written intermediate tables."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder under the shared checkpoint root for written intermediate tables; removed at exit."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _made:
+        atexit.register(remove_scratch)
+    _made.append((spark, path))
+    return path
+
+
+def remove_scratch() -> None:
+    """Removes this process's scratch folders whose session still runs."""
+    while _made:
+        spark, path = _made.pop()
+        sc = spark.sparkContext
+        if sc._jsc is not None:
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def hand_off(df, name: str, partition_by: str | None = None):
+    """``df`` as a Parquet table in the scratch folder, for a table that several later steps read.
+
+    The readers prune its columns and partitions; a lost executor re-reads it instead of computing it again.
+    """
+    path = scratch_path(df.sparkSession, name)
+    w = df.write.option("compression", "zstd")
+    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
