@@ -101,3 +101,16 @@ def test_column_wise_masks():
     for i, (a, w, own) in enumerate(texts):
         want = sum(1 << o for o in range(w) if least[a + o, own[a + o:a + o + 50].tobytes()] < doc[i])
         assert int(mask[i]) == want
+
+
+def test_mask_runs():
+    rng = np.random.default_rng(1)
+    masks = np.concatenate([rng.integers(0, 1 << 35, 300), [0, 1, (1 << 35) - 1, 1 << 34, 5]]).astype(np.uint64)
+    got = sorted(zip(*(x.tolist() for x in S.mask_runs(masks))))
+    want = []
+    for i, m in enumerate(masks.tolist()):
+        bits = f"0{m:b}0"[::-1]
+        starts = [k - 1 for k in range(1, len(bits)) if bits[k] == "1" and bits[k - 1] == "0"]
+        stops = [k - 2 for k in range(1, len(bits)) if bits[k] == "0" and bits[k - 1] == "1"]
+        want += [(i, a, b) for a, b in zip(starts, stops)]
+    assert got == sorted(want)

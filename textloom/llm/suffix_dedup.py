@@ -166,9 +166,9 @@ def send_anchors(buckets: int, frequent):
 def answer_anchors(groups: int):
     """Per bucket: (document, anchor) wherever the anchor is in more than one document, by document group."""
     def run(table: pa.Table) -> pa.Table:
-        told = np.repeat(table["told"].to_numpy(), [len(x) for x in table["code"]])
-        code = np.concatenate([np.asarray(c.values) for c in table["code"].chunks]).view(np.uint32).astype(np.int64)
-        doc = np.concatenate([np.asarray(c.values) for c in table["doc"].chunks])
+        told = np.repeat(table["told"].to_numpy(), pc.list_value_length(table["code"]).to_numpy())
+        code = np.concatenate([np.asarray(c.flatten()) for c in table["code"].chunks]).view(np.uint32).astype(np.int64)
+        doc = np.concatenate([np.asarray(c.flatten()) for c in table["doc"].chunks])
         bucket = table["bucket"][0].as_py()
         ask_code, ask_doc = code[~told], doc[~told]
         order = np.lexsort((ask_doc, ask_code))
@@ -204,8 +204,8 @@ def send_pieces(buckets: int, piece_buckets: int, frequent):
         kg = key[0].as_py()
         if not len(docs) or not len(answers):
             return _piece_table([])
-        asked = np.concatenate([np.asarray(c.values) for c in answers["code"].chunks])
-        asked_doc = np.concatenate([np.asarray(c.values) for c in answers["doc"].chunks])
+        asked = np.concatenate([np.asarray(c.flatten()) for c in answers["code"].chunks])
+        asked_doc = np.concatenate([np.asarray(c.flatten()) for c in answers["doc"].chunks])
         order = np.argsort(asked_doc, kind="stable")
         asked, asked_doc = asked[order], asked_doc[order]
         docs = docs.combine_chunks().sort_by("k")
@@ -217,8 +217,9 @@ def send_pieces(buckets: int, piece_buckets: int, frequent):
             row, window, n, place, h = pieces_of(part, starts, ends, frequent.value)
             code = anchor_codes(h, buckets)
             wanted = _wanted(ids[i + row], code, asked_doc, asked)
+            bucket = (_mix(code.view(np.uint64)) >> U(11)) % U(piece_buckets)
             raw = part.tobytes()
-            for r, w, m, p, c in zip(*(x[wanted].tolist() for x in (row, window, n, place, code))):
+            for r, w, m, p, c in zip(*(x[wanted].tolist() for x in (row, window, n, place, bucket))):
                 body = raw[w:w + m + LENGTH - 1]
                 doc, th, at = int(ids[i + r]), int(hashes[i + r]), w - int(starts[r]) + shift
                 own = held.get(body)
@@ -234,8 +235,7 @@ def send_pieces(buckets: int, piece_buckets: int, frequent):
         rows = []
         dealt: dict[int, list] = {}
         for body, own in held.items():
-            spread = int(_mix(np.array([own[2]], np.int64).view(np.uint64))[0] >> U(11))
-            dealt.setdefault(spread % piece_buckets, []).append((body, own))
+            dealt.setdefault(own[2], []).append((body, own))
         for bucket, own in dealt.items():
             rows.append((bucket, kg, False, b"".join(b for b, _ in own), bytes(len(b) for b, _ in own),
                          bytes(o[1] for _, o in own), [o[0] for _, o in own], [len(o[3]) for _, o in own],
@@ -300,18 +300,19 @@ def column_wise(symbols: np.ndarray, first: np.ndarray, windows: np.ndarray, doc
     return mask
 
 
-def runs_of(mask: int) -> list[tuple[int, int]]:
-    """First and last bit of each run of ones."""
-    out, bit = [], 0
-    while mask >> bit:
-        if mask >> bit & 1:
-            first = bit
-            while mask >> bit & 1:
-                bit += 1
-            out.append((first, bit - 1))
-        else:
-            bit += 1
-    return out
+def mask_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All runs of ones: the mask's index, and the run's first and last bit (bits 0 to 34)."""
+    out = []
+    index = np.flatnonzero(mask)
+    left = mask[index]
+    while len(index):
+        low = np.log2((left & (~left + U(1))).astype(np.float64)).astype(np.int64)
+        rest = left >> low.astype(np.uint64)
+        size = np.log2((~rest & (rest + U(1))).astype(np.float64)).astype(np.int64)
+        out.append((index, low, low + size - 1))
+        left = rest >> size.astype(np.uint64) << (low + size).astype(np.uint64)
+        index, left = index[left > 0], left[left > 0]
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
 
 
 SPANS = "kg int, doc array<long>, text_hash array<long>, start array<int>, stop array<int>"
@@ -319,35 +320,34 @@ SPANS = "kg int, doc array<long>, text_hash array<long>, start array<int>, stop
 
 def find_repeats(table: pa.Table) -> pa.Table:
     """Per bucket of pieces: the intervals that repeat a smaller document, by document group."""
-    kg, doc, th, start, stop = [], [], [], [], []
+    kg, doc, th, start, stop = (np.empty(0, np.int64) for _ in range(5))
     plain = table.filter(pc.invert(table["known"]))
-    bodies, sizes, lefts, docs, times, hashes, starts, groups = b"", b"", b"", [], [], [], [], []
-    for r in table.filter(table["known"]).to_pylist():
-        kg += [r["kg"]] * len(r["doc"])
-        doc, th, start, stop = doc + r["doc"], th + r["text_hash"], start + r["start"], stop + r["stop"]
+    flat = lambda t, c: np.concatenate([np.asarray(x.flatten()) for x in t[c].chunks]).astype(np.int64)
+    known = table.filter(table["known"])
+    if len(known):
+        doc, th, start, stop = (flat(known, c) for c in ("doc", "text_hash", "start", "stop"))
+        kg = np.repeat(known["kg"].to_numpy(), pc.list_value_length(known["doc"]).to_numpy())
     if len(plain):
-        flat = lambda c, t: np.concatenate([np.asarray(x.values) for x in plain[c].chunks]).astype(t)
         bodies, sizes, lefts = (b"".join(plain[c].to_pylist()) for c in ("body", "sizes", "lefts"))
         size, left = np.frombuffer(sizes, np.uint8).astype(np.int64), np.frombuffer(lefts, np.uint8).astype(np.int64)
-        docs, times, hashes, starts = flat("doc", np.int64), flat("times", np.int64), flat("text_hash", np.int64), flat("start", np.int64)
-        groups = np.repeat(plain["kg"].to_numpy(), [len(x) for x in plain["doc"]])
+        docs, times, hashes, starts = (flat(plain, c) for c in ("doc", "times", "text_hash", "start"))
+        groups = np.repeat(plain["kg"].to_numpy(), pc.list_value_length(plain["doc"]).to_numpy())
         n = len(size)
         piece = np.repeat(np.arange(n), size)
         column = np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(SPAN - 1 - left, size)
         symbols = np.zeros((COLUMNS, n), np.uint16)
         symbols[column, piece] = np.frombuffer(bodies, np.uint8).astype(np.uint16) + 1
         mask = column_wise(symbols, SPAN - 1 - left, size - LENGTH + 1, docs)
-        at = np.cumsum(times) - times
-        for i in np.flatnonzero(mask).tolist():
-            for a, b in runs_of(int(mask[i])):
-                for j in range(int(at[i]), int(at[i] + times[i])):
-                    kg.append(int(groups[i]))
-                    doc.append(int(docs[i]))
-                    th.append(int(hashes[j]))
-                    start.append(int(starts[j]) + a)
-                    stop.append(int(starts[j]) + b + LENGTH)
-    order, found, first, last = _by_key(np.array(kg, np.int64))
-    doc, th, start, stop = (np.array(x, np.int64)[order] for x in (doc, th, start, stop))
+        hit, low, high = mask_runs(mask)
+        # every run at every place of its piece
+        at = np.repeat((np.cumsum(times) - times)[hit], times[hit])
+        at += np.arange(len(at)) - np.repeat(np.cumsum(times[hit]) - times[hit], times[hit])
+        piece, low, high = (np.repeat(x, times[hit]) for x in (hit, low, high))
+        kg, doc = np.concatenate([kg, groups[piece]]), np.concatenate([doc, docs[piece]])
+        th = np.concatenate([th, hashes[at]])
+        start, stop = np.concatenate([start, starts[at] + low]), np.concatenate([stop, starts[at] + high + LENGTH])
+    order, found, first, last = _by_key(np.asarray(kg, np.int64))
+    doc, th, start, stop = (np.asarray(x, np.int64)[order] for x in (doc, th, start, stop))
     cut = lambda x, t: _lists([x[a:b].astype(t) for a, b in zip(first, last)], pa.int64() if t is np.int64 else pa.int32())
     return pa.table({"kg": pa.array(found.astype(np.int32)), "doc": cut(doc, np.int64), "text_hash": cut(th, np.int64),
                      "start": cut(start, np.int32), "stop": cut(stop, np.int32)})
