@@ -11,7 +11,8 @@ DRAWS = 10                                  # random subsets per rate
 STEP = 6                                    # hash bits from one draw to the next
 LEVELS = 5                                  # rates 1/4, 1/16 ... 1/1024
 LEVEL_BITS = 2
-NO_TERM = "-"
+NO_ID = -(1 << 63)                          # key of rows without an id; such an id itself is not supported
+NO_TERM = 0                                 # the hash of a subset without terms
 
 
 def terms(text: Column) -> Column:
@@ -32,11 +33,11 @@ def lexicon(docs: DataFrame, low: float = LOW_SHARE, high: float = HIGH_SHARE) -
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, bitmap: Column) -> DataFrame:
-    """Adds ``name``: one short hash per (rate, draw), ``-`` for a subset that holds no term of the text.
+    """Adds ``name``: a 32-bit hash per (rate, draw), 0 for a subset that holds no term of the text.
 
     A term's 64 hash bits decide its subsets: draw j looks at bits 6 j and up, and a lower rate asks for two more zero
     bits. The distinct lexicon terms are sorted by hash and each subset is hashed as a whole. A text
-    without lexicon terms is hashed by all its terms.
+    without lexicon terms is hashed by all its terms, in two numbers.
     """
     h, kept = f"__{name}_all", f"__{name}_0"
     df = df.withColumn("__bitmap", bitmap)
@@ -51,8 +52,8 @@ def with_fingerprint(df: DataFrame, text: str, name: str, bitmap: Column) -> Dat
         else:
             df = df.withColumn(now, F.expr(
                 f"transform(__{name}_{level - 1}, (a, j) -> filter(a, x -> (shiftright(x, {STEP} * j) & {mask}L) = 0L))"))
-        marks.append(F.expr(f"transform({now}, a -> if(size(a) = 0, '{NO_TERM}', lower(right(hex(xxhash64(a)), 8))))"))
-    fallback = F.array(F.concat(F.lit("all"), F.hex(F.xxhash64(F.array_sort(h)))))
+        marks.append(F.expr(f"transform({now}, a -> if(size(a) = 0, {NO_TERM}, hash(a) | 1))"))
+    fallback = F.expr(f"array(hash(array_sort({h})), hash(xxhash64(array_sort({h}))))")
     return df.withColumn(name, F.when(F.size(kept) == 0, fallback).otherwise(F.concat(*marks))).drop(
         h, kept, "__bitmap", *[f"__{name}_{k}" for k in range(1, LEVELS + 1)])
 
@@ -63,13 +64,18 @@ def likeness(a: str, b: str) -> Column:
     Fingerprints of all terms (no lexicon term in the text) are alike only if equal.
     """
     level = (f"transform(sequence(0, {LEVELS - 1}), s -> named_struct("
-             f"'held', size(filter(sequence(1, {DRAWS}), j -> get({a}, s * {DRAWS} + j - 1) != '{NO_TERM}' "
-             f"or get({b}, s * {DRAWS} + j - 1) != '{NO_TERM}')), "
-             f"'same', size(filter(sequence(1, {DRAWS}), j -> get({a}, s * {DRAWS} + j - 1) != '{NO_TERM}' "
+             f"'held', size(filter(sequence(1, {DRAWS}), j -> get({a}, s * {DRAWS} + j - 1) != {NO_TERM} "
+             f"or get({b}, s * {DRAWS} + j - 1) != {NO_TERM})), "
+             f"'same', size(filter(sequence(1, {DRAWS}), j -> get({a}, s * {DRAWS} + j - 1) != {NO_TERM} "
              f"and get({a}, s * {DRAWS} + j - 1) = get({b}, s * {DRAWS} + j - 1)))))")
     best = f"array_max(transform({level}, x -> if(x.held * 2 >= {DRAWS}, x.same / x.held, 0D)))"
     return (F.when(F.col(a) == F.col(b), F.lit(1.0))
-            .when((F.size(a) == 1) | (F.size(b) == 1), F.lit(0.0)).otherwise(F.expr(best)))
+            .when((F.size(a) == 2) | (F.size(b) == 2), F.lit(0.0)).otherwise(F.expr(best)))
+
+
+def as_text(name: str) -> Column:
+    """The numbers as one string of hexadecimal digits."""
+    return F.array_join(F.transform(name, lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
 
 
 def next_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -96,12 +102,14 @@ def edited_texts(docs: DataFrame, following: DataFrame) -> DataFrame:
 
     A document ships only the prefix that its receiver needs.
     """
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    givers = docs.withColumn("copy", one).where("copy = 1").select(F.col("doc_id").alias("next_id"), "text")
+    givers = docs.select(F.col("k").alias("next_id"), "text")
     given = (following.join(givers, "next_id")
-             .select("doc_id", "next_id", F.expr("substring(text, 1, need)").alias("prefix")))
+             .select(F.col("doc_id").alias("k"), "next_id", F.expr("substring(text, 1, need)").alias("prefix")))
+    # an id that repeats gives several prefixes: the first one is that of its first text
+    first = F.row_number().over(Window.partitionBy("k").orderBy("prefix"))
+    given = given.withColumn("copy", first).where("copy = 1").drop("copy")
     n, cut = F.length("text"), F.expr("cast(floor(length(text) / 3) as int)")
-    return (docs.join(given, "doc_id", "left").withColumn("n_chars", n.cast("long"))
+    return (docs.join(given, "k", "left").withColumn("n_chars", n.cast("long"))
             .withColumn("edited", F.concat(
                 F.substring("text", F.lit(1), n - cut), F.coalesce(F.substring("prefix", F.lit(1), cut), F.lit("")))))
 
@@ -114,18 +122,21 @@ def fingerprints(docs: DataFrame, scratch: Scratch) -> DataFrame:
     different id, the alphabetically first text where that id repeats. Empty table: empty result.
     Other columns are not read.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    following = scratch.write(next_documents(rows, scratch), "next")
+    # a key without nulls and nothing but the text next to it: both uses of the texts by key share one exchange
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"),
+                       F.coalesce("text", F.lit("")).alias("text"))
+    id_or_null = F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id")
+    following = scratch.write(next_documents(docs, scratch), "next")
     bitmap = lexicon(rows)
     both = with_fingerprint(edited_texts(rows, following), "text", "own", bitmap)
     both = with_fingerprint(both, "edited", "changed", bitmap)
-    done = scratch.write(both.select("doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+    done = scratch.write(both.select(id_or_null, "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                                      "own", "changed", F.xxhash64("text").alias("of")), "done")
     first = (done.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("of")))
              .where("copy = 1").select(F.col("doc_id").alias("next_id"), F.col("own").alias("next_own")))
     return (done.join(first, "next_id", "left")
             .select("doc_id", "n_chars", "edited_sha256",
-                    F.array_join("own", "").alias("fingerprint"), F.array_join("changed", "").alias("edited_fingerprint"),
+                    as_text("own").alias("fingerprint"), as_text("changed").alias("edited_fingerprint"),
                     likeness("own", "changed").alias("near_edited"),
                     F.coalesce(likeness("own", "next_own"), F.lit(0.0)).alias("near_next")))
 
