@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm.common import Scratch, read_table
+from textloom.llm.common import Scratch, read_table, ship_code
 from textloom.llm.language_id import keep_identified
 from textloom.llm.mixing import mix_sources
 from textloom.llm.near_dedup import drop_near_duplicates
@@ -21,6 +21,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognised language (null or letterless texts)."""
+    ship_code(spark)
     return keep_identified(docs)
 
 
@@ -31,6 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind."""
+    ship_code(spark)
     return redact_pii(docs)
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +17,31 @@ FOLDS = 5                       # fixed by the contract: crc32(doc_id as text) m
 VOCAB_FILES = ("byte_bpe_50k.tiktoken", "piece_bpe_32k.model")
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, as their Python may not find it otherwise.
+
+    The archive is the driver's own; Spark serves it to the executors. No data goes this way.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="textloom-code-"), "textloom_code.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
+    sc.addPyFile(archive)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -37,6 +65,7 @@ class Scratch:
     """Written intermediate tables in the shared checkpoint folder, removable once they are used up."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_code(spark)
         self.spark, self.name, self.paths = spark, name, {}
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
