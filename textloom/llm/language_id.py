@@ -87,10 +87,11 @@ def fit(docs: DataFrame, max_per_lang: int = MAX_TRAIN_PER_LANG, max_langs: int
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, max_per_lang / r["count"]))).otherwise(share)
     sample = rows.where(F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 30)) < share * float(1 << 30))
     counts = (sample.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long")
-              .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
+              .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
     matrix = np.full((1 << BITS, len(langs)), SMOOTHING)
     place = {lang: i for i, lang in enumerate(langs)}
-    matrix[counts["bucket"].to_numpy(), counts["lang"].map(place).to_numpy()] += counts["n"].to_numpy()
+    column = np.array([place[x] for x in counts["lang"].to_pylist()], np.int64)
+    matrix[counts["bucket"].to_numpy(), column] += counts["n"].to_numpy()
     by_lang = {r["lang"]: r["count"] for r in sizes}
     prior = np.log([by_lang[x] for x in langs]) - np.log(sum(by_lang.values()))
     return langs, np.log(matrix / matrix.sum(0)).astype(np.float32), prior
