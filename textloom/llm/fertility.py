@@ -17,7 +17,7 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 BLOCK = 1 << 21                    # characters worked on at once
 MIN_TOKENS = 50                    # a shorter text is not judged by its token statistics
-WIDTH = 4.0                        # a band reaches this many central half-widths beyond the 1 % and 99 % points
+WIDTH = 1.0                        # a band reaches so many times from the median to the 1 % and 99 % points beyond these
 BINS = 400
 
 #: Unicode blocks by script (fixed values): first and last code point, script.
