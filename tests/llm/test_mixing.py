@@ -37,3 +37,12 @@ def test_odd_rows_and_reruns(spark, make_docs, odd_rows):
 def test_no_python_in_plan(make_docs):
     plan = M.mix_sources(make_docs([(1, "a")], extra=False))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_texts_are_dealt_once(make_docs, monkeypatch):
+    docs = make_docs([(i, f"t{i}", "en", f"s{i % 40}") for i in range(400)], extra=False)
+    plan = M.mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    few = sorted(map(repr, M.mix_sources(docs).collect()))
+    monkeypatch.setattr(M, "MAX_BROADCAST_SOURCES", 1)
+    assert sorted(map(repr, M.mix_sources(docs).collect())) == few
