@@ -9,7 +9,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import blocks, code_points, hash_share, held_out, read_table, segment_sum, strings
+from .common import blocks, code_points, held_out, read_table, segment_sum, strings
 
 BITS = 16                  # n-gram buckets: 2^16
 SIZES = (1, 2, 3)          # n-gram lengths
@@ -37,8 +37,7 @@ def _buckets(texts: list[str]):
     codes, off = code_points([t.lower() for t in texts])
     letter = _letters()[codes]
     c = np.where(letter, codes, np.uint32(32))
-    inside = np.zeros(len(c), bool)
-    inside[:] = True
+    inside = np.ones(len(c), bool)
     inside[off[1:] - 1] = inside[off[1:] - 2] = False
     after = np.concatenate([letter[1:], [False]])
     grams, h = [], np.zeros(len(c), np.uint32)
