@@ -82,6 +82,13 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def small(batches, rows: int = 1024):
+    """The batches in slices of so many rows: what is made of a slice in Python is gone before the next one."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the row offsets into them; a null is empty."""
     column = pc.fill_null(column, "") if column.null_count else column

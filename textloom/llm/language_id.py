@@ -9,7 +9,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import blocks, code_points, held_out, read_table, segment_sum, strings
+from .common import blocks, code_points, held_out, read_table, segment_sum, small, strings
 
 BITS = 16                  # n-gram buckets: 2^16
 SIZES = (1, 2, 3)          # n-gram lengths
@@ -19,7 +19,7 @@ MAX_TRAIN_PER_LANG = 4_000
 #: Languages the model can hold (the most frequent ones): bounds the broadcast matrix to 200 x 2^16 floats.
 MAX_LANGS = 200
 UNKNOWN = "und"
-BLOCK = 1 << 20            # code points worked on at once
+BLOCK = 1 << 19            # code points worked on at once
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -53,7 +53,7 @@ def _buckets(texts: list[str]):
 def _count(batches):
     """Counts per (language, bucket) of one partition, and its documents per language."""
     sums: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in small(batches):
         langs, texts = batch["lang"].to_pylist(), strings(batch["text"])
         order = sorted(range(len(langs)), key=lambda i: langs[i])
         for a, b in blocks([len(texts[i]) for i in order], BLOCK):
@@ -138,7 +138,7 @@ def identify(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
 
     def predict(batches):
         langs, matrix, prior = model.value
-        for batch in batches:
+        for batch in small(batches):
             best, score = score_texts(strings(batch["text"]), langs, matrix, prior)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["held_out"], pa.array(best, pa.string()), pa.array(score, pa.float64())],
@@ -159,7 +159,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
 
     def judge(batches):
         langs, matrix, prior = model.value
-        for batch in batches:
+        for batch in small(batches):
             best, score = score_texts(strings(batch.column(at)), langs, matrix, prior)
             keep = [x != UNKNOWN and s >= min_score for x, s in zip(best, score)]
             yield batch.filter(pa.array(keep, pa.bool_()))

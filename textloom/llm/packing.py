@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
-from .common import Scratch, blocks, read_table, strings, vocab_path
+from .common import Scratch, blocks, read_table, small, strings, vocab_path
 
 WINDOW = 1024
 END = 0                        # closes every document
@@ -33,10 +33,14 @@ def _encoding(path: str):
                              special_tokens={SPECIAL: len(ranks)})
 
 
-def cut_pieces(docs: DataFrame, vocab: str | None = None, window: int = WINDOW) -> DataFrame:
+#: A digest of a piece: column, type, and a function of its ids. CRC-32 of little-endian unsigned 32-bit numbers.
+ids_crc32 = ("ids_crc32", "long", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
+
+
+def cut_pieces(docs: DataFrame, vocab: str | None = None, window: int = WINDOW, digest=None) -> DataFrame:
     """``doc_id, start, length, ids, doc_tokens``: every document's token ids and a closing 0, cut every ``window`` ids.
 
-    Full windows stand alone; the last piece is shorter unless the length divides. A map over the table: ids
+    With ``digest`` its column takes the place of ``ids``. Full windows stand alone; the last piece is shorter unless the length divides. A map over the table: ids
     stay with their row, and no id is moved.
     """
     path = vocab or vocab_path("byte_bpe_50k.tiktoken")
@@ -44,7 +48,7 @@ def cut_pieces(docs: DataFrame, vocab: str | None = None, window: int = WINDOW)
 
     def run(batches):
         enc = _encoding(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = strings(batch["text"])
             for a, b in blocks([len(t) for t in texts], BLOCK):
                 at, start, ids, total = [], [], [], []
@@ -56,14 +60,18 @@ def cut_pieces(docs: DataFrame, vocab: str | None = None, window: int = WINDOW)
                         ids.append(own[s:s + window])
                         total.append(len(own))
                 off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                if digest:
+                    content = pa.array([digest[2](x) for x in ids])
+                else:
+                    content = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].take(pa.array(at, pa.int64())), pa.array(start, pa.int64()),
-                     pa.array(np.diff(off).astype(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids))), pa.array(total, pa.int64())],
-                    names=["doc_id", "start", "length", "ids", "doc_tokens"])
+                     pa.array(np.diff(off).astype(np.int64)), content, pa.array(total, pa.int64())],
+                    names=["doc_id", "start", "length", digest[0] if digest else "ids", "doc_tokens"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, ids array<int>, doc_tokens long")
+    column = f"{digest[0]} {digest[1]}" if digest else "ids array<int>"
+    return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, {column}, doc_tokens long")
 
 
 def combinations(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, ...]]:
@@ -193,36 +201,18 @@ def assign_sequences(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
         place, f"{schema}, sequence_id long, offset long")
 
 
-def ids_crc32(ids: DataFrame, column: str = "ids") -> DataFrame:
-    """``ids`` replaced by ``ids_crc32``: CRC-32 of the ids as little-endian unsigned 32-bit numbers."""
-    keep = [c for c in ids.columns if c != column]
-
-    def run(batches):
-        for batch in batches:
-            lists = batch[column]
-            flat = np.asarray(lists.values, np.uint32)
-            off = lists.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(off[:-1], off[1:])]
-            yield pa.RecordBatch.from_arrays([batch[c] for c in keep] + [pa.array(crc, pa.int64())],
-                                             names=[*keep, "ids_crc32"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema.fields if f.name != column)
-    return ids.mapInArrow(run, f"{schema}, ids_crc32 long")
-
-
 def pack(docs: DataFrame, scratch: Scratch, vocab: str | None = None, window: int = WINDOW, digest=None) -> DataFrame:
     """Packs all documents into sequences of at most ``window`` tokens: one row per piece.
 
-    ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``; with ``digest`` (a function of the cut pieces that
-    replaces ``ids``) the ids are digested where they were made and never shuffled. Every id lies in exactly one
+    ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``; with ``digest`` (such as ``ids_crc32``, whose column
+    replaces ``ids``) the ids are digested where they were made and never leave the task. Every id lies in exactly one
     piece; pieces of a sequence are gapless from offset 0; sequence ids run from 0 without gaps.
 
     Null or empty text: the closing 0 alone. Repeated rows and ids: every row is packed. Empty table: empty
     result. A text's ``<|endoftext|>`` is that special token, as in the vocabulary's own encoder. Very long texts
     become many full windows. Other columns are not read.
     """
-    cut = cut_pieces(docs, vocab, window)
-    cut = (digest(cut) if digest else cut).withColumn("piece", F.monotonically_increasing_id())
+    cut = cut_pieces(docs, vocab, window, digest).withColumn("piece", F.monotonically_increasing_id())
     return assign_sequences(scratch.write(cut, "pieces"), window).drop("piece")
 
 
