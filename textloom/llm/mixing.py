@@ -6,10 +6,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import read_table
+from .common import Scratch, read_table
 
 SEED = "mix-1"
 MAX_RATE = 16.0            # the most mean repetitions a source may get, whatever its weight
+MAX_BROADCAST_SOURCES = 10_000   # up to here the table of sources (at most 7 MB) goes to every executor
 BITS = 52                  # uniform numbers on a grid of 2^-52: the same in every engine
 
 
@@ -64,18 +65,20 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, seed: str = SEED,
 
     The output is shuffled globally: rows are dealt by a hash of (seed, doc_id, copy, text) and sorted by it within
     partitions, so a hot source or a large document family spreads evenly. The only other exchange is the size
-    per source, which is pre-aggregated; its table meets the documents in a join that Spark broadcasts if small.
+    per source, which is pre-aggregated. Its table is written and counted: up to ``MAX_BROADCAST_SOURCES`` rows it is
+    broadcast, so that texts are not dealt by source; beyond, it is a plain join.
 
     Nulls: a null source is a source of its own; a null ``doc_id`` counts as the text "null"; a null or empty
     text is copied like any other. Repeated rows of one id get the same number each. An empty table gives an
     empty result. A column of ``docs`` named ``copy`` is replaced; all others pass through, whatever their names.
     """
     cols = [c for c in docs.columns if c != "copy"]
-    rates = (source_rates(docs, weights, max_rate)
-             .select(F.col("source").alias("__mix_source"), poisson_cdf(F.col("rate"), max_rate).alias("__mix_cdf")))
+    rates = Scratch(docs.sparkSession, "mix").write(source_rates(docs, weights, max_rate), "rates")
+    few = rates.count() <= MAX_BROADCAST_SOURCES
+    rates = rates.select(F.col("source").alias("__mix_source"), poisson_cdf(F.col("rate"), max_rate).alias("__mix_cdf"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     joined = docs.select(*[F.col(f"`{c}`") for c in cols]).join(
-        rates, F.col("source").eqNullSafe(F.col("__mix_source")), "left")
+        F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("__mix_source")), "left")
     u = uniform(F.lit(seed), key)
     # copies = how many cumulative probabilities lie below the uniform number
     copies = F.aggregate("__mix_cdf", F.lit(0), lambda n, c: n + (c < F.col("__mix_u")).cast("int"))
