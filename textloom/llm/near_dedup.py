@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Scratch, bitset, blocks, in_bitset, read_table, utf8_rows
+from .common import Scratch, bitset, blocks, hash_share, in_bitset, read_table, small, utf8_rows
 from .components import connected_components
 
 WORDS = 5
@@ -17,8 +17,11 @@ SIMILARITY = 85                # per cent, of intersection to union
 SKETCH = 64                    # smallest hash values kept for the estimate
 MAX_PARTS = 40                 # hash slices of one document that become keys
 SPARE_PARTS = 3
-CACHE = 1 << 20                # distinct words whose hashes a worker remembers
+LEAST_PARTS = 10               # in a set of six values, fewer equal slices might all be empty
+CACHE = 1 << 18                # distinct words whose hashes a worker remembers
 BLOCK = 1 << 20                # bytes worked on at once
+COUNT_SAMPLE = 20_000          # texts that set the order of values by frequency
+COUNT_SLOTS = 1 << 20
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -73,7 +76,7 @@ def band_parts(band: int, similarity: int = SIMILARITY) -> int:
     """Hash slices of a band: more than two linked sets of the band can differ in elements."""
     largest = 6 * 2 ** (band / 2)
     differ = int((100 - similarity) / (100 + similarity) * 2 * largest)
-    return differ + 1 + SPARE_PARTS if differ else 0
+    return max(differ + 1 + SPARE_PARTS, LEAST_PARTS) if differ else 0
 
 
 def slice_keys(values: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
@@ -109,7 +112,7 @@ def sketch(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
     def run(batches):
         known = _WordHashes()
-        for batch in batches:
+        for batch in small(batches):
             texts = utf8_rows(batch["text"])
             for a, b in blocks([len(t) for t in texts], BLOCK):
                 sets = shingle_sets(texts[a:b], known)
@@ -139,7 +142,7 @@ def estimated(pairs: DataFrame, sketches: DataFrame, similarity: int = SIMILARIT
     t = similarity / 100
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             keep = []
             for na, nb, la, lb in zip(*(batch[c].to_pylist() for c in ("na", "nb", "la", "lb"))):
                 x, y = np.frombuffer(la, np.uint32), np.frombuffer(lb, np.uint32)
@@ -160,7 +163,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY)
     def run(batches):
         known = _WordHashes()
         last = {}
-        for batch in batches:
+        for batch in small(batches):
             ta, tb = utf8_rows(batch["ta"]), utf8_rows(batch["tb"])
             keep = []
             for i, j, x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), ta, tb):
@@ -174,15 +177,95 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY)
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def value_counts(texts: DataFrame, bound: int = COUNT_SAMPLE) -> np.ndarray:
+    """How often hash values occur, by their lowest bits, in about ``bound`` of the texts: an order for ``rare_prefixes``.
+
+    Any order gives right results; this one puts the values of large groups of copies last.
+    """
+    share = min(1.0, bound / max(1, texts.count()))
+
+    def run(batches):
+        known, total = _WordHashes(), np.zeros(COUNT_SLOTS, np.int32)
+        for batch in small(batches):
+            body = utf8_rows(batch["text"])
+            for a, b in blocks([len(t) for t in body], BLOCK):
+                sets = np.concatenate(shingle_sets(body[a:b], known))
+                total += np.bincount((sets & np.uint64(COUNT_SLOTS - 1)).astype(np.int64), minlength=COUNT_SLOTS).astype(np.int32)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["slot", "n"])
+
+    got = (texts.where(hash_share(share, 9, "node")).select("text").mapInArrow(run, "slot long, n long")
+           .groupBy("slot").agg(F.sum("n").alias("n")).toArrow())
+    counts = np.zeros(COUNT_SLOTS, np.int32)
+    counts[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return counts
+
+
+def parities(values: np.ndarray) -> np.ndarray:
+    """256 bits as four numbers: the parity of how many values fall into each of 256 hash ranges.
+
+    Every value that only one of two sets has flips one bit, so the sets differ in at least as many values as
+    their bits do.
+    """
+    odd = np.bincount((values >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def rare_prefixes(texts: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """``node, label, n, value, place`` and parities ``p0`` to ``p3``: each set's rarest values, as many as can hold the
+    first value shared with a linked set, by rising frequency."""
+    counts = texts.sparkSession.sparkContext.broadcast(value_counts(texts))
+
+    def run(batches):
+        known = _WordHashes()
+        for batch in small(batches):
+            body = utf8_rows(batch["text"])
+            for a, b in blocks([len(t) for t in body], BLOCK):
+                values = []
+                sets = shingle_sets(body[a:b], known)
+                for s in sets:
+                    order = np.lexsort((s, counts.value[(s & np.uint64(COUNT_SLOTS - 1)).astype(np.int64)]))
+                    values.append(s[order][:len(s) - -(-similarity * len(s) // 100) + 1].view(np.int64))
+                times = [len(v) for v in values]
+                row = pa.array(np.repeat(np.arange(a, b), times))
+                bits = np.repeat(np.stack([parities(s) for s in sets]), times, axis=0)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["node"].take(row), batch["label"].take(row), pa.array(np.repeat([len(s) for s in sets], times)),
+                     pa.array(np.concatenate(values)), pa.array(np.concatenate([np.arange(1, k + 1) for k in times])),
+                     *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4))],
+                    names=["node", "label", "n", "value", "place", "p0", "p1", "p2", "p3"])
+
+    return texts.select("node", "label", "text").mapInArrow(
+        run, "node long, label long, n long, value long, place long, p0 long, p1 long, p2 long, p3 long")
+
+
+def cross_pairs(prefixes: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """Pairs of different components whose sets may be linked: they share a value so early in the common order that
+    the values from there on can still reach the overlap that their sizes ask for, and their parities differ in no more
+    bits than linked sets can differ in values. Both bounds hold for every linked pair."""
+    a, b = (prefixes.select("value", *[F.col(c).alias(f"{c}_{side}") for c in prefixes.columns if c != "value"])
+            for side in "ab")
+    both = F.col("n_a") + F.col("n_b")
+    overlap = F.floor((both * similarity + (99 + similarity)) / (100 + similarity))
+    apart = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(1, 4)),
+                F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))))
+    fits = ((F.col("label_a") < F.col("label_b")) & (apart <= both - 2 * overlap)
+            & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similarity)
+            & (F.col("n_a") - F.col("place_a") + 1 >= overlap) & (F.col("n_b") - F.col("place_b") + 1 >= overlap))
+    return (a.join(b, (a["value"] == b["value"]) & fits)
+            .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+
+
 def components(docs: DataFrame, scratch: Scratch, similarity: int = SIMILARITY) -> DataFrame:
     """``row, doc_id, of, n, component``: every row of ``docs`` with the number of its component.
 
     Rows with equal shingle sets form a class; only one row per class goes on. Inverted lists under ``slice_keys`` give
     candidate pairs, in three rounds, each filtered by ``estimated`` and checked by ``confirmed`` on full sets:
     first every row with the smallest row of the list it shares most, then, per list, one row of each
-    component found so far with the list's first, then all pairs of a list that still lie in different components. A
-    group of copies collapses in the first two, so its pairs are never made; pairs inside one component could
-    add no link to the result.
+    component found so far with the list's first. A group of copies collapses in these two, so its pairs are never made.
+    What still shares a list across components meets once more under its rarest values (``cross_pairs``), which loses no
+    link and spares the pairs of a group whose members are all a little below the threshold. Pairs inside one component
+    could add no link to the result.
     """
     table = scratch.write(sketch(docs, similarity).withColumn("row", F.monotonically_increasing_id()), "sketches")
     some = table.where("digest IS NOT NULL")
@@ -219,11 +302,11 @@ def components(docs: DataFrame, scratch: Scratch, similarity: int = SIMILARITY)
             one = left.groupBy("key", "label").agg(F.min("node").alias("node"), F.min("lo").alias("lo"))
             hub = one.where("label = lo").select("key", F.col("node").alias("a"))
             pairs = one.where("label != lo").select("key", F.col("node").alias("b")).join(hub, "key")
+            pairs = pairs.select("a", "b").distinct()
         else:
-            x = left.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-            y = left.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = x.join(y, "key").where("la < lb")
-        more = links(pairs.select("a", "b").distinct(), f"links-{turn}")
+            loose = left.select("node", "label").distinct()
+            pairs = cross_pairs(rare_prefixes(scratch.write(texts.join(loose, "node"), "loose"), similarity), similarity)
+        more = links(pairs, f"links-{turn}")
         edges = edges.unionByName(more)
         labels = scratch.write(connected_components(edges, scratch, f"parts-{turn}"), f"labels-{turn}")
 
