@@ -76,6 +76,14 @@ def test_odd_rows(make_docs, odd_rows, scratch):
     assert N.drop_near_duplicates(docs.limit(0), scratch()).count() == 0
 
 
+def test_one_row_of_few_words(make_docs, scratch):
+    for n in range(1, 7):
+        text = " ".join(f"w{i}" for i in range(n))
+        assert [len(x) for x in N.shingle_sets([text.encode()], N._WordHashes())] == [max(1, n - 4)]
+        if n == 3:
+            assert result(N.near_duplicates(make_docs([(1, text)], parts=1), scratch())) == brute([(1, text)])
+
+
 def test_a_common_passage_links_nothing(make_docs, scratch):
     rng = random.Random(1)
     passage = " ".join(f"p{i}" for i in range(60))

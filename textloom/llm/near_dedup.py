@@ -48,9 +48,10 @@ def shingle_sets(texts: list[bytes], known: _WordHashes, words: int = WORDS) ->
     counts = np.fromiter(map(len, split), np.int64, len(split))
     flat = np.fromiter((known[w] for own in split for w in own), np.uint64, int(counts.sum()))
     step = np.uint64(0x9E3779B97F4A7C15)
-    h = np.zeros(max(0, len(flat) - words + 1), np.uint64)
+    m = max(0, len(flat) - words + 1)
+    h = np.zeros(m, np.uint64)
     for k in range(words):
-        h = h * step + flat[k:len(flat) - words + 1 + k]
+        h = h * step + flat[k:k + m]
     h = _mix(h)
     out, start = [], 0
     for n in counts.tolist():
