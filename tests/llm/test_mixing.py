@@ -17,6 +17,20 @@ def test_rates_reach_the_target(spark, make_docs):
     assert {r.source for r in weighted} == {"s0", "s3"}
 
 
+def test_tiny_sources_reach_the_target(make_docs, monkeypatch):
+    """Means far above the inversion table's: 250 and 750 copies a document."""
+    monkeypatch.setattr(M, "COPY_BLOCK", 100)
+    rows = [(i, "x" * 50, "en", f"s{i % 2}") for i in range(3000)] + [(5000 + i, "y" * 50, "en", "t3") for i in range(3)]
+    rows += [(6000, "z" * 50, "en", "t1")]
+    docs = make_docs(rows, extra=False)
+    got = M.mix_sources(docs).groupBy("source").agg(M.F.sum(M.F.length("text")).alias("size")).collect()
+    target = 50 * len(rows) / 4
+    assert {r.source for r in got} == {"s0", "s1", "t1", "t3"}
+    assert all(abs(r["size"] / target - 1) < 0.1 for r in got)
+    one = [r.copy for r in M.mix_sources(docs).where("doc_id = 6000").collect()]
+    assert sorted(one) == list(range(1, len(one) + 1))
+
+
 def test_poisson_numbers(spark):
     cdf = spark.range(1).select(M.poisson_cdf(M.F.lit(2.5), 16.0).alias("c")).first().c
     assert abs(cdf[0] - 0.0820849986) < 1e-9 and abs(cdf[3] - 0.757576) < 1e-5 and cdf[-1] > 1 - 1e-12

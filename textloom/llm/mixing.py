@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import Scratch, read_table
 
 SEED = "mix-1"
-MAX_RATE = 16.0            # the most mean repetitions a source may get, whatever its weight
+MAX_RATE = 16.0            # up to this mean, copies are a Poisson number; above, whole copies and a Poisson number of the rest
+COPY_BLOCK = 1 << 16       # copies of one row that are listed at once
 MAX_BROADCAST_SOURCES = 10_000   # up to here the table of sources (at most 7 MB) goes to every executor
 BITS = 52                  # uniform numbers on a grid of 2^-52: the same in every engine
 
@@ -20,11 +21,12 @@ def uniform(*parts) -> Column:
     return (F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("double") + 0.5) / float(1 << BITS)
 
 
-def source_rates(docs: DataFrame, weights: dict | None = None, max_rate: float = MAX_RATE) -> DataFrame:
+def source_rates(docs: DataFrame, weights: dict | None = None, max_rate: float | None = None) -> DataFrame:
     """``source, rate``: the mean repetitions that bring each source's characters to its target weight.
 
     Sizes are counted over all documents (an empty or null text counts as one character), pre-aggregated per
-    task. Without ``weights`` all sources weigh the same; otherwise a missing source weighs 0.
+    task. Without ``weights`` all sources weigh the same; otherwise a missing source weighs 0. A ``max_rate`` cuts
+    the means, and sources that it cuts stay below their target; by default there is none.
     """
     sizes = docs.groupBy("source").agg(
         F.sum(F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1))).alias("size"))
@@ -39,7 +41,8 @@ def source_rates(docs: DataFrame, weights: dict | None = None, max_rate: float =
     total = totals.select("total").scalar()
     share = totals.select("weights").scalar()
     rate = total.cast("double") * F.col("weight") / (share * F.col("size")).cast("double")
-    return weighted.select("source", F.least(F.coalesce(rate, F.lit(0.0)), F.lit(float(max_rate))).alias("rate"))
+    rate = F.coalesce(rate, F.lit(0.0))
+    return weighted.select("source", (rate if max_rate is None else F.least(rate, F.lit(float(max_rate)))).alias("rate"))
 
 
 def poisson_cdf(rate: Column, max_rate: float) -> Column:
@@ -55,13 +58,14 @@ def poisson_cdf(rate: Column, max_rate: float) -> Column:
 
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, seed: str = SEED,
-                max_rate: float = MAX_RATE) -> DataFrame:
+                max_rate: float | None = None) -> DataFrame:
     """The columns of ``docs`` and ``copy`` (1, 2, ...): each document as often as a Poisson number says.
 
     The number inverts the Poisson distribution of mean ``source_rates`` at a uniform number hashed from (seed,
     doc_id): a rerun, another partitioning or a lost executor gives the same rows. A document may get no copy:
-    that is the operator's purpose for a source above its target. ``max_rate`` bounds the repetitions of a
-    tiny source and so the length of the inversion table.
+    that is the operator's purpose for a source above its target. The inversion table ends at a mean of ``MAX_RATE``:
+    a document of a source with a larger mean gets its integer part as whole copies, and a Poisson number of the
+    rest, so that every source meets its target however small it is.
 
     The output is shuffled globally: rows are dealt by a hash of (seed, doc_id, copy, text) and sorted by it within
     partitions, so a hot source or a large document family spreads evenly. The only other exchange is the size
@@ -75,15 +79,20 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, seed: str = SEED,
     cols = [c for c in docs.columns if c != "copy"]
     rates = Scratch(docs.sparkSession, "mix").write(source_rates(docs, weights, max_rate), "rates")
     few = rates.count() <= MAX_BROADCAST_SOURCES
-    rates = rates.select(F.col("source").alias("__mix_source"), poisson_cdf(F.col("rate"), max_rate).alias("__mix_cdf"))
+    whole = F.when(F.col("rate") > MAX_RATE, F.floor("rate")).otherwise(F.lit(0).cast("long"))
+    rates = rates.select(F.col("source").alias("__mix_source"), whole.alias("__mix_whole"),
+                         poisson_cdf(F.col("rate") - whole, MAX_RATE).alias("__mix_cdf"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     joined = docs.select(*[F.col(f"`{c}`") for c in cols]).join(
         F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("__mix_source")), "left")
     u = uniform(F.lit(seed), key)
     # copies = how many cumulative probabilities lie below the uniform number
-    copies = F.aggregate("__mix_cdf", F.lit(0), lambda n, c: n + (c < F.col("__mix_u")).cast("int"))
+    copies = F.col("__mix_whole") + F.aggregate("__mix_cdf", F.lit(0), lambda n, c: n + (c < F.col("__mix_u")).cast("int"))
+    first = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_n"), F.lit(COPY_BLOCK).cast("long")))
+    last = F.least(F.col("__mix_n"), F.col("__mix_first") + (COPY_BLOCK - 1))
     rows = (joined.withColumn("__mix_u", u).withColumn("__mix_n", copies).where("__mix_n > 0")
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), "__mix_n")))
+            .withColumn("__mix_first", first)
+            .withColumn("copy", F.explode(F.sequence(F.col("__mix_first").cast("int"), last.cast("int"))))
             .withColumn("__mix_order", F.xxhash64(F.lit(seed), key, "copy", "text")))
     return rows.repartition("__mix_order").sortWithinPartitions("__mix_order").select(
         *[F.col(f"`{c}`") for c in cols], "copy")
