@@ -70,6 +70,18 @@ def test_bands_reject_what_the_tokeniser_breaks_up(make_docs, scratch):
     assert sum(got[i].kept for i in range(400)) == 400
 
 
+def test_bands_hold_whatever_the_share_of_junk(make_docs, scratch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(["the", "in", "ing", "er", "on", "st"]) for _ in range(rng.randrange(1, 4)))
+    clean = [(i, " ".join(word() for _ in range(120))) for i in range(450)]
+    noise = lambda: " ".join("".join(chr(rng.randrange(0x1F600, 0x1F640)) for _ in range(6)) + "ab" for _ in range(80))
+    for n in (1, 9, 50):                                    # 0.2, 2 and 10 per cent
+        rows = clean + [(1000 + i, noise()) for i in range(n)]
+        got = {r.doc_id: r.kept for r in T.judge(make_docs(rows), scratch()).collect()}
+        assert not any(got[1000 + i] for i in range(n))
+        assert all(got[i] for i, _ in clean)
+
+
 def test_odd_rows(make_docs, odd_rows, scratch):
     docs = make_docs(odd_rows)
     got = T.judge(docs, scratch()).collect()

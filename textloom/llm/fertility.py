@@ -17,7 +17,7 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 BLOCK = 1 << 21                    # characters worked on at once
 MIN_TOKENS = 50                    # a shorter text is not judged by its token statistics
-WIDTH = 1.0                        # a band reaches so many times from the median to the 1 % and 99 % points beyond these
+WIDTH = 3.0                        # a band reaches so many interquartile spreads from the median to either side
 BINS = 400
 
 #: Unicode blocks by script (fixed values): first and last code point, script.
@@ -30,6 +30,8 @@ SCRIPTS = [
 ]
 NAMES = ["None", "Other", *dict.fromkeys(name for _, _, name in SCRIPTS)]
 
+#: the least spread of a metric, where the quartiles are closer (a few emoji are no fault)
+LEAST_SPREAD = {"chars_per_token": 0.05, "byte_share": 0.02, "token_entropy": 0.05}
 #: metric -> (column, lowest, highest value that the histogram tells apart)
 METRICS = {"chars_per_token": (0.0, 20.0), "byte_share": (0.0, 1.0), "token_entropy": (0.0, 20.0)}
 
@@ -145,8 +147,9 @@ def bands(measured: DataFrame, width: float = WIDTH) -> dict[tuple[str, str], tu
     """(script, metric) -> lowest and highest accepted value.
 
     One histogram per script over all judged documents, pre-aggregated per task; its size is bounded by scripts x
-    metrics x bins, whatever the corpus holds. The band runs from the 1 % point minus ``width`` times the distance to
-    the median (99 % point likewise): it rejects what lies far outside the corpus, never a fixed share of it.
+    metrics x bins, whatever the corpus holds. The band is the median plus and minus ``width`` interquartile spreads
+    (``LEAST_SPREAD`` at least, and one bin): it rejects what lies far outside the corpus, never a fixed share of it, and
+    junk of one kind does not set it while it is well under a quarter of the script's judged documents.
     """
     stack = ", ".join(f"'{m}', cast(floor((least({m}, {hi}) - {lo}) / {hi - lo} * {BINS}) as int)"
                       for m, (lo, hi) in METRICS.items())
@@ -162,8 +165,9 @@ def bands(measured: DataFrame, width: float = WIDTH) -> dict[tuple[str, str], tu
         step = (hi - lo) / BINS
         bins = np.array(sorted(counts))
         share = np.cumsum([counts[b] for b in bins]) / counts.total()
-        low, mid, high = (lo + step * (bins[np.searchsorted(share, q)] + 0.5) for q in (0.01, 0.5, 0.99))
-        out[script, metric] = (low - width * (mid - low + step), high + width * (high - mid + step))
+        low, mid, high = (lo + step * (bins[np.searchsorted(share, q)] + 0.5) for q in (0.25, 0.5, 0.75))
+        spread = max(LEAST_SPREAD[metric], high - low) + step
+        out[script, metric] = (mid - width * spread, mid + width * spread)
     return out
 
 
