@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.common import Scratch, read_table, ship_code
-from textloom.llm.language_id import keep_identified
+from textloom.llm.language_id import MIN_SCORE, keep_identified
 from textloom.llm.mixing import mix_sources
 from textloom.llm.near_dedup import drop_near_duplicates
 from textloom.llm.packing import ids_crc32, pack
@@ -20,9 +20,9 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognised language (null or letterless texts)."""
+    """Drops documents without a recognised language (null or letterless texts, or no language likelier than all others)."""
     ship_code(spark)
-    return keep_identified(docs)
+    return keep_identified(docs, MIN_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

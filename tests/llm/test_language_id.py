@@ -37,6 +37,21 @@ def test_nothing_to_learn_from(make_docs):
     assert L.keep_identified(docs.limit(0)).count() == 0
 
 
+def test_pipeline_stage_drops_unlearned_and_keeps_all_without_a_model(spark, make_docs):
+    import random
+
+    import corpus_pipeline as P
+    rng = random.Random(1)
+    rows = [(i, " ".join("".join(rng.choice(own) for _ in range(3)) for _ in range(30)), own)
+            for i in range(160) for own in [("abc", "def", "ghi", "jkl")[i % 4]]]
+    rows += [(1000, "\u043f\u0440\u0438\u0432\u0435\u0442", None), (1001, "123", None)]
+    kept = {r.doc_id for r in P.language_id(spark, make_docs(rows), "").collect()}
+    assert kept == set(range(160))
+    unlabelled = [(i, t, None) for i, t, _ in rows]
+    kept = {r.doc_id for r in P.language_id(spark, make_docs(unlabelled), "").collect()}
+    assert kept == {*range(160), 1000}
+
+
 def test_one_text_scores_alone_as_in_a_batch():
     langs, matrix, prior = ["a", "b"], L.np.log(L.np.random.default_rng(1).dirichlet([1, 1], 1 << L.BITS)), L.np.log([.5, .5])
     texts = ["abc def", "", "zzz", "x" * 3000, "déjà vu"]
