@@ -220,3 +220,9 @@ def test_dedup_keeps_the_smallest_id_and_tells_nulls_apart(spark):
     rows = [(3, "a", None), (1, "a", None), (2, None, "a"), (4, None, "a"), (5, "a", "a"), (6, "a", "b")]
     df = spark.createDataFrame(rows, "doc_id long, x string, y string")
     assert {r.doc_id for r in prep.dedup_first(df, ["x", "y"]).collect()} == {1, 2, 5, 6}
+
+
+def test_registered_prompt_queries_make_the_whole_number(spark):
+    from textloom.plans import catalog
+    rows = catalog.queries()["few_shot_sample"](spark, "/root/testdata/sf0.001").groupBy("label").agg(F.countDistinct("prompt_no").alias("n")).collect()
+    assert rows and {r.n for r in rows} == {10_000}

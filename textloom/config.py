@@ -60,5 +60,5 @@ DEFAULT = Config()
 # classifiers trained here: multinomial naive Bayes on words and on word pairs
 CLASSIFIERS = ("unigram_nb", "bigram_nb")
 ALPHAS = (1.0, 0.1)        # smoothing candidates, numbered from 1; validation chooses
-# prompts per label of the registered prompt queries: a run of its own size, the same at every table size
-QUERY_CONFIG = Config(n_per_label=250)
+# the registered prompt queries make the original's number of prompts per label, the same at every table size
+QUERY_CONFIG = DEFAULT
