@@ -37,6 +37,7 @@ SHORT, LONG = len(ALPHABETS), len(ALPHABETS) + 1   # numbers of the counts of or
 _CODE = np.zeros(129, np.int32)
 _CODE[[ord(c) for c in SYMBOLS]] = np.arange(1, K)
 IS_JOINT = np.array([False, *(c in JOINTS for c in SYMBOLS)])
+_CONTEXT = np.where(IS_JOINT, 0, np.arange(K)).astype(np.int32)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -64,11 +65,11 @@ def symbols(points: np.ndarray) -> np.ndarray:
 
 def cells(s: np.ndarray) -> np.ndarray:
     """The cell (two symbols before, symbol) of each position; a context ends where its run begins, and at a joint."""
-    one = np.concatenate([[0], s[:-1]])
-    one[IS_JOINT[one]] = 0
-    two = np.concatenate([[0, 0], s[:-2]])[:len(s)]
-    two[(one == 0) | IS_JOINT[two]] = 0
-    return (two * K + one) * K + s
+    context = _CONTEXT[s]
+    cell = s.copy()
+    cell[1:] += context[:-1] * K
+    cell[2:] += context[:-2] * (context[1:-1] > 0) * np.int32(K * K)
+    return cell
 
 
 def runs(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,17 +105,20 @@ def count_symbols(docs: DataFrame) -> DataFrame:
                         if (i := alphabet_of(value)) is not None:
                             values[i].append(value)
                 start, end = runs(s)
-                model = np.full(len(start), SHORT)
-                for j in np.flatnonzero(end - start >= MIN_LENGTH):
-                    model[j] = LONG + fold_of("".join(SYMBOLS[c - 1] for c in s[start[j]:end[j]]))
-                cell, owner = cells(s)[s > 0], np.repeat(model, end - start)
-                seen = [(i, cell[owner == i], int((model == i).sum())) for i in (SHORT, LONG, LONG + 1)]
+                cell, long = cells(s), [[], []]
+                for x, y in zip(start[end - start >= MIN_LENGTH], end[end - start >= MIN_LENGTH]):
+                    long[fold_of("".join(SYMBOLS[c - 1] for c in s[x:y]))].append(cell[x:y])
+                both = [x for own in long for x in own]
+                seen = [(SHORT, [cell], both, len(start) - len(both))]
+                seen += [(LONG + i, own, [], len(own)) for i, own in enumerate(long)]
                 for i, own in enumerate(values):
-                    x = symbols(code_points(own)[0]) if own else np.empty(0, np.int32)
-                    seen.append((i, cells(x)[x > 0] if own else x, len(own)))
-                for i, x, many in seen:
+                    seen.append((i, [cells(symbols(code_points(own)[0]))] if own else [], [], len(own)))
+                for i, plus, minus, many in seen:
                     if many:
-                        n = np.bincount(x, minlength=K ** 3)
+                        n = np.bincount(np.concatenate(plus), minlength=K ** 3)
+                        if minus:
+                            n -= np.bincount(np.concatenate(minus), minlength=K ** 3)
+                        n[::K] = 0                        # no symbol
                         total[i] = total[i] + n if i in total else n
                         number[i] = number.get(i, 0) + many
         for i, n in total.items():
