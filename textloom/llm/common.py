@@ -66,13 +66,14 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         ship_code(spark)
-        self.spark, self.name, self.paths = spark, name, {}
+        self.spark, self.name, self.paths, self.tables = spark, name, {}, {}
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
         path = scratch_path(self.spark, f"{self.name}-{label}")
         df.write.option("compression", "zstd").parquet(path)
         self.paths[label] = path
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.tables[label] = self.spark.read.schema(df.schema).parquet(path)
+        return self.tables[label]
 
     def drop(self, *labels: str) -> None:
         """Only for tables that no later, still lazy, step reads."""

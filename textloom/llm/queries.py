@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import fertility, fingerprint, language_id, mixing, near_dedup, packing, pii, quality, secrets_scan, \
-    suffix_dedup, url_filter
+from . import fertility, fingerprint, language_id, mixing, near_dedup, packing, pii, prefix_trie, quality, \
+    secrets_scan, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_imatch": fingerprint.op8_imatch,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_fertility_rules": fertility.op10_fertility_rules,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op13_secrets": secrets_scan.op13_secrets,
 }
 
