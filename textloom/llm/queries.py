@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import fertility, fingerprint, language_id, mixing, near_dedup, packing, pii, prefix_trie, quality, \
-    secrets_scan, suffix_dedup, url_filter
+    secrets_scan, suffix_dedup, url_filter, whitening
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_fertility_rules": fertility.op10_fertility_rules,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_whitening": whitening.op12_whitening,
     "op13_secrets": secrets_scan.op13_secrets,
 }
 
