@@ -14,7 +14,7 @@ from textloom.plans import sqlparts as S
 from textloom.plans.gen_queries import SYNTH
 from textloom.plans.metrics_sql import metrics_sql
 from textloom.session import scratch_path
-from textloom.sources import csvio, results
+from textloom.sources import csvio, csvsplit, results
 from textloom.sources import tables as tb
 from textloom.sources.datasets import read_named
 
@@ -144,8 +144,8 @@ POSTS_SCHEMA = T.StructType([
 def q_csv_roundtrip(spark, sf):
     """Posts written as CSV and read back; pandas' NA strings come back as null."""
     path = scratch_path(spark, "posts-csv")
-    csvio.write_csv(tb.posts(spark, sf).select("doc_id", "dataset", "text", "label"), path)
-    return csvio.read_csv(spark, path, POSTS_SCHEMA)
+    csvio.write_csv(tb.posts(spark, sf).select("doc_id", "dataset", "text", "label"), path, rows_per_file=0)
+    return csvsplit.read_csv(spark, path, POSTS_SCHEMA)
 
 
 MISSING_SET = ("xx", "Not Generated")
@@ -158,9 +158,9 @@ def q_multi_dataset_union(spark, sf):
     """
     syn = gen.postprocess(tb.raw_gen(spark, sf))
     root = scratch_path(spark, "datasets")
-    csvio.write_csv(syn.select("dataset", "gen_id", "label", "text"), root, partition_by="dataset")
+    csvio.write_csv(syn.select("dataset", "gen_id", "label", "text"), root, partition_by="dataset", rows_per_file=0)
     named = {n: f"{root}/dataset={code}" for code, n in (*report.DATASET_NAMES, MISSING_SET)}
-    return read_named(spark, named, NAMED_SCHEMA, csvio.read_csv)
+    return read_named(spark, named, NAMED_SCHEMA, csvsplit.read_csv)
 
 
 NAMED_SCHEMA = T.StructType([T.StructField("gen_id", T.LongType()),
