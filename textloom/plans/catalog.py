@@ -10,6 +10,7 @@ _GROUPS = [
     "textloom.plans.audit_queries",
     "textloom.plans.metric_queries",
     "textloom.plans.model_queries",
+    "textloom.plans.linear_queries",
 ]
 
 
