@@ -68,16 +68,12 @@ PLAN_CHECKED = ["preprocess", "stratified_split", "few_shot_sample", "gen_postpr
                 "audit_summary", "roc_auc_ovr", "eval_bundle", "pii_rules", "tfidf_top_terms"]
 
 
-ARROW_SCAN_OK = {"roc_auc_ovr", "eval_bundle"}   # the AUC's range-partition scan (mapInPandas)
-
-
 @pytest.mark.parametrize("name", PLAN_CHECKED)
 def test_no_python_in_plan(spark, name):
-    """No per-row Python anywhere; Arrow-batch partition scans only where the AUC needs one."""
+    """No Python anywhere."""
     plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
-    for node in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas"):
+    for node in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "MapInArrow"):
         assert node not in plan
-    assert ("MapInPandas" in plan) == (name in ARROW_SCAN_OK)
 
 
 def test_scan_prunes_columns(spark):
@@ -126,4 +122,4 @@ def test_sample_uses_group_limit(spark):
 def test_roc_auc_range_partitions_scores(spark):
     """AUC ranks scores by range partitioning (sampled bounds), not by fixed-width buckets."""
     plan = QUERIES["roc_auc_ovr"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" in plan and "MapInPandas" in plan
+    assert "rangepartitioning" in plan and "MapInPandas" not in plan

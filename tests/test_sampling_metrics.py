@@ -163,19 +163,22 @@ def test_roc_auc_narrow_scores_many_partitions(spark):
             assert abs(got[(run, c)] - _auc_pairs(pos, neg)) < 1e-12
 
 
-def test_partition_scan_carries_groups_across_batches():
-    import pandas as pd
+def test_roc_auc_of_ties_beside_range_bounds(spark):
+    """Few distinct scores, most of them at the bounds of a range: each tied score is one row, so no tie is split."""
     rnd = random.Random(9)
-    rows = sorted((c, rnd.random(), rnd.randrange(3), rnd.randrange(3)) for c in (0, 1) for _ in range(50))
-    df = pd.DataFrame(rows, columns=["cls", "score", "pos", "neg"])
-    batches = [df.iloc[i:i + 7].reset_index(drop=True) for i in range(0, len(df), 7)]   # groups cut mid-batch
-    out = next(M._partition_u(["cls"])(iter(batches)))
-    assert list(out["cls"]) == [0, 1]
-    for c, r in out.set_index("cls").iterrows():
-        g = df[df.cls == c]
-        u = sum(p * (g.neg[g.score < s].sum() + q / 2.0) for s, p, q in zip(g.score, g.pos, g.neg))
-        assert r.bmin == g.score.min() and r.bpos == g.pos.sum() and r.bneg == g.neg.sum()
-        assert abs(r.bu - u) < 1e-9
+    rows = [(i, rnd.randrange(2), [float(rnd.randrange(5)), 1.0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, label_id int, l array<double>")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.cls: r.auc for r in M.roc_auc_ovr(df, []).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for c in (0, 1):
+        p = [(r[2][c] - r[2][1 - c], r[1] == c) for r in rows]       # the softmax is monotone in the difference
+        assert abs(got[c] - _auc_pairs([s for s, y in p if y], [s for s, y in p if not y])) < 1e-12
 
 
 def test_roc_auc_with_empty_partitions(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF01
 from textloom.config import ALPHAS, LABELS
+from textloom.operators import generation as gen
 from textloom.operators import naive_bayes as NB
 from textloom.operators import report, runs
 from textloom.plans import gen_queries, model_queries
@@ -46,6 +47,27 @@ def test_scores_equal_a_plain_naive_bayes(spark):
         assert LABELS[r.label_id] == test[r.doc_id - 1][1]
 
 
+def test_a_fifth_label_is_scored(spark):
+    train = spark.createDataFrame([("r", x, f"{x} word") for x in ("mild", "extreme", "severe", "minimum", "moderate")],
+                                  "run_name string, label string, text_clean string")
+    labels = NB.labels_of(gen.label_map(train))
+    assert labels == ["extreme", "mild", "minimum", "moderate", "severe"]
+    test = spark.createDataFrame([(1, "extreme", "extreme word"), (2, "mild", "mild")], "doc_id long, label string, text_clean string")
+    got = NB.score(NB.fit(train, labels), test, ["r"], labels=labels).where("classifier = 'unigram_nb' and epoch = 1").collect()
+    assert {r.doc_id: (r.label_id, r.l.index(max(r.l))) for r in got} == {1: (0, 0), 2: (1, 1)}
+
+
+def test_many_labels_are_ranked_in_ranges(spark):
+    train = spark.range(50_000).selectExpr("concat('label', id % 20011) as label")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = gen.label_map(train).orderBy("label_id").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = sorted(f"label{i}" for i in range(20011))
+    assert [r.label for r in got] == want and [r.label_id for r in got] == list(range(20011))
+
+
 PUBLISHED_SUMMARY = [   # fixed values: dataset, total rows, sample, complete, incomplete, personal data
     ("Falcon Few-Shot", "37,633", 500, "499/500 (99.8%)", 1, "0/500 (0.0%)"),
     ("Falcon Zero-Shot", "39,286", 500, "432/500 (86.4%)", 68, "0/500 (0.0%)"),

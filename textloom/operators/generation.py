@@ -75,10 +75,17 @@ def distinct_labels(df: DataFrame, col: str = "label") -> DataFrame:
 
 
 def label_map(train: DataFrame, col: str = "label") -> DataFrame:
-    """Sorted distinct labels -> dense id from 0 (one row per class; the window sees only those)."""
-    labels = distinct_labels(train, col)
-    return labels.withColumn("label_id",
-                             (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int"))
+    """Sorted distinct labels -> dense id from 0.
+
+    The distinct labels are dealt by ranges; each range is one sorted list, and a label's id is its place in the list behind
+    the labels of the earlier ranges (one row per range). No task sees all labels, however many there are.
+    """
+    labels = distinct_labels(train, col).repartitionByRange(col).withColumn("_range", F.spark_partition_id())
+    lists = labels.groupBy("_range").agg(F.sort_array(F.collect_list(col)).alias("_l"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lists.select("_l", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_s"))
+    return (starts.select("_s", F.posexplode("_l").alias("_i", col))
+            .select(col, (F.col("_s") + F.col("_i")).cast("int").alias("label_id")))
 
 
 def label_encode(df: DataFrame, lmap: DataFrame, col: str = "label") -> DataFrame:

@@ -2,18 +2,14 @@
 
 Input rows: ``<keys...>, label_id INT, l ARRAY<DOUBLE>`` (class scores / logits).
 Every function takes ``keys`` (the run columns) and computes all runs in one job;
-heavy passes are partial aggregations, and every window runs over small,
-pre-aggregated tables. The one Python step (the ROC AUC partition scan) runs on
-Arrow batches inside range-partitioned tasks.
+heavy passes are partial aggregations, and every window runs over pre-aggregated
+tables, in balanced ranges of them or over one row per range.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def argmax(l: Column) -> Column:
@@ -115,46 +111,6 @@ def report(pc: DataFrame, keys) -> DataFrame:
     return cls_rows.unionByName(summ)
 
 
-def _partition_u(ck):
-    """Per-partition scan of rows sorted by (ck, score): one row per ck group in the partition.
-
-    Emits the group's lowest score, its positives and negatives and the part of U
-    formed inside the partition: sum of pos * (negatives below in this partition +
-    negatives tied / 2). Vectorised per Arrow batch; the Python loop runs over the
-    group runs of a batch only (at most runs x classes of them).
-    """
-    def scan(batches):
-        cur, acc, rows = None, None, []
-        for b in batches:
-            n = len(b)
-            if n == 0:
-                continue
-            # one integer per distinct key of the batch: groups are found by comparing integers
-            key_no = b.groupby(list(ck), sort=False, dropna=False).ngroup().to_numpy()
-            score = b["score"].to_numpy(np.float64)
-            pos = b["pos"].to_numpy(np.float64)
-            neg = b["neg"].to_numpy(np.float64)
-            change = np.zeros(n, dtype=bool)
-            change[0] = True
-            change[1:] = key_no[1:] != key_no[:-1]
-            starts = np.flatnonzero(change)
-            for s, e in zip(starts, [*starts[1:], n]):
-                key = tuple(b[c].iat[s] for c in ck)
-                if key != cur:
-                    if cur is not None:
-                        rows.append((*cur, *acc))
-                    cur, acc = key, [float(score[s]), 0.0, 0.0, 0.0]
-                p, q = pos[s:e], neg[s:e]
-                below = acc[2] + np.cumsum(q) - q
-                acc[3] += float(np.dot(p, below + q / 2.0))
-                acc[1] += float(p.sum())
-                acc[2] += float(q.sum())
-        if cur is not None:
-            rows.append((*cur, *acc))
-            yield pd.DataFrame(rows, columns=[*ck, "bmin", "bpos", "bneg", "bu"])
-    return scan
-
-
 def roc_auc_ovr(scored: DataFrame, keys) -> DataFrame:
     """Per-class one-vs-rest ROC AUC on softmax probabilities (ties count one half).
 
@@ -164,31 +120,29 @@ def roc_auc_ovr(scored: DataFrame, keys) -> DataFrame:
     2. range-partition on (keys, class, score): Spark samples the bounds, so every task
        gets a balanced, contiguous score range whatever the score distribution (many
        distinct scores in a narrow interval do not pile up in one task);
-    3. each task sorts its range and scans it once (numpy), emitting one row per class
-       group: lowest score, positives, negatives, U inside the partition;
-    4. a window over that small table (ordered by lowest score) adds, for each partition,
-       the negatives of the class's lower partitions.
+    3. a window inside each range gives the range's own negatives below a score, and so the
+       part of U formed inside the range, with its positives and negatives: one row per
+       class and range;
+    4. a window over that small table adds the negatives of the class's lower ranges.
     AUC = U / (P * N); a class without positives or negatives gets NaN.
     """
-    keys = list(keys)
     ck = [*keys, "cls"]
     p = class_probs(scored, keys)
     agg = p.groupBy(*ck, F.col("prob").alias("score")).agg(
         F.sum((F.col("label_id") == F.col("cls")).cast("long")).alias("pos"),
         F.sum((F.col("label_id") != F.col("cls")).cast("long")).alias("neg"))
-    out_schema = T.StructType([*[agg.schema[c] for c in ck],
-                               T.StructField("bmin", T.DoubleType()),
-                               T.StructField("bpos", T.DoubleType()),
-                               T.StructField("bneg", T.DoubleType()),
-                               T.StructField("bu", T.DoubleType())])
-    bk = (agg.repartitionByRange(*ck, "score").sortWithinPartitions(*ck, "score")
-             .mapInPandas(_partition_u(ck), out_schema))
-    w_b = Window.partitionBy(*ck).orderBy("bmin").rowsBetween(Window.unboundedPreceding, -1)
-    bk = bk.withColumn("below_b", F.coalesce(F.sum("bneg").over(w_b), F.lit(0.0)))
-    per = bk.groupBy(*ck).agg(F.sum(F.col("bu") + F.col("bpos") * F.col("below_b")).alias("u"),
-                              F.sum("bpos").alias("P"), F.sum("bneg").alias("N"))
+    rows = agg.repartitionByRange(*ck, "score").withColumn("_range", F.spark_partition_id())
+    inside = Window.partitionBy(*ck, "_range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("below", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
+    part = rows.groupBy(*ck, "_range").agg(
+        F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("u"),
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    lower = Window.partitionBy(*ck).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("below", F.coalesce(F.sum("neg").over(lower), F.lit(0)))
+    per = part.groupBy(*ck).agg(F.sum(F.col("u") + F.col("pos").cast("double") * F.col("below")).alias("u"),
+                                F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return per.select(*ck, F.when((F.col("P") > 0) & (F.col("N") > 0),
-                                  F.col("u") / (F.col("P") * F.col("N")))
+                                  F.col("u") / (F.col("P").cast("double") * F.col("N")))
                       .otherwise(F.lit(float("nan"))).alias("auc"))
 
 

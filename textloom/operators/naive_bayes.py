@@ -26,27 +26,32 @@ def grams(df: DataFrame, keep) -> DataFrame:
     return d.select(*keep, both.alias("_g")).select(*keep, "_g.classifier", "_g.term")
 
 
-def per_label(value: Column) -> list[Column]:
+def per_label(value: Column, labels=LABELS) -> list[Column]:
     """One sum per label, in label order."""
-    return [F.sum(F.when(F.col("label") == c, value).otherwise(0)) for c in LABELS]
+    return [F.sum(F.when(F.col("label") == c, value).otherwise(0)) for c in labels]
 
 
-def fit(train: DataFrame):
-    """``(terms, params)`` of ``train (run_name, label, text_clean)``.
+def labels_of(label_map: DataFrame) -> list[str]:
+    """The labels of a label map in the order of their ids. A classifier has one score per label, so they are few."""
+    return [r.label for r in label_map.orderBy("label_id").collect()]
+
+
+def fit(train: DataFrame, labels=LABELS):
+    """``(terms, params)`` of ``train (run_name, label, text_clean)``. ``labels``: the classes by id, such as ``labels_of`` a map.
 
     ``terms``: counts per label of each (run, classifier, term); ``params``: per (run, classifier) the term total and
     rows per label, the number of distinct terms and of rows. Counts are combined map-side; nothing is cut.
     """
     terms = grams(train, ["run_name", "label"]).groupBy("run_name", "classifier", "term").agg(
-        F.array(*per_label(F.lit(1))).alias("n"))
+        F.array(*per_label(F.lit(1), labels)).alias("n"))
     totals = terms.groupBy("run_name", "classifier").agg(
         F.count(F.lit(1)).alias("vocab"),
-        F.array(*[F.sum(F.col("n")[i]) for i in range(len(LABELS))]).alias("total"))
-    rows = train.groupBy("run_name").agg(F.count(F.lit(1)).alias("n_train"), F.array(*per_label(F.lit(1))).alias("rows"))
+        F.array(*[F.sum(F.col("n")[i]) for i in range(len(labels))]).alias("total"))
+    rows = train.groupBy("run_name").agg(F.count(F.lit(1)).alias("n_train"), F.array(*per_label(F.lit(1), labels)).alias("rows"))
     return terms, totals.join(rows, "run_name")
 
 
-def score(model, test: DataFrame, run_names, keep=("doc_id", "label")) -> DataFrame:
+def score(model, test: DataFrame, run_names, keep=("doc_id", "label"), labels=LABELS) -> DataFrame:
     """``run_name, classifier, epoch, keep.., label_id, l``: class scores of every test row under every run.
 
     ``epoch`` numbers the smoothing candidates. A score is the joint log-probability divided by the number of terms (so
@@ -54,7 +59,7 @@ def score(model, test: DataFrame, run_names, keep=("doc_id", "label")) -> DataFr
     without training rows gets the smallest prior. A run without training rows has no scores.
     """
     terms, params = model
-    k = len(LABELS)
+    k = len(labels)
     tf = grams(test, ["doc_id"]).groupBy("doc_id", "classifier", "term").agg(F.count(F.lit(1)).alias("tf"))
     size = tf.groupBy("doc_id", "classifier").agg(F.sum("tf").alias("size"))
     gain = [F.sum(F.col("tf") * F.log1p(F.col("n")[i] / F.lit(a))) for a in ALPHAS for i in range(k)]
@@ -75,7 +80,7 @@ def score(model, test: DataFrame, run_names, keep=("doc_id", "label")) -> DataFr
             prior = F.log((F.col("rows")[i] + 1) / (F.col("n_train") + k))
             scores.append(F.round((seen + length * base + prior) / F.greatest(length, F.lit(1)), 9))
         tries.append(F.struct(F.lit(e + 1).alias("epoch"), F.array(*scores).alias("l")))
-    label_id = F.array_position(F.array(*[F.lit(c) for c in LABELS]), F.col("label")) - 1
+    label_id = F.array_position(F.array(*[F.lit(c) for c in labels]), F.col("label")) - 1
     return (j.select("run_name", "classifier", *keep, label_id.cast("int").alias("label_id"),
                      F.explode(F.array(*tries)).alias("_t"))
              .select("run_name", "classifier", "_t.epoch", *keep, "label_id", "_t.l"))

@@ -12,6 +12,7 @@ from textloom.operators import vocabulary as V
 from textloom.plans import model_queries as MQ
 from textloom.plans import sqlparts as S
 from textloom.plans.gen_queries import SPLIT, split_texts
+from textloom.plans.metrics_sql import metrics_sql
 from textloom.plans.prep_queries import PREPROCESSED
 from textloom.session import hand_off
 
@@ -72,60 +73,124 @@ QUERIES = {
 
 # ---- oracle SQL ----------------------------------------------------------------------
 _WORDS = "string_split(text_clean, ' ')"
-_K = len(LABELS)
-_U = L.UNIT
+_U = f"{L.UNIT}.0::DOUBLE"
+_IDS = range(len(LABELS))
 _LAB = ", ".join(f"({i}, {S.q(c)})" for i, c in enumerate(LABELS))
-_PAIRS = f"""unnest(list_transform(range(1, len({_WORDS})), lambda i: concat({_WORDS}[i], ' ', {_WORDS}[i + 1])))"""
-VOCABULARY = f"""lr_train AS (SELECT doc_id, label, text_clean FROM split_posts WHERE split = 'train'),
-lr_grams AS (
-  SELECT doc_id, 'unigram_lr' AS classifier, unnest({_WORDS}) AS term FROM lr_train
-  UNION ALL SELECT doc_id, 'bigram_lr', {_PAIRS} FROM lr_train),
-lr_tf AS (SELECT doc_id, classifier, term, count(*) AS tf FROM lr_grams GROUP BY ALL),
-lr_df AS (SELECT classifier, term, count(*) AS df FROM lr_tf GROUP BY ALL),
-lr_voc AS (
-  SELECT classifier, term, ln(((SELECT count(*) FROM lr_train) + 1) / (df + 1)) AS idf FROM (
-    SELECT *, row_number() OVER (PARTITION BY classifier ORDER BY df DESC, term) AS r FROM lr_df) WHERE r <= {V.MAX_FEATURES})"""
+_REAL = f"SELECT {S.q(runs.BASELINE_RUN)} AS run_name, doc_id, label, text_clean FROM split_posts WHERE split = 'train'"
+_SYNTH = f"""SELECT run_name, gen_id AS doc_id, label, text_clean FROM (
+    SELECT run_name, gen_id, label, {S.clean_text('text')} AS text_clean FROM sweep_rows) WHERE length(text_clean) > 0"""
 
 
 def _round(x: str) -> str:
     return f"CAST(floor({x} + 0.5) AS BIGINT)"
 
 
-def _step(n: int, before: str) -> str:
-    """One accelerated step: CTEs ``g<n>`` and ``st<n>`` (classifier, term, c, d, w, y) from ``before``."""
-    momentum = (n - 1) / (n + 2)
-    return f"""z{n} AS (SELECT v.classifier, v.doc_id, s.c, CAST(sum(v.x * s.y) AS DOUBLE) / ({_U}.0 * {_U}.0) AS z
-  FROM lr_x v JOIN {before} s USING (classifier, term) GROUP BY ALL),
-e{n} AS (SELECT *, exp(z - max(z) OVER (PARTITION BY classifier, doc_id)) AS e FROM z{n}),
-p{n} AS (SELECT classifier, doc_id, max(CASE WHEN c = 0 THEN e END) AS e0, max(CASE WHEN c = 1 THEN e END) AS e1,
-  max(CASE WHEN c = 2 THEN e END) AS e2, max(CASE WHEN c = 3 THEN e END) AS e3 FROM e{n} GROUP BY ALL),
-r{n} AS (SELECT e.classifier, e.doc_id, e.c, {_round(f"(e.e / (((0.0::DOUBLE + p.e0) + p.e1) + p.e2 + p.e3) - CASE WHEN l.label = b.label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * {_U}")} AS r
-  FROM e{n} e JOIN p{n} p USING (classifier, doc_id) JOIN lr_train b USING (doc_id) JOIN lr_lab l ON l.c = e.c),
-g{n} AS (SELECT v.classifier, v.term, r.c, CAST(sum({_round(f"CAST(v.x * r.r AS DOUBLE) / {_U}.0::DOUBLE")}) AS BIGINT) AS g
-  FROM lr_x v JOIN r{n} r USING (classifier, doc_id) GROUP BY ALL),
-st{n} AS (SELECT classifier, term, c, d, w AS w, {_round(f"w + {momentum!r}::DOUBLE * (w - old)")} AS y FROM (
-  SELECT s.classifier, s.term, s.c, s.d, s.w AS old,
+def _counts(name: str, src: str, keep: str) -> str:
+    pairs = f"unnest(list_transform(range(1, len({_WORDS})), lambda i: concat({_WORDS}[i], ' ', {_WORDS}[i + 1])))"
+    return f"""{name} AS (SELECT {keep}, classifier, term, count(*) AS tf FROM (
+  SELECT {keep}, 'unigram_lr' AS classifier, unnest({_WORDS}) AS term FROM {src}
+  UNION ALL SELECT {keep}, 'bigram_lr', {pairs} FROM {src}) GROUP BY ALL)"""
+
+
+def _vectors(name: str, tf: str, src: str, keep: str, join: str) -> str:
+    """The vectors of a term table under the vocabularies, with the constant feature."""
+    return f"""{name}_raw AS (SELECT v.run_name, {keep}, v.classifier, v.term, {_round(f"(1 + ln(tf)) * idf * {L.RAW_UNIT}")} AS raw
+  FROM {tf} t JOIN lr_voc v USING ({join})),
+{name}_norm AS (SELECT run_name, {keep}, classifier, sqrt(CAST(sum(raw * raw) AS DOUBLE)) AS q FROM {name}_raw WHERE raw > 0 GROUP BY ALL),
+{name} AS (
+  SELECT * FROM (SELECT run_name, {keep}, classifier, term, {_round(f"raw / q * {_U}")} AS x
+                 FROM {name}_raw JOIN {name}_norm USING (run_name, {keep}, classifier) WHERE raw > 0) WHERE x > 0
+  UNION ALL
+  SELECT {'run_name' if join.startswith('run_name') else 'n.run_name'}, {keep}, unnest(['unigram_lr', 'bigram_lr']), '', {L.UNIT}
+  FROM {src}{'' if join.startswith('run_name') else ', lr_n n'})"""
+
+
+def _vocabulary(train: str) -> str:
+    return f"""lr_train AS ({train}),
+lr_n AS (SELECT run_name, count(*) AS n FROM lr_train GROUP BY run_name),
+{_counts('lr_tf', 'lr_train', 'run_name, doc_id')},
+lr_df AS (SELECT run_name, classifier, term, count(*) AS df FROM lr_tf GROUP BY ALL),
+lr_voc AS (
+  SELECT run_name, classifier, term, ln((n + 1) / (df + 1)) AS idf FROM (
+    SELECT *, row_number() OVER (PARTITION BY run_name, classifier ORDER BY df DESC, term) AS r FROM lr_df)
+  JOIN lr_n USING (run_name) WHERE r <= {V.MAX_FEATURES})"""
+
+
+def _step(n: int) -> str:
+    """One accelerated step: ``st<n>`` (run_name, classifier, term, c, d, w, y) from ``st<n - 1>``."""
+    momentum, before = (n - 1) / (n + 2), f"st{n - 1}"
+    e = ", ".join(f"max(CASE WHEN c = {i} THEN e END) AS e{i}" for i in _IDS)
+    total = "0.0::DOUBLE"
+    for i in _IDS:
+        total = f"({total} + p.e{i})"
+    hit = "CASE WHEN l.label = b.label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    return f"""z{n} AS (SELECT v.run_name, v.classifier, v.doc_id, s.c, CAST(sum(v.x * s.y) AS DOUBLE) / ({_U} * {_U}) AS z
+  FROM lr_x v JOIN {before} s USING (run_name, classifier, term) GROUP BY ALL),
+e{n} AS (SELECT *, exp(z - max(z) OVER (PARTITION BY run_name, classifier, doc_id)) AS e FROM z{n}),
+p{n} AS (SELECT run_name, classifier, doc_id, {e} FROM e{n} GROUP BY ALL),
+r{n} AS (SELECT e.run_name, e.classifier, e.doc_id, e.c, {_round(f"(e.e / {total} - {hit}) * {_U}")} AS r
+  FROM e{n} e JOIN p{n} p USING (run_name, classifier, doc_id) JOIN lr_train b USING (run_name, doc_id) JOIN lr_lab l ON l.c = e.c),
+g{n} AS (SELECT v.run_name, v.classifier, v.term, r.c, CAST(sum({_round(f"CAST(v.x * r.r AS DOUBLE) / {_U}")}) AS BIGINT) AS g
+  FROM lr_x v JOIN r{n} r USING (run_name, classifier, doc_id) GROUP BY ALL),
+st{n} AS (SELECT run_name, classifier, term, c, d, w AS w, {_round(f"w + {momentum!r}::DOUBLE * (w - old)")} AS y FROM (
+  SELECT s.run_name, s.classifier, s.term, s.c, s.d, s.w AS old,
          {_round(f"s.y - (CAST(g.g AS DOUBLE) + {L.RIDGE!r}::DOUBLE * s.y) / s.d")} AS w
-  FROM {before} s JOIN g{n} g USING (classifier, term, c)))"""
-
-
-STEPS = f"""lr_lab(c, label) AS (VALUES {_LAB}),
-lr_raw AS (SELECT t.doc_id, t.classifier, t.term, {_round(f"(1 + ln(tf)) * idf * {L.RAW_UNIT}")} AS raw
-  FROM lr_tf t JOIN lr_voc USING (classifier, term)),
-lr_norm AS (SELECT doc_id, classifier, sqrt(CAST(sum(raw * raw) AS DOUBLE)) AS q FROM lr_raw WHERE raw > 0 GROUP BY ALL),
-lr_x AS (
-  SELECT * FROM (SELECT doc_id, classifier, term, {_round(f"raw / q * {_U}")} AS x FROM lr_raw JOIN lr_norm USING (doc_id, classifier) WHERE raw > 0) WHERE x > 0
-  UNION ALL SELECT doc_id, unnest(['unigram_lr', 'bigram_lr']), '', {_U} FROM lr_train),
-lr_s AS (SELECT doc_id, classifier, CAST(sum(x) AS BIGINT) AS s FROM lr_x GROUP BY ALL),
-lr_d AS (SELECT classifier, term, 0.5::DOUBLE * CAST(sum(CAST(floor(CAST(x * s AS DOUBLE) / {_U}.0::DOUBLE) AS BIGINT)) AS BIGINT) / {_U}.0::DOUBLE + {L.RIDGE!r}::DOUBLE AS d
-  FROM lr_x JOIN lr_s USING (doc_id, classifier) GROUP BY ALL),
-st0 AS (SELECT classifier, term, c, d, 0::BIGINT AS w, 0::BIGINT AS y FROM lr_d CROSS JOIN lr_lab),
-{_step(1, 'st0')},
-{_step(2, 'st1')}"""
+  FROM {before} s JOIN g{n} g USING (run_name, classifier, term, c)))"""
+
+
+def _training(steps: int) -> str:
+    return f"""lr_lab(c, label) AS (VALUES {_LAB}),
+{_vectors('lr_x', 'lr_tf', 'lr_train', 'doc_id', 'run_name, classifier, term')},
+lr_s AS (SELECT run_name, doc_id, classifier, CAST(sum(x) AS BIGINT) AS s FROM lr_x GROUP BY ALL),
+lr_d AS (SELECT run_name, classifier, term,
+  0.5::DOUBLE * CAST(sum(CAST(floor(CAST(x * s AS DOUBLE) / {_U}) AS BIGINT)) AS BIGINT) / {_U} + {L.RIDGE!r}::DOUBLE AS d
+  FROM lr_x JOIN lr_s USING (run_name, doc_id, classifier) GROUP BY ALL),
+st0 AS (SELECT run_name, classifier, term, c, d, 0::BIGINT AS w, 0::BIGINT AS y FROM lr_d CROSS JOIN lr_lab),
+{", ".join(_step(n) for n in range(1, steps + 1))}"""
+
+
+def _scored() -> str:
+    """``lr_best`` and the test scores of the best epochs; epoch n > 2 counts while the best one is less than 2 epochs old."""
+    weights = " UNION ALL ".join(f"SELECT run_name, classifier, {n} AS epoch, term, c, w FROM st{n}" for n in range(1, L.EPOCHS + 1))
+    allowed = " AND ".join(f"(epoch < {n} OR best{n - 1} > {n - 1 - L.PATIENCE})" for n in range(L.PATIENCE + 1, L.EPOCHS + 1))
+    so_far = ", ".join(f"arg_max(epoch, (macro_f1, -epoch)) FILTER (epoch <= {n}) AS best{n}" for n in range(L.PATIENCE, L.EPOCHS))
+    return f"""lr_rest AS (SELECT doc_id, split, label, text_clean FROM split_posts WHERE split <> 'train'),
+{_counts('lr_rest_tf', 'lr_rest', 'doc_id')},
+{_vectors('lr_rx', 'lr_rest_tf', 'lr_rest', 'doc_id', 'classifier, term')},
+lr_w AS ({weights}),
+lr_z AS (SELECT v.run_name, v.classifier, w.epoch, v.doc_id, w.c, CAST(sum(v.x * w.w) AS DOUBLE) / ({_U} * {_U}) AS z
+  FROM lr_rx v JOIN lr_w w USING (run_name, classifier, term) GROUP BY ALL),
+lr_sc AS (SELECT z.run_name, z.classifier, z.epoch, z.doc_id, r.split, any_value(l.c) AS label_id, list(z.z ORDER BY z.c) AS l
+  FROM lr_z z JOIN lr_rest r USING (doc_id) JOIN lr_lab l ON l.label = r.label GROUP BY ALL),
+lr_val AS (SELECT * FROM lr_sc WHERE split = 'val'),
+{metrics_sql('lr_val', [*L.MODEL, 'epoch'], 'lv')},
+lr_far AS (SELECT run_name, classifier, {so_far} FROM lv_macro GROUP BY ALL),
+lr_best AS (SELECT run_name, classifier, epoch, macro_f1 FROM (
+  SELECT m.*, row_number() OVER (PARTITION BY run_name, classifier ORDER BY macro_f1 DESC, epoch) AS r
+  FROM lv_macro m JOIN lr_far USING (run_name, classifier) WHERE {allowed}) WHERE r = 1),
+lr_test AS (SELECT s.* FROM lr_sc s JOIN lr_best USING (run_name, classifier, epoch) WHERE split = 'test'),
+{metrics_sql('lr_test', [*L.MODEL, 'epoch'], 'lt')},
+lr_attr(run_name, temp, generator, mode) AS (VALUES {runs.attr_values()}),
+lr_bundle AS (
+  SELECT m.run_name, m.classifier, m.epoch, m.macro_precision, m.macro_recall, m.macro_f1, a.macro_roc_auc_ovr,
+         l.loss, l.n_rows, l.steps, ra.temp, ra.generator, ra.mode
+  FROM lt_macro m JOIN lt_auc a USING (run_name, classifier, epoch) JOIN lt_loss l USING (run_name, classifier, epoch)
+  JOIN lr_attr ra USING (run_name))"""
+
+
+_R = ", ".join(f"round({c}, 6) AS {c}" for c in MQ.DOUBLES) + ", n_rows, steps"
+_BASE = S.with_(S.POSTS, PREPROCESSED, SPLIT)
+_ALL = S.with_(*MQ.SWEEP_BASE)
 _W = ", ".join(f"max(CASE WHEN s.c = {i} THEN s.w END) AS w1_{c}, max(CASE WHEN s.c = {i} THEN t.w END) AS w2_{c}" for i, c in enumerate(LABELS))
 
 ORACLE = {
-    "tfidf_vocabulary": S.with_(S.POSTS, PREPROCESSED, SPLIT) + f", {VOCABULARY} SELECT classifier, term, round(idf, 6) AS idf FROM lr_voc",
-    "linear_first_steps": S.with_(S.POSTS, PREPROCESSED, SPLIT) + f""", {VOCABULARY}, {STEPS}
-      SELECT s.classifier, s.term, {_W} FROM st1 s JOIN st2 t USING (classifier, term, c) GROUP BY s.classifier, s.term""",
+    "tfidf_vocabulary": f"{_BASE}, {_vocabulary(_REAL)} SELECT classifier, term, round(idf, 6) AS idf FROM lr_voc",
+    "linear_first_steps": f"""{_BASE}, {_vocabulary(_REAL)}, {_training(2)}
+      SELECT s.classifier, s.term, {_W} FROM st1 s JOIN st2 t USING (run_name, classifier, term, c) GROUP BY s.classifier, s.term""",
+    "train_linear_classifier": f"""{_BASE}, {_vocabulary(_REAL)}, {_training(L.EPOCHS)}, {_scored()}
+      SELECT classifier, epoch, {_R} FROM lr_bundle""",
+    "linear_utility_sweep": f"""{_ALL}, {_vocabulary(f'{_REAL} UNION ALL {_SYNTH}')}, {_training(L.EPOCHS)}, {_scored()}
+      SELECT run_name, classifier, epoch, {_R}, temp, generator, mode FROM lr_bundle""",
+    "best_epoch": f"""{_ALL}, {_vocabulary(f'{_REAL} UNION ALL {_SYNTH}')}, {_training(L.EPOCHS)}, {_scored()}
+      SELECT run_name, classifier, epoch, round(macro_f1, 6) AS macro_f1 FROM lr_best""",
 }
