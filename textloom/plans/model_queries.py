@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.config import ALPHAS, CLASSIFIERS, DEFAULT, LABELS
 from textloom.operators import generation as gen
+from textloom.operators import ledger
 from textloom.operators import metrics as M
 from textloom.operators import model as ML
 from textloom.operators import naive_bayes as NB
@@ -19,7 +20,8 @@ from textloom.plans import sqlparts as S
 from textloom.plans.gen_queries import SPLIT, SYNTH_OF, split_texts
 from textloom.plans.metrics_sql import metrics_sql
 from textloom.plans.prep_queries import PREPROCESSED
-from textloom.session import hand_off
+from textloom.session import hand_off, scratch_path
+from textloom.sources import results
 from textloom.sources import tables as tb
 
 TOP_TERMS = 10
@@ -109,7 +111,33 @@ def q_best_candidate(spark, sf):
     return rounded(chosen(scored(spark, sf)), ["macro_f1"])
 
 
+def q_eval_ledger(spark, sf):
+    """Every run's result document with all nine entries, written and read back; its timings are those of the scoring pass.
+
+    The seconds differ from run to run, so the query returns what they must agree on: rows and steps got back from the
+    rates, the number of entries, and whether all timings are positive.
+    """
+    posts = hand_off(split_texts(spark, sf), "split-posts", "split")
+    rest = posts.filter(F.col("split") != "train").select("doc_id", "split", "label", "text_clean")
+    names = [r[0] for r in runs.run_grid()]
+    model = NB.fit(training_sets(spark, sf, posts=posts))
+    val = NB.score(model, rest.filter(F.col("split") == "val"), names, keep=("doc_id", "split", "label"))
+    best = chosen(hand_off(val.drop("doc_id", "label"), "ledger-val")).select(*KEYS, "epoch")
+    test = NB.score(model, rest.filter(F.col("split") == "test"), names)
+    done = ledger.measured(test.join(best, [*KEYS, "epoch"]).select(*KEYS, "epoch", "label_id", "l"), "ledger-test")
+    b = M.bundle(done.table, [*KEYS, "epoch"], DEFAULT.eval_batch)
+    root = scratch_path(spark, "ledger-json")
+    results.write_results(runs.run_attributes(runs.results_maps(b, done.runtime(F.col("n_rows")))), root)
+    wide = runs.results_wide(runs.results_long(results.scan_results(spark, root).select("run_name", *CLASSIFIERS)))
+    entries = sum((F.col(m).isNotNull().cast("int") for m in runs.METRICS), F.lit(0))
+    timed = (F.col("runtime") > 0) & (F.col("samples_per_second") > 0) & (F.col("steps_per_second") > 0)
+    return wide.select(*KEYS, F.round(F.col("samples_per_second") * F.col("runtime")).cast("bigint").alias("n_rows"),
+                       F.round(F.col("steps_per_second") * F.col("runtime")).cast("bigint").alias("steps"),
+                       entries.alias("entries"), timed.alias("timed"))
+
+
 QUERIES = {
+    "eval_ledger": q_eval_ledger,
     "tfidf_top_terms": q_tfidf_top_terms,
     "train_eval_classifier": q_train_eval_classifier,
     "utility_sweep": q_utility_sweep,
@@ -198,6 +226,7 @@ BUNDLE = [*SWEEP_BASE, NB_SQL]
 _R = ", ".join(f"round({c}, 6) AS {c}" for c in DOUBLES) + ", n_rows, steps"
 
 ORACLE = {
+    "eval_ledger": S.with_(*BUNDLE) + "SELECT run_name, classifier, n_rows, steps, 9 AS entries, true AS timed FROM bundle",
     "tfidf_top_terms": S.with_(S.POSTS, PREPROCESSED, SPLIT) + f"""
       , tt AS (SELECT doc_id, label, unnest(string_split(text_clean, ' ')) AS term FROM split_posts WHERE split = 'train'),
       tf AS (SELECT doc_id, label, term, count(*) AS tf FROM tt GROUP BY doc_id, label, term),
