@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from textloom.config import DEFAULT
 from textloom.functions import text as tx
+from textloom.operators import coherence
 from textloom.operators import generation as gen
 from textloom.operators import judge, report, rules, sampling
 from textloom.plans import sqlparts as S
@@ -61,6 +62,13 @@ def q_completeness_rules(spark, sf):
     return v.withColumn("is_complete", F.col("reason") == "ok")
 
 
+def q_incoherence_rules(spark, sf):
+    """Every document's surprise under its language's character model, and whether it is garbled or disordered."""
+    d = tb.table(spark, sf, "documents").select(F.col("doc_id").alias("gen_id"), F.col("lang").alias("dataset"), "text")
+    v = coherence.incoherent(d)
+    return v.select("gen_id", "dataset", "n_chars", "n_starts", *[F.round(c, 6).alias(c) for c in ("bits", "start_bits")], "reason")
+
+
 def q_pii_rules(spark, sf):
     d = rules.with_pii(tb.table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", "has_pii", F.array_join("pii_types", ", ").alias("pii_types"), "pii_details")
@@ -182,6 +190,7 @@ def q_flagged_docs_json(spark, sf):
 QUERIES = {
     "completeness_rules": q_completeness_rules,
     "pii_rules": q_pii_rules,
+    "incoherence_rules": q_incoherence_rules,
     "judge_batches": q_judge_batches,
     "judge_prompts": q_judge_prompts,
     "judge_responses": q_judge_responses,
@@ -388,3 +397,57 @@ ORACLE = {
         split_part({_DSNAME}, ' ', 2) AS mode, round(completeness_rate, 6) AS completeness_rate,
         round(pii_rate, 6) AS pii_rate FROM au_rates""",
 }
+
+
+# ---- incoherent texts: the character model in SQL --------------------------------------
+_K = coherence.K
+
+
+def _band(value: str, count: str, least: int) -> str:
+    return f"""{value}_hist AS (
+  SELECT dataset, least(floor({value} / {coherence.UNIT}::DOUBLE), {coherence.BINS}) AS bin, count(*) AS n FROM co_text WHERE {count} >= {least} GROUP BY ALL),
+{value}_cum AS (SELECT *, sum(n) OVER (PARTITION BY dataset ORDER BY bin) / sum(n) OVER (PARTITION BY dataset) AS share FROM {value}_hist),
+{value}_q AS (SELECT dataset, min(bin) FILTER (share >= 0.25) AS q1, min(bin) FILTER (share >= 0.75) AS q3 FROM {value}_cum GROUP BY dataset),
+{value}_band AS (SELECT dataset, (q3 + 1 + {coherence.WIDTH}::DOUBLE * (q3 + 1 - q1)) * {coherence.UNIT}::DOUBLE AS most FROM {value}_q)"""
+
+
+def _over(value: str, count: str, least: int) -> str:
+    return f"{count} >= {least} AND {value} > {value}_band.most + {coherence.SIGMAS}::DOUBLE * deviation / sqrt({count}::DOUBLE)"
+
+
+ORACLE["incoherence_rules"] = f"""WITH co_char AS (
+  SELECT doc_id AS gen_id, lang AS dataset, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i
+  FROM documents WHERE length(text) > 0),
+co_sym AS (SELECT dataset, c, row_number() OVER (PARTITION BY dataset ORDER BY count(*) DESC, unicode(c)) AS s FROM co_char GROUP BY dataset, c
+  QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY count(*) DESC, unicode(c)) <= {coherence.SYMBOLS}),
+co_enc AS (SELECT h.*, coalesce(y.s, 0) AS s FROM co_char h LEFT JOIN co_sym y ON y.c = h.c AND y.dataset IS NOT DISTINCT FROM h.dataset),
+co_tri AS (SELECT gen_id, dataset, s, c, coalesce(lag(s, 1) OVER w, 0) AS o, coalesce(lag(s, 2) OVER w, 0) AS t, lag(c) OVER w AS pc
+  FROM co_enc WINDOW w AS (PARTITION BY gen_id ORDER BY i)),
+co_3 AS (SELECT dataset, t, o, s, count(*) AS n FROM co_tri GROUP BY ALL),
+co_2 AS (SELECT dataset, o, s, sum(n) AS n FROM co_3 GROUP BY ALL),
+co_1 AS (SELECT dataset, s, sum(n) AS n FROM co_2 GROUP BY ALL),
+co_1t AS (SELECT dataset, sum(n) AS n, count(*) AS k FROM co_1 GROUP BY ALL),
+co_2t AS (SELECT dataset, o, sum(n) AS n, count(*) AS k FROM co_2 GROUP BY ALL),
+co_3t AS (SELECT dataset, t, o, sum(n) AS n, count(*) AS k FROM co_3 GROUP BY ALL),
+co_p1 AS (SELECT a.dataset, a.s, (a.n + b.k * (1.0::DOUBLE / {_K})) / (b.n + b.k) AS p FROM co_1 a JOIN co_1t b ON a.dataset IS NOT DISTINCT FROM b.dataset),
+co_p2 AS (SELECT a.dataset, a.o, a.s, (a.n + b.k * p.p) / (b.n + b.k) AS p FROM co_2 a
+  JOIN co_2t b ON a.dataset IS NOT DISTINCT FROM b.dataset AND a.o = b.o JOIN co_p1 p ON a.dataset IS NOT DISTINCT FROM p.dataset AND a.s = p.s),
+co_p3 AS (SELECT a.dataset, a.t, a.o, a.s, a.n, -log2((a.n + b.k * p.p) / (b.n + b.k)) AS bits FROM co_3 a
+  JOIN co_3t b ON a.dataset IS NOT DISTINCT FROM b.dataset AND a.o = b.o AND a.t = b.t
+  JOIN co_p2 p ON a.dataset IS NOT DISTINCT FROM p.dataset AND a.s = p.s AND a.o = p.o),
+co_mean AS (SELECT dataset, sum(n * bits) / sum(n) AS m FROM co_p3 GROUP BY ALL),
+co_dev AS (SELECT a.dataset, sqrt(sum(n * (bits - m) * (bits - m)) / sum(n)) AS deviation FROM co_p3 a
+  JOIN co_mean b ON a.dataset IS NOT DISTINCT FROM b.dataset GROUP BY a.dataset),
+co_text AS (
+  SELECT x.gen_id, any_value(x.dataset) AS dataset, count(*) AS n_chars, avg(bits) AS bits, count(*) FILTER (st) AS n_starts, avg(bits) FILTER (st) AS start_bits
+  FROM (SELECT *, coalesce(pc IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13)), false)
+               AND c NOT IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13)) AS st FROM co_tri) x
+  JOIN co_p3 p ON x.dataset IS NOT DISTINCT FROM p.dataset AND x.t = p.t AND x.o = p.o AND x.s = p.s GROUP BY x.gen_id),
+{", ".join(_band(*j) for j in coherence.JUDGED)}
+SELECT d.doc_id AS gen_id, d.lang AS dataset, coalesce(n_chars, 0) AS n_chars, coalesce(n_starts, 0) AS n_starts, round(bits, 6) AS bits,
+       round(start_bits, 6) AS start_bits,
+       CASE {" ".join(f"WHEN {_over(*j)} THEN '{r}'" for j, r in zip(coherence.JUDGED, ("garbled", "disordered")))} ELSE 'ok' END AS reason
+FROM (SELECT doc_id, lang FROM documents) d LEFT JOIN co_text x ON x.gen_id = d.doc_id
+LEFT JOIN co_dev ON co_dev.dataset IS NOT DISTINCT FROM d.lang
+LEFT JOIN bits_band ON bits_band.dataset IS NOT DISTINCT FROM d.lang
+LEFT JOIN start_bits_band ON start_bits_band.dataset IS NOT DISTINCT FROM d.lang"""
