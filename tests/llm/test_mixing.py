@@ -31,6 +31,40 @@ def test_tiny_sources_reach_the_target(make_docs, monkeypatch):
     assert sorted(one) == list(range(1, len(one) + 1))
 
 
+def test_copies_are_poisson_at_every_mean(make_docs):
+    """The variance of the copies equals their mean, below and above the mean of one draw."""
+    for many, few, mean in ((2400, 200, 6.5), (2400, 130, 9.73), (6600, 200, 17.0), (99_800, 200, 250.0)):
+        rows = [(i, "x" * 20, "en", "big") for i in range(many)] + [(10**6 + i, "y" * 20, "en", "small") for i in range(few)]
+        got = M.mix_sources(make_docs(rows, extra=False)).where("source = 'small'").groupBy("doc_id").count().collect()
+        n = [r["count"] for r in got] + [0] * (few - len(got))
+        average = sum(n) / few
+        variance = sum((x - average) ** 2 for x in n) / (few - 1)
+        assert abs(average / mean - 1) < 0.12, (mean, average)
+        assert 0.65 < variance / mean < 1.4, (mean, variance)
+
+
+def test_equals_the_sql_with_a_tiny_source(spark, make_docs, tmp_path):
+    import duckdb
+    rows = [(i, "x" * (20 + i % 9), "en", f"s{i % 3}") for i in range(900)] + [(2000, "one document", "fr", "t1"), (2001, None, "fr", None),
+                                                                              (2002, "a b", "de", "t2"), (2002, "a b", "de", "t2")]
+    docs = make_docs(rows, extra=False)
+    docs.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    want = sorted(map(repr, con.execute(M.OP4_SQL + " ORDER BY ALL").fetchall()))
+    got = M.mix_sources(docs).select("doc_id", "text", "lang", "source", "n_chars", "copy").collect()
+    assert sorted(repr(tuple(r)) for r in got) == want and len(want) > 1000
+    assert sum(r.source == "t1" for r in got) > 100
+
+
+def test_hot_source_among_many(make_docs, monkeypatch):
+    docs = make_docs([(i, f"t{i}", "en", "hot" if i % 3 else f"s{i % 40}") for i in range(600)], extra=False)
+    few = sorted(map(repr, M.mix_sources(docs).collect()))
+    monkeypatch.setattr(M, "MAX_BROADCAST_SOURCES", 1)
+    monkeypatch.setattr(M, "HOT", 4)
+    assert sorted(map(repr, M.mix_sources(docs).collect())) == few
+
+
 def test_poisson_numbers(spark):
     cdf = spark.range(1).select(M.poisson_cdf(M.F.lit(2.5), 16.0).alias("c")).first().c
     assert abs(cdf[0] - 0.0820849986) < 1e-9 and abs(cdf[3] - 0.757576) < 1e-5 and cdf[-1] > 1 - 1e-12
