@@ -50,6 +50,34 @@ def test_an_empty_array_ends_the_retries_and_fails_the_batch(spark):
     assert row.is_complete is None and row.reason == judge.FAILED_REASON and row.has_pii is False
 
 
+def test_a_stored_log_with_failed_attempts_is_aligned(spark, tmp_path):
+    """Answers as judges give them, over several attempts, from a stored log; a batch without any valid one gets placeholders."""
+    path = str(tmp_path / "log")
+    good = '[{"id": 1, "is_complete": true, "reason": "ok"}, {"id": 2, "is_complete": false, "reason": "abrupt_end"}]'
+    cols = "task string, dataset string, batch_no int, raw string"
+    tries = ((1, [("completeness", "d", 1, good[:-1]), ("completeness", "d", 2, "sorry"), ("completeness", "d", 3, f"Here: {good} done")]),
+             (2, [("completeness", "d", 1, f"```json\n{good}\n```"), ("completeness", "d", 2, good[:-1])]),
+             (3, [("completeness", "d", 1, "[]"), ("completeness", "d", 2, "none")]), (4, [("completeness", "d", 2, good)]))
+    for attempt, rows in tries:
+        judge.write_log(spark.createDataFrame(rows, cols), path, attempt)
+    first = judge.first_valid(judge.parsed_log(judge.read_log(spark, path)))
+    assert {(r.batch_no, r.attempt) for r in first.collect()} == {(1, 2), (3, 1)}
+    batched = spark.createDataFrame([("d", b, i, f"t{b}{i}") for b in (1, 2, 3) for i in (1, 2)], "dataset string, batch_no long, id int, text string")
+    got = {(r.batch_no, r.id): (r.is_complete, r.reason) for r in judge.align(batched, first).collect()}
+    assert got == {(1, 1): (True, "ok"), (1, 2): (False, "abrupt_end"), (2, 1): (None, judge.FAILED_REASON), (2, 2): (None, judge.FAILED_REASON),
+                   (3, 1): (True, "ok"), (3, 2): (False, "abrupt_end")}
+
+
+def test_every_pii_match_has_its_hint():
+    import re
+    texts = ["My name is Ann Lee", "I am called Bo Xi.", "Signed, Al Po", "contact Jo Ma", "Regards, Su Li", "Mr. Jo Bo", "Mrs. Jo Bo", "Ms. Jo Bo",
+             "Dr. Jo Bo", "+1-800-123-4567", "(123) 456-7890", "555-1234", "123 456 7890", "1 Main St", "12 Old Oak Lane", "New York, NY 10001"]
+    for t in texts:
+        for pattern, hit in ((rules.NAME_J, any(c in t for c in rules.NAME_HINTS)), (rules.PHONE_J, bool(re.search(rules.PHONE_HINT, t))),
+                             (rules.ADDRESS_J, bool(re.search(rules.ADDRESS_HINT, t)))):
+            assert hit or not re.search(pattern, t), (t, pattern)
+
+
 def test_completeness_rules(spark):
     cases = {"I am fine today.": "ok", "too short": "too_short", "<b> <i> <u>": "only_markup",
              "123 456 789.": "garbled", "this ends abruptly and": "abrupt_end",

@@ -23,7 +23,7 @@ def audit_inputs(spark, sf, cfg=DEFAULT):
     The sample is chosen by id; only the chosen generations (at most 500 per dataset) are post-processed with their text.
     """
     raw = tb.raw_gen(spark, sf)
-    syn = gen.postprocess(raw)
+    syn = gen.postprocess(tb.raw_texts(spark, sf))
     ids = sampling.sample_ids(syn, ["dataset"], "gen_id", cfg.judge_sample, cfg.judge_seed, "rn")
     sample = gen.postprocess(raw.join(ids.select("gen_id", "rn"), "gen_id"), keep_post=True)
     return syn, judge.batches(sample, cfg)
@@ -35,15 +35,17 @@ def audited(spark, sf, cfg=DEFAULT):
 
 
 def judged(spark, sf, cfg=DEFAULT):
-    """The same verdicts through a judge's answer log, with answers as they come: fenced, wrapped in prose, cut off."""
+    """The rule judge's answers through a stored answer log: written as JSON text, read back, parsed and aligned with the texts."""
     batched = audit_inputs(spark, sf, cfg)[1]
-    parsed = judge.parsed_log(judge.response_log(judge.clean_responses(judge.with_rule_verdicts(batched))))
+    path = scratch_path(spark, "judge-log")
+    judge.write_log(judge.clean_responses(judge.with_rule_verdicts(batched)).withColumnRenamed("clean", "raw"), path)
+    parsed = judge.parsed_log(judge.read_log(spark, path))
     first = judge.first_valid(parsed, cfg)
     return {"parsed": parsed, "first": first, "aligned": judge.align(batched, first)}
 
 
 def rates_df(spark, sf, cfg=DEFAULT):
-    return report.judge_rates(audited(spark, sf, cfg), report.totals(gen.postprocess(tb.raw_gen(spark, sf))))
+    return report.judge_rates(audited(spark, sf, cfg), report.totals(gen.postprocess(tb.raw_texts(spark, sf))))
 
 
 def _types_str(c="pii_types"):
@@ -55,7 +57,7 @@ _RATE_COLS = ["completeness_rate", "incompleteness_rate", "pii_rate", "clean_rat
 
 # ---- queries --------------------------------------------------------------------
 def q_completeness_rules(spark, sf):
-    r = tb.raw_gen(spark, sf)
+    r = tb.raw_texts(spark, sf)
     post = gen.strip_post(gen.remove_residue(gen.extract_post(F.col("raw_text"))))
     p = r.select("gen_id", post.alias("post"))
     v = p.select("gen_id", rules.completeness_reason(F.col("post")).alias("reason"))
@@ -118,7 +120,7 @@ def q_judge_rates(spark, sf):
 
 
 def q_dataset_totals(spark, sf):
-    return report.totals(gen.postprocess(tb.raw_gen(spark, sf)))
+    return report.totals(gen.postprocess(tb.raw_texts(spark, sf)))
 
 
 def q_label_distribution(spark, sf):
@@ -162,7 +164,7 @@ def q_realism_table(spark, sf):
 
 def q_flagged_docs_json(spark, sf):
     """One nested document per dataset (totals, both verdict lists, flagged rows), written as JSON and read back flat."""
-    a, syn = audited(spark, sf), gen.postprocess(tb.raw_gen(spark, sf))
+    a, syn = audited(spark, sf), gen.postprocess(tb.raw_texts(spark, sf))
     flagged = report.flagged_rows(a).withColumn("rn", F.col("index") + 1)
     comp = F.struct("id", "is_complete", "reason")
     pii = F.struct("id", "has_pii", "pii_types", "pii_details")
@@ -267,19 +269,7 @@ au_clean AS (
   SELECT 'pii' AS task, dataset, batch_no,
          CAST(to_json(list({{'id': id, 'has_pii': has_pii, 'pii_types': pii_types, 'pii_details': pii_details}} ORDER BY id)) AS VARCHAR)
   FROM au_verd GROUP BY dataset, batch_no),
-au_log AS (
-  SELECT task, dataset, batch_no, 1 AS attempt,
-         CASE batch_no % 4 WHEN 0 THEN clean
-              WHEN 1 THEN concat('```json', chr(10), clean, chr(10), '```')
-              WHEN 2 THEN concat('Here: ', clean, ' done')
-              ELSE substr(clean, 1, length(clean) - 1) END AS raw
-  FROM au_clean
-  UNION ALL
-  SELECT task, dataset, batch_no, 2 AS attempt, 'sorry' AS raw FROM au_clean WHERE batch_no % 4 = 3
-  UNION ALL
-  SELECT task, dataset, batch_no, 3 AS attempt,
-         CASE WHEN batch_no % 8 = 3 THEN clean ELSE substr(clean, 1, length(clean) - 1) END AS raw
-  FROM au_clean WHERE batch_no % 4 = 3),
+au_log AS (SELECT task, dataset, batch_no, 1 AS attempt, clean AS raw FROM au_clean),
 au_parsed AS (
   SELECT task, dataset, batch_no, attempt, raw,
          coalesce(try(from_json(CASE WHEN json_valid(raw) THEN raw END, {_VSTRUCT})),

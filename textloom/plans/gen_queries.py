@@ -107,7 +107,7 @@ def q_prompt_wrap(spark, sf):
 
 
 def q_gen_extract_post(spark, sf):
-    r = tb.raw_gen(spark, sf)
+    r = tb.raw_texts(spark, sf)
     return r.select("gen_id", gen.extract_post(F.col("raw_text")).alias("post"))
 
 
@@ -116,9 +116,8 @@ def q_gen_postprocess(spark, sf):
 
 
 def q_gen_label_join(spark, sf):
-    r = tb.raw_gen(spark, sf)
-    texts = gen.postprocess(r.select("gen_id", "dataset", "raw_text"))
-    labels = r.select("gen_id", "label")
+    texts = gen.postprocess(tb.raw_texts(spark, sf))
+    labels = tb.gen_labels(spark, sf)
     return gen.label_join(texts, labels).select("gen_id", "dataset", "label", "text")
 
 

@@ -61,6 +61,19 @@ def raw_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_shapes(posts(spark, sf_dir))
 
 
+def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_gen`` without labels: no join."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("dataset"), "text", F.lit(None).cast("string").alias("label"))
+    return raw_shapes(docs).drop("label")
+
+
+def gen_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``gen_id, label``: the label of every generation; no text is read."""
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    labs = table(spark, sf_dir, "labels").select("doc_id", severity_label(F.col("quality"), F.col("toxic")).alias("label"))
+    return ids.join(labs, "doc_id", "left").select(F.col("doc_id").alias("gen_id"), F.coalesce("label", F.lit("minimum")).alias("label"))
+
+
 def raw_shapes(p: DataFrame) -> DataFrame:
     """Posts ``doc_id, dataset, label, text`` as raw generator output."""
     shape = (F.col("doc_id") % 6).cast("int")
