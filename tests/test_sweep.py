@@ -47,6 +47,23 @@ def test_scores_equal_a_plain_naive_bayes(spark):
         assert LABELS[r.label_id] == test[r.doc_id - 1][1]
 
 
+def test_a_word_in_every_document_is_no_hot_key(spark, monkeypatch):
+    """No group of the shuffled join has more than a few rows, and the scores are those of the plain join."""
+    monkeypatch.setattr(NB, "FREQUENT", 20)
+    train = spark.createDataFrame([("r", "mild" if i % 2 else "severe", f"the of a{i % 7} u{i}") for i in range(200)],
+                                  "run_name string, label string, text_clean string")
+    test = spark.createDataFrame([(i, "mild", f"the a{i % 7} u{i}") for i in range(300)], "doc_id long, label string, text_clean string")
+    tf = NB.grams(test, ["doc_id"]).groupBy("doc_id", "classifier", "term").agg(F.count(F.lit(1)).alias("tf"))
+    head = {(r.classifier, r.term) for r in NB.frequent_terms(tf).collect()}
+    assert ("unigram_nb", "the") in head and len(head) <= 40
+    rest = tf.groupBy("classifier", "term").count().collect()
+    total = {c: sum(r["count"] for r in rest if r.classifier == c) for c in ("unigram_nb", "bigram_nb")}
+    assert all(r["count"] <= total[r.classifier] / 20 for r in rest if (r.classifier, r.term) not in head)
+    terms, _ = NB.fit(train)
+    got = sorted(map(repr, NB.with_counts(tf, terms).select("doc_id", "classifier", "term", "tf", "run_name", "n").collect()))
+    assert got == sorted(map(repr, tf.join(terms, ["classifier", "term"]).select("doc_id", "classifier", "term", "tf", "run_name", "n").collect()))
+
+
 def test_a_fifth_label_is_scored(spark):
     train = spark.createDataFrame([("r", x, f"{x} word") for x in ("mild", "extreme", "severe", "minimum", "moderate")],
                                   "run_name string, label string, text_clean string")

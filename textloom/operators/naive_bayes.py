@@ -51,6 +51,27 @@ def fit(train: DataFrame, labels=LABELS):
     return terms, totals.join(rows, "run_name")
 
 
+FREQUENT = 1_000     # a term with over 1/FREQUENT of a classifier's postings is joined in the map: at most FREQUENT terms
+
+
+def frequent_terms(tf: DataFrame) -> DataFrame:
+    """``classifier, term, head`` of the terms whose rows of ``tf`` are over 1/``FREQUENT`` of the classifier's: so many at most."""
+    many = tf.groupBy("classifier", "term").agg(F.count(F.lit(1)).alias("_m"))
+    total = many.groupBy("classifier").agg(F.sum("_m").alias("_t"))
+    return many.join(total, "classifier").where(F.col("_m") * FREQUENT > F.col("_t")).select("classifier", "term", F.lit(True).alias("head"))
+
+
+def with_counts(tf: DataFrame, terms: DataFrame) -> DataFrame:
+    """``tf`` joined with the term counts of every run, without a hot key: frequent terms meet their rows (at most
+    ``FREQUENT`` x runs a classifier, broadcast) in the map; each of the others has few rows in ``tf``."""
+    keys = ["classifier", "term"]
+    often = F.broadcast(frequent_terms(tf))
+    tf, terms = (d.join(often, keys, "left") for d in (tf, terms))
+    head = tf.where("head").drop("head").join(F.broadcast(terms.where("head").drop("head")), keys)
+    tail = tf.where("head is null").drop("head").join(terms.where("head is null").drop("head"), keys)
+    return head.unionByName(tail)
+
+
 def score(model, test: DataFrame, run_names, keep=("doc_id", "label"), labels=LABELS) -> DataFrame:
     """``run_name, classifier, epoch, keep.., label_id, l``: class scores of every test row under every run.
 
@@ -63,7 +84,7 @@ def score(model, test: DataFrame, run_names, keep=("doc_id", "label"), labels=LA
     tf = grams(test, ["doc_id"]).groupBy("doc_id", "classifier", "term").agg(F.count(F.lit(1)).alias("tf"))
     size = tf.groupBy("doc_id", "classifier").agg(F.sum("tf").alias("size"))
     gain = [F.sum(F.col("tf") * F.log1p(F.col("n")[i] / F.lit(a))) for a in ALPHAS for i in range(k)]
-    hits = tf.join(terms, ["classifier", "term"]).groupBy("run_name", "classifier", "doc_id").agg(
+    hits = with_counts(tf, terms).groupBy("run_name", "classifier", "doc_id").agg(
         F.array(*gain).alias("gain"))
     grid = F.array(*[F.struct(F.lit(r).alias("run_name"), F.lit(c).alias("classifier"))
                      for r in run_names for c in CLASSIFIERS])
