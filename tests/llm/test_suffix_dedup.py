@@ -114,3 +114,18 @@ def test_mask_runs():
         stops = [k - 2 for k in range(1, len(bits)) if bits[k] == "0" and bits[k - 1] == "1"]
         want += [(i, a, b) for a, b in zip(starts, stops)]
     assert got == sorted(want)
+
+
+def test_a_passage_in_a_third_of_all_documents_fills_no_bucket(spark, make_docs):
+    """Rows that only pass on an answer are spread by document: no bucket is far above the others."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij ") for _ in range(300))
+    passage = "".join(rnd.choice("klmnopqrst ") for _ in range(400))
+    docs = make_docs([(i, word() + (passage if i % 3 == 0 else word())) for i in range(3000)], extra=False, parts=4)
+    rows = docs.select(S.F.col("doc_id").alias("k"), "text")
+    none = spark.sparkContext.broadcast(S.np.zeros(1 << 22, S.np.uint8))
+    sent = rows.mapInArrow(S.send_anchors(64, none), "bucket int, told boolean, home array<int>, code array<int>, doc array<long>")
+    per = sorted(r.n for r in sent.groupBy("bucket").agg(S.F.sum(S.F.size("code")).alias("n")).collect())
+    assert len(per) == 64 and per[-1] < 5 * per[32]
+    told = sorted(r.n for r in sent.where("told").groupBy("bucket").agg(S.F.sum(S.F.size("code")).alias("n")).collect())
+    assert sum(told) > 10_000 and told[-1] < 5 * told[len(told) // 2]

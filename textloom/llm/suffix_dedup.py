@@ -124,7 +124,12 @@ def _by_key(keys: np.ndarray):
 
 
 def send_anchors(buckets: int, frequent):
-    """Per task: each anchor of the documents at hand, with its document or the mark that it is in several."""
+    """Per task: each anchor of the documents at hand, with its document or the mark that it is in several.
+
+    These go to the anchor's bucket. Documents that share an anchor within the task know the answer already (``told``): their
+    rows only travel on to their document group, through a bucket chosen by document, so that a passage in very many
+    documents sends one row per task into its anchor's bucket and nothing more. ``home`` is a told anchor's own bucket.
+    """
     def run(batches):
         def sent():
             code, doc = np.concatenate(codes), np.concatenate(docs)
@@ -138,13 +143,14 @@ def send_anchors(buckets: int, frequent):
             out = [(code[start], np.where(several, SEVERAL, doc[start]), 0), (code[known], doc[known], 1)]
             for c, d, told in out:
                 if len(c):
-                    order, found, first, last = _by_key(c >> 32)
+                    order, found, first, last = _by_key(id_groups(d, buckets) if told else c >> 32)
                     c, d = c[order], d[order]
+                    home = [(c[a:b] >> 32).astype(np.int32) if told else np.empty(0, np.int32) for a, b in zip(first, last)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(found.astype(np.int32)), pa.array([bool(told)] * len(found)),
+                        [pa.array(found.astype(np.int32)), pa.array([bool(told)] * len(found)), _lists(home, pa.int32()),
                          _lists([c[a:b].astype(np.uint32).view(np.int32) for a, b in zip(first, last)], pa.int32()),
                          _lists([d[a:b] for a, b in zip(first, last)], pa.int64())],
-                        names=["bucket", "told", "code", "doc"])
+                        names=["bucket", "told", "home", "code", "doc"])
 
         codes, docs, held = [], [], 0
         for batch in batches:
@@ -180,7 +186,8 @@ def answer_anchors(groups: int):
             several = (ask_doc[start] != last) | (ask_doc[start] == SEVERAL)
             hit = several[np.cumsum(new) - 1] & (ask_doc != SEVERAL)
             ask_code, ask_doc = ask_code[hit], ask_doc[hit]
-        code = np.concatenate([ask_code, code[told]]) | (bucket << 32)
+        home = np.concatenate([np.asarray(c.flatten()) for c in table["home"].chunks]).astype(np.int64)
+        code = np.concatenate([ask_code | (bucket << 32), code[told] | (home << 32)])
         doc = np.concatenate([ask_doc, doc[told]])
         order, found, first, last = _by_key(id_groups(doc, groups))
         code, doc = code[order], doc[order]
@@ -422,7 +429,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, keep_text: bool = True) ->
     frequent = spark.sparkContext.broadcast(frequent_anchors(rows, total))
 
     asked = rows.select("k", "text").mapInArrow(
-        send_anchors(buckets, frequent), "bucket int, told boolean, code array<int>, doc array<long>")
+        send_anchors(buckets, frequent), "bucket int, told boolean, home array<int>, code array<int>, doc array<long>")
     answers = scratch.write(asked.groupBy("bucket").applyInArrow(
         answer_anchors(groups), "kg int, code array<long>, doc array<long>"), "answers")
 
