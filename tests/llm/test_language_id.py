@@ -59,3 +59,57 @@ def test_one_text_scores_alone_as_in_a_batch():
     for i, t in enumerate(texts):
         alone = L.score_texts([t], langs, matrix.astype("float32"), prior)
         assert alone[0][0] == together[0][i] and abs(alone[1][0] - together[1][i]) < 1e-5
+
+
+def test_counts_and_choice_equal_a_plain_naive_bayes(spark):
+    """Over the whole table: n-grams as strings, each hashed by itself, and the plain product of probabilities."""
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    (langs, matrix, prior), = L.fit(docs)
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x01000193 + ord(c)) & 0xFFFFFFFF
+        h = ((h ^ (len(gram) * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B) & 0xFFFFFFFF
+        return (((h ^ (h >> 15)) * 0xC2B2AE35) & 0xFFFFFFFF) >> (32 - L.BITS)
+
+    def grams(text):
+        t = "".join(c if c.isalpha() else " " for c in text.lower()) + "  "
+        for i in range(len(t) - 2):
+            for n in L.SIZES:
+                g = t[i:i + n]
+                if len(g) == n and (g[0] != " " if n == 1 else g[0] != " " or g[1] != " "):
+                    yield bucket(g)
+
+    import zlib
+    count = {lang: L.np.full(1 << L.BITS, L.SMOOTHING) for lang in langs}
+    seen = dict.fromkeys(langs, 0)
+    for i, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 5:
+            seen[lang] += 1
+            for b in grams(text):
+                count[lang][b] += 1
+    for k, lang in enumerate(langs):
+        assert L.np.allclose(matrix[:, k], L.np.log(count[lang] / count[lang].sum()), atol=1e-5)
+        assert abs(prior[k] - L.np.log(seen[lang] / sum(seen.values()))) < 1e-12
+    got = {r.doc_id: r.lang_pred for r in L.identify(docs).collect()}
+    for i, text, _ in rows:
+        if text and any(c.isalpha() for c in text):
+            own = list(grams(text))
+            total = [p + sum(float(L.np.log(count[x][b] / count[x].sum())) for b in own) for x, p in zip(langs, prior)]
+            order = sorted(total)
+            assert got[i] == langs[total.index(order[-1])] or order[-1] - order[-2] < 1e-2
+
+
+def test_more_languages_than_one_matrix_holds(spark, make_docs, monkeypatch):
+    """Every language can be predicted, and the number of languages at once changes nothing."""
+    rows = [(i, " ".join([f"{chr(97 + k)}{chr(98 + k)}{chr(99 + k)}"] * 5), f"l{k}") for k in range(9) for i in range(k * 50, k * 50 + 40)]
+    docs = make_docs([*rows, (9000, None, "l1"), (9001, "77", "l2")])
+    whole = sorted((r.doc_id, r.lang_pred, round(r.score, 5)) for r in L.identify(docs).collect())
+    monkeypatch.setattr(L, "LANGS_AT_ONCE", 2)
+    assert len(L.fit(docs)) == 5
+    parts = sorted((r.doc_id, r.lang_pred, round(r.score, 5)) for r in L.identify(docs).collect())
+    assert parts == whole and {p for _, p, _ in whole} == {"und", *(f"l{k}" for k in range(9))}
+    assert all(p == f"l{i // 50}" for i, p, _ in whole if i < 450)
+    assert {r.doc_id for r in L.keep_identified(docs, 0.1).collect()} == {i for i, *_ in rows}

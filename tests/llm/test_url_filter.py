@@ -44,3 +44,15 @@ def test_no_python_in_plan(spark):
     pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     plan = U.filter_urls(pages, spark.createDataFrame(U.RULES, "host string, path string, verdict string"))
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_hashes_that_collide_are_confirmed_by_the_digest(spark, monkeypatch):
+    """With one hex digit most expressions collide; the verdicts stay the same, and the join has the short hash alone."""
+    from textloom.llm import url_filter as U
+    want = sorted(map(repr, U.op1_url_filter(spark, "/root/testdata/sf0.01").collect()))
+    monkeypatch.setattr(U, "PREFIX_HEX", 1)
+    got = U.op1_url_filter(spark, "/root/testdata/sf0.01")
+    assert sorted(map(repr, got.collect())) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join LeftOuter" in line)
+    assert "short" in join and "digest" not in join and "ExistingRDD" not in plan

@@ -16,8 +16,9 @@ SIZES = (1, 2, 3)          # n-gram lengths
 SMOOTHING = 0.5
 #: The model is fitted on about this many documents per language, chosen by a hash of the id.
 MAX_TRAIN_PER_LANG = 4_000
-#: Languages the model can hold (the most frequent ones): bounds the broadcast matrix to 200 x 2^16 floats.
-MAX_LANGS = 200
+#: Languages in one matrix: more of them are scored by several matrices, one after another, so each broadcast holds at most
+#: 200 x 2^16 floats whatever the number of languages.
+LANGS_AT_ONCE = 200
 UNKNOWN = "und"
 #: The pipeline's least score: one language is likelier than all others together. Over the learnable rows of sf0.1 accuracy
 #: falls nowhere above it (all 8,040 score at least 0.5, 99.9 % are right), so no learnable text is lost.
@@ -73,41 +74,45 @@ def _count(batches):
             names=["lang", "bucket", "n"])
 
 
-def fit(docs: DataFrame, max_per_lang: int = MAX_TRAIN_PER_LANG, max_langs: int = MAX_LANGS):
-    """``(languages, log-probability matrix [bucket, language], log priors)`` from rows with a language.
+def fit(docs: DataFrame, max_per_lang: int = MAX_TRAIN_PER_LANG) -> list[tuple]:
+    """Models ``(languages, log-probability matrix [bucket, language], log priors)`` from rows with a language, each of at most
+    ``LANGS_AT_ONCE`` languages, alphabetically; together they hold every learnable language.
 
     Priors count all rows; n-grams come from a hash sample of about ``max_per_lang`` rows per language.
-    What reaches the driver is bounded by ``max_langs`` x 2^16 numbers.
+    What reaches the driver at once is bounded by ``LANGS_AT_ONCE`` x 2^16 numbers.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    langs = sorted(r["lang"] for r in sizes)
-    if not langs:
-        return [], np.zeros((1 << BITS, 0), np.float32), np.zeros(0)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, max_per_lang / r["count"]))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 30)) < share * float(1 << 30))
-    counts = (sample.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long")
-              .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
-    matrix = np.full((1 << BITS, len(langs)), SMOOTHING)
-    place = {lang: i for i, lang in enumerate(langs)}
-    column = np.array([place[x] for x in counts["lang"].to_pylist()], np.int64)
-    matrix[counts["bucket"].to_numpy(), column] += counts["n"].to_numpy()
-    by_lang = {r["lang"]: r["count"] for r in sizes}
-    prior = np.log([by_lang[x] for x in langs]) - np.log(sum(by_lang.values()))
-    return langs, np.log(matrix / matrix.sum(0)).astype(np.float32), prior
-
-
-def score_texts(texts: list[str], langs: list[str], matrix: np.ndarray, prior: np.ndarray):
-    """Predicted language and its probability for each text.
-
-    The log-likelihood is divided by the square root of the n-gram count: n-grams of a text are not independent,
-    and the plain product would give 0 or 1 for almost every text.
+    sizes = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect())
+    all_rows = sum(n for _, n in sizes)
+    models = []
+    for at in range(0, len(sizes), LANGS_AT_ONCE):
+        part = sizes[at:at + LANGS_AT_ONCE]
+        langs = [lang for lang, _ in part]
+        share = F.lit(0.0)
+        for lang, n in part:
+            share = F.when(F.col("lang") == lang, F.lit(min(1.0, max_per_lang / n))).otherwise(share)
+        sample = rows.where(F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 30)) < share * float(1 << 30))
+        counts = (sample.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long")
+                  .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
+        matrix = np.full((1 << BITS, len(langs)), SMOOTHING)
+        place = {lang: i for i, lang in enumerate(langs)}
+        column = np.array([place[x] for x in counts["lang"].to_pylist()], np.int64)
+        matrix[counts["bucket"].to_numpy(), column] += counts["n"].to_numpy()
+        prior = np.log([n for _, n in part]) - np.log(all_rows)
+        models.append((langs, np.log(matrix / matrix.sum(0)).astype(np.float32), prior))
+    return models
+
+
+def advance(texts: list[str], model: tuple, state: tuple) -> tuple:
+    """The state ``(language, its log posterior, its tempered one, log sum of the tempered ones)`` of each text after the
+    languages of ``model``.
+
+    The language is that of the largest multinomial posterior. Its score is tempered: the log-likelihood is divided by the square
+    root of the n-gram count, since n-grams of a text are not independent, and the plain product would give 0 or 1
+    for almost every text.
     """
-    best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    if not langs:
-        return best, score
+    langs, matrix, prior = model
+    best, top, soft, total_soft = (list(state[0]), *(np.array(x, np.float64) for x in state[1:]))
     for a, b in blocks([len(t) for t in texts], max(1 << 14, BLOCK // max(1, len(langs) // 8))):
         grams, off = _buckets(texts[a:b])
         total, n = np.zeros((b - a, len(langs))), np.zeros(b - a)
@@ -116,62 +121,86 @@ def score_texts(texts: list[str], langs: list[str], matrix: np.ndarray, prior: n
             ends = np.searchsorted(at, off)
             total += segment_sum(matrix[bucket[at]], ends[:-1], ends[1:])
             n += np.diff(ends)
-        logit = prior + total / np.sqrt(np.maximum(n, 1))[:, None]
-        p = np.exp(logit - logit.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
+        plain = prior + total
+        tempered = prior + total / np.sqrt(np.maximum(n, 1))[:, None]
+        high = tempered.max(1)
+        total_soft[a:b] = np.logaddexp(total_soft[a:b], high + np.log(np.exp(tempered - high[:, None]).sum(1)))
+        pick = plain.argmax(1)
         for i, t in enumerate(texts[a:b]):
-            if LETTER.search(t):
-                k = int(p[i].argmax())
-                best[a + i], score[a + i] = langs[k], round(float(p[i, k]), 6)
-    return best, score
+            k = int(pick[i])
+            if plain[i, k] > top[a + i] and LETTER.search(t):
+                best[a + i], top[a + i], soft[a + i] = langs[k], plain[i, k], tempered[i, k]
+    return best, top, soft, total_soft
+
+
+def score_texts(texts: list[str], langs: list[str], matrix: np.ndarray, prior: np.ndarray):
+    """Predicted language and its score for each text, by one model."""
+    n = len(texts)
+    state = ([None] * n, np.full(n, -np.inf), np.zeros(n), np.full(n, -np.inf))
+    if langs:
+        state = advance(texts, (langs, matrix, prior), state)
+    best, _, soft, total = state
+    score = [0.0 if x is None else round(float(np.exp(s - t)), 6) for x, s, t in zip(best, soft, total)]
+    return [UNKNOWN if x is None else x for x in best], np.array(score)
+
+
+STATE = ("lid_best", "lid_top", "lid_soft", "lid_total")
+
+
+def with_language(docs: DataFrame, models: list[tuple]) -> DataFrame:
+    """``docs`` with ``lid_best`` (null: none) and ``lid_score``; one pass over the rows, through one map per model."""
+    names = docs.columns
+    at = names.index("text")
+    start = [F.lit(None).cast("string"), *(F.lit(x).cast("double") for x in (float("-inf"), 0.0, float("-inf")))]
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))]).select("*", *[c.alias(x) for c, x in zip(start, STATE)])
+    for model in models:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches, shared=shared):
+            for batch in small(batches):
+                columns = list(batch.columns)
+                state = (columns[-4].to_pylist(), *(c.to_numpy(zero_copy_only=False) for c in columns[-3:]))
+                best, *numbers = advance(strings(columns[at]), shared.value, state)
+                yield pa.RecordBatch.from_arrays([*columns[:-4], pa.array(best, pa.string()), *(pa.array(x) for x in numbers)],
+                                                 names=batch.schema.names)
+
+        rows = rows.mapInArrow(run, rows.schema)
+    score = F.when(F.col("lid_best").isNull(), 0.0).otherwise(F.round(F.exp(F.col("lid_soft") - F.col("lid_total")), 6))
+    return rows.withColumn("lid_top", score).drop("lid_soft", "lid_total").toDF(*names, "lid_best", "lid_score")
 
 
 def identify(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of ``docs``.
 
     The model learns from text and non-null ``lang`` of the rows of ``train`` (default: ``docs``) whose id is not
-    held out (``common.held_out``); prediction sees the text alone. ``score`` is the posterior probability of the
-    predicted language. ``und`` with score 0: a null text, a text without a letter, or nothing to learn from.
-    Repeated rows give repeated results; ties go to the alphabetically first language; a null id is held out.
-    Other columns are not read.
+    held out (``common.held_out``); prediction sees the text alone. ``lang_pred`` has the largest multinomial posterior,
+    ``score`` is its tempered posterior probability (see ``advance``). ``und`` with score 0: a null text, a text without a
+    letter, or nothing to learn from. Repeated rows give repeated results; ties go to the alphabetically first language; a null
+    id is held out. An empty table gives an empty result. Very long texts are scored whole. Other columns are not read.
     """
-    spark = docs.sparkSession
-    cast = docs.select("doc_id", held_out().alias("held_out"), "text")
-    model = spark.sparkContext.broadcast(fit(train if train is not None else docs))
-
-    def predict(batches):
-        langs, matrix, prior = model.value
-        for batch in small(batches):
-            best, score = score_texts(strings(batch["text"]), langs, matrix, prior)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["held_out"], pa.array(best, pa.string()), pa.array(score, pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score"])
-
-    kind = cast.schema["doc_id"].dataType.simpleString()
-    return cast.mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    found = with_language(rows, fit(train if train is not None else docs))
+    return found.select("doc_id", "held_out", F.coalesce("lid_best", F.lit(UNKNOWN)).alias("lang_pred"), F.col("lid_score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     """The rows of ``docs`` with a recognised language and at least ``min_score``; all columns stay.
 
-    A null or letterless text is rejected. Where nothing can be learnt, all texts with a letter stay. Rows are kept or dropped inside one pass over the table, so repeated ids
-    and clashing column names need no join.
+    A null or letterless text is rejected. Where nothing can be learnt, all texts with a letter stay. Rows are kept or
+    dropped inside one pass over the table, so repeated ids and clashing column names need no join.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
-    at = [c for c in docs.columns].index("text")
+    models, names = fit(docs), docs.columns
+    if models:
+        found = with_language(docs, models).toDF(*[f"c{i}" for i in range(len(names))], "best", "score")
+        return found.where(F.col("best").isNotNull() & (F.col("score") >= min_score)).drop("best", "score").toDF(*names)
+    at = names.index("text")
 
     def judge(batches):
-        langs, matrix, prior = model.value
         for batch in small(batches):
-            texts = strings(batch.column(at))
-            if langs:
-                best, score = score_texts(texts, langs, matrix, prior)
-                keep = [x != UNKNOWN and s >= min_score for x, s in zip(best, score)]
-            else:
-                keep = [LETTER.search(t) is not None for t in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(judge, docs.schema)
+            yield batch.filter(pa.array([LETTER.search(t) is not None for t in strings(batch.column(at))], pa.bool_()))
+
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return rows.mapInArrow(judge, rows.schema).toDF(*names)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,8 +47,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
     ones the longer host, then ``allow``, then the alphabetical order. Rules with an empty host are ignored.
 
     Every URL is expanded into host suffixes and path prefixes ending in a slash, only for the depths that the
-    rules have (a deeper expression can equal no rule). The expressions meet the rules on 32 hash bits; the full
-    digest and the rest of the rule's path are confirmed after that, so a hash collision changes nothing.
+    rules have (a deeper expression can equal no rule). The expressions are joined with the rules on 32 hash bits
+    alone; the full digest and the rest of the rule's path are confirmed on the joined rows, so a hash collision changes nothing.
 
     Nulls: a null URL, or one without ``://``, has an empty host and path and the default verdict; a null
     ``page_id`` is a value like any other. Repeated rows stay repeated. An empty table gives an empty result.
@@ -79,14 +79,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
                 F.concat(F.array_join(F.slice(cuts, 1, k), "/"), F.lit("/"))))
         x = (p.withColumn("suffix", F.explode(suffixes)).withColumn("folder", F.explode(folders))
              .withColumn("digest", _digest(F.col("suffix"), F.col("folder"))))
-        fits = ((F.substring(x.digest, 1, PREFIX_HEX) == r.short) & (x.digest == r.r_digest)
-                & F.startswith(x.path, r.r_path))
+        x = x.withColumn("x_short", F.substring("digest", 1, PREFIX_HEX))
+        confirmed = (F.col("digest") == F.col("r_digest")) & F.startswith(F.col("path"), F.col("r_path"))
         rule = F.concat("r_host", "r_path")
         order = F.struct(F.length(rule), F.length("r_host"), (F.col("r_verdict") == "allow"), rule)
         # the pages keep their partitioning by (page_id, url): no second shuffle after a broadcast of the rules
-        hits = (x.join(r, fits, "left").groupBy("page_id", "url")
+        hits = (x.join(r, F.col("x_short") == F.col("short"), "left").groupBy("page_id", "url")
                 .agg(F.max_by(F.struct(rule.alias("rule"), "r_verdict"),
-                              F.when(F.col("r_host").isNotNull(), order)).alias("best"),
+                              F.when(confirmed, order)).alias("best"),
                      F.first("copies").alias("copies"), F.first("host").alias("host"),
                      F.first("path").alias("path")))
     return (hits.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
@@ -95,7 +95,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS t(host, path, verdict)")
     return filter_urls(read_table(spark, sf_dir, "pages"), rules)
 
 
