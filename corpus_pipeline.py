@@ -50,6 +50,11 @@ STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("pii", pii)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each on the written result of the one before: one row per packed piece.
+
+    Null ids, texts and sources, repeated rows, very long texts and further columns go through every stage as its operator
+    says (null and letterless texts leave at the first one); an empty table gives an empty result.
+    """
     docs = read_table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
