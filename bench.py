@@ -30,6 +30,7 @@ HEADLINE = [
     "tfidf_top_terms",
     "train_eval_classifier",
     "utility_sweep",
+    "train_linear_classifier",
 ]
 
 
@@ -46,9 +47,11 @@ def main() -> None:
         t0 = time.perf_counter()
         qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+    n_docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").count()
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "headline_total_wall", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": float(m.group(1)) if m else sf_dir,
+           "documents": n_docs, "documents_per_sec": {n: round(n_docs / t, 1) for n, t in times.items() if t},
            "cpus": int(os.environ.get("BENCH_CPUS", "8"))}
     print(json.dumps(out))
     spark.stop()
