@@ -64,4 +64,4 @@ def test_registered():
     import __spark_entry__ as E
     assert E.queries()["pipeline"] is P.run and "pipeline" not in E.oracle_sql()
     names = list(E.queries())
-    assert [n for i in range(1, 11) for n in names if n.startswith(f"op{i}_")] == [n for n in names if n.startswith("op")]
+    assert [n for i in range(1, 14) for n in names if n.startswith(f"op{i}_")] == [n for n in names if n.startswith("op")]
