@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .common import blocks, code_points, read_table, small, strings, vocab_path
+from .common import blocks, code_points, read_table, ship_code, small, strings, vocab_path
 
 KINDS = ("assign", "access", "hex", "random")      # the three base kinds, then what the models add
 ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -175,6 +175,7 @@ def fit(docs: DataFrame, seed: int = 13, odds: float = ODDS, vocabulary: str | N
     strings per alphabet. The counts are at most ``K`` cubed numbers per model, whatever the corpus. The threshold is the
     logarithm of ``odds`` times the ordinary runs per base value (the prior odds), times the number of alphabets to choose from.
     """
+    ship_code(docs.sparkSession)
     n = np.zeros((len(ALPHABETS) + 3, K ** 3))
     number = np.zeros(len(ALPHABETS) + 3)
     got = count_symbols(docs).toArrow()
