@@ -29,7 +29,7 @@ NEW_WORD = 0.05                                    # probability that an ordinar
 VOCABULARY = "byte_bpe_50k.tiktoken"               # public word pieces: labelled samples of ordinary identifiers
 SAMPLES, SAMPLE_LENGTH = 2_000, 40                 # labelled random strings made per alphabet, by a seed
 MIN_LENGTH = 16                                    # code points of an added span at least
-ODDS = 9.0                                         # posterior odds of random against ordinary asked of an added span
+ODDS = 1_000.0                                     # posterior odds asked of an added span (ratios overstate: characters are not independent)
 BLOCK = 1 << 20                                    # code points scored at once
 NEVER = -1e4                                       # ratio of a character that the alphabet lacks
 SHORT, LONG = len(ALPHABETS), len(ALPHABETS) + 1   # numbers of the counts of ordinary runs
