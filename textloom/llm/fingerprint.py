@@ -117,7 +117,8 @@ def edited_texts(docs: DataFrame, following: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
-    Null text counts as empty; an empty text has the fingerprint of no terms. A null id stands outside the order: its
+    Ids are integers (the next document is one in their order); an id that cannot be cast to a long is an error. Null text
+    counts as empty; an empty text has the fingerprint of no terms. A null id stands outside the order: its
     last third is dropped, and ``near_next`` is 0. Rows that repeat an id give a row each; the next document is the next
     different id, the alphabetically first text where that id repeats. Empty table: empty result.
     Other columns are not read.

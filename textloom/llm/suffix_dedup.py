@@ -414,7 +414,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, keep_text: bool = True) ->
     A byte goes if it lies in a 50-byte string that also starts in a document with a smaller id. Strings are judged on the input;
     ``n_spans`` counts maximal removed runs. ``kept`` replaces what is no longer UTF-8 at the cuts; the digest is of the bytes.
 
-    A null text is empty; a text below 50 bytes is never touched. Rows that repeat an id are one document: neither
+    Ids are integers (their order decides which copy stays); an id that cannot be cast to a long is an error. Very long
+    texts are worked on whole, in slices. A null text is empty; a text below 50 bytes is never touched. Rows that repeat an id are one document: neither
     is smaller than the other. A null id is larger than all others. Empty table: empty result. Other columns are not read.
 
     Three exchanges: anchors with their documents (about 12 bytes each, one per 18 bytes of text), texts by id group
