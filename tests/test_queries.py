@@ -50,13 +50,14 @@ def test_entry_runs(spark):
 
 
 ORACLE = catalog.oracle_sql()
+NO_SQL = {"name_spans"}     # a perceptron's order of updates; tests/test_names.py holds it against brute force
 
 
 def test_every_query_has_an_oracle_and_is_registered():
-    assert set(ORACLE) == set(QUERIES) and set(QUERIES) <= set(E.queries())
+    assert set(ORACLE) == set(QUERIES) - NO_SQL and set(QUERIES) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
     sdf = QUERIES[name](spark, SF001)
     s = pd.DataFrame(sdf.collect(), columns=sdf.columns)

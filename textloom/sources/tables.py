@@ -89,6 +89,40 @@ def raw_shapes(p: DataFrame) -> DataFrame:
                     raw.alias("raw_text"))
 
 
+# phrases around a mention of two capitalised words: of a person, or of a place, firm or work
+PERSON = (("I met ", " at the station."), ("", " told me about it."), ("We called ", " last night."), ("My sister ", " came home."),
+          ("There is a letter from ", " for you."), ("", " was born here."))
+OTHER = (("I live in ", " now."), ("We drove to ", " by car."), ("They work for ", " as clerks."), ("The road near ", " is closed."),
+         ("", " is a large company."), ("Everybody reads ", " these days."))
+
+
+def marked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with marked names ``doc_id, text, spans``: documents with a sentence put behind or before their text.
+
+    The sentence mentions two of the document's own words, capitalised; half of the phrases speak of a person. Documents without two
+    plain words, and one in eight, stay as they are.
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), 0))
+    h = F.xxhash64(F.lit(11), "doc_id")
+    d = d.withColumn("w", words).withColumn("h", F.pmod(h, F.lit(1 << 40)))
+    phrases = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (*PERSON, *OTHER)])
+    n = F.size("w")
+    first = F.initcap(F.get("w", F.pmod("h", n).cast("int")))
+    last = F.initcap(F.get("w", F.pmod(F.col("h") + 1 + F.pmod(F.shiftright("h", 9), n - 1), n).cast("int")))
+    kind = F.pmod(F.shiftright("h", 20), F.lit(len(PERSON) + len(OTHER))).cast("int")
+    made = (n >= 2) & (F.pmod(F.shiftright("h", 5), F.lit(8)) > 0)
+    d = d.withColumn("ok", made).withColumn("name", F.when(made, F.concat_ws(" ", first, last))).withColumn("k", kind)
+    p = F.get(phrases, F.col("k"))
+    d = d.withColumn("s", F.concat(p["a"], "name", p["b"])).withColumn("early", F.pmod(F.shiftright("h", 30), F.lit(2)) == 0)
+    start = F.length(p["a"]) + F.when(F.col("early"), 0).otherwise(F.length("text") + 1)
+    span = F.struct(start.cast("long").alias("start"), (start + F.length("name")).cast("long").alias("end"))
+    none = F.lit(None).cast("array<struct<start: bigint, end: bigint>>")
+    return d.select("doc_id", F.when(~F.col("ok"), F.col("text")).when(F.col("early"), F.concat_ws(" ", "s", "text"))
+                    .otherwise(F.concat_ws(" ", "text", "s")).alias("text"),
+                    F.when(F.col("ok") & (F.col("k") < len(PERSON)), F.array(span)).otherwise(none).alias("spans"))
+
+
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored rows ``vec_id, label_id, l``: the whole embedding's dot product with each class centroid.
 
