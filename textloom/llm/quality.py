@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import blocks, code_points, hash_share, held_out, read_table, strings
+from .common import blocks, code_points, hash_share, held_out, read_table, small, strings
 
 THRESHOLD = 0.3
-#: The model is fitted on about this many rows of each kind (trusted positives, unlabelled, rows for calibration).
-MAX_TRAIN = 6_000
+#: About this many trusted positives and as many unlabelled rows are learnt from, a third of them for the prior and the curve.
+MAX_TRAIN = 9_000
+DELTA = 0.1                    # the prior's bound holds with this error
 BLOCK = 1 << 20
 CLASSES = 8                    # lower, upper, digit, blank, line end, common mark, symbol, other letter
 COMMON_MARKS = ".,;:'\"!?-()"
@@ -121,68 +122,104 @@ def to_score(g: np.ndarray, curve: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.round(0.98 * np.interp(g, x, v) + 0.02 * smooth, 6)
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from scorer values of rows that the scorer has not seen.
+
+    Above a cut, the unlabelled hold at least prior x (share of the positives above it), so that every cut bounds the prior by
+    the ratio of the two shares; the cut is the one with the smallest bound, its sampling error added.
+    """
+    cuts = np.unique(positive)
+    above_p = 1 - np.searchsorted(np.sort(positive), cuts, side="left") / len(positive)
+    above_u = 1 - np.searchsorted(np.sort(unlabelled), cuts, side="left") / len(unlabelled)
+    error = np.sqrt(np.log(4 / DELTA) / 2) * (len(positive) ** -0.5 + len(unlabelled) ** -0.5)
+    best = int(np.argmin((above_u + error) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
+
+
+def fit_posterior(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the rising curve from scorer values to P(positive) = prior x density of positives / density of the unlabelled.
+
+    The isotonic curve of positives (weight prior) against unlabelled (weight 1) is p / (1 + p) of that ratio p.
+    """
+    g = np.concatenate([positive, unlabelled]).astype(np.float64)
+    y = np.concatenate([np.ones(len(positive)), np.zeros(len(unlabelled))])
+    x, v = fit_curve(g, y, prior / (1 + prior))
+    return x, np.clip(v / np.maximum(1 - v, 1e-9), 0.0, 1.0)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN):
-    """``(positives, unlabelled, negatives, prior)``: feature rows of a hash sample, and the share of label 1.
+    """``((positives, unlabelled), (positives, unlabelled))``: feature rows to fit on, and those for prior and curve.
 
-    Only rows that are not held out. The unlabelled rows are drawn from all documents, labels unread. About ``bound`` rows of
-    each kind are collected; the prior counts all labelled rows.
+    Only rows that are not held out. Trusted positives are rows labelled 1; the unlabelled are drawn from all documents, labels
+    unread. Each distinct (doc_id, text) counts once, and about ``bound`` of each kind are collected, however often an id or
+    a row repeats: ids are chosen by a hash of the id, rows by a hash of id and text.
     """
     learn = docs.where(~held_out() & F.col("text").isNotNull()).select("doc_id", "text")
     marks = (labels.where(~held_out() & F.col("quality").isNotNull())
-             .groupBy("doc_id").agg(F.min("quality").alias("quality")))
-    n1, n0 = marks.agg(F.count(F.when(F.col("quality") == 1, 1)), F.count(F.when(F.col("quality") != 1, 1))).first()
+             .groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id"))
+    # the chosen ids are bounded by the sample size, whatever the corpus holds
+    chosen = marks.where(hash_share(min(1.0, bound / max(1, marks.count())), 21, "doc_id")).withColumn("positive", F.lit(True))
+    known = learn.join(F.broadcast(chosen), "doc_id")
+    n_known = known.select("doc_id", F.xxhash64("text")).distinct().count()
     n_docs = learn.count()
-    chosen = marks.where(F.when(F.col("quality") == 1, hash_share(min(1.0, bound / max(1, n1)), 21, "doc_id"))
-                         .otherwise(hash_share(min(1.0, bound / max(1, n0)), 22, "doc_id")))
-    # the chosen labels are bounded by the sample size, whatever the corpus holds
     rows = (learn.join(F.broadcast(chosen), "doc_id", "left")
-            .withColumn("free", hash_share(min(1.0, bound / max(1, n_docs)), 23, "doc_id"))
-            .where("free OR quality IS NOT NULL").select("text", "quality", "free"))
+            .withColumn("positive", F.col("positive").isNotNull()
+                        & hash_share(min(1.0, bound / max(1, n_known)), 22, "doc_id", "text"))
+            .withColumn("free", hash_share(min(1.0, bound / max(1, n_docs)), 23, "doc_id", "text"))
+            .where("positive OR free").dropDuplicates(["doc_id", "text"])
+            .select("text", "positive", "free", (F.pmod(F.xxhash64(F.lit(24), "doc_id", "text"), F.lit(3)) > 0).alias("fitted")))
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             f = text_features(strings(batch["text"]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x.tobytes() for x in f], pa.binary()), batch["quality"], batch["free"]],
-                names=["features", "quality", "free"])
+                [pa.array([x.tobytes() for x in f], pa.binary()), *(batch[c] for c in ("positive", "free", "fitted"))],
+                names=["features", "positive", "free", "fitted"])
 
-    kind = rows.schema["quality"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"features binary, quality {kind}, free boolean").toArrow()
+    got = rows.mapInArrow(run, "features binary, positive boolean, free boolean, fitted boolean").toArrow().sort_by("features")
     x = np.frombuffer(b"".join(got["features"].to_pylist()), np.float32).reshape(-1, N_FEATURES)
-    quality = np.array([-1 if q is None else int(q == 1) for q in got["quality"].to_pylist()], np.int64)
-    free = got["free"].to_numpy().astype(bool)
-    prior = n1 / (n1 + n0) if n0 and n1 else None
-    return x[quality == 1], x[free], x[quality == 0], prior
+    positive, free, fitted = (got[c].to_numpy().astype(bool) for c in ("positive", "free", "fitted"))
+    return tuple((x[positive & part], x[free & part]) for part in (fitted, ~fitted))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN, prior: float | None = None):
-    """The scorer and its calibration, or None if there is no trusted positive to learn from."""
-    positive, unlabelled, negative, found = training_rows(docs, labels, bound)
-    if not len(positive) or not len(unlabelled):
+    """The scorer and its curve, or None if there is no trusted positive to learn from. Labels other than 1 are not used.
+
+    A first scorer, at a prior of a half, ranks the rows kept back; the prior is estimated there and the risk minimised
+    again with it. With too few rows to keep any back, all rows serve both ends.
+    """
+    own, back = training_rows(docs, labels, bound)
+    if not all(map(len, (*own, *back))):
+        own = back = tuple(np.concatenate(z) for z in zip(own, back))
+    if not all(map(len, own)):
         return None
-    prior = prior or found or 0.8
-    mean, scale, w, bias = model = fit_nnpu(positive, unlabelled, prior)
-    g = lambda x: (x - mean) / scale @ w + bias
-    return *model, fit_curve(np.concatenate([g(positive), g(negative)]).astype(np.float64),
-                             np.concatenate([np.ones(len(positive)), np.zeros(len(negative))]), prior)
+
+    def scorer(model):
+        mean, scale, w, bias = model
+        return [((x - mean) / scale @ w + bias).astype(np.float64) for x in back]
+
+    prior = prior or estimate_prior(*scorer(fit_nnpu(*own, 0.5)))
+    model = fit_nnpu(*own, prior)
+    return *model, fit_posterior(*scorer(model), prior)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bound: int = MAX_TRAIN,
           prior: float | None = None) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
-    Trusted positives are the rows labelled 1, unlabelled rows come from all documents; the class prior is the share of
-    label 1 among all labelled rows unless given. Rows labelled 0 serve the calibration alone. Labels come from rows that
-    are not held out (``common.held_out``); a score sees the text alone.
+    Trusted positives are the rows labelled 1, unlabelled rows come from all documents; the class prior is estimated from the
+    two unless given, and so is the curve to probabilities: no label but 1 is used. Labels come from rows that
+    are not held out (``common.held_out``); a score sees the text alone, whole however long it is. Equal texts score equally.
 
     A null text is scored as an empty one; a null id is held out; repeated rows give repeated results; a document with
-    several labels counts as the lowest. With nothing to learn from every score is 0.5. Other columns are not read.
+    several labels counts as the lowest. With nothing to learn from every score is 0.5; an empty table gives an empty result.
+    Other columns are not read.
     """
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound, prior))
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             x = text_features(strings(batch["text"]))
             if model.value is None:
                 p = np.full(len(x), 0.5)
