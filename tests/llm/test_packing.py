@@ -51,6 +51,16 @@ def test_whole_table(spark, scratch):
     assert check(pieces, [(r.doc_id, r.text) for r in docs.collect()]) < 0.01
 
 
+def test_bins_grow_with_the_pieces(spark, scratch, monkeypatch):
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents")
+    plain = [tuple(r) for r in P.pack(docs, scratch(), digest=P.ids_crc32).collect()]
+    monkeypatch.setattr(P, "BINS", 1)
+    monkeypatch.setattr(P, "PER_BIN", 7)
+    pieces = P.pack(docs, scratch(), digest=P.ids_crc32).collect()
+    check(pieces, [(r.doc_id, r.text) for r in docs.collect()])
+    assert len(pieces) == len(plain)
+
+
 def test_odd_rows(make_docs, odd_rows, scratch):
     docs = make_docs(odd_rows)
     pieces = P.pack(docs, scratch(), digest=P.ids_crc32).collect()

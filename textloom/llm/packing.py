@@ -15,7 +15,7 @@ WINDOW = 1024
 END = 0                        # closes every document
 SPECIAL = "<|endoftext|>"
 DEPTH = 3                      # pieces in one combination
-BINS = 512                     # groups that number the pieces; only small rows meet in one
+BINS, PER_BIN = 512, 100_000   # groups that number the pieces, at least, and pieces that a group may hold on average
 BLOCK = 1 << 20                # characters tokenised at once
 GRID = 32                      # combinations of three whose two shorter lengths are multiples of it
 
@@ -150,10 +150,11 @@ def assign_sequences(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     written table with a ``piece`` number per row, so that ranks are the same at every reading.
     """
     spark = pieces.sparkSession
-    group = F.pmod(F.xxhash64("piece"), F.lit(BINS)).cast("int")
+    bins = max(BINS, -(-pieces.count() // PER_BIN))
+    group = F.pmod(F.xxhash64("piece"), F.lit(bins)).cast("int")
     grouped = pieces.withColumn("bin", group)
     counts = grouped.groupBy("length", "bin").count()
-    # the shift of each (length, bin): a table of at most window x BINS rows
+    # the shift of each (length, bin): a table of at most window x bins rows
     shift = counts.withColumn("before", F.coalesce(F.sum("count").over(
         Window.partitionBy("length").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = (grouped.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bin").orderBy("piece")))
