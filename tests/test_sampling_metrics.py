@@ -210,6 +210,35 @@ def test_two_level_sample_is_the_plain_one(spark):
     assert plan.count("WindowGroupLimit") >= 3          # buckets before and after the shuffle, then the stratum
 
 
+def test_threshold_sample_is_the_plain_one(spark, monkeypatch):
+    rows = [(i, "x" if i % 50 else None, i % 2) for i in range(20000)] + [(5, "twice", 0)] * 300 + [(7, "one", 0)]
+    df = spark.createDataFrame(rows, "gen_id long, dataset string, part int")
+    w = Window.partitionBy("dataset", "part").orderBy(seeded_hash(42, F.col("gen_id")), "gen_id")
+    plain = df.withColumn("rn", F.row_number().over(w)).filter("rn <= 60")
+    want = sorted(map(str, plain.select("dataset", "part", "gen_id", "rn").collect()))
+
+    def got():
+        return sorted(map(str, sampling.threshold_sample_ids(df.repartition(5), ["dataset", "part"], "gen_id", 60, 42)
+                          .select("dataset", "part", "gen_id", F.col("rn").cast("int").alias("rn")).collect()))
+
+    assert got() == want
+    monkeypatch.setattr(sampling, "HASH_RANGE", 1 << 40)        # cut-offs far too low: every stratum takes the exact way
+    assert got() == want
+    none = sampling.threshold_sample_ids(df.limit(0), ["dataset"], "gen_id", 60, 42)
+    assert none.count() == 0 and none.columns == ["dataset", "gen_id", "rn"]
+
+
+def test_threshold_sample_moves_few_rows(spark):
+    """Of the candidates, about n + 6 sqrt(n) a stratum are numbered, in however many tasks the rows come."""
+    df = spark.range(40000).selectExpr("id AS gen_id", "'x' AS dataset")
+    for tasks in (2, 40):
+        s = sampling.threshold_sample_ids(df.repartition(tasks), ["dataset"], "gen_id", 100, 1)
+        plan = s._jdf.queryExecution().optimizedPlan().toString()
+        assert "_cut" in plan and s.count() == 100
+    h = df.withColumn("h", seeded_hash(1, F.col("gen_id")))
+    assert 100 <= h.where(F.col("h") <= int(160 / 40000 * sampling.HASH_RANGE)).count() <= 230
+
+
 def test_prompts_per_label_do_not_follow_the_table(spark):
     cfg = Config(n_per_label=7)
     for n in (40, 400):

@@ -6,11 +6,14 @@ after an executor loss yields the same rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.config import DEFAULT, Config
 from textloom.functions.text import hash_sql, seeded_hash
+from textloom.session import hand_off
 
 
 def bucket_counts(df: DataFrame, strata, id_col: str, seed, digits: int = 3):
@@ -59,6 +62,42 @@ def seeded_rank(df: DataFrame, strata, id_col: str, seed, out: str = "rn",
 
 
 SAMPLE_BUCKETS = 64
+HASH_RANGE = 1 << 60       # seeded_hash is below
+
+
+def _same(strata, left: str, right: str):
+    """Equal strata, null ones too."""
+    both = [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in strata]
+    out = both[0]
+    for c in both[1:]:
+        out = out & c
+    return out
+
+
+def threshold_sample_ids(df: DataFrame, strata, id_col: str, n: int, seed, out: str = "rn") -> DataFrame:
+    """``strata.., id_col, out`` as ``sample_ids``, from the rows below a cut-off hash only.
+
+    The size of a stratum is counted, and its cut-off lets about ``n + 6 sqrt(n)`` rows through: so many leave the maps in all,
+    however many tasks or rows there are. A stratum with too few of them (one in a thousand million, or ids that
+    repeat) is numbered from all its rows by ``sample_ids``: the result is exact. Ids and hashes are written first, as
+    they are read for the sizes, the candidates and the rest.
+    """
+    strata = list(strata)
+    ids = hand_off(df.select(*strata, id_col).withColumn("_h", seeded_hash(seed, F.col(id_col))), "sample-ids")
+    sizes = ids.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.lit(n + 6 * math.sqrt(n)) / F.col("_n")
+    cuts = sizes.select(*strata, F.least(F.col("_n"), F.lit(n)).alias("_want"),
+                        F.when(share >= 1, F.lit(HASH_RANGE)).otherwise((share * float(HASH_RANGE)).cast("long")).alias("_cut"))
+    near = (ids.alias("i").join(cuts.alias("c"), _same(strata, "i", "c"))
+            .where(F.col("_h") <= F.col("_cut")).select("i.*", "_want"))
+    got = near.groupBy(*strata).agg(F.count(F.lit(1)).alias("_got"))
+    short = (cuts.alias("c").join(got.alias("g"), _same(strata, "c", "g"), "left")
+             .where(F.coalesce("_got", F.lit(0)) < F.col("_want")).select("c.*"))
+    order = Window.partitionBy(*strata).orderBy("_h", id_col)
+    most = (near.alias("i").join(short.alias("s"), _same(strata, "i", "s"), "left_anti")
+            .withColumn(out, F.row_number().over(order).cast("bigint")).where(F.col(out) <= n).select(*strata, id_col, out))
+    rest = ids.alias("i").join(short.alias("s"), _same(strata, "i", "s"), "left_semi").drop("_h")
+    return most.unionByName(sample_ids(rest, strata, id_col, n, seed, out))
 
 
 def sample_ids(df: DataFrame, strata, id_col: str, n: int, seed, out: str = "rn") -> DataFrame:
@@ -78,8 +117,8 @@ def sample_ids(df: DataFrame, strata, id_col: str, n: int, seed, out: str = "rn"
 
 
 def sample_n(df: DataFrame, strata, id_col: str, n: int, seed, out: str = "rn") -> DataFrame:
-    """The sampled rows (``sample_ids``): ids are chosen first, the other columns of the few chosen rows joined after."""
-    ids = sample_ids(df, strata, id_col, n, seed, out).select(id_col, out)
+    """The sampled rows: ids are chosen first (``threshold_sample_ids``), the other columns of the few chosen rows joined after."""
+    ids = threshold_sample_ids(df, strata, id_col, n, seed, out).select(id_col, out)
     return df.join(ids, id_col)
 
 

@@ -24,7 +24,7 @@ def audit_inputs(spark, sf, cfg=DEFAULT):
     """
     raw = tb.raw_gen(spark, sf)
     syn = gen.postprocess(tb.raw_texts(spark, sf))
-    ids = sampling.sample_ids(syn, ["dataset"], "gen_id", cfg.judge_sample, cfg.judge_seed, "rn")
+    ids = sampling.threshold_sample_ids(syn, ["dataset"], "gen_id", cfg.judge_sample, cfg.judge_seed, "rn")
     sample = gen.postprocess(raw.join(ids.select("gen_id", "rn"), "gen_id"), keep_post=True)
     return syn, judge.batches(sample, cfg)
 
