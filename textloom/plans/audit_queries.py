@@ -35,10 +35,11 @@ def audited(spark, sf, cfg=DEFAULT):
 
 
 def judged(spark, sf, cfg=DEFAULT):
-    """The rule judge's answers through a stored answer log: written as JSON text, read back, parsed and aligned with the texts."""
+    """The rule judge's answers through a stored answer log, as answers come (fenced, in prose, cut off, tried again): written as JSON
+    text, read back, parsed and aligned with the texts."""
     batched = audit_inputs(spark, sf, cfg)[1]
     path = scratch_path(spark, "judge-log")
-    judge.write_log(judge.clean_responses(judge.with_rule_verdicts(batched)).withColumnRenamed("clean", "raw"), path)
+    judge.write_log(judge.response_log(judge.clean_responses(judge.with_rule_verdicts(batched))), path)
     parsed = judge.parsed_log(judge.read_log(spark, path))
     first = judge.first_valid(parsed, cfg)
     return {"parsed": parsed, "first": first, "aligned": judge.align(batched, first)}
@@ -281,7 +282,19 @@ au_clean AS (
   SELECT 'pii' AS task, dataset, batch_no,
          CAST(to_json(list({{'id': id, 'has_pii': has_pii, 'pii_types': pii_types, 'pii_details': pii_details}} ORDER BY id)) AS VARCHAR)
   FROM au_verd GROUP BY dataset, batch_no),
-au_log AS (SELECT task, dataset, batch_no, 1 AS attempt, clean AS raw FROM au_clean),
+au_log AS (
+  SELECT task, dataset, batch_no, 1 AS attempt,
+         CASE batch_no % 4 WHEN 0 THEN clean
+              WHEN 1 THEN concat('```json', chr(10), clean, chr(10), '```')
+              WHEN 2 THEN concat('Here: ', clean, ' done')
+              ELSE substr(clean, 1, length(clean) - 1) END AS raw
+  FROM au_clean
+  UNION ALL
+  SELECT task, dataset, batch_no, 2 AS attempt, 'sorry' AS raw FROM au_clean WHERE batch_no % 4 = 3
+  UNION ALL
+  SELECT task, dataset, batch_no, 3 AS attempt,
+         CASE WHEN batch_no % 8 = 3 THEN clean ELSE substr(clean, 1, length(clean) - 1) END AS raw
+  FROM au_clean WHERE batch_no % 4 = 3),
 au_parsed AS (
   SELECT task, dataset, batch_no, attempt, raw,
          coalesce(try(from_json(CASE WHEN json_valid(raw) THEN raw END, {_VSTRUCT})),
