@@ -64,6 +64,25 @@ def test_a_word_in_every_document_is_no_hot_key(spark, monkeypatch):
     assert got == sorted(map(repr, tf.join(terms, ["classifier", "term"]).select("doc_id", "classifier", "term", "tf", "run_name", "n").collect()))
 
 
+def test_terms_are_counted_as_they_are_exploded(spark, monkeypatch):
+    """Slices of texts counted in columns: the words and pairs of ``grams``; odd texts, null keys and copies included."""
+    monkeypatch.setattr(NB, "SLICE", 12)
+    rows = [(1, "a b a b a"), (1, "a b a b a"), (2, ""), (3, None), (None, "x"), (4, " lead  and trail "), (5, "ä ö ä"), (6, "a" * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text_clean string")
+    want = NB.grams(df, ["doc_id"]).groupBy("doc_id", "classifier", "term").agg(F.count(F.lit(1)).alias("tf"))
+    got = NB.counted(df, ["doc_id"]).groupBy("doc_id", "classifier", "term").agg(F.sum("tf").alias("tf"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert NB.counted(df.limit(0), ["doc_id"]).count() == 0
+
+
+def test_the_training_terms_are_dealt_once(spark):
+    """The counts are dealt by term and then summed, totalled and joined there: no second exchange of them."""
+    train = spark.createDataFrame([("r", "mild", "a b"), ("s", "severe", "a c")], "run_name string, label string, text_clean string")
+    terms, _ = NB.fit(train)
+    plan = terms._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(classifier" in plan
+
+
 def test_a_fifth_label_is_scored(spark):
     train = spark.createDataFrame([("r", x, f"{x} word") for x in ("mild", "extreme", "severe", "minimum", "moderate")],
                                   "run_name string, label string, text_clean string")

@@ -6,10 +6,14 @@ join per (classifier, term): no loop over runs, no text is cut and no row is ski
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.config import ALPHAS, CLASSIFIERS, LABELS
+from textloom.session import hand_off, ship_code
 
 
 def grams(df: DataFrame, keep) -> DataFrame:
@@ -36,14 +40,70 @@ def labels_of(label_map: DataFrame) -> list[str]:
     return [r.label for r in label_map.orderBy("label_id").collect()]
 
 
+SLICE = 1 << 23            # characters of text counted at once
+
+
+def counted(df: DataFrame, keep) -> DataFrame:
+    """``keep.., classifier, term, tf``: the ``grams`` of ``df``, counted within slices of rows (a key may come from several slices).
+
+    The same terms as ``grams``, but words are numbers while they are counted, and a row leaves a task per distinct term
+    of a slice and not per word.
+    """
+    ship_code(df.sparkSession)
+    keep = list(keep)
+    rows = df.select(*keep, "text_clean")
+
+    def count(batch):
+        own = list(zip(*(batch[c].to_pylist() for c in keep)))
+        number = {k: i for i, k in enumerate(dict.fromkeys(own))}
+        first = {k: i for i, k in reversed(list(enumerate(own)))}
+        at = pa.array([first[k] for k in number], pa.int64())
+        words = pc.split_pattern(batch["text_clean"].cast(pa.large_string()), " ")
+        row = pc.list_parent_indices(words).to_numpy()
+        key = np.array([number[k] for k in own], np.int64)[row]
+        coded = words.flatten().dictionary_encode()
+        code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        size = max(1, len(names))
+        near = row[:-1] == row[1:]
+        for name, cell in ((CLASSIFIERS[0], key * size + code),
+                           (CLASSIFIERS[1], ((key[:-1] * size + code[:-1]) * size + code[1:])[near])):
+            cell, n = np.unique(cell, return_counts=True)
+            cell, term = np.divmod(cell, size)
+            term = names.take(pa.array(term))
+            if name == CLASSIFIERS[1]:
+                cell, before = np.divmod(cell, size)
+                term = pc.binary_join_element_wise(names.take(pa.array(before)), term, pa.scalar(" ", pa.large_string()))
+            of = at.take(pa.array(cell))
+            columns = [*(batch[c].take(of) for c in keep), pa.repeat(name, len(n)), term.cast(pa.string()), pa.array(n, pa.int64())]
+            yield from pa.Table.from_arrays(columns, names=[*keep, "classifier", "term", "tf"]).to_batches(10_000)
+
+    def run(batches):
+        for batch in batches:
+            for a, b in slices(pc.fill_null(pc.utf8_length(batch["text_clean"]), 0).to_numpy(zero_copy_only=False)):
+                yield from count(batch.slice(a, b - a))
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, ", ".join([*[f"{c} {types[c]}" for c in keep], "classifier string, term string, tf long"]))
+
+
+def slices(lengths):
+    """Consecutive row ranges whose texts have about ``SLICE`` characters."""
+    part = np.cumsum(lengths) // SLICE
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(lengths)]
+    return [(int(a), int(b)) for a, b in zip(edges, edges[1:]) if b > a]
+
+
 def fit(train: DataFrame, labels=LABELS):
     """``(terms, params)`` of ``train (run_name, label, text_clean)``. ``labels``: the classes by id, such as ``labels_of`` a map.
 
     ``terms``: counts per label of each (run, classifier, term); ``params``: per (run, classifier) the term total and
-    rows per label, the number of distinct terms and of rows. Counts are combined map-side; nothing is cut.
+    rows per label, the number of distinct terms and of rows. Counts are combined map-side; nothing is cut. The rows are dealt
+    once, by term: the counts of all runs are summed, totalled and joined where they are.
     """
-    terms = grams(train, ["run_name", "label"]).groupBy("run_name", "classifier", "term").agg(
-        F.array(*per_label(F.lit(1), labels)).alias("n"))
+    numbered = train.select("run_name", F.array_position(F.array(*[F.lit(c) for c in labels]), F.col("label")).cast("int").alias("label"), "text_clean")
+    counts = counted(numbered, ["run_name", "label"]).where("run_name is not null and classifier is not null and term is not null")
+    terms = counts.repartition("classifier", "term").groupBy("classifier", "term", "run_name").agg(
+        F.array(*per_label(F.col("tf"), range(1, len(labels) + 1))).alias("n")).select("run_name", "classifier", "term", "n")
     totals = terms.groupBy("run_name", "classifier").agg(
         F.count(F.lit(1)).alias("vocab"),
         F.array(*[F.sum(F.col("n")[i]) for i in range(len(labels))]).alias("total"))
@@ -51,7 +111,7 @@ def fit(train: DataFrame, labels=LABELS):
     return terms, totals.join(rows, "run_name")
 
 
-FREQUENT = 1_000     # a term with over 1/FREQUENT of a classifier's postings is joined in the map: at most FREQUENT terms
+FREQUENT = 4_000     # a term with over 1/FREQUENT of a classifier's postings is joined in the map: at most FREQUENT terms
 
 
 def frequent_terms(tf: DataFrame) -> DataFrame:
@@ -61,15 +121,20 @@ def frequent_terms(tf: DataFrame) -> DataFrame:
     return many.join(total, "classifier").where(F.col("_m") * FREQUENT > F.col("_t")).select("classifier", "term", F.lit(True).alias("head"))
 
 
-def with_counts(tf: DataFrame, terms: DataFrame) -> DataFrame:
+def with_counts(tf: DataFrame, terms: DataFrame, made: Column | None = None) -> DataFrame:
     """``tf`` joined with the term counts of every run, without a hot key: frequent terms meet their rows (at most
-    ``FREQUENT`` x runs a classifier, broadcast) in the map; each of the others has few rows in ``tf``."""
+    ``FREQUENT`` x runs a classifier, broadcast) in the map; each of the others has few rows in ``tf``.
+
+    ``made``: a column made of the counts, instead of them; of a frequent term once a run, not once a posting.
+    """
     keys = ["classifier", "term"]
+    own = [c for c in terms.columns if c not in (*keys, "n")]
+    value = F.col("n") if made is None else made
     often = F.broadcast(frequent_terms(tf))
     tf, terms = (d.join(often, keys, "left") for d in (tf, terms))
-    head = tf.where("head").drop("head").join(F.broadcast(terms.where("head").drop("head")), keys)
+    head = tf.where("head").drop("head").join(F.broadcast(terms.where("head").select(*keys, *own, value)), keys)
     tail = tf.where("head is null").drop("head").join(terms.where("head is null").drop("head"), keys)
-    return head.unionByName(tail)
+    return head.unionByName(tail.select(*[c for c in tail.columns if c != "n"], value))
 
 
 def score(model, test: DataFrame, run_names, keep=("doc_id", "label"), labels=LABELS) -> DataFrame:
@@ -81,11 +146,13 @@ def score(model, test: DataFrame, run_names, keep=("doc_id", "label"), labels=LA
     """
     terms, params = model
     k = len(labels)
-    tf = grams(test, ["doc_id"]).groupBy("doc_id", "classifier", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # written by document: the frequent terms of a document meet the model in one task, which combines their gains
+    tf = hand_off(counted(test, ["doc_id"]).repartition("doc_id").groupBy("doc_id", "classifier", "term").agg(F.sum("tf").alias("tf")), "nb-tf")
     size = tf.groupBy("doc_id", "classifier").agg(F.sum("tf").alias("size"))
-    gain = [F.sum(F.col("tf") * F.log1p(F.col("n")[i] / F.lit(a))) for a in ALPHAS for i in range(k)]
-    hits = with_counts(tf, terms).groupBy("run_name", "classifier", "doc_id").agg(
-        F.array(*gain).alias("gain"))
+    logs = F.array(*[F.when(F.col("n")[i] > 0, F.log1p(F.col("n")[i] / F.lit(a))).otherwise(0.0) for a in ALPHAS for i in range(k)])
+    gain = [F.sum(F.col("tf") * F.col("log")[i]) for i in range(len(ALPHAS) * k)]
+    hits = with_counts(tf, terms, logs.alias("log")).groupBy(
+        "run_name", "classifier", "doc_id").agg(F.array(*gain).alias("gain"))
     grid = F.array(*[F.struct(F.lit(r).alias("run_name"), F.lit(c).alias("classifier"))
                      for r in run_names for c in CLASSIFIERS])
     rows = test.select(*keep, F.explode(grid).alias("_r")).select(*keep, "_r.run_name", "_r.classifier")
