@@ -129,3 +129,11 @@ def test_components(spark, scratch):
     want = {i: root(i) for i in loose}
     assert {r.node: r.label for r in got} == {i: r for i, r in want.items() if any(a != b and i in (a, b) for a, b in edges)}
     assert len(got) == len({r.node for r in got})
+
+
+def test_value_counts_take_every_text(spark):
+    """More texts than any sample: the counts are those of all of them."""
+    n = 21_000
+    texts = spark.range(n).selectExpr("id as node", "id as label", "concat('a b c d ', id % 3) as text")
+    counts = N.value_counts(texts)
+    assert counts.sum() == n and sorted(counts[counts > 0].tolist()) == [n // 3] * 3

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Scratch, bitset, blocks, hash_share, in_bitset, read_table, small, utf8_rows
+from .common import Scratch, bitset, blocks, in_bitset, read_table, small, utf8_rows
 from .components import connected_components
 
 WORDS = 5
@@ -20,7 +20,6 @@ SPARE_PARTS = 3
 LEAST_PARTS = 10               # in a set of six values, fewer equal slices might all be empty
 CACHE = 1 << 18                # distinct words whose hashes a worker remembers
 BLOCK = 1 << 20                # bytes worked on at once
-COUNT_SAMPLE = 20_000          # texts that set the order of values by frequency
 COUNT_SLOTS = 1 << 20
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -178,26 +177,23 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY)
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def value_counts(texts: DataFrame, bound: int = COUNT_SAMPLE) -> np.ndarray:
-    """How often hash values occur, by their lowest bits, in about ``bound`` of the texts: an order for ``rare_prefixes``.
+def value_counts(texts: DataFrame) -> np.ndarray:
+    """How often hash values occur in all ``texts``, by their lowest bits: an order for ``rare_prefixes``.
 
-    Any order gives right results; this one puts the values of large groups of copies last.
+    Any order gives right results; this one puts the values of large groups of copies last. A task sends one number a slot.
     """
-    share = min(1.0, bound / max(1, texts.count()))
-
     def run(batches):
-        known, total = _WordHashes(), np.zeros(COUNT_SLOTS, np.int32)
+        known, total = _WordHashes(), np.zeros(COUNT_SLOTS, np.int64)
         for batch in small(batches):
             body = utf8_rows(batch["text"])
             for a, b in blocks([len(t) for t in body], BLOCK):
                 sets = np.concatenate(shingle_sets(body[a:b], known))
-                total += np.bincount((sets & np.uint64(COUNT_SLOTS - 1)).astype(np.int64), minlength=COUNT_SLOTS).astype(np.int32)
+                total += np.bincount((sets & np.uint64(COUNT_SLOTS - 1)).astype(np.int64), minlength=COUNT_SLOTS)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
-    got = (texts.where(hash_share(share, 9, "node")).select("text").mapInArrow(run, "slot long, n long")
-           .groupBy("slot").agg(F.sum("n").alias("n")).toArrow())
-    counts = np.zeros(COUNT_SLOTS, np.int32)
+    got = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNT_SLOTS, np.int64)
     counts[got["slot"].to_numpy()] = got["n"].to_numpy()
     return counts
 
