@@ -108,3 +108,22 @@ def test_redaction_and_odd_rows(make_docs, odd_rows):
     assert empty.spans == "" and empty.base_sha256 == hashlib.sha256(b"").hexdigest()
     assert pii.find_pii(docs.limit(0)).count() == 0
     assert pii.redact("abcdef", [("email", 1, 3), ("ip", 2, 4)]) == "a[EMAIL]ef"
+
+
+def test_the_fit_takes_every_candidate_of_every_text(make_docs):
+    """No cap per document and no sample of documents; a text counts once, however often it comes."""
+    rng = random.Random(9)
+    calls = lambda k: " and ".join(f"+1 (318) 555-{rng.randrange(1000, 9999)}" for _ in range(k))
+    rows = [(0, calls(70)), *((i, calls(1) + f" w{i}") for i in range(1, 21_001)), (21_001, calls(60)), (21_002, None)]
+    rows.append((21_003, rows[0][1]))
+    got = pii.training_rows(make_docs(rows), 7).where("y = 2 and kind = 'phone'").collect()
+    assert sum(r.n for r in got) == 70 + 21_000 + 60 and all(r.x == b"" for r in got)
+
+
+def test_weighted_quantiles_are_those_of_the_repeated_values():
+    rng = pii.np.random.default_rng(2)
+    values, n = rng.normal(size=40).round(1), rng.integers(1, 9, 40)
+    want = pii.np.quantile(pii.np.repeat(values, n), pii.np.linspace(0, 1, pii.CUTS + 1)[1:-1])
+    assert pii.np.allclose(pii.quantile_cuts(values, n), pii.np.unique(want))
+    p = rng.random(40)
+    assert pii.at_least(p, n, p[:5]).tolist() == [n[p >= s].sum() for s in p[:5]]

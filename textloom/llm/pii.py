@@ -9,12 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import hash_share, read_table, small, strings
+from .common import Scratch, read_table, small, strings
 
 KINDS = ("email", "ip", "card", "phone")
-#: The model is fitted on the candidates of about this many documents.
-MAX_TRAIN_DOCS = 20_000
-MAX_PER_DOC = 50               # candidates per document in the training sample
 LEAST_RATIO = 0.5              # density among hidden base spans to density among open candidates, asked of an added span
 MOST_SCORE = 0.9               # ... but no more than this probability, where unlabelled candidates are few
 MIN_BASE = 50                  # base spans of a kind that its model needs
@@ -166,19 +163,31 @@ def open_candidates(text: str, base: list) -> list[tuple[str, int, int]]:
     return [c for c in candidates(text) if not any(c[1] < stop and start < c[2] for _, start, stop in base)]
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> list[tuple]:
+def quantile_cuts(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The distinct quantiles of values that occur ``weights`` times each."""
+    order = np.argsort(values, kind="stable")
+    values, upto = values[order], np.cumsum(weights[order])
+    at = np.linspace(0, 1, CUTS + 1)[1:-1] * (upto[-1] - 1)
+    low = values[np.searchsorted(upto, np.floor(at), side="right")]
+    high = values[np.searchsorted(upto, np.ceil(at), side="right")]
+    return np.unique(low + (high - low) * (at - np.floor(at)))
+
+
+def boost(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, cuts: list | None = None) -> list[tuple]:
     """Gradient-boosted trees for the logistic loss: histograms over quantile cuts, whole levels at a time.
 
-    A tree is (feature and cut of each inner node, value of each leaf).
+    A tree is (feature and cut of each inner node, value of each leaf). ``n``: how often each row counts; ``cuts``: the cuts
+    of each feature, else the quantiles of ``x``.
     """
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, CUTS + 1)[1:-1])) for j in range(x.shape[1])]
+    n = np.ones(len(y)) if n is None else n.astype(np.float64)
+    cuts = cuts or [quantile_cuts(x[:, j], n) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], 1)
-    rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    rate = np.clip(np.average(y, weights=n), 1e-3, 1 - 1e-3)
     score = np.full(len(y), np.log(rate / (1 - rate)))
     trees = [float(score[0])]
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
-        g, h = y - p, p * (1 - p)
+        g, h = n * (y - p), n * p * (1 - p)
         node = np.zeros(len(y), np.int64)
         splits = []
         for level in range(DEPTH):
@@ -222,23 +231,15 @@ def predict(trees: list, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-score))
 
 
-def fit(docs: DataFrame, bound: int = MAX_TRAIN_DOCS, seed: int = 7):
-    """``(trees, threshold per kind)`` from the candidates of a hash sample of about ``bound`` documents, or None.
+def training_rows(docs: DataFrame, seed: int) -> DataFrame:
+    """``half, kind, y, x, n``: how often each feature row ``x`` occurs among all candidates of all distinct texts.
 
-    Positives are the base spans with their deciding character hidden (``hidden_forms``), so that the trees cannot
-    relearn the base rules; plausible candidates beside the base spans are unlabelled. The trees, fitted on half of the
-    sampled documents, tell the two apart; their odds, weighted by the numbers of base spans and unlabelled candidates
-    of the kind, are the ratio of the two densities. A span is added where the ratio is at least ``LEAST_RATIO``: its
-    format and context are about as frequent among base spans as among the unlabelled. A number fits a check digit by chance
-    once in ten: on the other half, the threshold of cards rises until a ninth of the equal candidates that fail the
-    check digit is at most ``MAX_CHANCE`` of those added. A kind with under ``MIN_BASE`` base spans gets no addition.
+    ``y``: 2 a base span (no ``x``), 1 one with its deciding character hidden, 0 an unlabelled candidate, -1 a card that fails the
+    check digit, taken as if it fitted. Texts are not moved: copies are told by 128 hash bits, and only candidates leave a task.
     """
-    n = docs.count()
-    ids = [c for c in ("doc_id",) if c in docs.columns]
-    # rows are chosen by id and text, then each text counts once: copies neither widen the sample nor fill it
-    sample = (docs.where(F.col("text").isNotNull()).select(*ids, "text").where(hash_share(min(1.0, bound / max(1, n)), seed, *ids, "text"))
-              .select("text").distinct()
-              .select("text", F.pmod(F.xxhash64(F.lit(seed + 1), "text"), F.lit(2)).alias("half")))
+    texts = docs.where(F.col("text").isNotNull()).select(
+        "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"),
+        F.pmod(F.xxhash64(F.lit(seed + 1), "text"), F.lit(2)).alias("half"))
 
     def packed(text, kind, start, end, checked=False):
         x = features(text, kind, start, end)
@@ -249,49 +250,113 @@ def fit(docs: DataFrame, bound: int = MAX_TRAIN_DOCS, seed: int = 7):
     def run(batches):
         for batch in small(batches):
             rows = []
-            for text, half in zip(strings(batch["text"]), batch["half"].to_pylist()):
+            for text, *own in zip(strings(batch["text"]), *(batch[c].to_pylist() for c in ("h1", "h2", "half"))):
+                found = []
                 base = base_spans(text)
-                for k, a, b in base[:MAX_PER_DOC]:
-                    rows.append((half, k, 2.0, b""))
-                    rows += [(half, k, 1.0, packed(t, k, *c)) for t, *c in hidden(text, k, a, b)]
-                for k, a, b in open_candidates(text, base)[:MAX_PER_DOC]:
+                for k, a, b in base:
+                    found.append((k, 2.0, b""))
+                    found += [(k, 1.0, packed(t, k, *c)) for t, *c in hidden(text, k, a, b)]
+                for k, a, b in open_candidates(text, base):
                     if plausible(k, text[a:b]):
-                        rows.append((half, k, 0.0, packed(text, k, a, b)))
+                        found.append((k, 0.0, packed(text, k, a, b)))
                     elif k == "card":
-                        rows.append((half, k, -1.0, packed(text, k, a, b, checked=True)))
-            half, kind, y, x = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(half, pa.int64()), pa.array(kind, pa.string()), pa.array(y, pa.float64()), pa.array(x, pa.binary())],
-                names=["half", "kind", "y", "x"])
-
-    got = sample.mapInArrow(run, "half long, kind string, y double, x binary").toArrow().sort_by(
-        [("x", "ascending"), ("y", "ascending")])
-    half, y, kind = got["half"].to_numpy(), got["y"].to_numpy(), np.array(got["kind"].to_pylist(), object)
-    n_base = {k: int(((y == 2) & (half == 0) & (kind == k)).sum()) for k in KINDS}
-    rows = y < 2
-    half, y, kind = half[rows], y[rows], kind[rows]
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+                        found.append((k, -1.0, packed(text, k, a, b, checked=True)))
+                rows += [(*own, i, *r) for i, r in enumerate(found)]
+            columns = list(zip(*rows)) if rows else [()] * 7
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["h1", "h2", "half", "i", "kind", "y", "x"])
+
+    found = texts.mapInArrow(run, "h1 long, h2 long, half long, i long, kind string, y double, x binary")
+    return found.dropDuplicates(["h1", "h2", "i"]).groupBy("half", "kind", "y", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def feature_cuts(rows: DataFrame) -> list[np.ndarray]:
+    """The quantile cuts of each feature over all fitted rows, from the histogram of its values (a million at most)."""
+    def run(batches):
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES)
+            n = batch["n"].to_numpy()
+            for j in range(N_FEATURES):
+                values, at = np.unique(x[:, j], return_inverse=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(values), j, np.int64)), pa.array(values.astype(np.float64)), pa.array(np.bincount(at, n).astype(np.int64))],
+                    names=["j", "value", "n"])
+
+    hist = (rows.where("half = 0 and y in (0, 1)").select("x", "n").mapInArrow(run, "j long, value double, n long")
+            .groupBy("j", "value").agg(F.sum("n").alias("n")).toArrow())
+    j, value, n = (hist[c].to_numpy() for c in ("j", "value", "n"))
+    return [quantile_cuts(value[j == f], n[j == f]) for f in range(N_FEATURES)] if len(j) else []
+
+
+def at_least(p: np.ndarray, n: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """How many of the rows, ``n`` each, have a ``p`` of each step or more."""
+    order = np.argsort(p)
+    below = np.concatenate([[0], np.cumsum(n[order])])
+    return below[-1] - below[np.searchsorted(p[order], steps, side="left")]
+
+
+def fit(docs: DataFrame, seed: int = 7):
+    """``(trees, threshold per kind)`` from all candidates of all documents, each text once, or None.
+
+    Positives are the base spans with their deciding character hidden (``hidden_forms``), so that the trees cannot
+    relearn the base rules; plausible candidates beside the base spans are unlabelled. The trees, fitted on half of the
+    texts, tell the two apart; their odds, weighted by the numbers of base spans and unlabelled candidates
+    of the kind, are the ratio of the two densities. A span is added where the ratio is at least ``LEAST_RATIO``: its
+    format and context are about as frequent among base spans as among the unlabelled. A number fits a check digit by chance
+    once in ten: on the other half, the threshold of cards rises until a ninth of the equal candidates that fail the
+    check digit is at most ``MAX_CHANCE`` of those added. A kind with under ``MIN_BASE`` base spans gets no addition.
+
+    The trees only see on which side of its cuts a feature lies, so rows that agree in this are one row that counts so often: the
+    driver gets their numbers, which say all there is about the corpus, and no row of it.
+    """
+    spark = docs.sparkSession
+    rows = Scratch(spark, "pii-fit").write(training_rows(docs, seed), "rows")
+    cuts = feature_cuts(rows)
+    if not cuts:
+        return None
+    shared = spark.sparkContext.broadcast(cuts)
+
+    def run(batches):
+        for batch in batches:
+            raw = batch["x"].to_pylist()
+            full = [i for i, r in enumerate(raw) if r]
+            x = np.frombuffer(b"".join(raw), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+            side = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(shared.value)], 1).astype(np.uint8)
+            for i, s in zip(full, side):
+                raw[i] = s.tobytes()
+            yield pa.RecordBatch.from_arrays([batch["half"], batch["kind"], batch["y"], pa.array(raw, pa.binary()), batch["n"]],
+                                             names=["half", "kind", "y", "x", "n"])
+
+    got = (rows.select("half", "kind", "y", "x", "n").mapInArrow(run, "half long, kind string, y double, x binary, n long")
+           .groupBy("half", "kind", "y", "x").agg(F.sum("n").alias("n")).toArrow()
+           .sort_by([("x", "ascending"), ("y", "ascending"), ("kind", "ascending"), ("half", "ascending")]))
+    half, y, n, kind = *(got[c].to_numpy() for c in ("half", "y", "n")), np.array(got["kind"].to_pylist(), object)
+    n_base = {k: int(n[(y == 2) & (half == 0) & (kind == k)].sum()) for k in KINDS}
+    some = y < 2
+    half, y, kind, n = half[some], y[some], kind[some], n[some]
+    side = np.frombuffer(b"".join(got["x"].to_pylist()), np.uint8).reshape(-1, N_FEATURES)
+    # a value of each feature on that side of its cuts: the cut above it, or beyond the last
+    x = np.stack([np.append(c, c[-1] + 1 if len(c) else 0.0)[side[:, f]] for f, c in enumerate(cuts)], 1)
     fitted = (half == 0) & (y >= 0)
     if not fitted.any() or y[fitted].min() == y[fitted].max():
         return None
-    trees = boost(x[fitted], y[fitted])
+    trees = boost(x[fitted], y[fitted], n[fitted], cuts)
     p = predict(trees, x)
     thresholds = {}
     for k in KINDS:
-        n_open = int((fitted & (kind == k) & (y == 0)).sum())
+        n_open = int(n[fitted & (kind == k) & (y == 0)].sum())
         if n_base[k] < MIN_BASE:
             thresholds[k] = np.inf
             continue
         odds = LEAST_RATIO * n_base[k] / max(1, n_open)
         least = min(MOST_SCORE, odds / (1 + odds))
         own = (half == 1) & (kind == k) & (p >= least)
-        added, failed = np.sort(p[own & (y == 0)]), np.sort(p[own & (y < 0)])
-        if len(failed):
-            cuts = np.unique(np.concatenate([[least], added]))
-            above = len(added) - np.searchsorted(added, cuts)
-            chance = (len(failed) - np.searchsorted(failed, cuts)) / 9
+        added, failed = own & (y == 0), own & (y < 0)
+        if failed.any():
+            steps = np.unique(np.concatenate([[least], p[added]]))
+            above, chance = at_least(p[added], n[added], steps), at_least(p[failed], n[failed], steps) / 9
             good = np.flatnonzero((chance <= MAX_CHANCE * above) & (above > 0))
-            least = float(cuts[good[0]]) if len(good) else np.inf
+            least = float(steps[good[0]]) if len(good) else np.inf
         thresholds[k] = least
     return trees, thresholds
 
@@ -331,14 +396,14 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def find_pii(docs: DataFrame, bound: int = MAX_TRAIN_DOCS) -> DataFrame:
+def find_pii(docs: DataFrame) -> DataFrame:
     """``doc_id``, base counts per kind, ``base_sha256`` and ``spans`` for every row of ``docs``.
 
     A null text counts as empty: no span, and the digest and list of nothing. Repeated rows give repeated results. An
     empty table gives an empty result. Very long texts are scanned whole, in linear time. Other columns are not read.
     """
     rows = docs.select("doc_id", "text")
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, bound))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(batches):
         for batch in small(batches):
@@ -355,12 +420,12 @@ def find_pii(docs: DataFrame, bound: int = MAX_TRAIN_DOCS) -> DataFrame:
                                 "base_sha256 string, spans string")
 
 
-def redact_pii(docs: DataFrame, bound: int = MAX_TRAIN_DOCS) -> DataFrame:
+def redact_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind, and ``n_chars``, if there, counted anew.
 
     Rows, their order and all other columns stay; a null text stays null.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, bound))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
     names = docs.columns
     at = names.index("text")
 
