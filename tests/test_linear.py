@@ -206,3 +206,19 @@ def test_numbers_and_running_sums(spark):
         mine = sorted((r for r in got if r.g == g), key=lambda r: r.o)
         assert [r["rank"] for r in mine] == list(range(1, len(own) + 1))
         assert [r.s for r in mine] == [sum(v for *_, v in own[:i]) for i in range(len(own))]
+
+
+def test_the_terms_of_a_model_are_not_dealt_to_one_task(spark):
+    """The cut-offs, a row a model, go to the terms; the terms are not shuffled by their model."""
+    rows = [("r", "unigram_lr", f"t{i}", i % 7) for i in range(300)]
+    counts = spark.createDataFrame(rows, "run_name string, classifier string, term string, df long")
+    adaptive = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        top = V.top_terms(counts, L.MODEL, 100)
+        plan = top._jdf.queryExecution().executedPlan().toString()
+        got = {r.term for r in top.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", adaptive)
+    assert "SortMergeJoin [run_name" not in plan
+    assert got == {t for _, _, t, _ in sorted(rows, key=lambda r: (-r[3], r[2]))[:100]}

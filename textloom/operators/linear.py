@@ -17,7 +17,7 @@ from textloom.config import LABELS
 from textloom.operators import metrics as M
 from textloom.operators import runs
 from textloom.operators import vocabulary as V
-from textloom.operators.naive_bayes import grams
+from textloom.operators.naive_bayes import counted
 from textloom.session import hand_off, scratch_path
 from textloom.sources.datasets import path_exists
 
@@ -39,7 +39,7 @@ def whole(value: Column) -> Column:
 def postings(df: DataFrame, keep) -> DataFrame:
     """``keep.., classifier, term, tf``: how often each term is in each text."""
     name = F.when(F.col("classifier") == "unigram_nb", "unigram_lr").otherwise("bigram_lr")
-    return (grams(df, keep).groupBy(*keep, "classifier", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return (counted(df, keep).groupBy(*keep, "classifier", "term").agg(F.sum("tf").alias("tf"))
             .withColumn("classifier", name))
 
 
@@ -53,8 +53,9 @@ def vocabulary(train: DataFrame, max_features: int = V.MAX_FEATURES) -> DataFram
     df = hand_off(tf.groupBy(*MODEL, "term").agg(F.count(F.lit(1)).alias("df")), "linear-df")
     often = V.top_terms(df.groupBy("classifier", "term").agg(F.sum("df").alias("df")), ["classifier"], FREQUENT)
     n = train.groupBy("run_name").agg(F.count(F.lit(1)).alias("n"))
-    kept = V.top_terms(df, MODEL, max_features).join(n, "run_name").join(
-        often.select("classifier", "term", F.lit(True).alias("head")), ["classifier", "term"], "left")
+    # a row a run, and FREQUENT rows a kind: the terms stay where they are
+    kept = V.top_terms(df, MODEL, max_features).join(F.broadcast(n), "run_name").join(
+        F.broadcast(often.select("classifier", "term", F.lit(True).alias("head"))), ["classifier", "term"], "left")
     kept = kept.select(*MODEL, "term", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"), F.coalesce("head", F.lit(False)).alias("head"))
     names = F.explode(F.array(*[F.lit(c) for c in CLASSIFIERS]))
     bias = n.select("run_name", names.alias("classifier"), F.lit(BIAS).alias("term"), F.lit(None).cast("double").alias("idf"), F.lit(True).alias("head"))

@@ -23,7 +23,7 @@ def top_terms(counts: DataFrame, keys: list[str], k: int = MAX_FEATURES, count:
     edge = hist.where(F.col("_above") < k).groupBy(*keys).agg(
         F.min_by(F.struct(F.col(count).alias("at"), F.col("_n").alias("n"), F.col("_above").alias("above")), count).alias("_e"))
     edge = edge.select(*keys, F.col("_e.at").alias("_at"), F.when(F.col("_e.above") + F.col("_e.n") > k, k - F.col("_e.above")).alias("_need"))
-    marked = counts.join(edge, keys)
+    marked = counts.join(F.broadcast(edge), keys)       # a row a group: no group's terms are dealt to one task
     kept = marked.where((F.col(count) > F.col("_at")) | ((F.col(count) == F.col("_at")) & F.col("_need").isNull()))
     ties = marked.where((F.col(count) == F.col("_at")) & F.col("_need").isNotNull())
     ties = ranking.numbered(ties, keys, [term], "_rank", "vocabulary-ties").where(F.col("_rank") <= F.col("_need"))
