@@ -83,6 +83,60 @@ def test_the_training_terms_are_dealt_once(spark):
     assert plan.count("Exchange") == 1 and "hashpartitioning(classifier" in plan
 
 
+def test_a_term_meets_all_runs_once_a_block(spark, monkeypatch):
+    """The join has a row per term and block of texts, not per posting and run; scores of odd ids and texts in any batching are a plain naive Bayes."""
+    hits, written = [], NB.hand_off
+    monkeypatch.setattr(NB, "hand_off", lambda df, name: hits.append(written(df, name)) or hits[-1])
+    monkeypatch.setattr(NB, "SLICE", 40)
+    train = [(f"r{i % 3}", ("mild", "severe", None, "odd")[i % 4], f"the a{i % 5} of u{i} the") for i in range(60)] + [("r0", "mild", None), (None, "mild", "the x"), ("r1", "mild", "")]
+    test = [(i, "mild", f"the a{i % 5} of the u{i} the a{i % 5} new{i}") for i in range(40)] + [(1, "severe", "the of again"), (None, "mild", "the"), (90, "mild", None), (91, "mild", "")]
+    model = NB.fit(spark.createDataFrame(train, "run_name string, label string, text_clean string").repartition(3))
+    rows = spark.createDataFrame(test, "doc_id long, label string, text_clean string")
+
+    def scores():
+        return sorted((r.run_name, r.classifier, r.epoch, str(r.doc_id), r.label_id, tuple(r.l)) for r in NB.score(model, rows, ["r0", "r1", "r2"]).collect())
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        small = scores()
+        asked = hits[-1].where("block is not null and classifier = 'unigram_nb'")
+        seen = {w for run, _, t in train if run and t is not None for w in t.split(" ")}
+        assert asked.count() == len({w for i, _, t in test if i is not None and t is not None for w in t.split(" ")} & seen)     # one block
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(NB, "BLOCK", 100)
+    blocks = scores()
+    assert hits[-1].where("block is not null").select("block").distinct().count() > 4
+    assert len(small) == len(test) * 3 * 2 * 2 and [r[:5] for r in blocks] == [r[:5] for r in small]
+    bad = [(a, b) for a, b in zip(small, blocks) if any(abs(x - y) > 2e-9 for x, y in zip(a[5], b[5]))]
+    assert not bad, bad[:5]
+
+    def terms(text, pairs):
+        w = text.split(" ")
+        return [" ".join(x) for x in zip(w, w[1:])] if pairs else w
+
+    for run, kind, epoch, doc, _, got in small:
+        pairs, a = kind == "bigram_nb", ALPHAS[epoch - 1]
+        own = [(lab, t) for r, lab, t in train if r == run]
+        count = [Counter(x for lab, t in own if lab == c and t is not None for x in terms(t, pairs)) for c in LABELS]
+        vocab = {x for _, t in own if t is not None for x in terms(t, pairs)}
+        words = [x for i, _, t in test if doc != "None" and str(i) == doc and t is not None for x in terms(t, pairs)]
+        for c, n, value in zip(LABELS, count, got):
+            want = math.log((sum(lab == c for lab, _ in own) + 1) / (len(own) + 4))
+            want += sum(math.log((n[x] + a) / (sum(n.values()) + a * (len(vocab) + 1))) for x in words)
+            assert abs(value - want / max(1, len(words))) < 1e-8
+
+
+def test_the_bundle_is_computed_once(spark, monkeypatch):
+    """Queries that read the bundle twice (baseline and runs, documents at the root and below) read a written table."""
+    rows = [(s, "baseline", c, e, i % 4, [0.1 * ((i * 7 + j + e) % 5) for j in range(4)])
+            for s in ("val", "test") for c in ("unigram_nb", "bigram_nb") for e in (1, 2) for i in range(12)]
+    scored = spark.createDataFrame(rows, "split string, run_name string, classifier string, epoch int, label_id int, l array<double>")
+    monkeypatch.setattr(model_queries, "scored", lambda *a: scored)
+    got = model_queries.bundle(spark, SF01)
+    assert got.count() == 2 and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_fifth_label_is_scored(spark):
     train = spark.createDataFrame([("r", x, f"{x} word") for x in ("mild", "extreme", "severe", "minimum", "moderate")],
                                   "run_name string, label string, text_clean string")

@@ -37,11 +37,11 @@ def ends_sentence(c):
     return F.substring(c, -1, 1).isin(*tx.POST_END_CHARS)
 
 
-def postprocess(raw_df: DataFrame, raw_col: str = "raw_text", keep_post: bool = False) -> DataFrame:
+def postprocess(raw_df: DataFrame, raw_col: str = "raw_text", keep_post: bool = False, keep_short: bool = False) -> DataFrame:
     """Raw generation -> post text: extract, remove residue, strip, drop < 3 words, add final period.
 
     Map-only: one projection chain, no shuffle. ``keep_post`` also returns the post
-    before the period repair (input of the completeness rules).
+    before the period repair (input of the completeness rules). ``keep_short`` keeps the rows of < 3 words, with a null text.
 
     The word test goes through a generator (``explode_outer`` of a 0/1-element array)
     instead of a filter: a filter would be pushed below the projection by the
@@ -50,7 +50,8 @@ def postprocess(raw_df: DataFrame, raw_col: str = "raw_text", keep_post: bool =
     keep = [c for c in raw_df.columns if c != raw_col]
     df = raw_df.select(*keep, strip_post(remove_residue(extract_post(F.col(raw_col)))).alias("_post"))
     one = F.when(tx.has_words(F.col("_post"), 3), F.array(F.col("_post")))
-    df = df.select(*keep, F.explode_outer(one).alias("_post")).filter(F.col("_post").isNotNull())
+    df = df.select(*keep, F.explode_outer(one).alias("_post"))
+    df = df if keep_short else df.filter(F.col("_post").isNotNull())
     text = F.when(ends_sentence(F.col("_post")), F.col("_post")) \
             .otherwise(F.concat(F.col("_post"), F.lit(".")))
     extra = [F.col("_post").alias("post")] if keep_post else []

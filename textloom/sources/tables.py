@@ -74,8 +74,8 @@ def gen_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(labs, "doc_id", "left").select(F.col("doc_id").alias("gen_id"), F.coalesce("label", F.lit("minimum")).alias("label"))
 
 
-def raw_shapes(p: DataFrame) -> DataFrame:
-    """Posts ``doc_id, dataset, label, text`` as raw generator output."""
+def raw_shapes(p: DataFrame, carry=()) -> DataFrame:
+    """Posts ``doc_id, dataset, label, text`` as raw generator output; ``carry``: columns kept as they are."""
     shape = (F.col("doc_id") % 6).cast("int")
     t = F.col("text")
     raw = (F.when(shape == 0, F.concat(F.lit("Sure! <post>"), t, F.lit("</post> bye")))
@@ -86,7 +86,7 @@ def raw_shapes(p: DataFrame) -> DataFrame:
            .otherwise(t))
     return p.select(F.col("doc_id").alias("gen_id"), "dataset",
                     F.coalesce(F.col("label"), F.lit("minimum")).alias("label"),
-                    raw.alias("raw_text"))
+                    raw.alias("raw_text"), *carry)
 
 
 # phrases around a mention of two capitalised words: of a person, or of a place, firm or work
