@@ -85,6 +85,19 @@ def test_odd_rows_and_any_partitioning(spark):
     assert N.with_names(df.limit(0), a).count() == 0
 
 
+def test_texts_are_searched_once_however_many_epochs(spark, monkeypatch):
+    """The epochs read written runs, in the order of the texts of a shard: one table, with every run of every text."""
+    made, hand_off = [], N.hand_off
+    monkeypatch.setattr(N, "hand_off", lambda df, name: made.append(hand_off(df, name)) or made[-1])
+    rows = texts(90, 5) + [(90, None, None), (91, "no names", [])]
+    N.fit(spark.createDataFrame(rows, SCHEMA), epochs=3, shard=30)
+    assert len(made) == 1
+    got = [r for r in made[0].orderBy("shard", "place").collect()]
+    assert len({r.shard for r in got}) > 1 and len({(r.shard, r.place) for r in got}) == len(got)
+    want = [(x.ravel().tolist(), N.tags_of(p, m or [])) for _, t, m in rows if t for p, x in N.runs(t)]
+    assert sorted((r.features, r.tags) for r in got) == sorted(want)
+
+
 def test_query_on_held_out_rows(spark):
     rows = [r for r in q_name_spans(spark, SF01).collect()]
     assert len(rows) == 1000

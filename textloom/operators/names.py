@@ -7,6 +7,7 @@ shards start from the same weights and go through their own texts; their changes
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.rules import PLACEHOLDER_NAMES
-from textloom.session import ship_code
+from textloom.session import hand_off, ship_code
 
 WORD = r"\p{Lu}(?:\p{Ll}+|['’]\p{Lu}\p{Ll}+)(?:-\p{Lu}\p{Ll}+)*"
 RUN = regex.compile(rf"(?<![\p{{L}}\p{{N}}_]){WORD}(?: {WORD})+(?![\p{{L}}\p{{N}}_])")
@@ -111,26 +112,50 @@ def tags_of(places, marked) -> list[int]:
 
 
 def train_shard(rows, model: Model):
-    """One pass of the averaged perceptron over ``(text, marks)``: changes of the weights, and of their average over the pass."""
+    """One pass of the averaged perceptron over ``(features, tags)`` of runs: changes of the weights, and of their average over the pass."""
     w, s = model.cells.copy(), model.steps.copy()
     late_w, late_s, t = np.zeros_like(w), np.zeros_like(s), 0
-    for text, marks in rows:
-        for places, x in runs(text):
-            gold, t = tags_of(places, marks), t + 1
-            guess = viterbi(w[x].sum(1).tolist(), s.tolist())
-            if guess == gold:
-                continue
-            for tags, by in ((gold, 1.0), (guess, -1.0)):
-                for row, tag in zip(x, tags):
-                    np.add.at(w, (row, tag), by)
-                    np.add.at(late_w, (row, tag), by * t)
-                for a, b in zip(tags, tags[1:]):
-                    s[a, b] += by
-                    late_s[a, b] += by * t
+    for x, gold in rows:
+        t += 1
+        guess = viterbi(w[x].sum(1).tolist(), s.tolist())
+        if guess == gold:
+            continue
+        for tags, by in ((gold, 1.0), (guess, -1.0)):
+            for row, tag in zip(x, tags):
+                np.add.at(w, (row, tag), by)
+                np.add.at(late_w, (row, tag), by * t)
+            for a, b in zip(tags, tags[1:]):
+                s[a, b] += by
+                late_s[a, b] += by * t
     t += 1
     return w - model.cells, s - model.steps, w - late_w / t - model.cells, s - late_s / t - model.steps
 
 
+def shards(marked: DataFrame, id_col: str, n_shards: int) -> DataFrame:
+    """``shard, place, features, tags`` (written): the runs of all texts, by the shard their text is in and their place there.
+
+    The texts are read, dealt and searched once, however many epochs go through their runs.
+    """
+    rows = marked.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"),
+                         F.col("spans.start").alias("a"), F.col("spans.end").alias("b"))
+    rows = rows.repartition(n_shards, "id", F.xxhash64("text")).sortWithinPartitions("id", "text", "a", "b")
+
+    def run(batches):
+        place = 0
+        for shard, batch in ((batch["shard"], batch) for batch in batches):
+            found: list = []
+            for k, text, a, b in zip(shard.to_pylist(), *(batch[c].to_pylist() for c in ("text", "a", "b"))):
+                for places, x in runs(text):
+                    found.append((k, place, x.ravel(), tags_of(places, list(zip(a or (), b or ())))))
+                    place += 1
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "place", "features", "tags"])
+
+    return hand_off(rows.select(F.spark_partition_id().alias("shard"), "text", "a", "b").mapInArrow(
+        run, "shard int, place long, features array<int>, tags array<int>"), "name-runs")
+
+
 def fit(marked: DataFrame, id_col: str = "doc_id", epochs: int = EPOCHS, shard: int = SHARD) -> Model:
     """The model of ``marked (id, text, spans array<struct<start, end>>)``: all its rows, in about one shard per ``shard`` rows.
 
@@ -141,24 +166,24 @@ def fit(marked: DataFrame, id_col: str = "doc_id", epochs: int = EPOCHS, shard:
     ship_code(marked.sparkSession)
     sc = marked.sparkSession.sparkContext
     n_shards = max(1, -(-marked.count() // shard))
-    rows = marked.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"),
-                         F.col("spans.start").alias("a"), F.col("spans.end").alias("b"))
-    rows = rows.repartition(n_shards, "id", F.xxhash64("text")).sortWithinPartitions("id", "text", "a", "b")
+    rows = shards(marked, id_col, n_shards).repartition(n_shards, "shard").sortWithinPartitions("shard", "place")
     start = Model(np.zeros((CELLS, 3)), np.zeros((3, 3)))
     mean = Model(np.zeros((CELLS, 3)), np.zeros((3, 3)))
     for _ in range(epochs):
         shared = sc.broadcast(start)
 
         def run(batches, shared=shared):
-            def texts():
+            def of_runs():
                 for batch in batches:
-                    for text, a, b in zip(*(batch[c].to_pylist() for c in ("text", "a", "b"))):
-                        yield text, list(zip(a or (), b or ()))
-
-            w, s, mean_w, mean_s = train_shard(texts(), shared.value)
-            flat = [np.rint(np.concatenate([x.ravel(), y.ravel()]) * UNIT).astype(np.int64) for x, y in ((w, s), (mean_w, mean_s))]
-            at = np.flatnonzero(flat[0] | flat[1])
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[0][at]), pa.array(flat[1][at])], names=["cell", "last", "mean"])
+                    features, tags = batch["features"], batch["tags"]
+                    for k, gold, x in zip(batch["shard"].to_pylist(), tags.to_pylist(), features):
+                        yield k, x.values.to_numpy().reshape(len(gold), -1), gold
+
+            for _, own in itertools.groupby(of_runs(), lambda r: r[0]):
+                w, s, mean_w, mean_s = train_shard(((x, gold) for _, x, gold in own), shared.value)
+                flat = [np.rint(np.concatenate([x.ravel(), y.ravel()]) * UNIT).astype(np.int64) for x, y in ((w, s), (mean_w, mean_s))]
+                at = np.flatnonzero(flat[0] | flat[1])
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[0][at]), pa.array(flat[1][at])], names=["cell", "last", "mean"])
 
         changes = rows.mapInArrow(run, "cell long, last long, mean long").groupBy("cell").agg(F.sum("last").alias("last"), F.sum("mean").alias("mean"))
         got = changes.toArrow()           # at most three numbers per hashed feature
