@@ -223,3 +223,65 @@ def test_the_terms_of_a_model_are_not_dealt_to_one_task(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", adaptive)
     assert not re.search(r"SortMergeJoin \[run_name#\d+, classifier#\d+\]", plan)
     assert got == {t for _, _, t, _ in sorted(rows, key=lambda r: (-r[3], r[2]))[:100]}
+
+
+def repeated(spark):
+    """Training texts of two runs; ids repeat with the same and with another label."""
+    rows = [("a", *r) for r in corpus(40, 7)] + [("b", *r) for r in corpus(12, 8)]
+    rows += [("a", 3, rows[3][2], "the mild1 again"), ("a", 4, "severe" if rows[4][2] != "severe" else "mild", "the other w1 w2"), ("b", 5, rows[45][2], None)]
+    return spark.createDataFrame(rows, TRAIN).repartition(3)
+
+
+def test_vectors_of_blocks_equal_those_of_rows(spark, tmp_path):
+    """Blocks of a few texts, repeated ids: the same entries as term by term, in a row a block and model."""
+    train = repeated(spark)
+    texts = L.with_label_id(train, LABELS)
+    vocab = L.vocabulary(train)
+    L.tallies(texts.withColumn("run", L.run_number(["a", "b"])), 2, 300).write.parquet(str(tmp_path / "tallies"))
+    tallied = spark.read.parquet(str(tmp_path / "tallies"))
+    n_blocks = tallied.select("block").distinct().count()
+    assert n_blocks > 4
+    for own_run in (True, False):
+        keep = ["doc_id", "label_id"]
+        if own_run:
+            own, want = tallied, L.vectors(texts, vocab, keep, True)
+        else:
+            L.tallies(texts.where("run_name = 'a'").withColumn("run", F.lit(0)), 1, 300).write.parquet(str(tmp_path / "asked"))
+            own, want = spark.read.parquet(str(tmp_path / "asked")), L.vectors(texts.where("run_name = 'a'").drop("run_name"), vocab, keep, False)
+        packed = L.packed(own, vocab, L.by_term(vocab, ["a", "b"]), ["a", "b"], own_run).collect()
+        assert len(packed) <= 4 * n_blocks
+        got = Counter((r.run_name, r.classifier, r.ids[i], r.labels[i], r.fids[r.at[e]], r.x[e])
+                      for r in packed for i in range(len(r.ids)) for e in range(r.edges[i], r.edges[i + 1]))
+        assert got == Counter((r.run_name, r.classifier, r.doc_id, r.label_id, r.fid, r.x) for r in want.collect())
+
+
+def test_gradient_of_parts_with_repeated_ids(spark, monkeypatch):
+    """At weights of 0, in one part a model and in many; every vector of an id has all residuals of that id."""
+    train = repeated(spark)
+    t = L.Training(spark, train, spark.createDataFrame(corpus(5, 9), REST))
+    by_id: dict = {}
+    for r in L.vectors(L.with_label_id(train, LABELS), t.vocab, ["doc_id", "label_id"], True).collect():
+        by_id.setdefault((r.run_name, r.classifier, r.doc_id), []).append(r)
+    want: dict = {}
+    for rows in by_id.values():
+        for label in {r.label_id for r in rows}:
+            residual = half_up((0.25 - (np.arange(4) == label)) * L.UNIT)
+            for r in rows:
+                want[r.fid] = want.get(r.fid, 0) + half_up(r.x * residual / L.UNIT)
+    for part in (L.PART, 20):
+        monkeypatch.setattr(L, "PART", part)
+        got: dict = {}
+        for r in L.gradient(t.train, t.state(0), LABELS).collect():
+            for i, f in enumerate(r.fids):
+                got[f] = got.get(f, 0) + np.array(r.g[4 * i:4 * i + 4])
+        assert got.keys() == want.keys() and all((got[f] == want[f]).all() for f in want)
+
+
+def test_an_epoch_moves_no_row_per_posting(spark, trained):
+    """Vectors and weights are rows of whole blocks and buckets; no join is dealt by feature."""
+    t, sets, val, _ = trained
+    assert t.train.count() <= 4 * t.spark.read.parquet(f"{t.root}/tallies").select("block").distinct().count()
+    assert t.state(1).count() <= 4 * L.BUCKETS
+    for df in (L.step(t.train, t.state(1), t.labels, 2), L.packed_scores(t.val, t.state(1))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "fid#" not in plan and "SortMergeJoin" not in plan

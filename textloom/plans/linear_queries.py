@@ -22,7 +22,8 @@ def training(spark, sf, baseline=True, synthetic=True, root=None):
     posts = hand_off(split_texts(spark, sf), "linear-posts", "split")
     train = MQ.training_sets(spark, sf, baseline, synthetic, posts)
     val = posts.filter(F.col("split") == "val").select("doc_id", "label", "text_clean")
-    return L.Training(spark, train, val, root=root), posts
+    names = [r[0] for r in runs.run_grid() if (baseline if r[0] == runs.BASELINE_RUN else synthetic)]
+    return L.Training(spark, train, val, root=root, run_names=names), posts
 
 
 def bundle(spark, sf, baseline=True, synthetic=True):
