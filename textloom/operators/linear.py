@@ -65,7 +65,8 @@ def vocabulary(train: DataFrame, max_features: int = V.MAX_FEATURES) -> DataFram
 def most_frequent(df: DataFrame, n: DataFrame, max_features: int = V.MAX_FEATURES) -> DataFrame:
     """The ``vocabulary`` of counted terms ``run_name, classifier, term, df`` and the texts ``run_name, n`` of each training set."""
     df = hand_off(df, "linear-df")
-    often = V.top_terms(df.groupBy("classifier", "term").agg(F.sum("df").alias("df")), ["classifier"], FREQUENT)
+    over_runs = hand_off(df.groupBy("classifier", "term").agg(F.sum("df").alias("df")), "linear-terms")      # read three times
+    often = V.top_terms(over_runs, ["classifier"], FREQUENT)
     # a row a run, and FREQUENT rows a kind: the terms stay where they are
     kept = V.top_terms(df, MODEL, max_features).join(F.broadcast(n), "run_name").join(
         F.broadcast(often.select("classifier", "term", F.lit(True).alias("head"))), ["classifier", "term"], "left")
@@ -206,8 +207,8 @@ VECTORS = ("run int, classifier string, block bigint, edges array<int>, fids arr
 
 def by_term(vocab: DataFrame, run_names) -> DataFrame:
     """``classifier, term, head, v``: the runs that keep a term, with its feature and idf there."""
-    return vocab.where(F.col("idf").isNotNull()).groupBy("classifier", "term").agg(
-        F.first("head").alias("head"), F.collect_list(F.struct(run_number(run_names).alias("run"), "fid", "idf")).alias("v"))
+    own = vocab.where(F.col("idf").isNotNull()).select("classifier", "term", "head", F.struct(run_number(run_names).alias("run"), "fid", "idf").alias("v"))
+    return own.groupBy("classifier", "term").agg(F.first("head").alias("head"), F.collect_list("v").alias("v"))
 
 
 def run_number(run_names) -> Column:
